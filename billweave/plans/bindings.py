@@ -10,6 +10,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billweave.sources.rubric import DIMENSIONS
+
 # Day on which the spend rules look back.
 AS_OF = dt.date(2000, 6, 15)
 # Moment at which the job-log rule looks back.
@@ -48,3 +50,166 @@ def spend_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sales(spark, sf_dir).select(
         "account", F.col("l_shipdate").alias("used_at"), "service",
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("team_tag"), "cost")
+
+
+def two_months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots to compare directly; the month filter is on the scanned column."""
+    shipped = F.col("used_at")
+
+    def month(first: dt.date, end: dt.date) -> DataFrame:
+        sales = _sales(spark, sf_dir).withColumnRenamed("l_shipdate", "used_at")
+        kind = sales.schema["used_at"].dataType
+        return sales.filter((shipped >= F.lit(first.isoformat()).cast(kind))
+                            & (shipped < F.lit(end.isoformat()).cast(kind))).select(
+            "account", F.lit(first).alias("period"), "service", "project", "cost")
+
+    return (month(dt.date(1999, 1, 1), dt.date(1999, 2, 1)),
+            month(dt.date(2000, 1, 1), dt.date(2000, 2, 1)))
+
+
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with the service, and with total rows and unreadable costs among the cells."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    line = F.col("l_linenumber")
+    price = F.format_number("l_extendedprice", 2)
+    return (table(spark, sf_dir, "lineitem")
+            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .select(
+                F.when(line == 6, " Total ").when(line == 7, "").otherwise(F.col("p_type"))
+                 .alias("service"),
+                F.when(F.col("l_quantity") == 1, "n/a").when(F.col("l_quantity") == 2, "nan")
+                 .when(F.col("l_quantity") == 3, F.concat(F.lit(" $ "), price))
+                 .otherwise(price).alias("cost"),
+                F.concat(F.lit(" "), "l_returnflag", F.lit(" ")).alias("project"),
+                F.col("l_orderkey").cast("string").alias("line_id"),
+                (line % 2 == 0).alias("even")))
+
+
+def gcp_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_items(spark, sf_dir).select(
+        F.col("project").alias("Project name"), F.col("line_id").alias("Project ID"),
+        F.col("service").alias("Service description"), F.lit("1.00").alias("Cost ($)"),
+        F.col("cost").alias("Subtotal ($)"))
+
+
+def cur_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_items(spark, sf_dir).select(
+        F.col("line_id").alias("identity/LineItemId"),
+        F.col("project").alias("lineItem/UsageAccountId"),
+        F.col("service").alias("lineItem/ProductCode"),
+        F.col("cost").alias("lineItem/UnblendedCost"))
+
+
+def ce_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost is in the last or, on even lines, in the last but one cell."""
+    return _line_items(spark, sf_dir).select(
+        F.col("service").alias("Service"), F.lit("5.00").alias("2000-05-01"),
+        F.when(F.col("even"), F.col("cost")).otherwise("7.00").alias("2000-06-01"),
+        F.when(~F.col("even"), F.col("cost")).alias("Total costs ($)"))
+
+
+def generic_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_items(spark, sf_dir).select("service", "cost", "project")
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        F.lit("warehouse").alias("project"), F.col("source").alias("dataset"),
+        F.col("doc_id").cast("string").alias("table"),
+        (F.col("n_chars") * 10_000_000).alias("num_bytes"),
+        (F.col("lang") == "en").alias("time_partitioned"),
+        F.lit(False).alias("range_partitioned"))
+
+
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_query = F.col("event_type").isin("view", "click")
+    return table(spark, sf_dir, "events").select(
+        F.lit("warehouse").alias("project"), F.col("user_id").cast("string").alias("user"),
+        (F.round(F.col("value") * 100).cast("bigint") * 10_000_000).alias("bytes_billed"),
+        F.col("ts").alias("created"),
+        F.when(is_query, "QUERY").otherwise("LOAD").alias("job_type"),
+        F.lit("SELECT").alias("statement_type"))
+
+
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("doc_id").cast("string")
+    folder = F.when(F.col("source") == "src0", "models/staging/").otherwise("models/marts/")
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project"), F.concat(folder, name, F.lit(".sql")).alias("path"),
+        name.alias("name"), F.col("text").alias("sql"))
+
+
+# The pattern that stands in for SELECT *, which no sample text holds.
+MODEL_PATTERN = "(?i)licen[sc]e"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+            .join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id",
+                  "left"))
+
+
+def model_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (_labelled(spark, sf_dir).filter(F.col("quality").isNotNull())
+            .select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("name"),
+                    F.lit(True).alias("has_description"),
+                    (F.col("quality") == 1).alias("has_tests")))
+
+
+def source_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select(
+        F.col("source").alias("project"), F.col("lang").alias("source"),
+        F.col("doc_id").cast("string").alias("table"),
+        F.col("quality").isNotNull().alias("has_freshness"))
+
+
+def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "documents").select(F.col("source").alias("project")).distinct()
+            .withColumn("has_marker", F.col("project") != "src7"))
+
+
+def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML file per document that says what model_meta and source_meta say, plus broken files
+    for toxic documents."""
+    name = F.col("doc_id").cast("string")
+    rated, good = F.col("quality").isNotNull(), F.col("quality") == 1
+    model = F.concat(
+        F.lit("version: 2\nmodels:\n  - name: '"), name, F.lit("'\n    columns:\n"),
+        F.lit("      - name: id\n"),
+        F.when(good, "        tests: [unique, not_null]\n").otherwise(""),
+        F.when(rated, "    description: rated\n").otherwise(""))
+    source = F.concat(
+        F.lit("sources:\n  - name: "), F.col("lang"), F.lit("\n    tables:\n      - name: '"), name,
+        F.lit("'\n"),
+        F.when(rated, "        freshness: {warn_after: {count: 1, period: day}}\n").otherwise(""))
+    return _labelled(spark, sf_dir).select(
+        F.col("source").alias("project"), F.concat(F.lit("models/"), name, F.lit(".yml"))
+         .alias("path"),
+        F.when(F.col("toxic") == 1, "models: [broken").otherwise(F.concat(model, source))
+         .alias("yaml"))
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per document; Spanish ones are templates, some others failed."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return (table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+            .select(F.col("source").alias("suite"),
+                    F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".sql"))
+                     .alias("path"),
+                    F.when(F.col("lang") == "es", F.concat(F.lit("{{ config() }} "), "text"))
+                     .otherwise(F.col("text")).alias("sql"),
+                    (F.col("n_chars") * 1_000_000_000).alias("bytes_processed"),
+                    F.when(F.col("toxic") == 1, "syntax").alias("error")))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platform = user; every event answers one of the 28 criteria, the last answer counts.
+    Events of type 'error' answer nothing, so that some criteria stay open."""
+    ids = [f"{prefix}-{number:02d}" for _, _, prefix, size in DIMENSIONS
+           for number in range(1, size + 1)]
+    slot = (F.col("event_id") % len(ids)).cast("int") + 1
+    return (table(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+            .groupBy(F.col("user_id").cast("string").alias("platform"), slot.alias("slot"))
+            .agg(F.max_by(F.floor("value") % 3, "event_id").cast("int").alias("score"))
+            .select("platform", F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("slot"))
+                    .alias("criterion_id"), "score"))

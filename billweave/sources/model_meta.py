@@ -15,35 +15,37 @@ _PARSED = ("project string, kind string, parent string, name string, "
            "has_description boolean, has_tests boolean, has_freshness boolean")
 
 
-def _items(value, key: str) -> list[dict]:
-    entries = value.get(key) if isinstance(value, dict) else None
-    return [entry for entry in entries or [] if isinstance(entry, dict)]
-
-
-def _entries(project: str, text: str, yaml) -> Iterator[tuple]:
-    try:
-        document = yaml.safe_load(text)
-    except yaml.YAMLError:
-        return
-    for model in _items(document, "models"):
-        tested = [model, *_items(model, "columns")]
-        yield (project, "model", "", str(model.get("name", "")),
-               bool(model.get("description")), any(part.get("tests") for part in tested), False)
-    for source in _items(document, "sources"):
-        for table in _items(source, "tables"):
-            fresh = bool(table.get("freshness") or source.get("freshness"))
-            yield (project, "source", str(source.get("name", "")), str(table.get("name", "")),
-                   False, False, fresh)
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import yaml
-
-    names = [column.split()[0] for column in _PARSED.split(", ")]
-    for batch in batches:
-        rows = [entry for project, text in zip(batch["project"], batch["yaml"])
-                for entry in _entries(project, text, yaml)]
-        yield pd.DataFrame(rows, columns=names)
+def _parser():
+    """The function for mapInPandas. It is built here, not named in the module, so that workers
+    get it whole and need no copy of this package."""
+    columns = [column.split()[0] for column in _PARSED.split(", ")]
+
+    def items(value, key: str) -> list[dict]:
+        entries = value.get(key) if isinstance(value, dict) else None
+        return [entry for entry in entries or [] if isinstance(entry, dict)]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for batch in batches:
+            rows = []
+            for project, text in zip(batch["project"], batch["yaml"]):
+                try:
+                    document = yaml.safe_load(text)
+                except yaml.YAMLError:
+                    continue
+                for model in items(document, "models"):
+                    tested = any(part.get("tests") for part in [model, *items(model, "columns")])
+                    rows.append((project, "model", "", str(model.get("name", "")),
+                                 bool(model.get("description")), tested, False))
+                for source in items(document, "sources"):
+                    for table in items(source, "tables"):
+                        fresh = bool(table.get("freshness") or source.get("freshness"))
+                        rows.append((project, "source", str(source.get("name", "")),
+                                     str(table.get("name", "")), False, False, fresh))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return parse
 
 
 def _parsed(schema_files: DataFrame, kind: str) -> DataFrame:
@@ -51,7 +53,7 @@ def _parsed(schema_files: DataFrame, kind: str) -> DataFrame:
         import yaml  # noqa: F401
     except ImportError as error:
         raise ImportError("reading model metadata needs PyYAML on driver and workers") from error
-    return (schema_files.select("project", "yaml").mapInPandas(_parse, _PARSED)
+    return (schema_files.select("project", "yaml").mapInPandas(_parser(), _PARSED)
             .filter(F.col("kind") == kind))
 
 
