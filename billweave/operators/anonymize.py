@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from billweave.functions.money import amount, coarse_amount, percent
@@ -11,11 +10,10 @@ from billweave.functions.text import fill, letters
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.diff import PAIR, top_services
 from billweave.operators.reports import (PART_LINES, TOTALS, _collect, _in_order, joined,
-                                         lines_of, only_if)
+                                         last_part, lines_of, only_if)
 
 TOP_DRIVERS = 3
 MAJORITY = 50
-NEW_SHARE = 10
 PROJECT_SHARE = 60
 
 
@@ -51,7 +49,7 @@ def _majority() -> Column:
 
 
 def _newcomer() -> Column:
-    return (F.col("grain") == "service") & F.col("is_new") & (F.col("share_pct") > NEW_SHARE)
+    return (F.col("grain") == "service") & F.col("newcomer_rank").isNotNull()
 
 
 def _concentrated() -> Column:
@@ -101,28 +99,26 @@ def anonymous_report(ranked_lines: DataFrame, alias: str | None = None, sector:
     majority, newcomer, concentrated = _lesson_texts(lang)
     dash = F.lit("- ")
 
-    chosen = ranked_lines.filter(is_driver | _majority() | _newcomer() | _concentrated()
-                                 | ((F.col("grain") == "service") & (F.col("rank") == 1)))
-    # A line can be both a driver (first part) and a newcomer (any part).
-    part = F.floor((F.col("rank") - 1) / part_lines).cast("int")
-    placed = F.array_compact(F.array(
-        F.struct(F.lit(0).alias("part"), F.lit(True).alias("leads")),
-        F.when(_newcomer(), F.struct(part.alias("part"), F.lit(False).alias("leads")))))
-    leads = F.col("leads")
-    parts = (chosen.select("*", F.inline(placed)).groupBy(*PAIR, "part")
-             .agg(*[F.first(c).alias(c) for c in TOTALS],
-                  _collect(leads & is_driver, F.col("driver_rank"), row).alias("drivers"),
-                  F.max(F.when(leads & _majority(), F.concat(dash, majority))).alias("first"),
-                  _collect(~leads, F.col("rank"), F.concat(dash, newcomer)).alias("new"),
-                  F.max(F.when(leads & _concentrated(), F.concat(dash, concentrated)))
-                   .alias("last")))
-    report = W.partitionBy(*PAIR)
+    # The first part says whether there are lessons: it gets every rule's first line. The largest
+    # service is in every report; its line opens the first and the last part.
+    is_anchor = (F.col("grain") == "service") & (F.col("rank") == 1)
+    part = F.floor((F.col("newcomer_rank") - 1) / part_lines).cast("int")
+    placed = F.array_distinct(F.array_compact(F.array(
+        F.when(is_driver | is_anchor | _concentrated(), 0), F.when(_newcomer(), part),
+        F.when(is_anchor | _concentrated(), last_part(part_lines)))))
+    parts = (ranked_lines.filter(is_driver | is_anchor | _newcomer() | _concentrated())
+             .select("*", F.explode(placed).alias("part"))
+             .groupBy(*PAIR, "part")
+             .agg(*[F.first(c).alias(c) for c in [*TOTALS, "size_bound"]],
+                  _collect(is_driver & (F.col("part") == 0), F.col("driver_rank"), row)
+                   .alias("drivers"),
+                  F.max(F.when(_majority(), F.concat(dash, majority))).alias("first"),
+                  _collect(_newcomer() & (F.col("part") == part), F.col("newcomer_rank"),
+                           F.concat(dash, newcomer)).alias("new"),
+                  F.max(F.when(_concentrated(), F.concat(dash, concentrated))).alias("last")))
     any_lesson = (F.col("first").isNotNull() | F.col("last").isNotNull()
                   | (F.size("new") > 0))
-    parts = parts.withColumns({"last_part": F.max("part").over(report),
-                               "last": F.max("last").over(report),
-                               "any_lesson": F.max(any_lesson).over(report)})
-    is_first, is_last = F.col("part") == 0, F.col("part") == F.col("last_part")
+    is_first, is_last = F.col("part") == 0, F.col("part") == last_part(part_lines)
     growth = F.coalesce(F.concat(percent(F.abs("growth_pct")), F.lit("%")), F.lit("—"))
     opening = fill(say["anon_opening"], verb=F.when(rises, say["rose"]).otherwise(say["fell"]),
                    pct=growth, before=coarse_amount(amount(F.col("total_before"), unit)),
@@ -131,8 +127,8 @@ def anonymous_report(ranked_lines: DataFrame, alias: str | None = None, sector:
         only_if(is_first, F.concat(
             lines_of(_title(alias, sector, say), "", opening, "", say["anon_drivers"]),
             _in_order("drivers"))),
-        only_if(is_first & F.col("any_lesson"), lines_of("", say["anon_lessons"])),
-        F.array_compact(F.array("first")),
+        only_if(is_first & any_lesson, lines_of("", say["anon_lessons"])),
+        only_if(is_first, F.array_compact(F.array("first"))),
         _in_order("new"),
         only_if(is_last, F.concat(F.array_compact(F.array("last")),
                                   lines_of("", say["anon_note"], ""))))

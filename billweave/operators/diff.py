@@ -14,6 +14,9 @@ from pyspark.sql.types import DecimalType
 from billweave.functions.money import share_pct
 from billweave.operators.ranking import SPLIT_ABOVE, numbered, top_per_group
 
+# Share of the change, in percent, above which a new key counts as a newcomer.
+NEWCOMER_SHARE = 10
+
 PAIR = ["account", "period"]
 GRAIN = ["account", "period", "grain"]
 # The same order as by_move, as columns to sort upwards.
@@ -86,10 +89,11 @@ def _lines(roles: DataFrame) -> DataFrame:
             .agg(F.sum("before").alias("before"), F.sum("after").alias("after")))
 
 
-def _totals(roles: DataFrame) -> DataFrame:
+def _totals(roles: DataFrame, *more: Column) -> DataFrame:
+    """n_rows is an upper bound of the lines per grain."""
     return (roles.groupBy(*PAIR)
             .agg(F.sum("before").alias("before"), F.sum("after").alias("after"),
-                 F.count(F.lit(1)).alias("n_rows")))
+                 F.count(F.lit(1)).alias("n_rows"), *more))
 
 
 def _between_billed_months(totals: DataFrame) -> DataFrame:
@@ -110,8 +114,9 @@ def _with_growth(totals: DataFrame) -> DataFrame:
     change = after - before
     growth = F.when(before > 0, F.bround(
         change.cast("double") / before.cast("double") * 100, 2))
-    return totals.select(*PAIR, before.alias("total_before"), after.alias("total_after"),
-                         change.alias("total_delta"), growth.alias("growth_pct"), "n_rows")
+    return (totals.withColumns({"total_before": before, "total_after": after,
+                                "total_delta": change, "growth_pct": growth})
+            .drop("before", "after"))
 
 
 def pair_totals(fact: DataFrame) -> DataFrame:
@@ -137,19 +142,25 @@ def _moves(lines: DataFrame) -> DataFrame:
 def _compared(roles: DataFrame, totals: DataFrame, ranked: bool, split_above: int) -> DataFrame:
     moves = _moves(_lines(roles))
     side = move_side(F.col("delta"), F.col("total_delta"))
-    columns = [*GRAIN, "key", "before", "after", "delta",
-               share_pct(F.col("delta"), F.col("total_delta")).alias("share_pct"),
-               "is_new", "is_gone", side.alias("side"),
-               "total_before", "total_after", "total_delta", "growth_pct"]
+    share = share_pct(F.col("delta"), F.col("total_delta"))
+    columns = ["account", F.col("shown_period").alias("period"), "grain", "key", "before",
+               "after", "delta", share.alias("share_pct"), "is_new", "is_gone",
+               side.alias("side"), "total_before", "total_after", "total_delta", "growth_pct"]
     if not ranked:
-        return moves.join(totals, PAIR).select(*columns)
+        # Joined by one struct on purpose: later steps by account and month then shuffle (little,
+        # after their own partial work), which leaves adaptive execution free to split a hot pair.
+        pair = F.struct(*PAIR).alias("pair")
+        return (moves.select(pair, "*").join(totals.select(pair, "*").drop(*PAIR), "pair")
+                .select(*columns))
     info = totals.select("*", F.explode(F.array(F.lit("service"), F.lit("project")))
                          .alias("grain"))
-    counts = {"rank": F.lit(True), "driver_rank": side == 1, "counter_rank": side == -1}
+    newcomer = F.col("is_new") & (share > NEWCOMER_SHARE)
+    counts = {"rank": F.lit(True), "driver_rank": side == 1, "counter_rank": side == -1,
+              "newcomer_rank": newcomer}
     return numbered(moves, info, GRAIN, LINE_ORDER, counts, split_above).select(
         *columns, "rank",
-        F.when(side == 1, F.col("driver_rank")).alias("driver_rank"),
-        F.when(side == -1, F.col("counter_rank")).alias("counter_rank"))
+        *[F.when(counts[name], F.col(name)).alias(name) for name in list(counts)[1:]],
+        F.col("n_rows").alias("size_bound"))
 
 
 def delta_lines(fact: DataFrame, ranked: bool = False,
@@ -159,39 +170,48 @@ def delta_lines(fact: DataFrame, ranked: bool = False,
     Every month of every account is compared at once. ``side`` tells whether a line moves with the
     total (1) or against it (-1). The pair's totals ride along, so that rules and reports need no
     further join. With ``ranked``, ``rank`` orders the lines of a grain by the size of the move,
-    ``driver_rank`` those of side 1 and ``counter_rank`` those of side -1. Leave it off where
-    only the first few lines matter: ``top_per_group`` finds those without numbering the rest.
+    ``driver_rank`` those of side 1, ``counter_rank`` those of side -1 and ``newcomer_rank`` new
+    keys with a notable share; ``size_bound`` is an upper limit of the pair's lines per grain.
+    Leave it off where only the first few lines matter: ``top_per_group`` finds those without
+    numbering the rest.
     """
     roles = _as_roles(cost_cells(fact))
     totals = _with_growth(_between_billed_months(_totals(roles)))
-    return _compared(roles, totals, ranked, split_above)
+    return _compared(roles, totals.withColumn("shown_period", F.col("period")), ranked,
+                     split_above)
 
 
 def _two_roles(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Roles of two given snapshots. Both sides take the period of ``after``'s account, or of the
-    account's ``before`` where the later snapshot has no rows."""
+    """Roles of two given snapshots. They share a placeholder period; their own is kept aside."""
     old, new = cost_cells(before), cost_cells(after)
-    none_old = F.lit(None).cast(old.schema["cost"].dataType)
-    none_new = F.lit(None).cast(new.schema["cost"].dataType)
-    both = (old.select("*", F.col("cost").alias("before"), none_new.alias("after"),
-                       F.lit(False).alias("late"))
-            .unionByName(new.select("*", none_old.alias("before"), F.col("cost").alias("after"),
-                                    F.lit(True).alias("late"))))
-    period = (both.groupBy("account")
-              .agg(F.coalesce(F.max(F.when(F.col("late"), F.col("period"))), F.max("period"))
-                   .alias("period")))
-    return both.drop("period", "cost", "late").join(period, "account")
+    sides = [
+        snapshot.select("account", "service", "project", F.lit("1970-01-01").cast("date")
+                        .alias("period"), *[
+                            (F.col("cost") if name == own else
+                             F.lit(None).cast(snapshot.schema["cost"].dataType)).alias(name)
+                            for name in ("before", "after")],
+                        F.col("period").alias("own_period"))
+        for own, snapshot in (("before", old), ("after", new))]
+    return sides[0].unionByName(sides[1])
+
+
+def _two_totals(roles: DataFrame) -> DataFrame:
+    """Totals with the period of ``after``, or of ``before`` where that snapshot has no rows."""
+    own = F.col("own_period")
+    shown = F.coalesce(F.max(F.when(F.col("after").isNotNull(), own)), F.max(own))
+    return _with_growth(_totals(roles, shown.alias("shown_period")))
 
 
 def diff_two(before: DataFrame, after: DataFrame, ranked: bool = False,
              split_above: int = SPLIT_ABOVE) -> DataFrame:
     """The same lines for two given snapshots, one per account and side, whatever their dates."""
     roles = _two_roles(before, after)
-    return _compared(roles, _with_growth(_totals(roles)), ranked, split_above)
+    return _compared(roles, _two_totals(roles), ranked, split_above)
 
 
 def diff_two_totals(before: DataFrame, after: DataFrame) -> DataFrame:
-    return _with_growth(_totals(_two_roles(before, after))).drop("n_rows")
+    totals = _two_totals(_two_roles(before, after))
+    return totals.withColumn("period", F.col("shown_period")).drop("shown_period", "n_rows")
 
 
 def by_move() -> list[Column]:

@@ -26,7 +26,9 @@ def missing_marker(roots: DataFrame) -> DataFrame:
 
 
 def with_marker(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of projects that have their project file; the others are not looked at further."""
+    """Rows of projects that have their project file; of the others nothing more is reported.
+    Meant for tables of one row per project: before that, a large project would meet in one
+    task."""
     return df.join(roots.filter("has_marker").select("project"), "project", "left_semi")
 
 
@@ -96,9 +98,8 @@ def model_findings(files: DataFrame, model_meta: DataFrame, source_meta: DataFra
         project, "DBT-00", fill(say["DBT-00"], project=project), "high", "architecture",
         evidence=project))
 
-    files, source_meta = with_marker(files, roots), with_marker(source_meta, roots)
     status = model_status(files, model_meta)
-    covered = model_coverage(status)
+    covered = with_marker(model_coverage(status), roots)
 
     def examples(rows: DataFrame) -> DataFrame:
         return first_names(rows.select("project", "name"), "name")
@@ -120,7 +121,8 @@ def model_findings(files: DataFrame, model_meta: DataFrame, source_meta: DataFra
                 fill(say["AP-G02b"], undescribed=F.col("undescribed"), all=F.col("models")),
                 "medium", "governance", evidence=evidence, fix=say["fix_AP-G02b"],
                 metric=F.col("undescribed_share"), threshold=undescribed)))
-    stale = (source_freshness(source_meta).filter(F.col("fresh_share") < fresh)
+    stale = (with_marker(source_freshness(source_meta), roots)
+             .filter(F.col("fresh_share") < fresh)
              .select(*finding(
                  project, "AP-AI01",
                  fill(say["AP-AI01"], fresh=F.col("fresh"), all=F.col("tables")),
@@ -128,7 +130,7 @@ def model_findings(files: DataFrame, model_meta: DataFrame, source_meta: DataFra
                  metric=F.col("fresh_share"), threshold=fresh)))
     # The text is matched once per file and does not travel further.
     starred = select_star(files, pattern, allowed).select("project", "path", "name")
-    stars = (starred.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    stars = (with_marker(starred.groupBy("project").agg(F.count(F.lit(1)).alias("n")), roots)
              .join(first_names(starred, "path"), "project")
              .select(*finding(
                  project, "AP-C02", fill(say["AP-C02_models"], n=F.col("n")), "medium", "cost",

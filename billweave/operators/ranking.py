@@ -36,14 +36,14 @@ def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
     that large, the branch that finds the cuts is empty and adaptive execution drops it.
     """
     place = F.struct(*order)
-    # One row per hot group, of which there are at most (all rows / split_above): a size bound
-    # that permits the broadcast.
-    hot = F.broadcast(info.filter(F.col("n_rows") > split_above))
-    hot_rows = df.join(hot, group)
+    # There are at most (all rows / split_above) hot groups, with one row each here and less than
+    # `buckets` keys each in the cuts. That bound permits both broadcasts, and both are needed:
+    # joined by shuffle, all rows of a hot group would meet in one task.
+    hot_rows = df.join(F.broadcast(info.filter(F.col("n_rows") > split_above)), group)
     cuts = (top_per_group(hot_rows.select(*group, *order), group,
                           [F.xxhash64(*order), *order], buckets - 1)
             .groupBy(*group).agg(F.array_sort(F.collect_list(place)).alias("_cuts")))
-    by_range = (hot_rows.join(cuts, group)
+    by_range = (hot_rows.join(F.broadcast(cuts), group)
                 .withColumn("_range", _range_of(place))
                 .groupBy(*group, "_range")
                 .agg(F.first("_cuts").alias("_cuts"),
@@ -61,7 +61,8 @@ def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
 
     guided = (df.join(info.join(shifts, group, "left"), group)
               .withColumn("_range", F.coalesce(_range_of(place), F.lit(0)))
-              # One struct as the key: ranges of a group must not be kept together.
+              # One struct as the key: partitioning by group alone must not do for the window, or
+              # the ranges of a group would stay together in one task.
               .withColumn("_slot", F.struct(*group, "_range")))
     running = (W.partitionBy("_slot").orderBy(*order)
                .rowsBetween(W.unboundedPreceding, W.currentRow))

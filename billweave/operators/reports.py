@@ -8,7 +8,6 @@ report, joined by line breaks in order of ``part``, are the whole report; nearly
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from billweave.functions.money import amount, money, percent, signed_money
@@ -86,6 +85,14 @@ def _collect(condition: Column, position: Column, text: Column) -> Column:
                                                      text.alias("text"))))
 
 
+def last_part(part_lines: int) -> Column:
+    """Number of the part that closes a report. A comparison that may have more lines than fit in
+    one part is closed by a part of its own, numbered above all others."""
+    bound = F.col("size_bound")
+    return F.when(bound <= part_lines, 0).otherwise(
+        F.floor(bound / part_lines) + 1).cast("int")
+
+
 def report_text(ranked_lines: DataFrame, top: int = 3, unit: int = 1, lang: str = DEFAULT_LANG,
                 part_lines: int = PART_LINES) -> DataFrame:
     """Narrative of each comparison: headline, the first ``top`` services that drive it and how
@@ -101,22 +108,27 @@ def report_text(ranked_lines: DataFrame, top: int = 3, unit: int = 1, lang: str
                delta=pad_left(move, 10), pct=percent(share), detail=driver_detail(unit, lang))
     counter = fill(say["counter_row"], key=pad_right(F.col("key"), 24), delta=pad_left(move, 10))
 
-    chosen = ranked_lines.filter(is_driver | is_counter | is_leader
-                                 | (service & (F.col("rank") == 1)))
-    part = F.when(is_counter, F.floor((F.col("counter_rank") - 1) / part_lines)).otherwise(0)
-    parts = (chosen.groupBy(*PAIR, part.cast("int").alias("part"))
-             .agg(*[F.first(c).alias(c) for c in TOTALS],
-                  _collect(is_driver, F.col("driver_rank"), row).alias("drivers"),
-                  F.sum(F.when(is_driver, share.cast("decimal(28,2)"))).cast("double")
-                   .alias("coverage"),
-                  _collect(is_counter, F.col("counter_rank"), counter).alias("counters"),
+    # The largest service is in every report; its line opens the first and the last part.
+    is_anchor = service & (F.col("rank") == 1)
+    part = F.floor((F.col("counter_rank") - 1) / part_lines).cast("int")
+    placed = F.array_distinct(F.array_compact(F.array(
+        F.when(is_driver | is_anchor, 0), F.when(is_counter, part),
+        F.when(is_leader | is_anchor, last_part(part_lines)))))
+    parts = (ranked_lines.filter(is_driver | is_counter | is_leader | is_anchor)
+             .select("*", F.explode(placed).alias("part"))
+             .withColumns({"in_first": F.col("part") == 0,
+                           "in_counter": is_counter & (F.col("part") == part)})
+             .groupBy(*PAIR, "part")
+             .agg(*[F.first(c).alias(c) for c in [*TOTALS, "size_bound"]],
+                  _collect(is_driver & F.col("in_first"), F.col("driver_rank"), row)
+                   .alias("drivers"),
+                  F.sum(F.when(is_driver & F.col("in_first"), share.cast("decimal(28,2)")))
+                   .cast("double").alias("coverage"),
+                  _collect(F.col("in_counter"), F.col("counter_rank"), counter)
+                   .alias("counters"),
                   F.max(F.when(is_leader, F.struct("share_pct", "key"))).alias("leader")))
-    # A window over the parts of one report, not over its lines.
-    report = W.partitionBy(*PAIR)
-    parts = parts.withColumns({"last": F.max("part").over(report),
-                               "leader": F.max("leader").over(report)})
 
-    first, last = F.col("part") == 0, F.col("part") == F.col("last")
+    first, last = F.col("part") == 0, F.col("part") == last_part(part_lines)
     n = F.size("drivers")
     toward = direction(F.col("total_delta"), say)
     values = {"n": n, "pct": percent(F.col("coverage")), "direction": toward}

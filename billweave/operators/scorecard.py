@@ -85,10 +85,14 @@ def scorecard_report(scores: DataFrame, rubric: DataFrame, findings: DataFrame |
              .groupBy("platform", "part")
              .agg(F.array_sort(F.collect_list(F.struct("line", "row"))).alias("rows"),
                   F.first("n_rows").alias("n_rows")))
-    both = (parts.join(cards, "platform", "full_outer")
-            .withColumns({"part": F.coalesce("part", F.lit(0)),
-                          "n_rows": F.coalesce("n_rows", F.lit(0))}))
     title = F.array(F.lit(""), fill(say["card_findings"], n=F.col("n_rows")), F.lit(""))
+    # The card is one more row of the first part, so that no join by platform is needed.
+    both = (parts.withColumn("card", F.lit(None).cast("array<string>"))
+            .unionByName(cards.withColumn("part", F.lit(0)), allowMissingColumns=True)
+            .groupBy("platform", "part")
+            .agg(F.first("card", ignorenulls=True).alias("card"),
+                 F.first("rows", ignorenulls=True).alias("rows"),
+                 F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows")))
     is_first = F.col("part") == 0
     is_last = F.col("part") == F.floor(F.greatest(F.col("n_rows") - 1, F.lit(0)) / part_lines)
     text = F.concat(

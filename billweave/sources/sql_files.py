@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 def outermost(paths: list[str]) -> list[str]:
     """Drop repeated paths and those inside another given path, so that no file is read twice."""
-    tidy = sorted({posixpath.normpath(path) if "://" not in path else path.rstrip("/")
-                   for path in paths})
-    return [path for path in tidy
-            if not any(path != other and path.startswith(other.rstrip("/") + "/")
-                       for other in tidy)]
+    tidy = {posixpath.normpath(path) if "://" not in path else path.rstrip("/")
+            for path in paths}
+
+    def parents(path: str):
+        while (path := posixpath.dirname(path)) not in ("", "/") and not path.endswith(":/"):
+            yield path
+
+    return sorted(path for path in tidy if tidy.isdisjoint(parents(path)))
 
 
 def _read_texts(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
