@@ -9,7 +9,7 @@ from billweave.functions.money import amount, money, percent, signed_money
 from billweave.functions.text import fill
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.diff import GRAIN, by_move
-from billweave.operators.findings import finding, union_findings
+from billweave.operators.findings import emit, finding, union_findings
 from billweave.operators.ranking import top_per_group
 
 
@@ -32,23 +32,24 @@ def bill_findings(lines: DataFrame, spike: float = 25, new_share: float = 10,
         lines.filter((is_service & (F.col("growth_pct") > spike))
                      | (is_project & rising & (F.col("side") == 1))),
         GRAIN, by_move(), 1)
-    spikes = leaders.filter(is_service).select(*finding(
+    spike_found = finding(
         F.col("account"), "BILL-01",
         fill(say["BILL-01"], pct=percent(F.col("growth_pct")),
              before=money(amount(F.col("total_before"), unit)),
              after=money(amount(F.col("total_after"), unit))),
         "high", "cost", evidence=fill(say["BILL-01_evidence"], key=F.col("key"), delta=delta),
-        fix=say["fix_BILL-01"], metric=F.col("growth_pct"), threshold=spike, **common))
-    newcomers = lines.filter(
-        is_service & rising & F.col("is_new") & (F.col("share_pct") > new_share)).select(*finding(
-            F.col("account"), "BILL-02",
-            fill(say["BILL-02"], key=F.col("key"), pct=percent(F.col("share_pct")), delta=delta),
-            "medium", "cost", fix=say["fix_BILL-02"], metric=F.col("share_pct"),
-            threshold=new_share, **common))
-    concentrated = leaders.filter(
-        is_project & (F.col("share_pct") > project_share)).select(*finding(
-            F.col("account"), "BILL-03",
-            fill(say["BILL-03"], key=F.col("key"), pct=percent(F.col("share_pct"))),
-            "medium", "cost", fix=say["fix_BILL-03"], metric=F.col("share_pct"),
-            threshold=project_share, **common))
-    return union_findings(spikes, newcomers, concentrated)
+        fix=say["fix_BILL-01"], metric=F.col("growth_pct"), threshold=spike, **common)
+    newcomer_found = finding(
+        F.col("account"), "BILL-02",
+        fill(say["BILL-02"], key=F.col("key"), pct=percent(F.col("share_pct")), delta=delta),
+        "medium", "cost", fix=say["fix_BILL-02"], metric=F.col("share_pct"),
+        threshold=new_share, **common)
+    project_found = finding(
+        F.col("account"), "BILL-03",
+        fill(say["BILL-03"], key=F.col("key"), pct=percent(F.col("share_pct"))),
+        "medium", "cost", fix=say["fix_BILL-03"], metric=F.col("share_pct"),
+        threshold=project_share, **common)
+    concentrated = is_project & (F.col("share_pct") > project_share)
+    newcomer = is_service & rising & F.col("is_new") & (F.col("share_pct") > new_share)
+    return union_findings(emit(leaders, (is_service, spike_found), (concentrated, project_found)),
+                          lines.filter(newcomer).select(*newcomer_found))

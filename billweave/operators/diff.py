@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from billweave.functions.money import share_pct
-from billweave.operators.ranking import SPLIT_ABOVE, numbered, top_per_group
+from billweave.operators.ranking import SPLIT_ABOVE, numbered, ones, top_per_group
 
 # Share of the change, in percent, above which a new key counts as a newcomer.
 NEWCOMER_SHARE = 10
@@ -155,11 +155,11 @@ def _compared(roles: DataFrame, totals: DataFrame, ranked: bool, split_above: in
     info = totals.select("*", F.explode(F.array(F.lit("service"), F.lit("project")))
                          .alias("grain"))
     newcomer = F.col("is_new") & (share > NEWCOMER_SHARE)
-    counts = {"rank": F.lit(True), "driver_rank": side == 1, "counter_rank": side == -1,
-              "newcomer_rank": newcomer}
-    return numbered(moves, info, GRAIN, LINE_ORDER, counts, split_above).select(
+    ranks = {"driver_rank": side == 1, "counter_rank": side == -1, "newcomer_rank": newcomer}
+    sums = {"rank": F.lit(1), **{name: ones(member) for name, member in ranks.items()}}
+    return numbered(moves, info, GRAIN, LINE_ORDER, sums, split_above).select(
         *columns, "rank",
-        *[F.when(counts[name], F.col(name)).alias(name) for name in list(counts)[1:]],
+        *[F.when(member, F.col(name)).alias(name) for name, member in ranks.items()],
         F.col("n_rows").alias("size_bound"))
 
 

@@ -37,6 +37,13 @@ def finding(subject: Column, code: str, title: Column, severity: Column | str, d
     ]
 
 
+def emit(df: DataFrame, *rules: tuple[Column, list[Column]]) -> DataFrame:
+    """One finding per row and rule whose condition holds, all rules in one pass over ``df``."""
+    found = F.array_compact(F.array(*[F.when(condition, F.struct(*columns))
+                                      for condition, columns in rules]))
+    return df.select(F.inline(found))
+
+
 def union_findings(*found: DataFrame) -> DataFrame:
     """All findings in one table, whatever extra columns a rule carries."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

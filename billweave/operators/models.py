@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from billweave.functions.money import percent
 from billweave.functions.text import fill
 from billweave.functions.wording import DEFAULT_LANG, phrases
-from billweave.operators.findings import finding, union_findings
+from billweave.operators.findings import emit, finding, union_findings
 from billweave.operators.ranking import top_per_group
 
 # Fixed value: the shape of a query that reads every column.
@@ -27,9 +27,13 @@ def missing_marker(roots: DataFrame) -> DataFrame:
 
 def with_marker(df: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of projects that have their project file; of the others nothing more is reported.
-    Meant for tables of one row per project: before that, a large project would meet in one
-    task."""
-    return df.join(roots.filter("has_marker").select("project"), "project", "left_semi")
+
+    Joined by a struct: partitioning by project must not carry over to what follows, so that
+    adaptive execution may split a large project.
+    """
+    root = F.struct("project").alias("root")
+    marked = roots.filter("has_marker").select(root)
+    return df.select(root, "*").join(marked, "root", "left_semi").drop("root")
 
 
 def model_status(files: DataFrame, model_meta: DataFrame) -> DataFrame:
@@ -78,15 +82,26 @@ def select_star(files: DataFrame, pattern: str = SELECT_STAR,
     return files.filter(~allowed & F.col("sql").rlike(pattern))
 
 
-def first_names(rows: DataFrame, order: str, n: int = EXAMPLES) -> DataFrame:
-    """The first n names per project as one text; only n rows per project are ever collected."""
-    kept = top_per_group(rows, ["project"], [order], n)
-    return (kept.groupBy("project")
+def first_names(rows: DataFrame, group: list[str], order: str, n: int = EXAMPLES) -> DataFrame:
+    """The first n names per group as one text; only n rows per group are ever collected."""
+    kept = top_per_group(rows, group, [order], n)
+    return (kept.groupBy(*group)
             .agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("kept"))
-            .select("project", F.array_join(F.transform("kept", lambda k: k["name"]), ", ")
+            .select(*group, F.array_join(F.transform("kept", lambda k: k["name"]), ", ")
                     .alias("names")))
 
 
+def gap_examples(status: DataFrame) -> DataFrame:
+    """Per project the first untested and the first undescribed models, in one pass."""
+    gaps = F.array_compact(F.array(F.when(~F.col("tested"), "tests"),
+                                   F.when(~F.col("described"), "docs")))
+    names = first_names(status.select("project", "name", F.explode(gaps).alias("gap")),
+                        ["project", "gap"], "name")
+    return names.groupBy("project").agg(
+        *[F.max(F.when(F.col("gap") == gap, F.col("names"))).alias(f"{gap}_names")
+          for gap in ("tests", "docs")])
+
+
 def model_findings(files: DataFrame, model_meta: DataFrame, source_meta: DataFrame,
                    roots: DataFrame, pattern: str = SELECT_STAR, allowed: Column | None = None,
                    coverage: float = 60, low_coverage: float = 30, undescribed: float = 0.5,
@@ -98,29 +113,25 @@ def model_findings(files: DataFrame, model_meta: DataFrame, source_meta: DataFra
         project, "DBT-00", fill(say["DBT-00"], project=project), "high", "architecture",
         evidence=project))
 
-    status = model_status(files, model_meta)
-    covered = with_marker(model_coverage(status), roots)
+    status = with_marker(model_status(files, model_meta), roots)
+    covered = model_coverage(status).join(gap_examples(status), "project", "left")
 
-    def examples(rows: DataFrame) -> DataFrame:
-        return first_names(rows.select("project", "name"), "name")
+    def examples(names: str) -> Column:
+        return fill(say["examples"], names=F.col(names))
 
-    evidence = fill(say["examples"], names=F.col("names"))
     pct = F.col("coverage_pct")
-    tests = (covered.filter(pct < coverage)
-             .join(examples(status.filter(~F.col("tested"))), "project")
-             .select(*finding(
-                 project, "AP-G02",
-                 fill(say["AP-G02"], pct=percent(pct), untested=F.col("untested"),
-                      all=F.col("models")),
-                 F.when(pct < low_coverage, "high").otherwise("medium"), "quality",
-                 evidence=evidence, fix=say["fix_AP-G02"], metric=pct, threshold=coverage)))
-    docs = (covered.filter(F.col("undescribed_share") > undescribed)
-            .join(examples(status.filter(~F.col("described"))), "project")
-            .select(*finding(
-                project, "AP-G02b",
-                fill(say["AP-G02b"], undescribed=F.col("undescribed"), all=F.col("models")),
-                "medium", "governance", evidence=evidence, fix=say["fix_AP-G02b"],
-                metric=F.col("undescribed_share"), threshold=undescribed)))
+    tests = finding(
+        project, "AP-G02",
+        fill(say["AP-G02"], pct=percent(pct), untested=F.col("untested"), all=F.col("models")),
+        F.when(pct < low_coverage, "high").otherwise("medium"), "quality",
+        evidence=examples("tests_names"), fix=say["fix_AP-G02"], metric=pct, threshold=coverage)
+    docs = finding(
+        project, "AP-G02b",
+        fill(say["AP-G02b"], undescribed=F.col("undescribed"), all=F.col("models")),
+        "medium", "governance", evidence=examples("docs_names"), fix=say["fix_AP-G02b"],
+        metric=F.col("undescribed_share"), threshold=undescribed)
+    gaps = emit(covered, (pct < coverage, tests),
+                (F.col("undescribed_share") > undescribed, docs))
     stale = (with_marker(source_freshness(source_meta), roots)
              .filter(F.col("fresh_share") < fresh)
              .select(*finding(
@@ -128,11 +139,12 @@ def model_findings(files: DataFrame, model_meta: DataFrame, source_meta: DataFra
                  fill(say["AP-AI01"], fresh=F.col("fresh"), all=F.col("tables")),
                  "medium", "ai_readiness", fix=say["fix_AP-AI01"],
                  metric=F.col("fresh_share"), threshold=fresh)))
-    # The text is matched once per file and does not travel further.
-    starred = select_star(files, pattern, allowed).select("project", "path", "name")
-    stars = (with_marker(starred.groupBy("project").agg(F.count(F.lit(1)).alias("n")), roots)
-             .join(first_names(starred, "path"), "project")
-             .select(*finding(
-                 project, "AP-C02", fill(say["AP-C02_models"], n=F.col("n")), "medium", "cost",
-                 evidence=evidence, fix=say["fix_AP-C02_models"], metric=F.col("n"))))
-    return union_findings(lost, tests, docs, stale, stars)
+    # Texts are matched in the scan. What is left of a match is small and shuffled once; counting
+    # and the choice of examples both read that shuffle, for which they need the same columns.
+    starred = (with_marker(select_star(files, pattern, allowed), roots)
+               .select("project", "path", "name").repartition("project", "path"))
+    counted = starred.groupBy("project").agg(F.count("name").alias("n"))
+    stars = counted.join(first_names(starred, ["project"], "path"), "project").select(*finding(
+        project, "AP-C02", fill(say["AP-C02_models"], n=F.col("n")), "medium", "cost",
+        evidence=examples("names"), fix=say["fix_AP-C02_models"], metric=F.col("n")))
+    return union_findings(lost, gaps, stale, stars)

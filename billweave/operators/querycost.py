@@ -88,17 +88,22 @@ def cost_report(priced: DataFrame, group: list[str], fail_over_usd: float | None
         head = [say["query_md_title"], "", say["query_md_columns"], say["query_md_rule"]]
         indent, mark = "", "_"
 
-    rows = cost_cells(priced, fail_over_usd, lang).select(*group, "path", row.alias("row"))
-    gate = cost_gate(priced, group, fail_over_usd)
-    lines = numbered(rows, gate, group, ["path", "row"], {"line": F.lit(True)}, split_above)
+    rows = cost_cells(priced, fail_over_usd, lang).select(*group, "path", "usd",
+                                                          row.alias("row"))
+    # Only rows are counted beforehand, which reads no query text; the price total is the running
+    # sum at the last query.
+    info = priced.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
+    lines = numbered(rows, info, group, ["path", "row"],
+                     {"line": F.lit(1), "total_usd": F.col("usd")}, split_above)
     parts = (lines.withColumn("part", F.floor((F.col("line") - 1) / part_lines).cast("int"))
              .groupBy(*group, "part")
              .agg(F.array_sort(F.collect_list(F.struct("line", "row"))).alias("rows"),
-                  *[F.first(c).alias(c) for c in ("total_usd", "exceeded", "n_rows")]))
+                  F.max("total_usd").cast("double").alias("total_usd"),
+                  F.first("n_rows").alias("n_rows")))
 
     total = fill(say["query_total"], total=dollars(F.col("total_usd")))
     if fail_over_usd is not None:
-        state = F.when(F.col("exceeded"), say["query_over"]).otherwise(say["query_ok"])
+        state = F.when(_exceeded(F.col("total_usd"), fail_over_usd), say["query_over"]).otherwise(say["query_ok"])
         total = F.concat(total, fill(say["query_limit"], limit=F.lit(f"${fail_over_usd:,.2f}"),
                                      state=state))
     note = f"{indent}{mark}{say['query_note'].format(price=f'{usd_per_tib:g}')}{mark}"

@@ -20,22 +20,27 @@ def top_per_group(df: DataFrame, group: list[str], order: list, n: int,
               .filter(F.col(position) <= n))
 
 
+def ones(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0)
+
+
 def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
-             counts: dict[str, Column], split_above: int = SPLIT_ABOVE,
+             sums: dict[str, Column], split_above: int = SPLIT_ABOVE,
              buckets: int = SPLIT_BUCKETS) -> DataFrame:
     """Join ``info`` (one row per group, with ``n_rows``, an upper bound of the group's size) to
-    ``df`` and add running counts in ascending ``order``, which must be a total order.
+    ``df`` and add running sums in ascending ``order``, which must be a total order.
 
-    ``counts`` maps a new column to a condition: each row gets the number of rows of its group,
-    up to and including itself, that meet it. ``{"rank": lit(True)}`` is an exact row number.
+    ``sums`` maps a new column to a number: each row gets its sum over the rows of the group up to
+    and including itself. ``{"rank": lit(1)}`` is an exact row number, ``ones(condition)`` counts.
 
     A single window per group would sort a hot group in one task. Groups above ``split_above``
     are therefore cut into value ranges at the positions of up to ``buckets - 1`` evenly spread
     rows (those with the smallest hashes, hence the same on every recomputation). Ranges are
-    numbered on their own and shifted by the counts of the ranges before them. Where no group is
+    numbered on their own and shifted by the sums of the ranges before them. Where no group is
     that large, the branch that finds the cuts is empty and adaptive execution drops it.
     """
     place = F.struct(*order)
+    zero = F.lit(0)
     # There are at most (all rows / split_above) hot groups, with one row each here and less than
     # `buckets` keys each in the cuts. That bound permits both broadcasts, and both are needed:
     # joined by shuffle, all rows of a hot group would meet in one task.
@@ -47,17 +52,16 @@ def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
                 .withColumn("_range", _range_of(place))
                 .groupBy(*group, "_range")
                 .agg(F.first("_cuts").alias("_cuts"),
-                     *[F.count_if(c).alias(name) for name, c in counts.items()]))
+                     *[F.sum(value).alias(name) for name, value in sums.items()]))
     # At most `buckets` rows per group from here on.
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     shifts = (by_range
               .select(*group, "_range", "_cuts",
-                      *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name)
-                        for name in counts])
+                      *[F.coalesce(F.sum(name).over(before), zero).alias(name) for name in sums])
               .groupBy(*group)
               .agg(F.first("_cuts").alias("_cuts"),
                    F.map_from_entries(F.collect_list(F.struct(
-                       "_range", F.struct(*counts)))).alias("_shifts")))
+                       "_range", F.struct(*sums)))).alias("_shifts")))
 
     guided = (df.join(info.join(shifts, group, "left"), group)
               .withColumn("_range", F.coalesce(_range_of(place), F.lit(0)))
@@ -68,9 +72,9 @@ def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
                .rowsBetween(W.unboundedPreceding, W.currentRow))
     shift = F.col("_shifts")[F.col("_range")]
     return (guided
-            .withColumns({name: F.sum(F.when(c, 1).otherwise(0)).over(running)
-                          + F.coalesce(shift[name], F.lit(0))
-                          for name, c in counts.items()})
+            .withColumns({name: F.coalesce(F.sum(value).over(running), zero)
+                          + F.coalesce(shift[name], zero)
+                          for name, value in sums.items()})
             .drop("_slot", "_range", "_cuts", "_shifts"))
 
 

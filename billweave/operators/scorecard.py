@@ -80,7 +80,7 @@ def scorecard_report(scores: DataFrame, rubric: DataFrame, findings: DataFrame |
     info = listed.groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"))
     lines = numbered(listed, info, ["platform"],
                      ["severity_rank", "code", "month", "item", "row"],
-                     {"line": F.lit(True)}, split_above)
+                     {"line": F.lit(1)}, split_above)
     parts = (lines.withColumn("part", F.floor((F.col("line") - 1) / part_lines).cast("int"))
              .groupBy("platform", "part")
              .agg(F.array_sort(F.collect_list(F.struct("line", "row"))).alias("rows"),

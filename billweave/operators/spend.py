@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from billweave.functions.money import amount, percent
 from billweave.functions.text import fill
 from billweave.functions.wording import DEFAULT_LANG, phrases
-from billweave.operators.findings import finding, union_findings
+from billweave.operators.findings import emit, finding
 from billweave.operators.ranking import top_per_group
 
 # Fixed value: every month counts as this many days in the projection.
@@ -54,19 +54,21 @@ def spend_by_account(by_service: DataFrame) -> DataFrame:
 
 
 def projected_growth(by_account: DataFrame, as_of: dt.date) -> DataFrame:
-    """Run rate of this month as a 30-day month, against last month; accounts with a base only."""
+    """Run rate of this month as a 30-day month, and its growth on last month; the growth is NULL
+    without a base."""
     elapsed = max((as_of - as_of.replace(day=1)).days, 1)
     base = F.col("last_month").cast("double")
     projected = F.col("this_month").cast("double") / elapsed * DAYS_IN_MONTH
-    return (by_account.filter(F.col("last_month") > 0)
-            .withColumn("projected", projected)
-            .withColumn("growth_pct", (F.col("projected") - base) / base * 100))
+    return (by_account.withColumn("projected", projected)
+            .withColumn("growth_pct", F.when(
+                base > 0, (F.col("projected") - base) / F.nullif(base, F.lit(0.0)) * 100)))
 
 
 def untagged_share(by_account: DataFrame) -> DataFrame:
-    return (by_account.filter(F.col("last_month") > 0)
-            .withColumn("untagged_share", F.col("untagged").cast("double")
-                        / F.col("last_month").cast("double")))
+    """Part of last month's cost without a team; NULL without a base."""
+    base = F.col("last_month").cast("double")
+    return by_account.withColumn("untagged_share", F.when(
+        base > 0, F.col("untagged").cast("double") / F.nullif(base, F.lit(0.0))))
 
 
 def top_spend_services(by_service: DataFrame, top: int = 3) -> DataFrame:
@@ -78,26 +80,40 @@ def spend_findings(fact: DataFrame, as_of: dt.date, growth: float = 20, untagged
                    top: int = 3, unit: int = 1, lang: str = DEFAULT_LANG) -> DataFrame:
     """COS-SPIKE, AP-C04 and the informative COS-TOP, for every account."""
     say = phrases(lang)
-    by_service = spend_by_service(fact, as_of)
-    by_account = spend_by_account(by_service)
+    is_account, account = F.col("grain") == "account", F.col("account")
+
+    # Accounts and services come from one grouping-set pass over the monthly sums, so that the
+    # raw spend is read once; of each only the leading rows go on.
+    sums = ("last_month", "this_month", "untagged")
+    grains = (spend_by_service(fact, as_of)
+              .groupingSets([["account"], ["account", "service"]], "account", "service")
+              .agg(F.grouping_id().alias("gid"),
+                   *[F.sum(name).alias(name) for name in sums])
+              .withColumn("grain", F.when(F.col("gid") == 1, "account").otherwise("service"))
+              .filter(F.col("last_month").isNotNull()))
+    leaders = top_per_group(grains, ["account", "grain"], [F.desc("last_month"), "service"], top)
+    zero = F.lit(0)
+    judged = untagged_share(projected_growth(
+        leaders.withColumns({name: F.coalesce(name, zero) for name in sums}), as_of))
 
     def whole(column: str):
         return F.format_number(amount(F.col(column), unit), 0)
 
-    spikes = projected_growth(by_account, as_of).filter(F.col("growth_pct") > growth).select(
-        *finding(F.col("account"), "COS-SPIKE",
-                 fill(say["COS-SPIKE"], pct=percent(F.col("growth_pct")),
-                      before=whole("last_month"), after=whole("projected")),
-                 "high", "cost", evidence=F.lit(say["COS-SPIKE_evidence"]),
-                 fix=say["fix_COS-SPIKE"], metric=F.col("growth_pct"), threshold=growth))
-    no_tag = untagged_share(by_account).filter(F.col("untagged_share") > untagged).select(
-        *finding(F.col("account"), "AP-C04",
-                 fill(say["AP-C04"], pct=percent(F.col("untagged_share") * 100)),
-                 "medium", "cost", fix=say["fix_AP-C04"], metric=F.col("untagged_share"),
-                 threshold=untagged))
-    leaders = top_spend_services(by_service, top).select(
-        *finding(F.col("account"), "COS-TOP",
-                 fill(say["COS-TOP"], key=F.col("service"), cost=whole("last_month")),
-                 "low", "cost", item=F.col("service"),
-                 metric=amount(F.col("last_month"), unit)))
-    return union_findings(spikes, no_tag, leaders)
+    spike_found = finding(
+        account, "COS-SPIKE",
+        fill(say["COS-SPIKE"], pct=percent(F.col("growth_pct")), before=whole("last_month"),
+             after=whole("projected")),
+        "high", "cost", evidence=F.lit(say["COS-SPIKE_evidence"]), fix=say["fix_COS-SPIKE"],
+        metric=F.col("growth_pct"), threshold=growth)
+    untagged_found = finding(
+        account, "AP-C04",
+        fill(say["AP-C04"], pct=percent(F.col("untagged_share") * 100)), "medium", "cost",
+        fix=say["fix_AP-C04"], metric=F.col("untagged_share"), threshold=untagged)
+    top_found = finding(
+        account, "COS-TOP",
+        fill(say["COS-TOP"], key=F.col("service"), cost=whole("last_month")), "low", "cost",
+        item=F.col("service"), metric=amount(F.col("last_month"), unit))
+    return emit(judged,
+                (is_account & (F.col("growth_pct") > growth), spike_found),
+                (is_account & (F.col("untagged_share") > untagged), untagged_found),
+                (~is_account, top_found))

@@ -398,12 +398,15 @@ accounts AS (
   FROM spend GROUP BY account),
 growth AS (
   SELECT *, this_month::DOUBLE / 14 * 30 AS projected,
-         (this_month::DOUBLE / 14 * 30 - last_month::DOUBLE) / last_month::DOUBLE * 100
+         CASE WHEN last_month > 0 THEN
+           (this_month::DOUBLE / 14 * 30 - last_month::DOUBLE) / last_month::DOUBLE * 100 END
            AS growth_pct
-  FROM accounts WHERE last_month > 0),
+  FROM accounts),
 untagged AS (
-  SELECT account, untagged, untagged::DOUBLE / last_month::DOUBLE AS untagged_share
-  FROM accounts WHERE last_month > 0),
+  SELECT account, untagged,
+         CASE WHEN last_month > 0 THEN untagged::DOUBLE / last_month::DOUBLE END
+           AS untagged_share
+  FROM accounts),
 top_spend AS (
   SELECT account, CAST(rank AS INTEGER) AS rank, service, last_month
   FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY last_month DESC, service)

@@ -33,7 +33,7 @@ def read_rubric(spark: SparkSession, path: str) -> DataFrame:
     """A rubric from a YAML file: dimensions -> name, weight, criteria[id, text]."""
     import yaml
 
-    text = spark.read.option("wholetext", True).text(path).first().value
+    text = spark.read.text(path, wholetext=True).first().value
     dimensions = yaml.safe_load(text)["dimensions"]
     return spark.createDataFrame(
         [(place, dimension, Decimal(str(entry.get("weight", 0))), criterion["id"])

@@ -21,8 +21,8 @@ def outermost(paths: list[str]) -> list[str]:
 
 
 def _read_texts(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", pattern).text(paths)
+    return (spark.read.option("recursiveFileLookup", True)
+            .option("pathGlobFilter", pattern).text(paths, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
