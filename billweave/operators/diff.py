@@ -6,6 +6,8 @@ Input fact: ``account STRING, period DATE (first of month), service STRING, proj
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -195,22 +197,27 @@ def _two_roles(before: DataFrame, after: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def _two_totals(roles: DataFrame) -> DataFrame:
-    """Totals with the period of ``after``, or of ``before`` where that snapshot has no rows."""
+def _two_totals(roles: DataFrame, period: dt.date | None) -> DataFrame:
     own = F.col("own_period")
-    shown = F.coalesce(F.max(F.when(F.col("after").isNotNull(), own)), F.max(own))
+    shown = (F.coalesce(F.max(F.when(F.col("after").isNotNull(), own)), F.max(own))
+             if period is None else F.lit(period))
     return _with_growth(_totals(roles, shown.alias("shown_period")))
 
 
-def diff_two(before: DataFrame, after: DataFrame, ranked: bool = False,
-             split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """The same lines for two given snapshots, one per account and side, whatever their dates."""
+def diff_two(before: DataFrame, after: DataFrame, period: dt.date | None = None,
+             ranked: bool = False, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """The same lines for two given snapshots, one per account and side, whatever their dates.
+
+    The result carries ``period``; if none is given, that of the account's later snapshot, or of
+    its earlier one where the later has no rows.
+    """
     roles = _two_roles(before, after)
-    return _compared(roles, _two_totals(roles), ranked, split_above)
+    return _compared(roles, _two_totals(roles, period), ranked, split_above)
 
 
-def diff_two_totals(before: DataFrame, after: DataFrame) -> DataFrame:
-    totals = _two_totals(_two_roles(before, after))
+def diff_two_totals(before: DataFrame, after: DataFrame,
+                    period: dt.date | None = None) -> DataFrame:
+    totals = _two_totals(_two_roles(before, after), period)
     return totals.withColumn("period", F.col("shown_period")).drop("shown_period", "n_rows")
 
 

@@ -67,6 +67,11 @@ def spend_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("team_tag"), "cost")
 
 
+# The two months compared directly, by their first days and the days after their last.
+EARLIER = (dt.date(1999, 1, 1), dt.date(1999, 2, 1))
+LATER = (dt.date(2000, 1, 1), dt.date(2000, 2, 1))
+
+
 def two_months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two snapshots to compare directly; the month filter is on the scanned column."""
     shipped = F.col("used_at")
@@ -78,8 +83,7 @@ def two_months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                             & (shipped < F.lit(end.isoformat()).cast(kind))).select(
             "account", F.lit(first).alias("period"), "service", "project", "cost")
 
-    return (month(dt.date(1999, 1, 1), dt.date(1999, 2, 1)),
-            month(dt.date(2000, 1, 1), dt.date(2000, 2, 1)))
+    return month(*EARLIER), month(*LATER)
 
 
 def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:

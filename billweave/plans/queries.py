@@ -132,12 +132,12 @@ def ranked_lines(spark, sf_dir):
 
 @query
 def diff_two_months(spark, sf_dir):
-    return diff.diff_two(*b.two_months(spark, sf_dir))
+    return diff.diff_two(*b.two_months(spark, sf_dir), period=b.LATER[0])
 
 
 @query
 def diff_two_totals(spark, sf_dir):
-    return diff.diff_two_totals(*b.two_months(spark, sf_dir))
+    return diff.diff_two_totals(*b.two_months(spark, sf_dir), period=b.LATER[0])
 
 
 @query

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 from collections import defaultdict
 
@@ -75,6 +76,14 @@ def test_no_base(bills, fact):
     assert {r.code for r in bill_findings(lines).collect()} == {"BILL-02", "BILL-03"}
 
 
+def test_period_of_two_snapshots(fact):
+    before, after = fact(("a", 1, "s", "p", 1), ("b", 1, "s", "p", 1)), fact(("a", 3, "s", "p", 1))
+    totals = diff.diff_two_totals(before, after)
+    assert [(a, p.month) for a, p in rows(totals, "account", "period")] == [("a", 3), ("b", 1)]
+    given = diff.diff_two(before, after, period=dt.date(2026, 4, 1))
+    assert {r.period.month for r in given.collect()} == {4}
+
+
 def test_negative_base_has_no_growth(fact):
     total = diff.pair_totals(fact(("a", 1, "s", "p", -5), ("a", 2, "s", "p", 10))).first()
     assert (total.growth_pct, float(total.total_delta)) == (None, 15)
@@ -198,7 +207,6 @@ def test_service_deltas_add_up_and_partitioning_does_not_matter(spark, fact):
 
 def test_money_keeps_ten_decimals(spark):
     from decimal import Decimal
-    import datetime as dt
     tiny = Decimal("0.0000000001")
     big = Decimal("12345678901234.0000000001")
     df = spark.createDataFrame([("a", dt.date(2026, 1, 1), "s", "p", tiny),
