@@ -9,7 +9,7 @@ from billweave.functions.money import amount, coarse_amount, percent
 from billweave.functions.text import fill, letters
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.diff import PAIR, top_services
-from billweave.operators.reports import (PART_LINES, TOTALS, _collect, _in_order, joined,
+from billweave.operators.reports import (PART_LINES, TOTALS, collect_at, in_order, joined,
                                          last_part, lines_of, only_if)
 
 TOP_DRIVERS = 3
@@ -110,10 +110,10 @@ def anonymous_report(ranked_lines: DataFrame, alias: str | None = None, sector:
              .select("*", F.explode(placed).alias("part"))
              .groupBy(*PAIR, "part")
              .agg(*[F.first(c).alias(c) for c in [*TOTALS, "size_bound"]],
-                  _collect(is_driver & (F.col("part") == 0), F.col("driver_rank"), row)
+                  collect_at(is_driver & (F.col("part") == 0), F.col("driver_rank"), row)
                    .alias("drivers"),
                   F.max(F.when(_majority(), F.concat(dash, majority))).alias("first"),
-                  _collect(_newcomer() & (F.col("part") == part), F.col("newcomer_rank"),
+                  collect_at(_newcomer() & (F.col("part") == part), F.col("newcomer_rank"),
                            F.concat(dash, newcomer)).alias("new"),
                   F.max(F.when(_concentrated(), F.concat(dash, concentrated))).alias("last")))
     any_lesson = (F.col("first").isNotNull() | F.col("last").isNotNull()
@@ -126,10 +126,10 @@ def anonymous_report(ranked_lines: DataFrame, alias: str | None = None, sector:
     text = joined(
         only_if(is_first, F.concat(
             lines_of(_title(alias, sector, say), "", opening, "", say["anon_drivers"]),
-            _in_order("drivers"))),
+            in_order("drivers"))),
         only_if(is_first & any_lesson, lines_of("", say["anon_lessons"])),
         only_if(is_first, F.array_compact(F.array("first"))),
-        _in_order("new"),
+        in_order("new"),
         only_if(is_last, F.concat(F.array_compact(F.array("last")),
                                   lines_of("", say["anon_note"], ""))))
     return parts.select(*PAIR, "part", text.alias("text"))
@@ -143,8 +143,8 @@ def anonymous_breakdown(fact: DataFrame, alias: str | None = None, sector: str =
                cost=coarse_amount(amount(F.col("cost"), unit)), pct=percent(F.col("share_pct")))
     months = (top_services(fact, TOP_DRIVERS).groupBy(*PAIR)
               .agg(F.first("total").alias("total"),
-                   _collect(F.lit(True), F.col("rank"), row).alias("rows")))
+                   collect_at(F.lit(True), F.col("rank"), row).alias("rows")))
     total = fill(say["anon_total"], total=coarse_amount(amount(F.col("total"), unit)))
     return months.select(*PAIR, joined(
         lines_of(_title(alias, sector, say), "", total, "", say["anon_spots"]),
-        _in_order("rows"), lines_of("", say["anon_note"], "")).alias("text"))
+        in_order("rows"), lines_of("", say["anon_note"], "")).alias("text"))

@@ -103,7 +103,8 @@ def cost_report(priced: DataFrame, group: list[str], fail_over_usd: float | None
 
     total = fill(say["query_total"], total=dollars(F.col("total_usd")))
     if fail_over_usd is not None:
-        state = F.when(_exceeded(F.col("total_usd"), fail_over_usd), say["query_over"]).otherwise(say["query_ok"])
+        state = (F.when(_exceeded(F.col("total_usd"), fail_over_usd), say["query_over"])
+                 .otherwise(say["query_ok"]))
         total = F.concat(total, fill(say["query_limit"], limit=F.lit(f"${fail_over_usd:,.2f}"),
                                      state=state))
     note = f"{indent}{mark}{say['query_note'].format(price=f'{usd_per_tib:g}')}{mark}"

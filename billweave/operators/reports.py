@@ -75,12 +75,12 @@ def driver_detail(unit: int = 1, lang: str = DEFAULT_LANG) -> Column:
                             after=money(amount(F.col("after"), unit)))))
 
 
-def _in_order(items: str) -> Column:
+def in_order(items: str) -> Column:
     """Texts of collected (position, text) pairs, in order of position."""
     return F.transform(F.array_sort(items), lambda item: item["text"])
 
 
-def _collect(condition: Column, position: Column, text: Column) -> Column:
+def collect_at(condition: Column, position: Column, text: Column) -> Column:
     return F.collect_list(F.when(condition, F.struct(position.alias("position"),
                                                      text.alias("text"))))
 
@@ -120,11 +120,11 @@ def report_text(ranked_lines: DataFrame, top: int = 3, unit: int = 1, lang: str
                            "in_counter": is_counter & (F.col("part") == part)})
              .groupBy(*PAIR, "part")
              .agg(*[F.first(c).alias(c) for c in [*TOTALS, "size_bound"]],
-                  _collect(is_driver & F.col("in_first"), F.col("driver_rank"), row)
+                  collect_at(is_driver & F.col("in_first"), F.col("driver_rank"), row)
                    .alias("drivers"),
                   F.sum(F.when(is_driver & F.col("in_first"), share.cast("decimal(28,2)")))
                    .cast("double").alias("coverage"),
-                  _collect(F.col("in_counter"), F.col("counter_rank"), counter)
+                  collect_at(F.col("in_counter"), F.col("counter_rank"), counter)
                    .alias("counters"),
                   F.max(F.when(is_leader, F.struct("share_pct", "key"))).alias("leader")))
 
@@ -141,10 +141,10 @@ def report_text(ranked_lines: DataFrame, top: int = 3, unit: int = 1, lang: str
     text = joined(
         only_if(first, lines_of("", say["bill_banner"], "", headline(unit, lang))),
         only_if(first & has_story() & (n > 0),
-                F.concat(lines_of("", title), _in_order("drivers"))),
+                F.concat(lines_of("", title), in_order("drivers"))),
         only_if(first & has_story() & (F.size("counters") > 0),
                 lines_of("", fill(say["counter_title"], verb=against))),
-        only_if(has_story(), _in_order("counters")),
+        only_if(has_story(), in_order("counters")),
         only_if(last & has_story() & (F.abs(leader["share_pct"]) >= PROJECT_MENTION),
                 lines_of("", project_row)),
         only_if(last, lines_of("")))
@@ -164,7 +164,7 @@ def report_markdown(lines: DataFrame, top: int = 5, unit: int = 1,
                            GRAIN, by_move(), top)
     reports = chosen.groupBy(*PAIR).agg(
         *[F.first(c).alias(c) for c in TOTALS],
-        _collect(service, F.col("position"), row).alias("rows"),
+        collect_at(service, F.col("position"), row).alias("rows"),
         F.max(F.when(project & (F.col("position") == 1), F.struct("share_pct", "key")))
          .alias("leader"))
     leader = F.col("leader")
@@ -174,7 +174,7 @@ def report_markdown(lines: DataFrame, top: int = 5, unit: int = 1,
     text = joined(
         lines_of(say["md_title"], "", fill(say["md_headline"], headline=headline(unit, lang)), ""),
         only_if(has_story(), F.concat(lines_of(say["md_columns"], say["md_rule"]),
-                                      _in_order("rows"))),
+                                      in_order("rows"))),
         only_if(has_story() & (F.abs(leader["share_pct"]) >= PROJECT_MENTION),
                 lines_of("", project_row)),
         lines_of(""))

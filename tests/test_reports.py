@@ -1,4 +1,5 @@
 import json
+import string
 
 import pytest
 from conftest import rows
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from billweave.operators import anonymize, diff, reports
 from billweave.functions.money import coarse_amount, money, percent, signed_money
 from billweave.functions.text import letters
+from billweave.functions.wording import EN, ES
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +47,12 @@ def test_text_without_base_or_change(bills):
     assert same.endswith("Tu cuenta se mantuvo en $12.450.\n")
 
 
+def test_languages_have_the_same_phrases():
+    def slots(text):
+        return {name for _, name, _, _ in string.Formatter().parse(text) if name is not None}
+    assert {k: slots(v) for k, v in ES.items()} == {k: slots(v) for k, v in EN.items()}
+
+
 def test_english(lines):
     assert "3 reasons explain 92% of the rise:" in text_of(reports.report_text(lines, lang="en"))
     with pytest.raises(ValueError, match="unknown language"):
