@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 
 from billweave.llm.rows import with_arrow
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
+#: Bytes of text whose words are indexed together.
+PARTITION_BYTES = 1_500_000
 MAX_VOCABULARY_BYTES = 64_000_000
 #: How byte-level BPE cuts text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,7 +190,7 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
         encoder = _ENCODERS[id(shared.value)]
         return lambda texts: [encoder.encode(texts)]
 
-    return with_arrow(df, [text], [T.StructField(ids, T.BinaryType())], start)
+    return with_arrow(df, [text], [T.StructField(ids, T.BinaryType())], start, PARTITION_BYTES)
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -203,4 +205,4 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str = "d
                      for x in cells]]
         return work
 
-    return with_arrow(df, [ids], [T.StructField(text, T.StringType())], start)
+    return with_arrow(df, [ids], [T.StructField(text, T.StringType())], start, PARTITION_BYTES)

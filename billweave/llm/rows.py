@@ -27,19 +27,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about SLICE_BYTES."""
-    step = max(1, int(batch.num_rows * min(1.0, SLICE_BYTES / max(batch.nbytes, 1))))
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `size` bytes."""
+    step = max(1, int(batch.num_rows * min(1.0, size / max(batch.nbytes, 1))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
 
 def with_arrow(df: DataFrame, inputs: list[str], fields: list[T.StructField],
-               start: Callable[[], Callable[..., list]]) -> DataFrame:
+               start: Callable[[], Callable[..., list]], size: int = SLICE_BYTES) -> DataFrame:
     """`df` and the columns `fields`, which Python computes from `inputs` without a shuffle.
 
     start() is called once in each task and gives a function from the lists of the input cells to
-    the lists of the new columns' cells. A column that has the name of a new one is replaced.
+    the lists of the new columns' cells; it gets about `size` bytes of input at once. A column that has the name of a new one is replaced.
     """
     new = {f.name.lower() for f in fields}
     kept = [f for f in df.schema if f.name.lower() not in new]
@@ -52,7 +52,7 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: list[T.StructField],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 cells = work(*[part.column(c).to_pylist() for c in inputs])
                 columns = [part.column(c) for c in passed]
                 columns += [pa.array(v, t) for v, t in zip(cells, types, strict=True)]
