@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import bpe, decontaminate, secret_scan, url_filter
+from billweave.llm import bpe, decontaminate, secret_scan, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -57,8 +57,26 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"))
 
 
+def fold(doc_id: str, parts: int = 5) -> Column:
+    """The CRC-32 of the id as text, by its remainder."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Labels of the fold that is held out are never read."""
+    return toxicity.fit(docs, labels.where(fold("doc_id") != 0))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(texts, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(texts, model).select(
+        "doc_id", (fold("doc_id") == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op6_secrets": op6_secrets,
-           "op7_decontaminate": op7_decontaminate}
+           "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
