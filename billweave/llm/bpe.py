@@ -18,9 +18,9 @@ from __future__ import annotations
 import heapq
 import json
 import os
-from array import array
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -29,7 +29,7 @@ from billweave.llm.rows import with_arrow
 
 WORDS_KEPT = 200_000
 #: Bytes of text whose words are indexed together.
-PARTITION_BYTES = 1_500_000
+PARTITION_BYTES = 4_000_000
 MAX_VOCABULARY_BYTES = 64_000_000
 #: How byte-level BPE cuts text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,68 +62,109 @@ class Tokenizer:
                       if t not in self.added}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
         ids = {b: i for i, b in self.bytes.items() if i not in self.added.values()}
-        self.single = [ids[bytes([b])] for b in range(256)]
-        #: (left, right) -> (rank, id of both together)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.single = np.array([ids[bytes([b])] for b in range(256)])
         made: dict[int, int] = {}
+        parts = []
         for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ")
                                       for x in model["merges"]):
             left, right, both = vocabulary[a], vocabulary[b], vocabulary[a + b]
             if made.get(left, -1) >= rank or made.get(right, -1) >= rank:
                 raise ValueError(f"merge {rank} of {path} uses a token made by a later one")
-            self.merges[left, right] = rank, both
+            parts.append((left, right, both))
             made[both] = rank
+        #: by rank: left id, right id, id of both together
+        self.parts = np.array(parts, np.int64).reshape(-1, 3)
+        keys = (self.parts[:, 0] << 32) + self.parts[:, 1]
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
         self.pattern = WORD_PATTERN
         self.cut = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, -1 for those without one."""
+        wanted = (left << 32) + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.order[at], -1)
 
-def merge_words(words: list[bytes], tokenizer: Tokenizer) -> list[list[int]]:
-    """Token ids of each word, by a pair occurrence index over all of them."""
-    merges, single = tokenizer.merges, tokenizer.single
-    symbols: list[int] = []
-    ends: list[int] = []
-    for word in words:
-        symbols.extend([single[b] for b in word])
-        symbols.append(-1)  # no pair goes over the end of a word
-        ends.append(len(symbols))
-    after = list(range(1, len(symbols) + 1))
-    before = list(range(-1, len(symbols) - 1))
-    places: dict[int, list[int]] = {}  # rank -> positions of its pair
-    pairs: dict[int, tuple[int, int, int]] = {}
-    find = merges.get
-    for at, pair in enumerate(zip(symbols, symbols[1:])):
-        if hit := find(pair):
-            if (rank := hit[0]) in places:
-                places[rank].append(at)
-            else:
-                places[rank], pairs[rank] = [at], (*pair, hit[1])
-    active = list(places)
-    heapq.heapify(active)
-    while active:
-        rank = heapq.heappop(active)
-        left, right, both = pairs[rank]
-        found = places.pop(rank)
-        if left == right:
-            found.sort()  # of overlapping places the first counts
-        for at in found:
-            if symbols[at] != left or symbols[then := after[at]] != right:
-                continue
-            symbols[at], symbols[then] = both, -2
-            last = after[at] = after[then]
-            before[last] = at
-            first = before[at]
-            for place, pair in ((first, (symbols[first], both)), (at, (both, symbols[last]))):
-                if place >= 0 and (hit := find(pair)):
-                    if hit[0] in places:
-                        places[hit[0]].append(place)
-                    else:
-                        places[hit[0]], pairs[hit[0]] = [place], (*pair, hit[1])
-                        heapq.heappush(active, hit[0])
-    start, out = 0, []
-    for end in ends:
-        out.append([s for s in symbols[start:end] if s >= 0])
-        start = end
-    return out
+
+class PairIndex:
+    """Symbols of many words in one row, and where each pair that has a rank stands."""
+
+    def __init__(self, words: list[bytes], tokenizer: Tokenizer) -> None:
+        self.tokenizer = tokenizer
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(sizes + 1)
+        self.symbols = np.full(int(self.ends[-1]), -1, np.int64)  # no pair goes over a word's end
+        inside = np.ones(len(self.symbols), bool)
+        inside[self.ends - 1] = False
+        self.symbols[inside] = tokenizer.single[np.frombuffer(b"".join(words), np.uint8)]
+        self.after = np.arange(1, len(self.symbols) + 1)
+        self.before = np.arange(-1, len(self.symbols) - 1)
+        #: rank -> positions of its pair, as a list of arrays
+        self.places: dict[int, list[np.ndarray]] = {}
+        #: the ranks that occur
+        self.active: list[int] = []
+        self.add(np.arange(len(self.symbols) - 1))
+
+    def add(self, at: np.ndarray) -> None:
+        """Puts the pairs that start at these positions into the index."""
+        left, right = self.symbols[at], self.symbols[self.after[at]]
+        ranks = self.tokenizer.ranks_of(left, right)
+        ranks[(left < 0) | (right < 0)] = -1
+        found = np.flatnonzero(ranks >= 0)
+        if not len(found):
+            return
+        found = found[np.argsort(ranks[found], kind="stable")]
+        at, ranks = at[found], ranks[found]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for rank, start, end in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            if rank not in self.places:
+                self.places[rank] = []
+                heapq.heappush(self.active, rank)
+            self.places[rank].append(at[start:end])
+
+    def apply(self) -> None:
+        """Merges the lowest rank wherever it still stands; indexes the pairs that this makes."""
+        rank = heapq.heappop(self.active)
+        left, right, both = self.tokenizer.parts[rank].tolist()
+        lists = self.places.pop(rank)
+        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        then = self.after[at]
+        whole = (self.symbols[at] == left) & (self.symbols[then] == right)
+        if not whole.all():
+            at, then = at[whole], then[whole]
+        if left == right:  # of overlapping places the first counts
+            at = np.array(first_of_runs(np.sort(at).tolist(), self.after), np.int64)
+            then = self.after[at]
+        if not len(at):
+            return
+        last = self.after[then]
+        self.symbols[at], self.symbols[then] = both, -2
+        self.after[at], self.before[last] = last, at
+        first = self.before[at]
+        self.add(np.concatenate([first[first >= 0], at]))
+
+
+def first_of_runs(at: list[int], after: np.ndarray) -> list[int]:
+    taken, used = [], -1
+    for place in at:
+        if place != used:
+            taken.append(place)
+            used = int(after[place])
+    return taken
+
+
+def merge_words(words: list[bytes], tokenizer: Tokenizer) -> list[bytes]:
+    """Token ids of each word (little-endian), by a pair occurrence index over all of them."""
+    if not words:
+        return []
+    index = PairIndex(words, tokenizer)
+    while index.active:
+        index.apply()
+    left = index.symbols >= 0
+    ends = 4 * np.cumsum(left)[index.ends - 1]
+    ids = index.symbols[left].astype("<u4").tobytes()
+    return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 class Encoder:
@@ -154,28 +195,11 @@ class Encoder:
         plain = [w for w in new if w not in added]
         for word, ids in zip(plain, merge_words([w.encode() for w in plain], self.tokenizer),
                              strict=True):
-            known[word] = little_endian(ids)
-        known |= {w: little_endian([added[w]]) for w in new if w in added}
+            known[word] = ids
+        known |= {w: added[w].to_bytes(4, "little") for w in new if w in added}
         return [b"".join(map(known.__getitem__, words)) for words in parts]
 
 
-def little_endian(ids: list[int]) -> bytes:
-    cells = array("I", ids)
-    if cells.itemsize != 4:
-        raise RuntimeError("unsigned int is not 32 bits wide here")
-    if os.sys.byteorder == "big":
-        cells.byteswap()
-    return cells.tobytes()
-
-
-def from_little_endian(ids: bytes) -> array:
-    cells = array("I")
-    cells.frombytes(ids)
-    if os.sys.byteorder == "big":
-        cells.byteswap()
-    return cells
-
-
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -201,7 +225,7 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str = "d
         pieces = shared.value.__getitem__
 
         def work(cells):
-            return [[b"".join(map(pieces, from_little_endian(x or b""))).decode(errors="replace")
+            return [[b"".join(map(pieces, np.frombuffer(x or b"", "<u4").tolist())).decode(errors="replace")
                      for x in cells]]
         return work
 
