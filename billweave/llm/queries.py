@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import bpe, decontaminate, secret_scan, toxicity, url_filter
+from billweave.llm import bpe, decontaminate, ppm, secret_scan, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -75,7 +75,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op6_secrets": op6_secrets,
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           held_out=fold("doc_id") == 1)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_ppm, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -59,3 +61,28 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: list[T.StructField],
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return source.mapInArrow(run, T.StructType([*kept, *fields]))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; in local mode, where that is unset, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = "file://" + tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there: computed once, with no lineage.
+
+    The table is removed when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
