@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import bpe, decontaminate, hash_forest, ppm, secret_scan, toxicity, url_filter
+from billweave.llm import bpe, decontaminate, hash_forest, jaccard_join, ppm, secret_scan, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -80,6 +80,12 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
                            held_out=fold("doc_id") == 1)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.col("group").alias("component_id"))
+
+
 def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
                                is_query=F.col("vec_id") % 20 == 0)
@@ -87,7 +93,7 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_ppm, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity,
-           "op10_forest": op10_forest}
+           "op9_jaccard": op9_jaccard, "op10_forest": op10_forest}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
