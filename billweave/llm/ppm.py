@@ -35,7 +35,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from billweave.llm.rows import saved, slices
 
 ORDER = 5
-BLOCK_BYTES = 64_000_000
+BLOCK_BYTES = 32_000_000
+#: Bytes of text that a task holds as tokens.
+HELD_BYTES = 2_000_000
 #: Bytes that UTF-8 never holds.
 START, END = 0xFE, 0xFF
 #: Symbols that can follow: all bytes but START.
@@ -122,7 +124,7 @@ def word_hash(word: bytes) -> int:
 
 def table_slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
     for batch in table.to_batches():
-        yield from slices(batch)
+        yield from slices(batch, HELD_BYTES)
 
 
 def list_features(order: int):
