@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import bpe, decontaminate, hash_forest, jaccard_join, ppm, secret_scan, toxicity, url_filter
+from billweave.llm import (bpe, decontaminate, hash_forest, jaccard_join, ppm, quotes,
+                           secret_scan, sharding, toxicity, url_filter)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+SHARD_BYTES = 1_000_000
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
              ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -34,6 +36,18 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+    return dealt.select(F.col("key").alias("doc_id"), F.col("bytes").alias("n_bytes"), "shard", "depth",
+                        "shard_bytes", F.col("shard_rows").alias("shard_docs"), "fits")
+
+
+def op5_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", "role", "text", "reply_to", F.array_join("path", ".").alias("path"), "thread",
+        "depth", "chat")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -91,7 +105,8 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                is_query=F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_ppm, "op6_secrets": op6_secrets,
+QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_ppm,
+           "op4_shards": op4_shards, "op5_reply_order": op5_reply_order, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity,
            "op9_jaccard": op9_jaccard, "op10_forest": op10_forest}
 
@@ -119,6 +134,22 @@ fits AS (
     ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
 SELECT u.page_id, u.host, u.path, f.text AS rule, coalesce(f.verdict, 'allow') AS verdict
 FROM urls u LEFT JOIN fits f ON f.row = u.row AND f.rank = 1""",
+    "op4_shards": f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(strlen(text), 0) AS n_bytes,
+         format('{{:032b}}', ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT) AS bits
+  FROM documents),
+prefixes AS (SELECT row, depth, substr(bits, 1, depth) AS shard, n_bytes
+             FROM docs, range(0, 33) t(depth)),
+buckets AS (SELECT depth, shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs
+            FROM prefixes GROUP BY ALL),
+first AS (
+  SELECT row, min(depth) AS depth FROM prefixes JOIN buckets USING (depth, shard)
+  WHERE shard_bytes <= {SHARD_BYTES} OR shard_docs = 1 GROUP BY row)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, b.shard, f.depth::INT AS depth, shard_bytes, shard_docs,
+       shard_bytes <= {SHARD_BYTES} AS fits
+FROM docs d JOIN first f USING (row)
+JOIN buckets b ON b.depth = f.depth AND b.shard = substr(d.bits, 1, f.depth)""",
     "op7_decontaminate": f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (
