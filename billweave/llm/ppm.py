@@ -38,6 +38,8 @@ ORDER = 5
 BLOCK_BYTES = 32_000_000
 #: Bytes of text that a task holds as tokens.
 HELD_BYTES = 2_000_000
+#: Integers that a task gathers before it sums their counts.
+SUMS_HELD = 2_000_000
 #: Bytes that UTF-8 never holds.
 START, END = 0xFE, 0xFF
 #: Symbols that can follow: all bytes but START.
@@ -127,33 +129,54 @@ def table_slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, HELD_BYTES)
 
 
+class Sums:
+    """Counts of integers, summed whenever many have gathered."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((values, counts))
+        self.size += len(values)
+        if self.size > SUMS_HELD and len(self.parts) > 1:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            values, counts = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(values)
+            values, counts = values[order], counts[order]
+            first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            self.parts = [(values[first], np.add.reduceat(counts, first))]
+            self.size = len(first)
+        return self.parts[0]
+
+
 def list_features(order: int):
     """Of a block: its distinct tokens and byte strings with their counts in training texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        words: Counter = Counter()
-        grams, counts = [], []
+        words, grams = Sums(), Sums()
         for part in table_slices(table):
-            out = part.column("out").to_pylist()
-            texts = [tokens(t) for t in part.column("text").to_pylist()]
-            train = [t for t, o in zip(texts, out) if not o]
-            for t in train:
-                words.update(t)
-            words[END_TOKEN] += len(train)
-            words.update(dict.fromkeys({w for t, o in zip(texts, out) if o for w in t}, 0))
-            for held, found in ((train, 1), ([t for t, o in zip(texts, out) if o], 0)):
+            cells = zip(part.column("text").to_pylist(), part.column("out").to_pylist())
+            texts: tuple[list, list] = [], []
+            for text, out in cells:
+                texts[out].append(tokens(text))
+            for out, held in enumerate(texts):
                 if held:
-                    g, n = np.unique(byte_strings(held, order), return_counts=True)
-                    grams.append(g)
-                    counts.append(n * found)
-        grams, where = np.unique(np.concatenate(grams), return_inverse=True)
-        counts = np.bincount(where, np.concatenate(counts), len(grams)).astype(np.int64)
-        features = np.concatenate([np.fromiter(map(word_hash, words), np.int64, len(words)), grams])
-        kind = np.full(len(features), GRAMS, np.int8)
-        kind[:len(words)] = WORDS
-        n = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), counts])
-        block = np.full(len(features), table.column("block")[0].as_py(), np.int64)
-        return pa.table([block, kind, features, n], ["block", "kind", "feature", "n"])
+                    found = Counter(w for t in held for w in t)
+                    found[END_TOKEN] = len(held)
+                    words.add(np.fromiter(map(word_hash, found), np.int64, len(found)),
+                              np.fromiter(found.values(), np.int64, len(found)) * (1 - out))
+                    strings, n = np.unique(byte_strings(held, order), return_counts=True)
+                    grams.add(strings, n * (1 - out))
+        (word, n), (gram, m) = words.total(), grams.total()
+        kind = np.full(len(word) + len(gram), GRAMS, np.int8)
+        kind[:len(word)] = WORDS
+        block = np.full(len(kind), table.column("block")[0].as_py(), np.int64)
+        return pa.table([block, kind, np.concatenate([word, gram]), np.concatenate([n, m])],
+                        ["block", "kind", "feature", "n"])
 
     return run
 
@@ -181,13 +204,12 @@ def add_up(order: int, norm: float, id_type: pa.DataType):
             mine = mine[np.argsort(feature[mine])]
             sides.append((feature[mine], value[mine]))
         (hashes, times), (grams, logs) = sides
-        known: dict[bytes, float] = {}
         rows: list[tuple] = []
         for part in table_slices(texts):
             cells = [tokens(t) for t in part.column("text").to_pylist()]
-            new = list({w for t in cells for w in t if w not in known} | {END_TOKEN})
+            new = list({END_TOKEN}.union(*cells))
             at = find(hashes, np.fromiter(map(word_hash, new), np.int64, len(new)))
-            known.update(zip(new, times[at].tolist()))
+            known = dict(zip(new, times[at].tolist()))
             for words in cells:
                 seen = np.fromiter(map(known.__getitem__, [*words, END_TOKEN]), float, len(words) + 1)
                 strings, n = np.unique(byte_strings([words], order), return_counts=True)
