@@ -13,11 +13,11 @@ How it is spread:
 1. Documents with equal sets are one. Each set has `SLOTS` minima under as many hash functions.
 2. Sets that share one of the first `KEYS` minima meet. They stay together if their sizes allow a
    link and at least `ALIKE` of all minima agree (in one byte each). A pair at the threshold misses
-   all keys with probability 0.25 ** KEYS, below 1e-14, and falls below ALIKE with less than 1e-8.
+   all keys with probability 0.25 ** KEYS, below 1e-14, and falls below ALIKE with about 1e-9.
    Only a spanning forest of those links leaves a task.
 3. Clusters of sets that hang together go to tasks with their whole sets; a signature tree finds the
-   links among them exactly. A cluster of more than `BLOCK` sets is dealt into blocks, and each pair
-   of blocks is a task of its own, so a group of any size is split and nothing is dropped.
+   links among them exactly. A cluster of more than `BLOCK` sets, or of more than `BLOCK_SHINGLES`
+   in all, is dealt into blocks, and each pair of blocks is a task of its own, so a group of any size is split and nothing is dropped.
 4. The components of those links are the groups.
 Only edges of spanning forests are rows; pairs within a group are never written out.
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -42,9 +42,9 @@ from billweave.llm.components import components
 from billweave.llm.rows import fresh, saved, slices
 
 SHINGLE, PERCENT = 5, 75
-SLOTS, KEYS, ALIKE = 64, 24, 26
-#: Sets in a block of a cluster, rows of keys in a task, sets in a leaf, nodes under a node.
-BLOCK, KEY_ROWS, LEAF, FAN = 1024, 50_000, 16, 8
+SLOTS, KEYS, ALIKE = 128, 24, 66
+#: Sets and shingles in a block of a cluster, rows of keys in a task, sets in a leaf, nodes under a node.
+BLOCK, BLOCK_SHINGLES, KEY_ROWS, LEAF, FAN = 2048, 1_000_000, 50_000, 32, 8
 #: Members of a key's group that meet in one task.
 CHUNK = 2048
 SEED = 7_919
@@ -273,15 +273,14 @@ def exact_links(size: int):
     return run
 
 
-def in_blocks(df: DataFrame, group: str, count: str, block: int, task) -> DataFrame:
-    """Rows with the task they go to: groups of more than `block` are dealt into blocks by hash.
+def in_blocks(df: DataFrame, group: str, blocks: Column, task: Column) -> DataFrame:
+    """Rows with the task they go to: groups that need several blocks are dealt into them by hash.
 
     Each pair of blocks is a task, with the rows of one as side 1 and of the other as side 2; a block
     with itself, or a small group, has side 0.
     """
-    blocks = F.ceil(F.col(count) / block).cast("long")
     mine = F.pmod(F.xxhash64("rid", F.lit("block")), F.col("_blocks"))
-    dealt = df.withColumn("_blocks", blocks).withColumn("_mine", mine)
+    dealt = df.withColumn("_blocks", blocks.cast("long")).withColumn("_mine", mine)
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     dealt = dealt.withColumn("_other", others)
     side = F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2)
@@ -311,15 +310,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
               .join(sets.select("rid", "n", "sketch"), "rid"))
     shared = saved(shared)
     tasks = 1 + shared.count() // KEY_ROWS
-    met = in_blocks(shared, "key", "count", CHUNK, F.pmod("key", F.lit(tasks)))
+    met = in_blocks(shared, "key", F.ceil(F.col("count") / CHUNK), F.pmod("key", F.lit(tasks)))
     near = met.select("task", "key", "rid", "n", "sketch", "side").groupBy("task").applyInArrow(
         alike, "u long, v long")
     clusters = components(near).withColumnRenamed("root", "cluster").withColumnRenamed("node", "rid")
     # 3. exact links within clusters, from whole texts
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("count")), "cluster")
-    sized = saved(sized.select("rid", "cluster", "count"))
-    tasks = 1 + sized.count() // BLOCK
-    members = in_blocks(sized.join(rows.select("rid", "text"), "rid"), "cluster", "count", BLOCK,
+    clusters = clusters.join(sets.select("rid", "n"), "rid")
+    needs = clusters.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    sized = saved(clusters.join(needs, "cluster").select("rid", "cluster", "blocks", "n"))
+    total = sized.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    tasks = 1 + max(total["rows"] // BLOCK, (total["n"] or 0) // BLOCK_SHINGLES)
+    members = in_blocks(sized.join(rows.select("rid", "text"), "rid"), "cluster", F.col("blocks"),
                         F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
     links = members.select("task", "cluster", "rid", "text", "side").groupBy("task").applyInArrow(
         exact_links(size), "u long, v long")
