@@ -150,3 +150,12 @@ def hit_items(hits: Column) -> Column:
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (SHARE * n_hit >= n_words)
+
+
+def without_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `df` that are not contaminated."""
+    hits, words = F.col("hits"), F.col("n_words")
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                      F.col(f"`{text}`").alias("text"))
+    found = find_passages(named, benchmark)
+    return found.where(~is_contaminated(hit_words(hits), words)).select("row.*")

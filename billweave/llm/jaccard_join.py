@@ -337,11 +337,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """`docs` with one row of each group: that with the smallest id (and text hash, for equal ids)."""
-    key = fresh(docs, "rid")
+    """`docs` with one row of each group: that with the smallest id (and text hash, for equal ids).
+
+    Rows with an empty set are in no group and all stay.
+    """
+    key, empty, at = fresh(docs, "rid"), fresh(docs, "empty"), fresh(docs, "at")
     groups = similar_groups(docs, doc_id, text, size)
     first = Window.partitionBy("group").orderBy(F.col("id").asc_nulls_last(), "rid")
     linked = groups.where("n > 0").withColumn("at", F.row_number().over(first)).where("at = 1")
-    kept = linked.select("rid").unionByName(groups.where("n = 0").select("rid").distinct())
+    kept = linked.select(F.col("rid").alias(key), F.lit(False).alias(empty)).unionByName(
+        groups.where("n = 0").select(F.col("rid").alias(key), F.lit(True).alias(empty)).distinct())
     marked = docs.withColumn(key, F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    return marked.join(kept.withColumnRenamed("rid", key), key, "left_semi").drop(key)
+    # rows that are given twice have one hash
+    again = Window.partitionBy(key).orderBy(key)
+    out = marked.join(kept, key).withColumn(at, F.row_number().over(again))
+    return out.where(F.col(empty) | (F.col(at) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
