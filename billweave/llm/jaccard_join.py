@@ -11,15 +11,16 @@ already are in one group. Pairs of leaves that remain are compared exactly.
 
 How it is spread:
 1. Documents with equal sets are one. Each set has `SLOTS` minima under as many hash functions.
-2. Sets that share one of the first `KEYS` minima meet. They stay together if their sizes allow a
-   link and at least `ALIKE` of all minima agree (in one byte each). A pair at the threshold misses
-   all keys with probability 0.25 ** KEYS, below 1e-14, and falls below ALIKE with about 1e-9.
-   Only a spanning forest of those links leaves a task.
-3. Clusters of sets that hang together go to tasks with their whole sets; a signature tree finds the
-   links among them exactly. A cluster of more than `BLOCK` sets, or of more than `BLOCK_SHINGLES`
-   in all, is dealt into blocks, and each pair of blocks is a task of its own, so a group of any size is split and nothing is dropped.
+2. Sets that share one of the first `KEYS` minima meet. A pair goes on if its sizes allow a link and
+   at least `ALIKE` of all minima agree, and only from the first of the keys that it shares, so that
+   a pair is compared once. A pair at the threshold misses all keys with probability 0.25 ** KEYS,
+   below 1e-14, and falls below ALIKE, or is taken for one that met before, with about 1e-8.
+3. The sets of a key that have such a partner go to one task with their whole texts; a signature tree
+   finds the links among them exactly. More than `BLOCK` sets of a key, or more than `BLOCK_SHINGLES`
+   in all, are dealt into blocks, and each pair of blocks is a task of its own, so a group of any size
+   is split and nothing is dropped. Only links that span the groups leave a task.
 4. The components of those links are the groups.
-Only edges of spanning forests are rows; pairs within a group are never written out.
+Pairs within a group are never written out.
 
 Words: A-Z lower-cased, cut at ASCII blanks. Sets: distinct shingles of `SHINGLE` words (64-bit
 hashes); a shorter text is one shingle. Null text, or text without words, has an empty set and links
@@ -43,7 +44,7 @@ from billweave.llm.rows import fresh, saved, slices
 
 SHINGLE, PERCENT = 5, 75
 SLOTS, KEYS, ALIKE = 128, 24, 66
-#: Sets and shingles in a block of a cluster, rows of keys in a task, sets in a leaf, nodes under a node.
+#: Sets and shingles in a block of a key, rows of keys in a task, sets in a leaf, nodes under a node.
 BLOCK, BLOCK_SHINGLES, KEY_ROWS, LEAF, FAN = 2048, 1_000_000, 50_000, 32, 8
 #: Members of a key's group that meet in one task.
 CHUNK = 2048
@@ -83,6 +84,12 @@ def minima(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
+def sketch_of(least: np.ndarray) -> bytes:
+    """Four bytes of each key and one of each other minimum."""
+    return ((least[:KEYS] >> np.uint64(24)).astype("<u4").tobytes()
+            + (least[KEYS:] >> np.uint64(56)).astype(np.uint8).tobytes())
+
+
 def describe(batches: Iterator[pa.RecordBatch], size: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     factors = multipliers()
     for batch in batches:
@@ -94,7 +101,7 @@ def describe(batches: Iterator[pa.RecordBatch], size: int, id_type: pa.DataType)
                 names.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 least = minima(found, factors) if len(found) else None
                 keys.append(least[:KEYS].view(np.int64) if len(found) else None)
-                sketches.append((least >> np.uint64(56)).astype(np.uint8).tobytes() if len(found) else None)
+                sketches.append(sketch_of(least) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id").cast(id_type), part.column("rid"), pa.array(n, pa.int64()),
                  pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
@@ -126,32 +133,31 @@ def may_link(small: np.ndarray, large: np.ndarray) -> np.ndarray:
 
 
 def alike(table: pa.Table) -> pa.Table:
-    """Of some keys' groups: a spanning forest of the pairs that stay together."""
+    """Of some keys' groups: the sets that have a partner to be compared with there."""
     table = table.sort_by("key")
-    key, rid, n = (table.column(c).to_numpy() for c in ("key", "rid", "n"))
-    side = table.column("side").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    key, rid, n, slot, side = (table.column(c).to_numpy() for c in ("key", "rid", "n", "pos", "side"))
+    name = table.column("name").to_numpy()
+    raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
+    keys = raw[:, :4 * KEYS].copy().view("<u4")
+    rest = raw[:, 4 * KEYS:]
     cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-    edges: set[tuple[int, int]] = set()
+    found = np.zeros(len(key), bool)
     for start, end in zip(cuts, cuts[1:]):
-        groups = Groups(end - start)
+        mine = slice(start, end)
         for at in range(start, end, 128):
             rows = slice(at, min(at + 128, end))
-            close = may_link(n[rows, None], n[None, start:end])
-            left, right = np.nonzero(close & (np.arange(rows.start, rows.stop)[:, None]
-                                              < np.arange(start, end)[None]))
+            close = may_link(n[rows, None], n[None, mine])
+            close &= np.arange(rows.start, rows.stop)[:, None] < np.arange(start, end)[None]
             # of two chunks only pairs across count
-            across = (side[rows][left] == 0) | (side[start:end][right] == 0)
-            across |= side[rows][left] != side[start:end][right]
-            left, right = left[across], right[across]
-            for k in range(0, len(left), 100_000):
-                x, y = left[k:k + 100_000], right[k:k + 100_000]
-                same = (sketch[rows][x] == sketch[start:end][y]).sum(1) >= ALIKE
-                for a, b in zip((x[same] + at - start).tolist(), y[same].tolist()):
-                    if groups.join(a, b):
-                        edges.add((int(rid[start + a]), int(rid[start + b])))
-    pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-    return pa.table([pairs[:, 0], pairs[:, 1]], ["u", "v"])
+            close &= (side[rows, None] == 0) | (side[rows, None] != side[None, mine])
+            for earlier in range(slot[start]):
+                close &= keys[rows, None, earlier] != keys[None, mine, earlier]
+            left, right = np.nonzero(close)
+            for k in range(0, len(left), 50_000):
+                x, y = left[k:k + 50_000] + rows.start, right[k:k + 50_000] + start
+                same = (rest[x] == rest[y]).sum(1) + (keys[x] == keys[y]).sum(1) >= ALIKE
+                found[x[same]] = found[y[same]] = True
+    return pa.table([name[found], rid[found]], ["key", "rid"])
 
 
 class SignatureTree:
@@ -253,12 +259,12 @@ def leaf_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def exact_links(size: int):
-    """Of the clusters in a task: links that span their groups."""
+    """Of the keys' sets in a task: links that span their groups."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cluster", "ascending"), ("rid", "ascending")])
-        cluster, rid, side = (table.column(c).to_numpy() for c in ("cluster", "rid", "side"))
-        cuts = [0, *(np.flatnonzero(cluster[1:] != cluster[:-1]) + 1).tolist(), len(cluster)]
+        table = table.sort_by([("key", "ascending"), ("rid", "ascending")])
+        key, rid, side = (table.column(c).to_numpy() for c in ("key", "rid", "side"))
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         edges = []
         text = table.column("text")
         for start, end in zip(cuts, cuts[1:]):
@@ -305,25 +311,24 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("rid").alias("rid"), F.min("id").alias("id"), F.first("n").alias("n"),
         F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     # 2. sets that share a key; those that are alone with a key go no further
-    keyed = sets.select("rid", F.posexplode("keys")).select("rid", F.xxhash64("pos", "col").alias("key"))
-    shared = (keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
-              .join(sets.select("rid", "n", "sketch"), "rid"))
-    shared = saved(shared)
+    keyed = sets.select("rid", F.posexplode("keys")).select(
+        "rid", "pos", F.xxhash64("pos", "col").alias("key"))
+    shared = saved(keyed.withColumn("count", F.count("*").over(Window.partitionBy("key")))
+                   .where("count > 1").join(sets.select("rid", "n", "sketch"), "rid")
+                   .withColumn("name", F.col("key")))
     tasks = 1 + shared.count() // KEY_ROWS
     met = in_blocks(shared, "key", F.ceil(F.col("count") / CHUNK), F.pmod("key", F.lit(tasks)))
-    near = met.select("task", "key", "rid", "n", "sketch", "side").groupBy("task").applyInArrow(
-        alike, "u long, v long")
-    clusters = components(near).withColumnRenamed("root", "cluster").withColumnRenamed("node", "rid")
-    # 3. exact links within clusters, from whole texts
-    clusters = clusters.join(sets.select("rid", "n"), "rid")
-    needs = clusters.groupBy("cluster").agg(
+    near = (met.select("task", "key", "name", "pos", "rid", "n", "sketch", "side").groupBy("task")
+            .applyInArrow(alike, "key long, rid long").distinct().join(sets.select("rid", "n"), "rid"))
+    near = saved(near)
+    # 3. exact links between the sets of a key, from whole texts
+    blocks = near.groupBy("key").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    sized = saved(clusters.join(needs, "cluster").select("rid", "cluster", "blocks", "n"))
-    total = sized.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    total = near.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     tasks = 1 + max(total["rows"] // BLOCK, (total["n"] or 0) // BLOCK_SHINGLES)
-    members = in_blocks(sized.join(rows.select("rid", "text"), "rid"), "cluster", F.col("blocks"),
-                        F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
-    links = members.select("task", "cluster", "rid", "text", "side").groupBy("task").applyInArrow(
+    members = in_blocks(near.join(blocks, "key").join(rows.select("rid", "text"), "rid"), "key",
+                        F.col("blocks"), F.pmod(F.xxhash64("key"), F.lit(tasks)))
+    links = members.select("task", "key", "rid", "text", "side").groupBy("task").applyInArrow(
         exact_links(size), "u long, v long")
     # 4. groups; sets without a link are their own
     roots = components(links).withColumnRenamed("node", "rid")
