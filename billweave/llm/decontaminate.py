@@ -117,6 +117,7 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         shared = df.sparkSession.sparkContext.broadcast(held)
         df = df.withColumnRenamed("hits", before) if n else df
         df = with_arrow(df, [text, before] if n else [text], fields, _searcher(shared, window))
+        df = df.drop(before)
     return df.select(*kept, "n_words", "hits")
 
 

@@ -37,9 +37,9 @@ from billweave.llm.rows import saved, slices
 ORDER = 5
 BLOCK_BYTES = 32_000_000
 #: Bytes of text that a task holds as tokens.
-HELD_BYTES = 2_000_000
+HELD_BYTES = 1_000_000
 #: Integers that a task gathers before it sums their counts.
-SUMS_HELD = 2_000_000
+SUMS_HELD = 1_000_000
 #: Bytes that UTF-8 never holds.
 START, END = 0xFE, 0xFF
 #: Symbols that can follow: all bytes but START.

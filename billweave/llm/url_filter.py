@@ -52,9 +52,9 @@ class Rule:
         return "".join(self.text.partition("/")[1:])
 
     def regex(self) -> re.Pattern:
-        """Matched against host, line break and path."""
+        """Matched against host and path; hosts hold no slash, paths start with one."""
         path = ".*".join(map(re.escape, self.path.split("*")))
-        return re.compile(rf"(?s)(?:[^\n]*\.)?{re.escape(self.host)}\n{path}")
+        return re.compile(rf"(?s)(?:[^/]*\.)?{re.escape(self.host)}(?=/|\Z){path}")
 
     def tokens(self) -> set[str]:
         """Tokens that every fitting URL holds as a whole."""
@@ -115,7 +115,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], url: str = "url", default: str =
         def work(urls):
             rows = []
             for host, path in map(split_url, urls):
-                address, best, rule = f"{host}\n{path}", len(ranked), None
+                address, best, rule = host + path, len(ranked), None
                 fetched = [x for t in set(token.findall(address)) for x in ready.get(t, ())]
                 for rank, candidate, pattern in sorted([*always, *fetched], key=lambda x: x[0]):
                     if rank < best and pattern.match(address):

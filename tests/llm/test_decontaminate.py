@@ -41,7 +41,7 @@ def tables(spark):
     return documents(spark, texts).withColumns({"hits": F.lit("x"), "n_words": F.lit("y")}), benchmark, texts, items
 
 
-@pytest.mark.parametrize("block", [d.BLOCK_BYTES, 300])
+@pytest.mark.parametrize("block", [d.BLOCK_BYTES, 1500])
 def test_like_brute_force_also_with_items_in_blocks(spark, tables, block, monkeypatch):
     docs, benchmark, texts, items = tables
     monkeypatch.setattr(d, "BLOCK_BYTES", block)

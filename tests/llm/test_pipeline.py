@@ -35,8 +35,8 @@ def test_all_are_registered():
 
 def test_stages_take_effect(spark, tmp_path):
     passage = " ".join(f"benchmark{i}" for i in range(30))
-    clean = [f"{i} " + " ".join(f"w{i * 7 + k}" for k in range(60)) for i in range(60)]
-    bad = [f"bad{i} " + " ".join(f"v{i * 9 + k}" for k in range(20)) + " idiot moron idiot stupid moron idiot" for i in range(40)]
+    clean = [f"{i} " + " ".join(f"w{i * 60 + k}" for k in range(60)) for i in range(60)]
+    bad = [f"bad{i} " + " ".join(f"v{i * 20 + k}" for k in range(20)) + " idiot moron idiot stupid moron idiot" for i in range(40)]
     special = {
         200: "copy " + clean[3], 201: passage + " tail", 202: "user token = abcdefabcdef12 kept", 203: None, 204: "",
         205: clean[5], 206: "bad idiot moron stupid idiot moron new words"}
