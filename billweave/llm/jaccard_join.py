@@ -326,8 +326,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     total = near.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     tasks = 1 + max(total["rows"] // BLOCK, (total["n"] or 0) // BLOCK_SHINGLES)
-    members = in_blocks(near.join(blocks, "key").join(rows.select("rid", "text"), "rid"), "key",
-                        F.col("blocks"), F.pmod(F.xxhash64("key"), F.lit(tasks)))
+    # merged at every size: what is joined to the texts grows with them
+    whole = near.join(blocks, "key").join(rows.select("rid", "text").hint("merge"), "rid")
+    members = in_blocks(whole, "key", F.col("blocks"), F.pmod(F.xxhash64("key"), F.lit(tasks)))
     links = members.select("task", "key", "rid", "text", "side").groupBy("task").applyInArrow(
         exact_links(size), "u long, v long")
     # 4. groups; sets without a link are their own
