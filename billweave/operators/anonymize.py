@@ -9,8 +9,8 @@ from billweave.functions.money import amount, coarse_amount, percent
 from billweave.functions.text import fill, letters
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.diff import PAIR, top_services
-from billweave.operators.reports import (PART_LINES, TOTALS, collect_at, in_order, joined,
-                                         last_part, lines_of, only_if)
+from billweave.operators.reports import (TOTALS, collect_at, in_order, joined, lines_of, listed,
+                                         only_if, printed)
 
 TOP_DRIVERS = 3
 MAJORITY = 50
@@ -83,10 +83,9 @@ def _title(alias: str | None, sector: str, say: dict[str, str]) -> str:
 
 
 def anonymous_report(ranked_lines: DataFrame, alias: str | None = None, sector: str = "",
-                     unit: int = 1, lang: str = DEFAULT_LANG,
-                     part_lines: int = PART_LINES) -> DataFrame:
-    """Why the bill changed, per account and month, without amounts or project names that give
-    the customer away. Parts as in ``reports``; only the lessons on new services can be many."""
+                     unit: int = 1, lang: str = DEFAULT_LANG) -> DataFrame:
+    """Why the bill changed, per account and month and by line, without amounts or project names
+    that give the customer away."""
     say = phrases(lang)
     rises = F.col("total_delta") >= 0
     is_driver = (F.col("grain") == "service") & (F.col("driver_rank") <= TOP_DRIVERS)
@@ -98,41 +97,27 @@ def anonymous_report(ranked_lines: DataFrame, alias: str | None = None, sector:
                direction=F.when(rises, say["rise"]).otherwise(say["saving"]))
     majority, newcomer, concentrated = _lesson_texts(lang)
     dash = F.lit("- ")
-
-    # The first part says whether there are lessons: it gets every rule's first line. The largest
-    # service is in every report; its line opens the first and the last part.
-    is_anchor = (F.col("grain") == "service") & (F.col("rank") == 1)
-    part = F.floor((F.col("newcomer_rank") - 1) / part_lines).cast("int")
-    placed = F.array_distinct(F.array_compact(F.array(
-        F.when(is_driver | is_anchor | _concentrated(), 0), F.when(_newcomer(), part),
-        F.when(is_anchor | _concentrated(), last_part(part_lines)))))
-    parts = (ranked_lines.filter(is_driver | is_anchor | _newcomer() | _concentrated())
-             .select("*", F.explode(placed).alias("part"))
-             .groupBy(*PAIR, "part")
-             .agg(*[F.first(c).alias(c) for c in [*TOTALS, "size_bound"]],
-                  collect_at(is_driver & (F.col("part") == 0), F.col("driver_rank"), row)
-                   .alias("drivers"),
+    facts = (ranked_lines.groupBy(*PAIR)
+             .agg(*[F.first(c).alias(c) for c in TOTALS],
+                  collect_at(is_driver, F.col("driver_rank"), row).alias("drivers"),
                   F.max(F.when(_majority(), F.concat(dash, majority))).alias("first"),
-                  collect_at(_newcomer() & (F.col("part") == part), F.col("newcomer_rank"),
-                           F.concat(dash, newcomer)).alias("new"),
+                  F.count_if(_newcomer()).alias("n_new"),
                   F.max(F.when(_concentrated(), F.concat(dash, concentrated))).alias("last")))
-    any_lesson = (F.col("first").isNotNull() | F.col("last").isNotNull()
-                  | (F.size("new") > 0))
-    is_first, is_last = F.col("part") == 0, F.col("part") == last_part(part_lines)
+    any_lesson = F.col("first").isNotNull() | F.col("last").isNotNull() | (F.col("n_new") > 0)
     growth = F.coalesce(F.concat(percent(F.abs("growth_pct")), F.lit("%")), F.lit("—"))
     opening = fill(say["anon_opening"], verb=F.when(rises, say["rose"]).otherwise(say["fell"]),
                    pct=growth, before=coarse_amount(amount(F.col("total_before"), unit)),
                    after=coarse_amount(amount(F.col("total_after"), unit)))
-    text = joined(
-        only_if(is_first, F.concat(
-            lines_of(_title(alias, sector, say), "", opening, "", say["anon_drivers"]),
-            in_order("drivers"))),
-        only_if(is_first & any_lesson, lines_of("", say["anon_lessons"])),
-        only_if(is_first, F.array_compact(F.array("first"))),
-        in_order("new"),
-        only_if(is_last, F.concat(F.array_compact(F.array("last")),
-                                  lines_of("", say["anon_note"], ""))))
-    return parts.select(*PAIR, "part", text.alias("text"))
+    fixed = facts.select(
+        *PAIR, "n_new",
+        F.concat(lines_of(_title(alias, sector, say), "", opening, "", say["anon_drivers"]),
+                 in_order("drivers"), only_if(any_lesson, lines_of("", say["anon_lessons"])),
+                 F.array_compact(F.array("first"))).alias("head"),
+        F.concat(F.array_compact(F.array("last")), lines_of("", say["anon_note"], ""))
+         .alias("tail"))
+    return printed(fixed, PAIR, F.col("n_new")).unionByName(
+        listed(ranked_lines.filter(_newcomer()), fixed, PAIR, F.col("newcomer_rank"),
+               F.concat(dash, newcomer)))
 
 
 def anonymous_breakdown(fact: DataFrame, alias: str | None = None, sector: str = "",

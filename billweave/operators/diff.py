@@ -1,6 +1,6 @@
 """Month-over-month bill comparison for every account at once.
 
-Input fact: ``account STRING, period DATE (first of month), service STRING, project STRING
+Input fact: ``account STRING, period DATE (any day of the month), service STRING, project STRING
 ('' = none), cost`` with cost DECIMAL or any integer type.
 """
 
@@ -25,10 +25,16 @@ GRAIN = ["account", "period", "grain"]
 LINE_ORDER = ["sort_move", "key"]
 
 
+def by_month(fact: DataFrame) -> DataFrame:
+    """The fact with every date at the first of its month; a missing one is an error."""
+    known = F.coalesce("period", F.raise_error(F.lit("a row of the bill has no period")).cast("date"))
+    return fact.withColumn("period", F.trunc(known, "MM"))
+
+
 def cost_cells(fact: DataFrame) -> DataFrame:
     """One row per account, month, service and project. The only pass over the raw rows: partial
     aggregation shrinks them before the shuffle, also when one key holds most of them."""
-    cells = (fact.groupBy("account", "period", "service",
+    cells = (by_month(fact).groupBy("account", "period", "service",
                           F.coalesce("project", F.lit("")).alias("project"))
              .agg(F.sum("cost").alias("cost")))
     summed = cells.schema["cost"].dataType
@@ -56,15 +62,15 @@ def cost_by_grain(fact: DataFrame) -> DataFrame:
 
 
 def total_cost(fact: DataFrame) -> DataFrame:
-    return fact.groupBy(*PAIR).agg(F.sum("cost").alias("cost"))
+    return by_month(fact).groupBy(*PAIR).agg(F.sum("cost").alias("cost"))
 
 
 def cost_by_service(fact: DataFrame) -> DataFrame:
-    return fact.groupBy(*PAIR, "service").agg(F.sum("cost").alias("cost"))
+    return by_month(fact).groupBy(*PAIR, "service").agg(F.sum("cost").alias("cost"))
 
 
 def cost_by_project(fact: DataFrame) -> DataFrame:
-    return (fact.filter(F.col("project") != "")
+    return (by_month(fact).filter(F.col("project") != "")
             .groupBy(*PAIR, "project").agg(F.sum("cost").alias("cost")))
 
 
@@ -161,8 +167,7 @@ def _compared(roles: DataFrame, totals: DataFrame, ranked: bool, split_above: in
     sums = {"rank": F.lit(1), **{name: ones(member) for name, member in ranks.items()}}
     return numbered(moves, info, GRAIN, LINE_ORDER, sums, split_above).select(
         *columns, "rank",
-        *[F.when(member, F.col(name)).alias(name) for name, member in ranks.items()],
-        F.col("n_rows").alias("size_bound"))
+        *[F.when(member, F.col(name)).alias(name) for name, member in ranks.items()])
 
 
 def delta_lines(fact: DataFrame, ranked: bool = False,
@@ -173,7 +178,7 @@ def delta_lines(fact: DataFrame, ranked: bool = False,
     total (1) or against it (-1). The pair's totals ride along, so that rules and reports need no
     further join. With ``ranked``, ``rank`` orders the lines of a grain by the size of the move,
     ``driver_rank`` those of side 1, ``counter_rank`` those of side -1 and ``newcomer_rank`` new
-    keys with a notable share; ``size_bound`` is an upper limit of the pair's lines per grain.
+    keys with a notable share.
     Leave it off where only the first few lines matter: ``top_per_group`` finds those without
     numbering the rest.
     """
@@ -185,7 +190,9 @@ def delta_lines(fact: DataFrame, ranked: bool = False,
 
 def _two_roles(before: DataFrame, after: DataFrame) -> DataFrame:
     """Roles of two given snapshots. They share a placeholder period; their own is kept aside."""
-    old, new = cost_cells(before), cost_cells(after)
+    # Whatever their dates are, even none: here the sides are given.
+    unknown = F.coalesce("period", F.lit("1970-01-01").cast("date"))
+    old, new = (cost_cells(x.withColumn("period", unknown)) for x in (before, after))
     sides = [
         snapshot.select("account", "service", "project", F.lit("1970-01-01").cast("date")
                         .alias("period"), *[

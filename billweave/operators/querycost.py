@@ -9,8 +9,7 @@ from billweave.functions.money import TIB, USD_PER_TIB, dollars, scan_price
 from billweave.functions.text import fill, has_template_marks, pad_left, pad_right
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.ranking import SPLIT_ABOVE, numbered
-
-PART_LINES = 1000
+from billweave.operators.reports import printed
 
 
 def price_queries(log: DataFrame, usd_per_tib: float = USD_PER_TIB) -> DataFrame:
@@ -68,13 +67,8 @@ def cost_json(priced: DataFrame, group: list[str]) -> DataFrame:
 
 def cost_report(priced: DataFrame, group: list[str], fail_over_usd: float | None = None,
                 style: str = "text", usd_per_tib: float = USD_PER_TIB,
-                lang: str = DEFAULT_LANG, part_lines: int = PART_LINES,
-                split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Report per group, ``style`` text or github, queries in order of path.
-
-    A report comes in parts of at most ``part_lines`` queries, so that a group with very many
-    queries is not gathered into one row; the parts joined by line breaks are the whole report.
-    """
+                lang: str = DEFAULT_LANG, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Report per group and by line, ``style`` text or github, queries in order of path."""
     say = phrases(lang)
     if style not in ("text", "github"):
         raise ValueError(f"style must be 'text' or 'github', not {style!r}")
@@ -88,18 +82,13 @@ def cost_report(priced: DataFrame, group: list[str], fail_over_usd: float | None
         head = [say["query_md_title"], "", say["query_md_columns"], say["query_md_rule"]]
         indent, mark = "", "_"
 
-    rows = cost_cells(priced, fail_over_usd, lang).select(*group, "path", "usd",
-                                                          row.alias("row"))
-    # Only rows are counted beforehand, which reads no query text; the price total is the running
-    # sum at the last query.
-    info = priced.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
-    lines = numbered(rows, info, group, ["path", "row"],
-                     {"line": F.lit(1), "total_usd": F.col("usd")}, split_above)
-    parts = (lines.withColumn("part", F.floor((F.col("line") - 1) / part_lines).cast("int"))
-             .groupBy(*group, "part")
-             .agg(F.array_sort(F.collect_list(F.struct("line", "row"))).alias("rows"),
-                  F.max("total_usd").cast("double").alias("total_usd"),
-                  F.first("n_rows").alias("n_rows")))
+    rows = cost_cells(priced, fail_over_usd, lang).select(*group, "path", row.alias("text"))
+    # The order must not carry the printed text: of equal paths the hash of the text decides.
+    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    info = priced.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"),
+                                      F.sum("usd").cast("double").alias("total_usd"))
+    lines = numbered(rows, info.select(*group, "n_rows"), group, ["path", "_tie"],
+                     {"line": F.lit(1)}, split_above)
 
     total = fill(say["query_total"], total=dollars(F.col("total_usd")))
     if fail_over_usd is not None:
@@ -108,11 +97,8 @@ def cost_report(priced: DataFrame, group: list[str], fail_over_usd: float | None
         total = F.concat(total, fill(say["query_limit"], limit=F.lit(f"${fail_over_usd:,.2f}"),
                                      state=state))
     note = f"{indent}{mark}{say['query_note'].format(price=f'{usd_per_tib:g}')}{mark}"
-    foot = F.array(F.lit(""), F.concat(F.lit(indent), total), F.lit(note), F.lit(""))
-    none = F.array().cast("array<string>")
-    is_last = F.col("part") == F.floor((F.col("n_rows") - 1) / part_lines)
-    text = F.array_join(F.concat(
-        F.when(F.col("part") == 0, F.array(*[F.lit(h) for h in head])).otherwise(none),
-        F.transform("rows", lambda r: r["row"]),
-        F.when(is_last, foot).otherwise(none)), "\n")
-    return parts.select(*group, "part", text.alias("text"))
+    fixed = info.select(*group, "n_rows", F.array(*[F.lit(h) for h in head]).alias("head"),
+                        F.array(F.lit(""), F.concat(F.lit(indent), total), F.lit(note), F.lit(""))
+                         .alias("tail"))
+    return printed(fixed, group, F.col("n_rows")).unionByName(
+        lines.select(*group, (F.col("line") + len(head)).cast("long").alias("line"), "text"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 # A group above this many rows is numbered by several tasks instead of one.
 SPLIT_ABOVE = 1_000_000
-SPLIT_BUCKETS = 64
+# Rows looked at for each range that such a group is cut into.
+SAMPLED = 32
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, n: int,
@@ -25,57 +26,53 @@ def ones(condition: Column) -> Column:
 
 
 def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
-             sums: dict[str, Column], split_above: int = SPLIT_ABOVE,
-             buckets: int = SPLIT_BUCKETS) -> DataFrame:
+             sums: dict[str, Column], split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Join ``info`` (one row per group, with ``n_rows``, an upper bound of the group's size) to
-    ``df`` and add running sums in ascending ``order``, which must be a total order.
+    ``df`` and add running sums in ascending ``order``; rows that are equal in it are taken as
+    equal.
 
     ``sums`` maps a new column to a number: each row gets its sum over the rows of the group up to
     and including itself. ``{"rank": lit(1)}`` is an exact row number, ``ones(condition)`` counts.
 
     A single window per group would sort a hot group in one task. Groups above ``split_above``
-    are therefore cut into value ranges at the positions of up to ``buckets - 1`` evenly spread
-    rows (those with the smallest hashes, hence the same on every recomputation). Ranges are
-    numbered on their own and shifted by the sums of the ranges before them. Where no group is
-    that large, the branch that finds the cuts is empty and adaptive execution drops it.
+    are therefore cut into value ranges of about half that size, however many it takes, at every
+    ``SAMPLED``-th of a sample of their rows (chosen by hash, hence the same on every
+    recomputation). Ranges are numbered on their own and shifted by the sums of the ranges before
+    them. Groups are joined by one struct, so that adaptive execution can split a hot side or
+    broadcast a small one by its measured size.
     """
-    place = F.struct(*order)
-    zero = F.lit(0)
-    # There are at most (all rows / split_above) hot groups, with one row each here and less than
-    # `buckets` keys each in the cuts. That bound permits both broadcasts, and both are needed:
-    # joined by shuffle, all rows of a hot group would meet in one task.
-    hot_rows = df.join(F.broadcast(info.filter(F.col("n_rows") > split_above)), group)
-    cuts = (top_per_group(hot_rows.select(*group, *order), group,
-                          [F.xxhash64(*order), *order], buckets - 1)
-            .groupBy(*group).agg(F.array_sort(F.collect_list(place)).alias("_cuts")))
-    by_range = (hot_rows.join(F.broadcast(cuts), group)
+    place, key = F.struct(*order), F.struct(*group).alias("_group")
+    keyed = df.select("*", key)
+    ranges = F.ceil(F.col("n_rows") * 2 / max(split_above, 1))
+    hot = info.filter(F.col("n_rows") > split_above).select(
+        key, F.greatest(F.floor(F.col("n_rows") / (ranges * SAMPLED)), F.lit(1)).alias("_every"))
+    in_order = W.partitionBy("_group").orderBy("_place")
+    cuts = (keyed.select("_group", place.alias("_place"), F.xxhash64(*order).alias("_hash"))
+            .join(hot, "_group").filter(F.pmod("_hash", "_every") == 0)
+            .withColumn("_at", F.row_number().over(in_order)).filter(F.col("_at") % SAMPLED == 0)
+            .groupBy("_group").agg(F.array_sort(F.collect_list("_place")).alias("_cuts")))
+    slot = F.struct("_group", "_range").alias("_slot")
+    rest = info.select(key, *[c for c in info.columns if c not in group])
+    by_range = (keyed.join(rest.join(cuts, "_group"), "_group")
                 .withColumn("_range", _range_of(place))
-                .groupBy(*group, "_range")
-                .agg(F.first("_cuts").alias("_cuts"),
-                     *[F.sum(value).alias(name) for name, value in sums.items()]))
-    # At most `buckets` rows per group from here on.
-    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shifts = (by_range
-              .select(*group, "_range", "_cuts",
-                      *[F.coalesce(F.sum(name).over(before), zero).alias(name) for name in sums])
-              .groupBy(*group)
-              .agg(F.first("_cuts").alias("_cuts"),
-                   F.map_from_entries(F.collect_list(F.struct(
-                       "_range", F.struct(*sums)))).alias("_shifts")))
+                .groupBy("_group", "_range")
+                .agg(*[F.sum(value).alias(name) for name, value in sums.items()]))
+    before = W.partitionBy("_group").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = by_range.select(slot, *[F.sum(name).over(before).alias(f"_{name}") for name in sums])
 
-    guided = (df.join(info.join(shifts, group, "left"), group)
+    guided = (keyed.join(rest.join(cuts, "_group", "left"), "_group")
               .withColumn("_range", F.coalesce(_range_of(place), F.lit(0)))
               # One struct as the key: partitioning by group alone must not do for the window, or
               # the ranges of a group would stay together in one task.
-              .withColumn("_slot", F.struct(*group, "_range")))
+              .select("*", slot).drop("_cuts", "_group", "_range")
+              .join(shifts, "_slot", "left"))
     running = (W.partitionBy("_slot").orderBy(*order)
                .rowsBetween(W.unboundedPreceding, W.currentRow))
-    shift = F.col("_shifts")[F.col("_range")]
+    zero = F.lit(0)
     return (guided
             .withColumns({name: F.coalesce(F.sum(value).over(running), zero)
-                          + F.coalesce(shift[name], zero)
-                          for name, value in sums.items()})
-            .drop("_slot", "_range", "_cuts", "_shifts"))
+                          + F.coalesce(f"_{name}", zero) for name, value in sums.items()})
+            .drop("_slot", *[f"_{name}" for name in sums]))
 
 
 def _range_of(place: Column) -> Column:

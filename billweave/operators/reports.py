@@ -1,14 +1,15 @@
-"""Bill comparisons as text, Markdown and JSON: one row per account, month and part.
+"""Bill comparisons as text, Markdown and JSON.
 
-A list that has no upper limit (all services against the trend, all lines of the JSON form) is cut
-into parts of ``part_lines`` lines, so that no task gathers an account of any size. The parts of a
-report, joined by line breaks in order of ``part``, are the whole report; nearly all have one part.
+Reports that can hold a list of any length come as one row per printed line, with its number, so
+that no task gathers an account of any size. Their lines, joined by line breaks in order of
+``line``, are the report. Reports of a few lines at most are one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from billweave.functions.money import amount, money, percent, signed_money
 from billweave.functions.text import fill, pad_left, pad_right
@@ -16,7 +17,6 @@ from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.diff import GRAIN, PAIR, by_move
 from billweave.operators.ranking import top_per_group
 
-PART_LINES = 1000
 # Smallest share, in percent, at which the text names the leading project.
 PROJECT_MENTION = 40
 
@@ -85,18 +85,28 @@ def collect_at(condition: Column, position: Column, text: Column) -> Column:
                                                      text.alias("text"))))
 
 
-def last_part(part_lines: int) -> Column:
-    """Number of the part that closes a report. A comparison that may have more lines than fit in
-    one part is closed by a part of its own, numbered above all others."""
-    bound = F.col("size_bound")
-    return F.when(bound <= part_lines, 0).otherwise(
-        F.floor(bound / part_lines) + 1).cast("int")
+def printed(fixed: DataFrame, group: list[str], n_listed: Column) -> DataFrame:
+    """The lines of ``head`` and ``tail``, with room for ``n_listed`` lines between them."""
+    top = F.size("head")
+    return (fixed.select(*group, top.alias("_top"), n_listed.alias("_between"),
+                         F.posexplode(F.concat("head", "tail")).alias("_at", "text"))
+            .select(*group, (F.col("_at") + 1 + F.when(F.col("_at") < F.col("_top"), 0)
+                             .otherwise(F.col("_between"))).cast("long").alias("line"), "text"))
 
 
-def report_text(ranked_lines: DataFrame, top: int = 3, unit: int = 1, lang: str = DEFAULT_LANG,
-                part_lines: int = PART_LINES) -> DataFrame:
-    """Narrative of each comparison: headline, the first ``top`` services that drive it and how
-    much they explain, every service against the trend, and the leading project."""
+def listed(rows: DataFrame, fixed: DataFrame, group: list[str], position: Column,
+           text: Column) -> DataFrame:
+    """The lines between head and tail. Joined by one struct, so that a hot report can be split."""
+    key = F.struct(*group).alias("_report")
+    return (rows.select(key, *group, position.alias("_at"), text.alias("text"))
+            .join(fixed.select(key, F.size("head").alias("_top")), "_report")
+            .select(*group, (F.col("_top") + F.col("_at")).cast("long").alias("line"), "text"))
+
+
+def report_text(ranked_lines: DataFrame, top: int = 3, unit: int = 1,
+                lang: str = DEFAULT_LANG) -> DataFrame:
+    """Narrative of each comparison, by line: headline, the first ``top`` services that drive it
+    and how much they explain, every service against the trend, and the leading project."""
     say = phrases(lang)
     service, project = F.col("grain") == "service", F.col("grain") == "project"
     delta, share = F.col("delta"), F.col("share_pct")
@@ -108,47 +118,33 @@ def report_text(ranked_lines: DataFrame, top: int = 3, unit: int = 1, lang: str
                delta=pad_left(move, 10), pct=percent(share), detail=driver_detail(unit, lang))
     counter = fill(say["counter_row"], key=pad_right(F.col("key"), 24), delta=pad_left(move, 10))
 
-    # The largest service is in every report; its line opens the first and the last part.
-    is_anchor = service & (F.col("rank") == 1)
-    part = F.floor((F.col("counter_rank") - 1) / part_lines).cast("int")
-    placed = F.array_distinct(F.array_compact(F.array(
-        F.when(is_driver | is_anchor, 0), F.when(is_counter, part),
-        F.when(is_leader | is_anchor, last_part(part_lines)))))
-    parts = (ranked_lines.filter(is_driver | is_counter | is_leader | is_anchor)
-             .select("*", F.explode(placed).alias("part"))
-             .withColumns({"in_first": F.col("part") == 0,
-                           "in_counter": is_counter & (F.col("part") == part)})
-             .groupBy(*PAIR, "part")
-             .agg(*[F.first(c).alias(c) for c in [*TOTALS, "size_bound"]],
-                  collect_at(is_driver & F.col("in_first"), F.col("driver_rank"), row)
-                   .alias("drivers"),
-                  F.sum(F.when(is_driver & F.col("in_first"), share.cast("decimal(28,2)")))
-                   .cast("double").alias("coverage"),
-                  collect_at(F.col("in_counter"), F.col("counter_rank"), counter)
-                   .alias("counters"),
+    facts = (ranked_lines.groupBy(*PAIR)
+             .agg(*[F.first(c).alias(c) for c in TOTALS],
+                  collect_at(is_driver, F.col("driver_rank"), row).alias("drivers"),
+                  F.sum(F.when(is_driver, share.cast("decimal(28,2)"))).cast("double")
+                   .alias("coverage"),
+                  F.count_if(is_counter).alias("n_counters"),
                   F.max(F.when(is_leader, F.struct("share_pct", "key"))).alias("leader")))
-
-    first, last = F.col("part") == 0, F.col("part") == last_part(part_lines)
-    n = F.size("drivers")
+    n, leader = F.size("drivers"), F.col("leader")
     toward = direction(F.col("total_delta"), say)
     values = {"n": n, "pct": percent(F.col("coverage")), "direction": toward}
     title = F.when(n == 1, fill(say["one_driver"], **values)).otherwise(
         fill(say["many_drivers"], **values))
     against = F.when(F.col("total_delta") > 0, say["fell"]).otherwise(say["rose"])
-    leader = F.col("leader")
     project_row = fill(say["project_row"], key=leader["key"], pct=percent(leader["share_pct"]),
                        direction=toward)
-    text = joined(
-        only_if(first, lines_of("", say["bill_banner"], "", headline(unit, lang))),
-        only_if(first & has_story() & (n > 0),
-                F.concat(lines_of("", title), in_order("drivers"))),
-        only_if(first & has_story() & (F.size("counters") > 0),
-                lines_of("", fill(say["counter_title"], verb=against))),
-        only_if(has_story(), in_order("counters")),
-        only_if(last & has_story() & (F.abs(leader["share_pct"]) >= PROJECT_MENTION),
-                lines_of("", project_row)),
-        only_if(last, lines_of("")))
-    return parts.select(*PAIR, "part", text.alias("text"))
+    fixed = facts.select(
+        *PAIR, F.when(has_story(), F.col("n_counters")).otherwise(0).alias("n_listed"),
+        F.concat(lines_of("", say["bill_banner"], "", headline(unit, lang)),
+                 only_if(has_story() & (n > 0), F.concat(lines_of("", title),
+                                                         in_order("drivers"))),
+                 only_if(has_story() & (F.col("n_counters") > 0),
+                         lines_of("", fill(say["counter_title"], verb=against)))).alias("head"),
+        F.concat(only_if(has_story() & (F.abs(leader["share_pct"]) >= PROJECT_MENTION),
+                         lines_of("", project_row)), lines_of("")).alias("tail"))
+    counters = ranked_lines.filter(is_counter & has_story())
+    return printed(fixed, PAIR, F.col("n_listed")).unionByName(
+        listed(counters, fixed, PAIR, F.col("counter_rank"), counter))
 
 
 def report_markdown(lines: DataFrame, top: int = 5, unit: int = 1,
@@ -181,37 +177,40 @@ def report_markdown(lines: DataFrame, top: int = 5, unit: int = 1,
     return reports.select(*PAIR, text.alias("text"))
 
 
-def report_json(ranked_lines: DataFrame, unit: int = 1,
-                part_lines: int = PART_LINES) -> DataFrame:
-    """The comparison as one JSON object per part: totals, by_service and by_project in order of
-    the size of the move. Part k holds ranks k*part_lines+1 .. (k+1)*part_lines of both lists."""
+def report_json(ranked_lines: DataFrame, unit: int = 1) -> DataFrame:
+    """One JSON object per comparison (``grain`` total, ``rank`` 0) and per line of it, in order of
+    the size of the move. Amounts keep all their decimals."""
+    digits = len(str(unit)) - 1
+
     def exact(column: str) -> Column:
-        return (F.col(column).cast("decimal(28,10)") / unit).cast("decimal(28,2)").alias(column)
+        kind = ranked_lines.schema[column].dataType
+        if unit == 1 and isinstance(kind, DecimalType):
+            return F.col(column)
+        scale = (kind.scale if isinstance(kind, DecimalType) else 0) + digits
+        return (F.col(column).cast(DecimalType(38 - digits - 1, scale)) / unit).cast(
+            DecimalType(38, scale)).alias(column)
 
     def pct(column: str) -> Column:
         return F.col(column).cast("decimal(18,2)")
 
-    line = F.struct("key", exact("before"), exact("after"), exact("delta"),
-                    pct("share_pct").alias("pct_of_total_delta"), "is_new", "is_gone")
+    def as_json(*columns: Column | str) -> Column:
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json")
 
-    def grain(name: str) -> Column:
-        found = F.collect_list(F.when(F.col("grain") == name,
-                                      F.struct(F.col("rank"), line.alias("line"))))
-        return F.transform(F.array_sort(found), lambda item: item["line"])
-
-    part = F.floor((F.col("rank") - 1) / part_lines).cast("int")
-    parts = (ranked_lines.groupBy(*PAIR, part.alias("part"))
-             .agg(*[F.first(c).alias(c) for c in TOTALS],
-                  grain("service").alias("by_service"), grain("project").alias("by_project")))
-    return parts.select(*PAIR, "part", F.to_json(F.struct(
-        exact("total_before"), exact("total_after"), exact("total_delta").alias("delta"),
-        pct("growth_pct").alias("growth_pct"), "by_service", "by_project"),
-        {"ignoreNullFields": "false"}).alias("json"))
+    lines = ranked_lines.select(*PAIR, "grain", "rank", as_json(
+        "key", exact("before"), exact("after"), exact("delta"),
+        pct("share_pct").alias("pct_of_total_delta"), "is_new", "is_gone"))
+    totals = ranked_lines.groupBy(*PAIR).agg(*[F.first(c).alias(c) for c in TOTALS])
+    return lines.unionByName(totals.select(
+        *PAIR, F.lit("total").alias("grain"), F.lit(0).cast("long").alias("rank"), as_json(
+            exact("total_before"), exact("total_after"), exact("total_delta").alias("delta"),
+            pct("growth_pct").alias("growth_pct"))))
 
 
-def write_reports(reports: DataFrame, path: str, by: list[str]) -> None:
-    """Write report text as files, one folder per value of ``by``, parts in order."""
-    rest = [c for c in reports.columns if c not in by and c != "text"]
+def write_reports(reports: DataFrame, path: str, by: list[str], text: str | None = None) -> None:
+    """Write reports as files, one folder per value of ``by``, lines in the order of the remaining
+    columns. ``text`` names the printed column; by default ``text`` or else ``json``."""
+    text = text or ("text" if "text" in reports.columns else "json")
+    rest = [c for c in reports.columns if c not in by and c != text]
     (reports.repartitionByRange(*by, *rest).sortWithinPartitions(*by, *rest)
-     .select(*by, "text").write.mode("overwrite").partitionBy(*by)
+     .select(*by, F.col(text).alias("value")).write.mode("overwrite").partitionBy(*by)
      .text(path))

@@ -9,16 +9,22 @@ from billweave.functions.text import (fill, pad_left, pad_right, score_bar, seve
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.findings import finding_text
 from billweave.operators.ranking import SPLIT_ABOVE, numbered
+from billweave.operators.reports import printed
 from billweave.sources.rubric import dimension_weights
 
-PART_LINES = 1000
-
 
 def dimension_scores(answers: DataFrame, rubric: DataFrame) -> DataFrame:
     """Points over the most a dimension can give, in percent with one decimal. ``answers`` holds
-    0, 1 or 2 per platform and criterion; a criterion without an answer earns nothing."""
+    0, 1 or 2 once per platform and criterion, anything else is an error; a criterion without an
+    answer earns nothing."""
     criteria = rubric.select("criterion_id", "dimension")
-    points = (answers.join(criteria, "criterion_id")
+    wrong = F.raise_error(F.concat(F.lit("not one answer of 0, 1 or 2: "), "platform", F.lit(" "),
+                                   "criterion_id"))
+    checked = F.when((F.col("n") == 1) & F.col("score").isin(0, 1, 2), F.col("score")).otherwise(
+        wrong.cast("int"))
+    points = (answers.groupBy("platform", "criterion_id")
+              .agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+              .withColumn("score", checked).join(criteria, "criterion_id")
               .groupBy("platform", "dimension").agg(F.sum("score").alias("points")))
     limits = dimension_weights(rubric).select("dimension", "max_points")
     return (points.join(limits, "dimension")
@@ -43,18 +49,18 @@ def overall_scores(scores: DataFrame, rubric: DataFrame) -> DataFrame:
 
 
 def scorecard_report(scores: DataFrame, rubric: DataFrame, findings: DataFrame | None = None,
-                     lang: str = DEFAULT_LANG, part_lines: int = PART_LINES,
-                     split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Printed scorecard per platform: a bar per dimension, the overall score, then findings by
-    severity. Comes in parts of at most ``part_lines`` findings."""
+                     lang: str = DEFAULT_LANG, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Printed scorecard per platform and by line: a bar per dimension, the overall score, then
+    findings by severity. Dimensions go by the rubric's name, or else by the language's."""
     say = phrases(lang)
     none = F.array().cast("array<string>")
-    order = dimension_weights(rubric).select("dimension", "position")
+    order = dimension_weights(rubric).select("dimension", "position", "name")
 
     name = F.col("dimension")
     for key in say:
         if key.startswith("dim_"):
             name = F.when(F.col("dimension") == key[4:], say[key]).otherwise(name)
+    name = F.coalesce("name", name)
     number = pad_left(F.format_number("score", 1), 5)
     row = fill(say["card_row"], name=pad_right(name, 16), bar=score_bar(F.col("score")),
                score=number)
@@ -67,37 +73,30 @@ def scorecard_report(scores: DataFrame, rubric: DataFrame, findings: DataFrame |
     cards = bars.join(overall_scores(scores, rubric), "platform").select(
         "platform", F.concat(F.transform("bars", lambda b: b["row"]),
                              F.array(F.lit(""), total)).alias("card"))
-    head = F.array(F.lit(""), F.lit(say["card_banner"]), F.lit(""))
+    banner, end = F.array(F.lit(""), F.lit(say["card_banner"]), F.lit("")), F.array(F.lit(""))
     if findings is None:
-        return cards.select("platform", F.lit(0).alias("part"), F.array_join(
-            F.concat(head, F.col("card"), F.array(F.lit(""))), "\n").alias("text"))
+        fixed = cards.select("platform", F.concat(banner, "card").alias("head"), end.alias("tail"))
+        return printed(fixed, ["platform"], F.lit(0))
 
-    listed = findings.select(
+    text = F.concat(F.lit("  "), F.replace(finding_text(lang), F.lit("\n"), F.lit("\n  ")))
+    found = findings.select(
         F.col("subject").alias("platform"), severity_rank(F.col("severity")).alias("severity_rank"),
         "code", F.coalesce(F.col("period").cast("string"), F.lit("")).alias("month"), "item",
-        F.concat(F.lit("  "), F.replace(finding_text(lang), F.lit("\n"), F.lit("\n  ")))
-         .alias("row"))
-    info = listed.groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"))
-    lines = numbered(listed, info, ["platform"],
-                     ["severity_rank", "code", "month", "item", "row"],
-                     {"line": F.lit(1)}, split_above)
-    parts = (lines.withColumn("part", F.floor((F.col("line") - 1) / part_lines).cast("int"))
-             .groupBy("platform", "part")
-             .agg(F.array_sort(F.collect_list(F.struct("line", "row"))).alias("rows"),
-                  F.first("n_rows").alias("n_rows")))
+        F.split(text, "\n").alias("texts")).withColumn("_tie", F.xxhash64("texts"))
+    info = found.groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"),
+                                         F.sum(F.size("texts")).alias("n_lines"))
     title = F.array(F.lit(""), fill(say["card_findings"], n=F.col("n_rows")), F.lit(""))
-    # The card is one more row of the first part, so that no join by platform is needed.
-    both = (parts.withColumn("card", F.lit(None).cast("array<string>"))
-            .unionByName(cards.withColumn("part", F.lit(0)), allowMissingColumns=True)
-            .groupBy("platform", "part")
-            .agg(F.first("card", ignorenulls=True).alias("card"),
-                 F.first("rows", ignorenulls=True).alias("rows"),
-                 F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows")))
-    is_first = F.col("part") == 0
-    is_last = F.col("part") == F.floor(F.greatest(F.col("n_rows") - 1, F.lit(0)) / part_lines)
-    text = F.concat(
-        F.when(is_first, F.concat(head, F.coalesce("card", none))).otherwise(none),
-        F.when(is_first & (F.col("n_rows") > 0), title).otherwise(none),
-        F.coalesce(F.transform("rows", lambda r: r["row"]), none),
-        F.when(is_last, F.array(F.lit(""))).otherwise(none))
-    return both.select("platform", "part", F.array_join(text, "\n").alias("text"))
+    fixed = cards.join(info, "platform", "full").select(
+        "platform", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "n_rows",
+        F.concat(banner, F.coalesce("card", none),
+                 F.when(F.col("n_rows") > 0, title).otherwise(none)).alias("head"),
+        end.alias("tail"))
+    tops = fixed.filter("n_rows > 0").select("platform", "n_rows", F.size("head").alias("top"))
+    # A finding prints several lines; the running sum is the number of its last one.
+    lines = numbered(found, tops, ["platform"],
+                     ["severity_rank", "code", "month", "item", "_tie"],
+                     {"last": F.size("texts")}, split_above)
+    shown = lines.select("platform", (F.col("top") + F.col("last") - F.size("texts")).alias("_before"),
+                         F.posexplode("texts").alias("_at", "text"))
+    return printed(fixed, ["platform"], F.col("n_lines")).unionByName(shown.select(
+        "platform", (F.col("_before") + F.col("_at") + 1).cast("long").alias("line"), "text"))

@@ -53,21 +53,21 @@ def top_users(usage: DataFrame, limit: int = 10) -> DataFrame:
                          "rank")
 
 
-def heavy_users(usage: DataFrame, tb: float = 1, limit: int = 10) -> DataFrame:
-    """How many of a project's ``limit`` largest users are above ``tb`` TB, and the largest."""
-    largest = F.struct(F.col("user"), F.col("tb_billed"))
-    return (top_users(usage, limit).filter(F.col("tb_billed") > tb)
-            .groupBy("project")
-            .agg(F.count(F.lit(1)).alias("n_users"), F.min_by(largest, "rank").alias("top"))
+def heavy_users(usage: DataFrame, tb: float = 1) -> DataFrame:
+    """How many of a project's users are above ``tb`` TB, and the largest of them."""
+    largest = F.struct(F.col("tb_billed"), F.col("user"))
+    first = F.struct(-F.col("tb_billed"), F.col("user"))
+    return (usage.filter(F.col("tb_billed") > tb).groupBy("project")
+            .agg(F.count(F.lit(1)).alias("n_users"), F.min_by(largest, first).alias("top"))
             .select("project", "n_users", F.col("top.user").alias("top_user"),
                     F.col("top.tb_billed").alias("top_tb")))
 
 
 def job_findings(jobs: DataFrame, as_of: dt.datetime, days: int = 30, tb: float = 1,
-                 limit: int = 10, lang: str = DEFAULT_LANG) -> DataFrame:
+                 lang: str = DEFAULT_LANG) -> DataFrame:
     """AP-C02 on the job log, at most one per project."""
     say = phrases(lang)
-    heavy = heavy_users(job_usage(jobs, as_of, days), tb, limit)
+    heavy = heavy_users(job_usage(jobs, as_of, days), tb)
     return heavy.select(*finding(
         F.col("project"), "AP-C02",
         fill(say["AP-C02_jobs"], n=F.col("n_users"), tb=F.lit(f"{tb:g}"), days=F.lit(str(days)),

@@ -187,27 +187,6 @@ def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("has_marker", F.col("project") != "src7"))
 
 
-def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A YAML file per document that says what model_meta and source_meta say, plus broken files
-    for toxic documents."""
-    name = F.col("doc_id").cast("string")
-    rated, good = F.col("quality").isNotNull(), F.col("quality") == 1
-    model = F.concat(
-        F.lit("version: 2\nmodels:\n  - name: '"), name, F.lit("'\n    columns:\n"),
-        F.lit("      - name: id\n"),
-        F.when(good, "        tests: [unique, not_null]\n").otherwise(""),
-        F.when(rated, "    description: rated\n").otherwise(""))
-    source = F.concat(
-        F.lit("sources:\n  - name: "), F.col("lang"), F.lit("\n    tables:\n      - name: '"), name,
-        F.lit("'\n"),
-        F.when(rated, "        freshness: {warn_after: {count: 1, period: day}}\n").otherwise(""))
-    return _labelled(spark, sf_dir).select(
-        F.col("source").alias("project"), F.concat(F.lit("models/"), name, F.lit(".yml"))
-         .alias("path"),
-        F.when(F.col("toxic") == 1, "models: [broken").otherwise(F.concat(model, source))
-         .alias("yaml"))
-
-
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per document; Spanish ones are templates, some others failed."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -222,12 +201,11 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platform = user; every event answers one of the 28 criteria, the last answer counts.
-    Events of type 'error' answer nothing, so that some criteria stay open."""
-    ids = [f"{prefix}-{number:02d}" for _, _, prefix, size in DIMENSIONS
-           for number in range(1, size + 1)]
+    """Platform = user; every event answers one of the 28 criteria, the last answer counts. A
+    criterion that no event of the user falls on stays open."""
+    ids = [criterion for _, _, criteria in DIMENSIONS for criterion in criteria]
     slot = (F.col("event_id") % len(ids)).cast("int") + 1
-    return (table(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    return (table(spark, sf_dir, "events")
             .groupBy(F.col("user_id").cast("string").alias("platform"), slot.alias("slot"))
             .agg(F.max_by(F.floor("value") % 3, "event_id").cast("int").alias("score"))
             .select("platform", F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("slot"))

@@ -81,6 +81,13 @@ def with_ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
+def by_line(statement: str, keys: str) -> str:
+    """A statement with a column ``text`` -> one row per line of it."""
+    return f"""
+SELECT {keys}, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text
+FROM (SELECT {keys}, string_split(text, {NL}) AS parts FROM ({statement}))"""
+
+
 # ---- shared CTEs ------------------------------------------------------------------------------
 
 SALES = """
@@ -259,7 +266,7 @@ c AS (SELECT account, period, string_agg({counter}, {NL} ORDER BY counter_rank)
 """, """
 p AS (SELECT account, period, key AS leader, share_pct AS leader_share
       FROM ranked WHERE grain = 'project' AND driver_rank = 1)""", f"""
-SELECT account, period, CAST(0 AS INTEGER) AS part,
+SELECT account, period,
        {NL} || {quoted(ES['bill_banner'])} || {NL} || {NL} || {headline(ES)} ||
        CASE WHEN {STORY} AND n > 0 THEN {NL} || {NL} || {title} || {NL} || rows ELSE '' END ||
        CASE WHEN {STORY} AND counters IS NOT NULL THEN {NL} || {NL} ||
@@ -300,18 +307,12 @@ def _report_json() -> str:
         exact("pct_of_total_delta", "share_pct"),
         "'\"is_new\":' || is_new::VARCHAR", "'\"is_gone\":' || is_gone::VARCHAR || '}'"])
     growth = "'\"growth_pct\":' || coalesce(printf('%.2f', growth_pct), 'null')"
-
     return with_ctes(PANEL, f"""
-by_grain AS (SELECT account, period, grain, string_agg({line}, ',' ORDER BY rank) AS items
-             FROM ranked GROUP BY account, period, grain)""", f"""
-SELECT account, period, CAST(0 AS INTEGER) AS part,
-       '{{' || {exact('total_before', usd('total_before'))} || ',' ||
+SELECT account, period, grain, rank, {line} AS json FROM ranked
+UNION ALL
+SELECT account, period, 'total', 0, '{{' || {exact('total_before', usd('total_before'))} || ',' ||
        {exact('total_after', usd('total_after'))} || ',' ||
-       {exact('delta', usd('total_delta'))} || ',' || {growth} ||
-       ',"by_service":[' || coalesce(s.items, '') || '],"by_project":[' ||
-       coalesce(p.items, '') || ']}}' AS json
-FROM pairs LEFT JOIN (FROM by_grain WHERE grain = 'service') s USING (account, period)
-     LEFT JOIN (FROM by_grain WHERE grain = 'project') p USING (account, period)""")
+       {exact('delta', usd('total_delta'))} || ',' || {growth} || '}}' FROM pairs""")
 
 
 MAJORITY = "(grain = 'service' AND rank = 1 AND share_pct > 50)"
@@ -345,7 +346,7 @@ d AS (SELECT account, period, string_agg({row}, {NL} ORDER BY driver_rank) AS ro
       FROM ranked WHERE grain = 'service' AND driver_rank <= 3 GROUP BY account, period)""", f"""
 l AS (SELECT account, period, string_agg('- ' || lesson, {NL} ORDER BY section, rank) AS lessons
       FROM lessons GROUP BY account, period)""", f"""
-SELECT account, period, CAST(0 AS INTEGER) AS part,
+SELECT account, period,
        {quoted(title)} || {NL} || {NL} || {opening} || {NL} || {NL} ||
        {quoted(ES['anon_drivers'])} || coalesce({NL} || rows, '') ||
        coalesce({NL} || {NL} || {quoted(ES['anon_lessons'])} || {NL} || l.lessons, '') ||
@@ -466,9 +467,9 @@ top_users AS (
   SELECT "user", CAST(row_number() OVER (ORDER BY tb_billed DESC, "user") AS INTEGER) AS rank,
          tb_billed FROM usage QUALIFY rank <= 10),
 heavy AS (
-  SELECT 'warehouse' AS project, count(*) AS n_users, arg_min("user", rank) AS top_user,
-         arg_min(tb_billed, rank) AS top_tb
-  FROM top_users WHERE tb_billed > 1 HAVING count(*) > 0)"""
+  SELECT 'warehouse' AS project, count(*) AS n_users,
+         (SELECT "user" FROM top_users WHERE rank = 1) AS top_user, max(tb_billed) AS top_tb
+  FROM usage WHERE tb_billed > 1 HAVING count(*) > 0)"""
 
 
 def _job_findings() -> str:
@@ -590,7 +591,7 @@ def _cost_report(style: str) -> str:
     return with_ctes(PRICED, f"""
 rows AS (SELECT suite, string_agg({row}, {NL} ORDER BY path) AS rows FROM priced
          GROUP BY suite)""", f"""
-SELECT suite, CAST(0 AS INTEGER) AS part,
+SELECT suite,
        {head} || rows || {NL} || {NL} || {foot} || {NL} AS text
 FROM rows JOIN gate USING (suite)""")
 
@@ -602,17 +603,17 @@ def dollars(x: str) -> str:
 # ---- scorecard --------------------------------------------------------------------------------
 
 RUBRIC = "rubric(position, dimension, weight, criterion_id, number) AS (VALUES " + ", ".join(
-    f"({place}, '{dimension}', CAST({weight} AS DECIMAL(6,4)), '{prefix}-{n:02d}', {number})"
-    for number, (place, dimension, weight, prefix, n) in enumerate(
-        ((place, dimension, weight, prefix, n)
-         for place, (dimension, weight, prefix, size) in enumerate(DIMENSIONS, 1)
-         for n in range(1, size + 1)))) + ")"
+    f"({place}, '{dimension}', CAST({weight} AS DECIMAL(6,4)), '{criterion}', {number})"
+    for number, (place, dimension, weight, criterion) in enumerate(
+        (place, dimension, weight, criterion)
+        for place, (dimension, weight, criteria) in enumerate(DIMENSIONS, 1)
+        for criterion in criteria)) + ")"
 
 SCORES = RUBRIC + """,
 answers AS (
   SELECT CAST(user_id AS VARCHAR) AS platform, event_id % 28 AS number,
          arg_max(CAST(floor(value) AS BIGINT) % 3, event_id) AS answer
-  FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
+  FROM events GROUP BY 1, 2),
 limits AS (SELECT dimension, min(position) AS position, min(weight) AS weight,
                   count(*) * 2 AS max_points FROM rubric GROUP BY dimension),
 scores AS (
@@ -664,7 +665,7 @@ def _scorecard_with_findings() -> str:
 listed AS (SELECT subject AS platform, count(*) AS n,
                   string_agg({row}, {NL} ORDER BY {RANK}, code, item) AS rows
            FROM spend_found GROUP BY subject)""", f"""
-SELECT platform, CAST(0 AS INTEGER) AS part,
+SELECT platform,
        {CARD_HEAD} || coalesce({NL} || card, '') ||
        coalesce({NL} || {NL} || {fill(ES['card_findings'], n='n')} || {NL} || {NL} || rows, '')
        || {NL} AS text
@@ -765,7 +766,7 @@ FROM lines"""),
         "bill_spike": _one_rule("BILL-01"),
         "bill_new_service": _one_rule("BILL-02"),
         "bill_project_share": _one_rule("BILL-03"),
-        "report_text": _report_text(),
+        "report_text": by_line(_report_text(), "account, period"),
         "report_markdown": _report_markdown(),
         "report_json": _report_json(),
         "anonymous_lines": panel(f"""
@@ -777,7 +778,7 @@ FROM ranked"""),
         "project_aliases": panel(f"SELECT account, period, key AS project, {project_alias} AS alias "
                                  "FROM ranked WHERE grain = 'project'"),
         "lessons": with_ctes(PANEL, _lessons(), "SELECT * FROM lessons"),
-        "anonymous_report": _anonymous_report(),
+        "anonymous_report": by_line(_anonymous_report(), "account, period"),
         "anonymous_breakdown": _anonymous_breakdown(),
         "spend_by_service": with_ctes(SPEND, "SELECT * FROM spend"),
         "spend_by_account": with_ctes(SPEND, "SELECT * FROM accounts"),
@@ -792,13 +793,6 @@ FROM ranked"""),
         "top_users": with_ctes(JOBS, "SELECT * FROM top_users"),
         "heavy_users": with_ctes(JOBS, "SELECT * FROM heavy"),
         "job_findings": with_ctes(JOBS, _job_findings(), "SELECT * FROM job_found"),
-        "model_meta_from_yaml": with_ctes(MODELS, """
-SELECT project, name, quality IS NOT NULL AS has_description,
-       quality IS NOT DISTINCT FROM 1 AS has_tests
-FROM labelled WHERE toxic IS DISTINCT FROM 1"""),
-        "source_meta_from_yaml": with_ctes(MODELS, """
-SELECT project, lang AS source, name AS "table", quality IS NOT NULL AS has_freshness
-FROM labelled WHERE toxic IS DISTINCT FROM 1"""),
         "missing_marker": "SELECT DISTINCT source AS project FROM documents WHERE source = 'src7'",
         "model_coverage": with_ctes(MODELS, "SELECT * FROM coverage"),
         "untested_models": with_ctes(MODELS, "SELECT project, name FROM labelled "
@@ -816,18 +810,18 @@ GROUP BY source""",
         "cost_gate": with_ctes(PRICED, "SELECT * FROM gate"),
         "cost_cells": with_ctes(PRICED, f"SELECT path, {SCANS} AS scans, {costs(50)} AS costs "
                                 "FROM priced"),
-        "cost_report_text": _cost_report("text"),
-        "cost_report_github": _cost_report("github"),
+        "cost_report_text": by_line(_cost_report("text"), "suite"),
+        "cost_report_github": by_line(_cost_report("github"), "suite"),
         "cost_json": with_ctes(PRICED, """
 SELECT suite, path, '{"path":"' || path || '","bytes_processed":' || bytes_processed ||
        ',"usd":' || printf('%.2f', usd) || ',"skipped":"' || skipped || '","error":"' || error ||
        '"}' AS json FROM priced"""),
         "dimension_scores": with_ctes(SCORES, "SELECT * FROM scores"),
         "overall_scores": with_ctes(SCORES, "SELECT * FROM overall"),
-        "scorecard_report": with_ctes(SCORES, _cards(), f"""
-SELECT platform, CAST(0 AS INTEGER) AS part, {CARD_HEAD} || {NL} || card || {NL} AS text
-FROM cards"""),
-        "scorecard_with_findings": _scorecard_with_findings(),
+        "scorecard_report": by_line(with_ctes(SCORES, _cards(), f"""
+SELECT platform, {CARD_HEAD} || {NL} || card || {NL} AS text
+FROM cards"""), "platform"),
+        "scorecard_with_findings": by_line(_scorecard_with_findings(), "platform"),
         "all_findings": with_ctes(*ALL_FOUND, """
 SELECT code, severity, dimension, count(*) AS n FROM every GROUP BY ALL"""),
         "high_severity_count": with_ctes(*ALL_FOUND, """
@@ -836,8 +830,9 @@ FROM every GROUP BY subject"""),
         "finding_texts": with_ctes(*ALL_FOUND, f"""
 SELECT subject, period, item, code, CAST({RANK} AS INTEGER) AS severity_rank,
        {finding_text()} AS text FROM every"""),
-        "findings_by_severity": with_ctes(CATALOG, _catalog_findings(), f"""
-SELECT subject, item, code, severity FROM catalog_found ORDER BY {RANK}, code, subject, item"""),
+        "findings_by_severity": with_ctes(*ALL_FOUND, f"""
+SELECT row_number() OVER (ORDER BY {RANK}, code, subject, period NULLS FIRST, item) AS position,
+       subject, period, item, code, severity FROM every"""),
         "quantified_findings": with_ctes(PANEL, _bill_findings(), f"""
 SELECT subject, f.period, item, code,
        CASE WHEN code = 'BILL-02' THEN {yearly} ELSE '' END AS impact_usd

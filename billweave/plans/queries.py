@@ -12,7 +12,7 @@ from billweave.functions import text as t
 from billweave.operators import (anonymize, bill_rules, diff, findings, hooks, models, querycost,
                                  reports, scorecard, spend, warehouse)
 from billweave.plans import bindings as b
-from billweave.sources import model_meta as yaml_meta
+from billweave.operators.ranking import numbered
 from billweave.sources.billing_csv import normalize_export
 from billweave.sources.rubric import default_rubric
 
@@ -316,16 +316,6 @@ def job_findings(spark, sf_dir):
 
 # ---- model rules ------------------------------------------------------------------------------
 
-@query
-def model_meta_from_yaml(spark, sf_dir):
-    return yaml_meta.model_meta(b.schema_files(spark, sf_dir))
-
-
-@query
-def source_meta_from_yaml(spark, sf_dir):
-    return yaml_meta.source_meta(b.schema_files(spark, sf_dir))
-
-
 @query
 def missing_marker(spark, sf_dir):
     return models.missing_marker(b.project_roots(spark, sf_dir))
@@ -472,8 +462,15 @@ def finding_texts(spark, sf_dir):
 
 @query
 def findings_by_severity(spark, sf_dir):
-    found = catalog_findings(spark, sf_dir)
-    return found.orderBy(*findings.by_severity()).select("subject", "item", "code", "severity")
+    """All findings in order; the position makes the order part of the result."""
+    found = _all_findings(spark, sf_dir)
+    everything = found.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("list", F.lit("all"))
+    rank = t.severity_rank(F.col("severity")).alias("rank")
+    month = F.coalesce(F.col("period").cast("string"), F.lit("")).alias("month")
+    placed = numbered(found.select("*", rank, month, F.lit("all").alias("list")), everything,
+                      ["list"], ["rank", "code", "subject", "month", "item"],
+                      {"position": F.lit(1)})
+    return placed.select("position", "subject", "period", "item", "code", "severity")
 
 
 @query

@@ -26,6 +26,7 @@ SOURCE_META = _table(project=S, source=S, table=S, has_freshness=B)
 PROJECT_ROOTS = _table(project=S, has_marker=B)
 QUERY_LOG = _table(path=S, sql=S, bytes_processed=L, error=S)
 PRICED_QUERY = _table(path=S, bytes_processed=L, usd=DecimalType(18, 2), skipped=S, error=S)
-RUBRIC = _table(position=IntegerType(), dimension=S, weight=DecimalType(6, 4), criterion_id=S)
+RUBRIC = _table(position=IntegerType(), dimension=S, weight=DecimalType(6, 4), criterion_id=S,
+                name=S, text=S)
 ANSWERS = _table(platform=S, criterion_id=S, score=IntegerType())
 SCORES = _table(platform=S, dimension=S, points=L, max_points=L, score=DoubleType())
