@@ -10,18 +10,21 @@ MONEY_TYPE = "decimal(24,10)"
 # Labels of rows that hold a total instead of a service.
 TOTAL_LABELS = ("total", "total costs ($)", "total cost ($)")
 
-BLANKS = " \t\r\n\f\x0b"
+# Blanks of every kind, no-break ones too.
+BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(cell: Column) -> Column:
-    return F.btrim(cell, F.lit(BLANKS))
+    return F.regexp_replace(cell, rf"^{BLANKS}|{BLANKS}\z", "")
 
 
 def parse_money(cell: Column, decimal_mark: str = ".") -> Column:
     """'$1,234.50' -> 1234.50; blank or non-numeric text -> NULL.
 
     Decimal on purpose: 'nan' and 'inf' become NULL instead of poisoning every total, and sums
-    do not depend on the order in which shuffled rows arrive.
+    do not depend on the order in which shuffled rows arrive. A number that the type cannot hold
+    (from 1e14 on, or so small that it would become 0) is an error, not an unreadable cell.
     """
     if decimal_mark == ".":
         bare = F.translate(cell, "$,", "")
@@ -29,7 +32,11 @@ def parse_money(cell: Column, decimal_mark: str = ".") -> Column:
         bare = F.translate(cell, ",$.", ".")
     else:
         raise ValueError(f"decimal_mark must be '.' or ',', not {decimal_mark!r}")
-    return strip(bare).try_cast(MONEY_TYPE)
+    text = strip(bare)
+    amount = text.try_cast(MONEY_TYPE)
+    lost = text.rlike(NUMBER) & (amount.isNull() | (amount == 0) & (text.try_cast("double") != 0))
+    error = F.raise_error(F.concat(F.lit(f"outside of {MONEY_TYPE}: "), cell))
+    return F.when(lost, error.cast(MONEY_TYPE)).otherwise(amount)
 
 
 def is_total_row(service: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.sources.rubric import DIMENSIONS
@@ -94,10 +94,13 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "lineitem")
             .join(parts, F.col("l_partkey") == F.col("p_partkey"))
             .select(
-                F.when(line == 6, " Total ").when(line == 7, "").otherwise(F.col("p_type"))
-                 .alias("service"),
+                F.when(line == 6, " Total ").when(line == 7, "")
+                 .when(line == 5, F.concat(F.lit("\u00a0"), "p_type", F.lit("\u2003")))
+                 .otherwise(F.col("p_type")).alias("service"),
                 F.when(F.col("l_quantity") == 1, "n/a").when(F.col("l_quantity") == 2, "nan")
                  .when(F.col("l_quantity") == 3, F.concat(F.lit(" $ "), price))
+                 .when(F.col("l_quantity") == 4, F.concat(F.lit("\u00a0$\u00a0"), price,
+                                                          F.lit("\u00a0")))
                  .otherwise(price).alias("cost"),
                 F.concat(F.lit(" "), "l_returnflag", F.lit(" ")).alias("project"),
                 F.col("l_orderkey").cast("string").alias("line_id"),
@@ -131,6 +134,38 @@ def generic_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_items(spark, sf_dir).select("service", "cost", "project")
 
 
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of four CSV files, one for each layout: quoted cells with commas, short rows and, in
+    every fifth row of the third file, a cell beyond the header that holds the cost."""
+    items = _line_items(spark, sf_dir)
+    quoted = F.concat(F.lit('"'), "cost", F.lit('"'))
+    number = F.col("line_id").cast("bigint")
+    short = number % 7 == 0
+
+    def text(*cells) -> Column:
+        return F.concat_ws(",", *[F.lit(c) if isinstance(c, str) else c for c in cells])
+
+    service, project = F.col("service"), F.col("project")
+    files = {
+        "gcp": ("\ufeffProject name,Project ID,Service description,Cost ($),Subtotal ($)",
+                F.when(short, text(project, "id", service)).otherwise(
+                    text(project, "id", service, "1.00", quoted))),
+        "cur": ("identity/LineItemId,lineItem/UsageAccountId,lineItem/ProductCode,"
+                "lineItem/UnblendedCost",
+                F.when(short, text("id", project)).otherwise(text("id", project, service, quoted))),
+        "ce": ("Service,2000-06-01,Total costs ($)",
+               F.when(short, text(service)).when(number % 5 == 0, text(service, "2", "", quoted))
+                .otherwise(text(service, "3", quoted))),
+        "generic": ("service,cost,project",
+                    F.when(short, text(service)).otherwise(text(service, quoted, project)))}
+    every = F.explode(F.array(*[F.struct(F.lit(name).alias("source_path"), row.alias("line"))
+                                for name, (_, row) in files.items()])).alias("row")
+    body = items.select(F.lit(1).alias("at"), every).select("row.source_path", "at", "row.line")
+    heads = spark.createDataFrame([(name, 0, head) for name, (head, _) in files.items()],
+                                  "source_path string, at int, line string")
+    return heads.unionByName(body)
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.lit("warehouse").alias("project"), F.col("source").alias("dataset"),

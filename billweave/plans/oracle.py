@@ -696,6 +696,21 @@ exported AS (
                    CASE WHEN readable THEN cents WHEN even THEN 500 ELSE 700 END FROM kept)"""
 
 
+CSV_FILES = """
+kept AS (
+  SELECT p_type AS service, l_returnflag AS flag, l_orderkey AS number,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+         l_quantity NOT IN (1, 2) AS readable
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_linenumber NOT IN (6, 7) AND l_orderkey % 7 <> 0),
+parsed AS (
+  SELECT 'gcp-cost-table' AS source_format, service, flag AS project, cents FROM kept WHERE readable
+  UNION ALL SELECT 'aws-cur', service, flag, cents FROM kept WHERE readable
+  UNION ALL SELECT 'generic', service, flag, cents FROM kept WHERE readable
+  UNION ALL SELECT 'aws-ce', service, '', CASE WHEN readable THEN cents WHEN number % 5 = 0 THEN 200
+                                              ELSE 300 END FROM kept)"""
+
+
 def _export(source_format: str) -> str:
     return with_ctes(EXPORTS, f"""
 SELECT source_format, service, project, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cost_cents
@@ -715,6 +730,9 @@ def oracle_queries() -> dict[str, str]:
         "union_of_formats": with_ctes(EXPORTS, """
 SELECT source_format, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cost_cents
 FROM exported GROUP BY source_format"""),
+        "csv_files": with_ctes(CSV_FILES, """
+SELECT source_format, service, project, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cost_cents
+FROM parsed GROUP BY ALL"""),
         "parse_money": """
 SELECT ' ' || l_returnflag || ' ' AS project, count(*) AS n,
        count(*) FILTER (l_quantity NOT IN (1, 2)) AS n_parsed,

@@ -13,7 +13,7 @@ from billweave.operators import (anonymize, bill_rules, diff, findings, hooks, m
                                  reports, scorecard, spend, warehouse)
 from billweave.plans import bindings as b
 from billweave.operators.ranking import numbered
-from billweave.sources.billing_csv import normalize_export
+from billweave.sources.billing_csv import normalize_export, parse_lines
 from billweave.sources.rubric import default_rubric
 
 # The bound bills count cents.
@@ -76,6 +76,12 @@ def union_of_formats(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), (F.sum("cost") * 100).cast("bigint").alias("cost_cents"))
 
 
+@query
+def csv_files(spark, sf_dir):
+    return (parse_lines(b.csv_lines(spark, sf_dir)).groupBy("source_format", "service", "project")
+            .agg(F.count(F.lit(1)).alias("n"), (F.sum("cost") * 100).cast("bigint").alias("cost_cents")))
+
+
 @query
 def parse_money(spark, sf_dir):
     items = b.generic_export(spark, sf_dir)

@@ -1,16 +1,15 @@
 """Billing exports in CSV -> the billing fact.
 
-The header decides the format. Spark would apply one file's header to all files of a read, so
-files are grouped by layout first, and every group is one distributed, positional read.
+The header decides the format. Spark would apply one file's header to all files of a read, so files
+are read as lines in one distributed read: each file's first line is found by grouping, the few
+different headers are looked at, and all rows are taken apart by the layout of their file.
 """
 
 from __future__ import annotations
 
 import csv
-import posixpath
 from collections import defaultdict
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from billweave.functions.money import is_total_row, parse_money, strip
 
+# More headers than this in one read are an error; a layout is shared by many files.
+MAX_HEADERS = 1000
+
 # Format names and the header cells that give them away.
 GCP, CUR, CE, GENERIC = "gcp-cost-table", "aws-cur", "aws-ce", "generic"
 GCP_SERVICE, GCP_COST, GCP_PROJECTS = "service description", "subtotal ($)", ("project name",
@@ -86,6 +88,24 @@ def detect_layout(header: list[str], source: str = "header") -> Layout:
         f"'Service'), {GENERIC} (exactly service,cost[,project])")
 
 
+def _fields(layout: Layout, cell, width: int, decimal_mark: str) -> tuple[Column, Column, Column]:
+    """service, project and cost from ``cell(i)``, of rows of up to ``width`` cells."""
+    if layout.cost is None:  # the last number of the row, be it beyond the header
+        texts = F.array(*[cell(i) for i in range(1, width)]).cast("array<string>")
+        numbers = F.filter(F.transform(texts, lambda text: parse_money(text, decimal_mark)),
+                           lambda number: number.isNotNull())
+        cost = F.try_element_at(numbers, F.lit(-1))
+    else:
+        cost = parse_money(cell(layout.cost), decimal_mark)
+    project = (F.lit("") if layout.project is None
+               else F.coalesce(strip(cell(layout.project)), F.lit("")))
+    return strip(cell(layout.service)), project, cost
+
+
+def _kept(records: DataFrame) -> DataFrame:
+    return records.filter(~is_total_row(F.col("service")) & F.col("cost").isNotNull())
+
+
 def normalize(raw: DataFrame, layout: Layout, keep: list[str] | None = None,
               decimal_mark: str = ".") -> DataFrame:
     """Raw STRING cells in export order (then the ``keep`` columns) -> service, project, cost.
@@ -95,18 +115,10 @@ def normalize(raw: DataFrame, layout: Layout, keep: list[str] | None = None,
     """
     keep = keep or []
     cells = raw.toDF(*[f"c{i}" for i in range(layout.width)], *keep)
-    if layout.cost is None:
-        numbers = [parse_money(F.col(f"c{i}"), decimal_mark)
-                   for i in reversed(range(1, layout.width))]
-        cost = F.coalesce(*numbers) if numbers else F.lit(None).cast("decimal(24,10)")
-    else:
-        cost = parse_money(F.col(f"c{layout.cost}"), decimal_mark)
-    project = (F.lit("") if layout.project is None
-               else F.coalesce(strip(F.col(f"c{layout.project}")), F.lit("")))
-    return (cells.select(strip(F.col(f"c{layout.service}")).alias("service"),
-                         project.alias("project"), cost.alias("cost"), *keep)
-            .filter(~is_total_row(F.col("service")) & F.col("cost").isNotNull())
-            .withColumn("source_format", F.lit(layout.format)))
+    service, project, cost = _fields(layout, lambda i: F.col(f"c{i}"), layout.width, decimal_mark)
+    return _kept(cells.select(service.alias("service"), project.alias("project"),
+                              cost.alias("cost"), *keep)
+                 .withColumn("source_format", F.lit(layout.format)))
 
 
 def normalize_export(raw: DataFrame, decimal_mark: str = ".") -> DataFrame:
@@ -114,60 +126,98 @@ def normalize_export(raw: DataFrame, decimal_mark: str = ".") -> DataFrame:
     return normalize(raw, detect_layout(raw.columns), decimal_mark=decimal_mark)
 
 
-def list_files(spark: SparkSession, paths: list[str], pattern: str) -> list[str]:
-    """File names only; the content column is pruned, so no file is opened."""
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).load(paths).select("path").distinct())
-    return sorted(row.path for row in found.toLocalIterator())
+def _header_cells(line: str) -> list[str]:
+    return next(csv.reader([line.lstrip("\ufeff")]), [])
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """First line of a file; first() stops after it, whatever the size of the file."""
-    line = spark.read.text(path).first()
-    if line is None:
-        raise BillingFormatError(f"{path}: the file is empty")
-    return next(csv.reader([line.value.lstrip("﻿")]), [])
+def parse_lines(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
+    """source_path, at (the order of a file's lines) and line -> service, project, cost,
+    source_format, source_path.
+
+    One job finds every file's header, the different headers and the widest row; what comes to the
+    driver are headers, at most ``MAX_HEADERS`` of them.
+    """
+    files = lines.groupBy("source_path").agg(
+        F.min_by("line", "at").alias("header"), F.min("at").alias("first"),
+        F.max(F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))).alias("marks"))
+    found = (files.groupBy("header")
+             .agg(F.min("source_path").alias("path"), F.max("marks").alias("marks"))
+             .limit(MAX_HEADERS + 1).collect())
+    if len(found) > MAX_HEADERS:
+        raise BillingFormatError(f"more than {MAX_HEADERS} different headers")
+    layouts = {r.header: detect_layout(_header_cells(r.header), r.path) for r in found}
+    width = 1 + max((r.marks for r in found), default=0)
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    rows = (lines.join(files.select("source_path", "header", "first"), "source_path")
+            .filter((F.col("at") > F.col("first")) & (strip(F.col("line")) != ""))
+            .withColumn("cells", F.from_csv("line", schema, {"escape": '"'})))
+
+    def cell(i: int) -> Column:
+        return F.col("cells")[f"c{i}"] if i < width else F.lit(None).cast("string")
+
+    by_layout = defaultdict(list)
+    for header, layout in layouts.items():
+        by_layout[layout._replace(width=0)].append(header)
+    record = F.lit(None)
+    for layout, headers in by_layout.items():
+        service, project, cost = _fields(layout, cell, width, decimal_mark)
+        fields = F.struct(service.alias("service"), project.alias("project"), cost.alias("cost"),
+                          F.lit(layout.format).alias("source_format"))
+        known = F.col("header").isin(*headers)
+        record = F.when(known, fields).otherwise(record)
+    if not layouts:
+        empty = "service string, project string, cost decimal(24,10), source_format string"
+        return rows.sparkSession.createDataFrame([], empty + ", source_path string")
+    # As rows of their own, so that the filters look at parsed fields instead of parsing again.
+    return _kept(rows.select(F.inline(F.array(record)), "source_path"))
+
+
+def _read_multi_line(spark: SparkSession, lines: DataFrame, decimal_mark: str) -> DataFrame:
+    """Files with line breaks inside quotes: one positional read for each layout. File names come to
+    the driver, and no file is split."""
+    files = lines.groupBy("source_path").agg(F.min_by("line", "at").alias("header"))
+    groups = defaultdict(list)
+    for row in files.toLocalIterator():
+        groups[detect_layout(_header_cells(row.header), row.source_path)].append(row.source_path)
+
+    def read_group(layout: Layout, members: list[str]) -> DataFrame:
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(layout.width)])
+        raw = (spark.read.schema(schema).options(header=True, escape='"', multiLine=True)
+               .csv(members).select("*", F.col("_metadata.file_path").alias("source_path")))
+        return normalize(raw, layout, ["source_path"], decimal_mark)
+
+    return reduce(DataFrame.unionByName, [read_group(*group) for group in groups.items()])
 
 
 def read_billing(spark: SparkSession, paths: str | list[str], account: str | Column = "",
                  period: str | Column | None = None, decimal_mark: str = ".",
-                 multi_line: bool = False, one_layout_per_folder: bool = False,
-                 pattern: str = "*.csv") -> DataFrame:
+                 multi_line: bool = False, pattern: str = "*.csv") -> DataFrame:
     """Files and folders of exports, in any mix of formats -> one billing fact.
 
-    ``account`` and ``period`` (first day of the month) are constants or columns over
-    ``source_path``. Headers are the one thing looked at before the plan exists: one line per
-    file, or one per folder with ``one_layout_per_folder``; Spark then checks the header of every
-    other file of the folder while it reads and fails on a different one. ``multi_line`` allows
-    line breaks inside quotes, at the price of unsplittable files.
+    ``account`` and ``period`` (a day of the month) are constants or columns over ``source_path``.
+    The number of jobs does not depend on the number of files. ``multi_line`` allows line breaks
+    inside quotes, at the price of unsplittable files.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = list_files(spark, paths, pattern)
-    if not files:
-        raise BillingFormatError(f"no file like {pattern} under {paths}")
-    folders = defaultdict(list)
-    for path in files:
-        folders[posixpath.dirname(path) if one_layout_per_folder else path].append(path)
-    with ThreadPool(16) as pool:
-        headers = pool.map(lambda group: read_header(spark, group[0]), folders.values())
 
-    groups = defaultdict(list)
-    for header, members in zip(headers, folders.values()):
-        layout = detect_layout(header, members[0])
-        groups[layout, tuple(header) if one_layout_per_folder else None].extend(members)
-
-    def read_group(layout: Layout, names: tuple | None, members: list[str]) -> DataFrame:
-        columns = names or [f"c{i}" for i in range(layout.width)]
-        schema = StructType([StructField(name, StringType()) for name in columns])
-        raw = (spark.read.schema(schema)
-               .options(header=True, escape='"', multiLine=multi_line, enforceSchema=not names)
-               .csv(members)
-               .select("*", F.col("_metadata.file_path").alias("source_path")))
-        return normalize(raw, layout, ["source_path"], decimal_mark)
+    def read(kind: str):
+        return (spark.read.format(kind).option("recursiveFileLookup", True)
+                .option("pathGlobFilter", pattern).load(paths))
 
-    records = reduce(DataFrame.unionByName,
-                     [read_group(layout, names, members)
-                      for (layout, names), members in groups.items()])
+    sizes = read("binaryFile").select("path", "length").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("length") == 0, F.col("path"))).alias("empty"))
+    seen = sizes.first()
+    if not seen.n:
+        raise BillingFormatError(f"no file like {pattern} under {paths}")
+    if seen.empty:
+        raise BillingFormatError(f"{seen.empty}: the file is empty")
+    # Rows of one split keep their order; splits are told apart by where they start.
+    lines = read("text").select(
+        F.col("_metadata.file_path").alias("source_path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.col("value").alias("line"))
+    records = (_read_multi_line(spark, lines, decimal_mark) if multi_line
+               else parse_lines(lines, decimal_mark))
     month = F.lit(period) if period is None or isinstance(period, str) else period
     owner = F.lit(account) if isinstance(account, str) else account
     return records.select(owner.cast("string").alias("account"), month.cast("date").alias("period"),

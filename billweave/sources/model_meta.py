@@ -1,6 +1,7 @@
 """YAML files of model projects -> what they say about models and sources.
 
-Spark has no YAML reader, so the text is parsed in the tasks, batch by batch.
+Spark has no YAML reader, so the text is parsed in the tasks, batch by batch. A file that cannot be
+read in any way is left out; it does not end the job.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ def _parser():
 
     def items(value, key: str) -> list[dict]:
         entries = value.get(key) if isinstance(value, dict) else None
-        return [entry for entry in entries or [] if isinstance(entry, dict)]
+        return [entry for entry in (entries if isinstance(entries, list) else [])
+                if isinstance(entry, dict)]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
@@ -30,39 +32,43 @@ def _parser():
         for batch in batches:
             rows = []
             for project, text in zip(batch["project"], batch["yaml"]):
+                found = []
                 try:
                     document = yaml.safe_load(text)
-                except yaml.YAMLError:
+                    for model in items(document, "models"):
+                        tested = any(part.get("tests")
+                                     for part in [model, *items(model, "columns")])
+                        found.append((project, "model", "", str(model.get("name", "")),
+                                      bool(model.get("description")), tested, False))
+                    for source in items(document, "sources"):
+                        for table in items(source, "tables"):
+                            fresh = bool(table.get("freshness") or source.get("freshness"))
+                            found.append((project, "source", str(source.get("name", "")),
+                                          str(table.get("name", "")), False, False, fresh))
+                except Exception:  # whatever is wrong with one file
                     continue
-                for model in items(document, "models"):
-                    tested = any(part.get("tests") for part in [model, *items(model, "columns")])
-                    rows.append((project, "model", "", str(model.get("name", "")),
-                                 bool(model.get("description")), tested, False))
-                for source in items(document, "sources"):
-                    for table in items(source, "tables"):
-                        fresh = bool(table.get("freshness") or source.get("freshness"))
-                        rows.append((project, "source", str(source.get("name", "")),
-                                     str(table.get("name", "")), False, False, fresh))
+                rows += found
             yield pd.DataFrame(rows, columns=columns)
 
     return parse
 
 
-def _parsed(schema_files: DataFrame, kind: str) -> DataFrame:
+def parse_schema_files(schema_files: DataFrame) -> DataFrame:
+    """Models and sources of all files, from one parse; ``kind`` tells them apart."""
     try:
         import yaml  # noqa: F401
     except ImportError as error:
         raise ImportError("reading model metadata needs PyYAML on driver and workers") from error
-    return (schema_files.select("project", "yaml").mapInPandas(_parser(), _PARSED)
-            .filter(F.col("kind") == kind))
+    return schema_files.select("project", "yaml").mapInPandas(_parser(), _PARSED)
 
 
-def model_meta(schema_files: DataFrame) -> DataFrame:
+def model_meta(parsed: DataFrame) -> DataFrame:
     """project, name, has_description, has_tests; one row per mention of a model."""
-    return _parsed(schema_files, "model").select("project", "name", "has_description", "has_tests")
+    return parsed.filter(F.col("kind") == "model").select(
+        "project", "name", "has_description", "has_tests")
 
 
-def source_meta(schema_files: DataFrame) -> DataFrame:
+def source_meta(parsed: DataFrame) -> DataFrame:
     """project, source, table, has_freshness (its own or its source's)."""
-    return _parsed(schema_files, "source").select(
+    return parsed.filter(F.col("kind") == "source").select(
         "project", F.col("parent").alias("source"), F.col("name").alias("table"), "has_freshness")

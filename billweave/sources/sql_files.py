@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,18 +32,29 @@ def read_sql_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _read_texts(spark, outermost(paths), "*.sql").withColumnRenamed("text", "sql")
 
 
-def _within_project(texts: DataFrame, depth: int) -> DataFrame:
-    """Split .../<project>/models/<...>: project is the ``depth`` folders above models."""
-    parts = r"((?:[^/]+/){%d}[^/]+)/models/(.+)$" % (depth - 1)
-    return (texts
-            .withColumn("project", F.regexp_extract("path", parts, 1))
-            .withColumn("path", F.concat(F.lit("models/"), F.regexp_extract("path", parts, 2))))
+def _decoded(path: Column) -> Column:
+    """File paths come in URL form; a plus sign stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _within_project(texts: DataFrame, base: str, depth: int) -> DataFrame:
+    """Split <base>/<project>/<...>: the project is the ``depth`` folders below ``base``."""
+    tail = base.rstrip("/").rpartition("://")[2]
+    plain = _decoded(F.col("path"))
+    below = F.substr(plain, F.instr(plain, f"{tail}/") + len(tail) + 1)
+    parts = r"^((?:[^/]+/){%d}[^/]+)/(.+)$" % (depth - 1)
+    return (texts.withColumn("project", F.regexp_extract(below, parts, 1))
+            .withColumn("path", F.regexp_extract(below, parts, 2)))
+
+
+def _below(base: str, depth: int, *more: str) -> str:
+    return "/".join([base.rstrip("/"), *["*"] * depth, *more])
 
 
 def read_model_files(spark: SparkSession, base: str, depth: int = 1) -> DataFrame:
-    """SQL models of every project folder under ``base``: project, path, name, sql."""
-    folders = "/".join([base.rstrip("/"), *["*"] * depth, "models"])
-    texts = _within_project(_read_texts(spark, [folders], "*.sql"), depth)
+    """SQL models of every project folder, ``depth`` folders below ``base``: project, path, name,
+    sql."""
+    texts = _within_project(_read_texts(spark, [_below(base, depth, "models")], "*.sql"), base, depth)
     return texts.select("project", "path",
                         F.regexp_extract("path", r"([^/]+)\.sql$", 1).alias("name"),
                         F.col("text").alias("sql"))
@@ -51,16 +62,16 @@ def read_model_files(spark: SparkSession, base: str, depth: int = 1) -> DataFram
 
 def read_schema_files(spark: SparkSession, base: str, depth: int = 1) -> DataFrame:
     """YAML files beside the models: project, path, yaml."""
-    folders = "/".join([base.rstrip("/"), *["*"] * depth, "models"])
-    return (_within_project(_read_texts(spark, [folders], "*.yml"), depth)
-            .select("project", "path", F.col("text").alias("yaml")))
+    texts = _read_texts(spark, [_below(base, depth, "models")], "*.yml")
+    return _within_project(texts, base, depth).select("project", "path", F.col("text").alias("yaml"))
 
 
-def read_project_roots(spark: SparkSession, base: str, projects: DataFrame) -> DataFrame:
+def read_project_roots(spark: SparkSession, base: str, projects: DataFrame,
+                       depth: int = 1) -> DataFrame:
     """Which of the expected ``projects`` hold a project file directly in their folder."""
-    marked = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "dbt_project.yml").load(base)
-              .select(F.regexp_extract("path", r"([^/]+)/dbt_project\.yml$", 1).alias("project"))
-              .distinct().withColumn("has_marker", F.lit(True)))
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "dbt_project.yml")
+             .load(_below(base, depth)).select("path"))
+    marked = (_within_project(files, base, depth).filter(F.col("path") == "dbt_project.yml")
+              .select("project").distinct().withColumn("has_marker", F.lit(True)))
     return (projects.select("project").distinct().join(marked, "project", "left")
             .select("project", F.coalesce("has_marker", F.lit(False)).alias("has_marker")))
