@@ -25,6 +25,19 @@ def ones(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
+def cut_points(df: DataFrame, info: DataFrame, order: list[str], split_above: int) -> DataFrame:
+    """_group, _cuts: where to cut each group of more than ``split_above`` rows into ranges of about
+    half that many. Both sides carry the group as one struct, ``_group``."""
+    ranges = F.ceil(F.col("n_rows") * 2 / max(split_above, 1))
+    hot = info.filter(F.col("n_rows") > split_above).select(
+        "_group", F.greatest(F.floor(F.col("n_rows") / (ranges * SAMPLED)), F.lit(1)).alias("_every"))
+    in_order = W.partitionBy("_group").orderBy("_place")
+    return (df.select("_group", F.struct(*order).alias("_place"), F.xxhash64(*order).alias("_hash"))
+            .join(hot, "_group").filter(F.pmod("_hash", "_every") == 0)
+            .withColumn("_at", F.row_number().over(in_order)).filter(F.col("_at") % SAMPLED == 0)
+            .groupBy("_group").agg(F.array_sort(F.collect_list("_place")).alias("_cuts")))
+
+
 def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
              sums: dict[str, Column], split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Join ``info`` (one row per group, with ``n_rows``, an upper bound of the group's size) to
@@ -43,14 +56,7 @@ def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
     """
     place, key = F.struct(*order), F.struct(*group).alias("_group")
     keyed = df.select("*", key)
-    ranges = F.ceil(F.col("n_rows") * 2 / max(split_above, 1))
-    hot = info.filter(F.col("n_rows") > split_above).select(
-        key, F.greatest(F.floor(F.col("n_rows") / (ranges * SAMPLED)), F.lit(1)).alias("_every"))
-    in_order = W.partitionBy("_group").orderBy("_place")
-    cuts = (keyed.select("_group", place.alias("_place"), F.xxhash64(*order).alias("_hash"))
-            .join(hot, "_group").filter(F.pmod("_hash", "_every") == 0)
-            .withColumn("_at", F.row_number().over(in_order)).filter(F.col("_at") % SAMPLED == 0)
-            .groupBy("_group").agg(F.array_sort(F.collect_list("_place")).alias("_cuts")))
+    cuts = cut_points(keyed, info.select("*", key), order, split_above)
     slot = F.struct("_group", "_range").alias("_slot")
     rest = info.select(key, *[c for c in info.columns if c not in group])
     by_range = (keyed.join(rest.join(cuts, "_group"), "_group")

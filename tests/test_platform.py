@@ -78,7 +78,7 @@ def test_unpartitioned_tables(spark):
         "Tabla d.at_limit (10.0 GB) sin particionar")
 
 
-def test_heavy_users(spark):
+def test_heavy_users_are_counted_in_full(spark):
     as_of = dt.datetime(2026, 3, 31)
     jobs = [("p", f"u{i:02d}", (20 - i) * 10**12 // 5, as_of, "QUERY", "SELECT")
             for i in range(20)]
@@ -87,50 +87,51 @@ def test_heavy_users(spark):
                                                              "INSERT"),
              ("q", "calm", 10**12, as_of, "QUERY", "SELECT")]
     log = spark.createDataFrame(jobs, JOB_LOG)
-    found = warehouse.job_findings(log, as_of)
-    # 15 users are above 1 TB; the rule looks at the ten largest. Exactly 1 TB is not above.
-    assert [(r.subject, r.title) for r in found.collect()] == [
-        ("p", "10 usuarios/servicios facturaron >1 TB escaneado en 30 días (top: u00 → 4.0 TB)")]
-    wider = warehouse.heavy_users(warehouse.job_usage(log, as_of), limit=100)
-    assert rows(wider, "project", "n_users") == [("p", 15)]
+    # 15 users are above 1 TB; exactly 1 TB is not above.
+    assert [(r.subject, r.title) for r in warehouse.job_findings(log, as_of).collect()] == [
+        ("p", "15 usuarios/servicios facturaron >1 TB escaneado en 30 días (top: u00 → 4.0 TB)")]
+    assert rows(warehouse.heavy_users(warehouse.job_usage(log, as_of), tb=3), "n_users") == [(5,)]
 
 
 # ---- models -----------------------------------------------------------------------------------
 
-SCHEMA_YML = """\
+WEATHER_YML = """\
 version: 2
 models:
-  - name: dim_customers
-    description: "Customers"
+  - name: daily_rain
+    description: Rain by day and station
     columns:
-      - name: customer_id
-        tests: [unique, not_null]
+      - name: day
+      - name: millimetres
+        tests: [not_null]
+  - name: wind_gusts
 sources:
-  - name: raw
-    tables:
-      - name: orders
-      - name: customers
+  - name: stations
+    freshness: {warn_after: {count: 6, period: hour}}
+    tables: [{name: readings}]
+  - name: maps
+    tables: [{name: tiles}, {name: borders}]
 """
+BROKEN = {"syntax": "models: [unclosed", "list": "- just\n- a list\n", "date": "d: 2024-13-45", "empty": "",
+          "number": "models: 5", "nested": "sources: [{name: s, tables: 7}]"}
 
 
 @pytest.fixture(scope="module")
 def projects(tmp_path_factory):
     base = tmp_path_factory.mktemp("projects")
     files = {
-        "shop/dbt_project.yml": "name: shop\n",
-        "shop/models/marts/schema.yml": SCHEMA_YML,
-        "shop/models/marts/broken.yml": "models: [unclosed",
-        "shop/models/marts/odd.yml": "- just\n- a list\n",
-        "shop/models/marts/dim_customers.sql": "select id, name from {{ ref('stg_customers') }}",
-        "shop/models/marts/fct_orders.sql": "select * from {{ ref('stg_orders') }}",
-        "shop/models/staging/stg_orders.sql": "select * from raw.orders",
-        "shop/models/staging/stg_customers.sql": "SELECT  *\nFROM raw.customers",
-        "good/dbt_project.yml": "name: good\n",
-        "good/models/a.sql": "select id from t",
-        "good/models/a.yml": ("models:\n  - name: a\n    description: x\n    tests: [one]\n"
-                              "sources:\n  - name: s\n    freshness: {x: 1}\n"
-                              "    tables: [{name: t}, {name: u}]\n"),
-        "lost/models/m.sql": "select * from t",
+        "weather/dbt_project.yml": "name: weather\n",
+        "weather/models/report/about.yml": WEATHER_YML,
+        "weather/models/report/daily_rain.sql": "select day, millimetres from {{ ref('clean') }}",
+        "weather/models/report/wind_gusts.sql": "SELECT\n  *\nFROM {{ ref('clean') }}",
+        "weather/models/report/alerts.sql": "select id from {{ ref('daily_rain') }}",
+        "weather/models/staging/clean.sql": "select * from stations.readings",
+        "tidy/dbt_project.yml": "name: tidy\n",
+        "tidy/models/only.sql": "select id from t",
+        "tidy/models/only.yml": ("models:\n  - name: only\n    description: x\n    tests: [one]\n"
+                                 "sources:\n  - name: s\n    tables: [{name: t, freshness: {x: 1}}]\n"),
+        "unmarked/models/m.sql": "select * from t",
+        **{f"weather/models/report/{name}_broken.yml": text for name, text in BROKEN.items()},
     }
     for path, text in files.items():
         (base / path).parent.mkdir(parents=True, exist_ok=True)
@@ -138,32 +139,52 @@ def projects(tmp_path_factory):
     return base
 
 
-def _model_inputs(spark, projects):
+def _model_inputs(spark, projects, depth=1):
     base = str(projects)
-    files = sql_files.read_model_files(spark, base)
-    schemas = sql_files.read_schema_files(spark, base)
-    roots = sql_files.read_project_roots(spark, base, files.select("project"))
-    return files, model_meta.model_meta(schemas), model_meta.source_meta(schemas), roots
+    files = sql_files.read_model_files(spark, base, depth)
+    parsed = model_meta.parse_schema_files(sql_files.read_schema_files(spark, base, depth))
+    roots = sql_files.read_project_roots(spark, base, files.select("project"), depth)
+    return files, model_meta.model_meta(parsed), model_meta.source_meta(parsed), roots
 
 
 def test_model_rules_from_files(spark, projects):
     found = models.model_findings(*_model_inputs(spark, projects))
     assert rows(found, "subject", "code", "severity") == [
-        ("lost", "DBT-00", "high"), ("shop", "AP-AI01", "medium"), ("shop", "AP-C02", "medium"),
-        ("shop", "AP-G02", "high"), ("shop", "AP-G02b", "medium")]
-    text = {r.code: (r.title, r.evidence) for r in found.filter("subject = 'shop'").collect()}
+        ("unmarked", "DBT-00", "high"), ("weather", "AP-AI01", "medium"), ("weather", "AP-C02", "medium"),
+        ("weather", "AP-G02", "high"), ("weather", "AP-G02b", "medium")]
+    text = {r.code: (r.title, r.evidence) for r in found.filter("subject = 'weather'").collect()}
     assert text["AP-G02"] == ("Solo 25% de los modelos tiene tests (3/4 sin tests)",
-                              "ej: fct_orders, stg_customers, stg_orders")
+                              "ej: alerts, clean, wind_gusts")
     assert text["AP-G02b"][0] == "3/4 modelos sin descripción"
-    assert text["AP-AI01"][0] == "Solo 0/2 sources con freshness configurado"
-    assert text["AP-C02"] == ("1 modelos (fuera de staging) usan SELECT *", "ej: fct_orders")
+    assert text["AP-AI01"][0] == "Solo 1/3 sources con freshness configurado"
+    assert text["AP-C02"] == ("1 modelos (fuera de staging) usan SELECT *", "ej: wind_gusts")
 
 
-def test_metadata_extraction(spark, projects):
+def test_metadata_extraction_skips_only_broken_files(spark, projects):
     _, meta, sources, _ = _model_inputs(spark, projects)
-    assert rows(meta) == [("good", "a", True, True), ("shop", "dim_customers", True, True)]
-    assert rows(sources) == [("good", "s", "t", True), ("good", "s", "u", True),
-                             ("shop", "raw", "customers", False), ("shop", "raw", "orders", False)]
+    assert rows(meta) == [("tidy", "only", True, True), ("weather", "daily_rain", True, True),
+                          ("weather", "wind_gusts", False, False)]
+    assert rows(sources) == [("tidy", "s", "t", True), ("weather", "maps", "borders", False),
+                             ("weather", "maps", "tiles", False), ("weather", "stations", "readings", True)]
+    odd = spark.createDataFrame([("p", None), ("p", "models: [{name: a}]")], "project string, yaml string")
+    assert rows(model_meta.model_meta(model_meta.parse_schema_files(odd)), "name") == [("a",)]
+
+
+@pytest.mark.parametrize("depth, folder, nested, marked", [
+    (2, "team/river", None, True),           # two folders deep
+    (1, "my river+lake", None, True),        # blanks and signs in the name
+    (1, "river", "river/dbt_packages/river", False),   # a marker in a nested package only
+])
+def test_project_roots(spark, tmp_path, depth, folder, nested, marked):
+    (tmp_path / folder / "models").mkdir(parents=True)
+    (tmp_path / folder / "models" / "m.sql").write_text("select 1")
+    (tmp_path / folder / "models" / "m.yml").write_text("models: [{name: m}]")
+    root = tmp_path / (nested or folder)
+    root.mkdir(parents=True, exist_ok=True)
+    (root / "dbt_project.yml").write_text("name: x")
+    files, meta, _, roots = _model_inputs(spark, tmp_path, depth)
+    assert rows(files, "project", "path") == [(folder, "models/m.sql")]
+    assert rows(meta, "project") == [(folder,)] and rows(roots) == [(folder, marked)]
 
 
 def test_models_of_one_name_are_one_and_examples_stop_at_five(spark):
@@ -220,24 +241,28 @@ def test_gate(priced, limit, exceeded):
     assert rows(querycost.cost_gate(priced, ["suite"], limit)) == [("s", 34.37, 7, exceeded)]
 
 
+def _whole(report):
+    found = report.orderBy("line").collect()
+    assert [r.line for r in found] == list(range(1, len(found) + 1))
+    return "\n".join(r.text for r in found)
+
+
 def test_cost_reports(priced):
-    github = querycost.cost_report(priced, ["suite"], 20.0, "github").first().text
+    github = _whole(querycost.cost_report(priced, ["suite"], 20.0, "github"))
     assert "| Query | Escaneará | Costo estimado/run |" in github
     assert "| f.sql | 4.00 TiB | **$25.00** |" in github and "| a.sql | 1.00 TiB | $6.25 |" in github
-    assert "| d.sql | error: syntax | — |" in github and "Jinja sin compilar" in github
+    assert "| d.sql | error: syntax | — |" in github and "plantilla sin compilar" in github
     assert "Total por ejecución: $34.37 · umbral: $20.00 → excedido" in github
-    text = querycost.cost_report(priced, ["suite"], None).first().text
+    text = _whole(querycost.cost_report(priced, ["suite"], None))
     assert "umbral" not in text and "**" not in text and "$6.25/TiB" in text
-    dear = querycost.cost_report(priced, ["suite"], usd_per_tib=8).first().text
+    dear = _whole(querycost.cost_report(priced, ["suite"], usd_per_tib=8))
     assert "$8/TiB" in dear
 
 
-@pytest.mark.parametrize("part_lines, split_above", [(1, 0), (2, 3), (1000, 10**6)])
-def test_cost_report_parts_make_the_whole(priced, part_lines, split_above):
-    whole = querycost.cost_report(priced, ["suite"], 20.0).first().text
-    parts = querycost.cost_report(priced, ["suite"], 20.0, part_lines=part_lines,
-                                  split_above=split_above).orderBy("part").collect()
-    assert "\n".join(p.text for p in parts) == whole
+@pytest.mark.parametrize("split_above", [0, 3])
+def test_cost_report_of_a_split_group(priced, split_above):
+    whole = _whole(querycost.cost_report(priced, ["suite"], 20.0))
+    assert _whole(querycost.cost_report(priced, ["suite"], 20.0, split_above=split_above)) == whole
 
 
 # ---- scorecard and findings -------------------------------------------------------------------
@@ -260,18 +285,35 @@ def test_rubric_from_file(spark, tmp_path):
 
 
 def test_scores_and_weighted_mean(spark):
-    rubric = spark.createDataFrame([(1, "cost", Decimal("0.75"), "c1"),
-                                    (1, "cost", Decimal("0.75"), "c2"),
-                                    (2, "quality", Decimal("0.25"), "q1")], RUBRIC)
-    given = spark.createDataFrame([("p", "c1", 2), ("p", "c2", 1), ("p", "q1", 1), ("r", "c1", 1)],
+    rubric = spark.createDataFrame([(1, "speed", Decimal("0.6"), "s1", None, None),
+                                    (1, "speed", Decimal("0.6"), "s2", None, None),
+                                    (2, "care", Decimal("0.4"), "c1", None, None)], RUBRIC)
+    given = spark.createDataFrame([("p", "s1", 2), ("p", "s2", 1), ("p", "c1", 0), ("r", "s1", 1)],
                                   ANSWERS)
     scores = scorecard.dimension_scores(given, rubric)
     assert rows(scores, "platform", "dimension", "score") == [
-        ("p", "cost", 75.0), ("p", "quality", 50.0), ("r", "cost", 25.0)]
-    assert rows(scorecard.overall_scores(scores, rubric)) == [("p", 68.8), ("r", 25.0)]
-    made = spark.createDataFrame([("x", "cost", 0, 0, 80.0), ("x", "quality", 0, 0, 40.0),
-                                  ("y", "cost", 0, 0, 60.0), ("z", "unknown", 0, 0, 9.0)], SCORES)
-    assert rows(scorecard.overall_scores(made, rubric)) == [("x", 70.0), ("y", 60.0), ("z", 0.0)]
+        ("p", "care", 0.0), ("p", "speed", 75.0), ("r", "speed", 25.0)]
+    assert rows(scorecard.overall_scores(scores, rubric)) == [("p", 45.0), ("r", 25.0)]
+    made = spark.createDataFrame([("x", "speed", 0, 0, 33.3), ("x", "care", 0, 0, 91.2),
+                                  ("y", "care", 0, 0, 12.5), ("z", "unknown", 0, 0, 9.0)], SCORES)
+    assert rows(scorecard.overall_scores(made, rubric)) == [("x", 56.5), ("y", 12.5), ("z", 0.0)]
+
+
+@pytest.mark.parametrize("given", [[("p", "s1", 5)], [("p", "s1", 2), ("p", "s1", 2)], [("p", "s1", -1)]])
+def test_answers_are_checked(spark, given):
+    rubric = spark.createDataFrame([(1, "speed", Decimal("1"), "s1", None, None)], RUBRIC)
+    with pytest.raises(Exception, match="not one answer of 0, 1 or 2: p s1"):
+        scorecard.dimension_scores(spark.createDataFrame(given, ANSWERS), rubric).collect()
+
+
+def test_own_rubrics_print_their_names(spark, tmp_path):
+    path = tmp_path / "own.yaml"
+    path.write_text("dimensions:\n  speed:\n    name: How fast\n    weight: 1\n"
+                    "    criteria: [{id: s1, text: it is quick}]\n")
+    rubric = read_rubric(spark, str(path))
+    assert rows(rubric, "name", "text") == [("How fast", "it is quick")]
+    scores = scorecard.dimension_scores(spark.createDataFrame([("p", "s1", 1)], ANSWERS), rubric)
+    assert "  How fast         ██████████░░░░░░░░░░  50.0/100" in _whole(scorecard.scorecard_report(scores, rubric))
 
 
 def _finding(spark, *given):
@@ -283,33 +325,32 @@ def _finding(spark, *given):
 
 
 def test_scorecard_report(spark):
-    scores = spark.createDataFrame([("p", "cost", 0, 0, 62.5), ("p", "security", 0, 0, 100.0)],
+    scores = spark.createDataFrame([("p", "quality", 0, 0, 37.5), ("p", "scalability", 0, 0, 100.0)],
                                    SCORES)
-    found = _finding(spark, ("p", "AP-X2", "Medio", "medium", "", "", ""),
-                     ("p", "AP-X1", "Crítico", "critical", "tabla_x", "particionar", "$800"),
-                     ("q", "AP-X3", "Otro", "odd", "", "", ""))
-    text = {r.platform: r.text for r in
-            scorecard.scorecard_report(scores, default_rubric(spark), found).collect()}
-    assert "  Costo (FinOps)   ████████████░░░░░░░░  62.5/100" in text["p"]
-    assert "  Seguridad        ████████████████████ 100.0/100" in text["p"]
-    assert "  GLOBAL            77.8/100" in text["p"]
-    assert "─── Hallazgos (2) ───" in text["p"]
-    assert text["p"].index("AP-X1") < text["p"].index("AP-X2")
-    assert ("  🔴 [AP-X1] Crítico\n       evidencia: tabla_x\n       impacto: $800\n"
-            "       fix: particionar") in text["p"]
-    assert "GLOBAL" not in text["q"] and "⚪ [AP-X3]" in text["q"]
-    plain = scorecard.scorecard_report(scores, default_rubric(spark)).first().text
-    assert "Hallazgos" not in plain
-
-
-def test_scorecard_parts_make_the_whole(spark):
-    found = _finding(spark, *[("p", f"C{i:02d}", "t", "low", "", "", "") for i in range(25)])
+    found = _finding(spark, ("p", "R-20", "Segundo", "low", "", "", ""),
+                     ("p", "R-10", "Primero", "high", "fila 7", "corregir", "$45"),
+                     ("q", "R-30", "Tercero", "odd", "", "", ""))
+    report = scorecard.scorecard_report(scores, default_rubric(spark), found)
+    text = {p: _whole(report.filter(F.col("platform") == p)) for p in ("p", "q")}
+    assert text["p"] == "\n".join([
+        "", "═══ SCORECARD ═══", "",
+        "  Calidad          ███████░░░░░░░░░░░░░  37.5/100",
+        "  Escalabilidad    ████████████████████ 100.0/100", "",
+        "  GLOBAL            62.5/100", "", "─── Hallazgos (2) ───", "",
+        "  🟠 [R-10] Primero", "       evidencia: fila 7", "       impacto: $45", "       fix: corregir",
+        "  ⚪ [R-20] Segundo", ""])
+    assert "GLOBAL" not in text["q"] and "  ⚪ [R-30] Tercero" in text["q"]
+    plain = _whole(scorecard.scorecard_report(scores, default_rubric(spark)))
+    assert "Hallazgos" not in plain and plain.count("\n") == 7
+
+
+@pytest.mark.parametrize("split_above", [5, 10**6])
+def test_scorecard_lines_of_many_findings(spark, split_above):
+    found = _finding(spark, *[("p", f"C{i:02d}", "t", "low", "e" * (i % 2), "", "") for i in range(25)])
     scores = spark.createDataFrame([("p", "cost", 0, 0, 62.5)], SCORES)
-
-    def whole(**options):
-        parts = scorecard.scorecard_report(scores, default_rubric(spark), found, **options)
-        return "\n".join(r.text for r in parts.orderBy("part").collect())
-    assert whole(part_lines=4, split_above=5) == whole()
+    text = _whole(scorecard.scorecard_report(scores, default_rubric(spark), found, split_above=split_above))
+    assert [x[5:8] for x in text.splitlines() if "[C" in x] == [f"C{i:02d}" for i in range(25)]
+    assert text.count("evidencia: e") == 12
 
 
 def test_findings_together(spark, bills):
@@ -322,12 +363,12 @@ def test_findings_together(spark, bills):
 
 
 def test_hooks(spark):
-    found = _finding(spark, ("a", "AP-C01", "t", "high", "", "", ""))
+    found = _finding(spark, ("a", "R-10", "t", "high", "", "", ""))
     priced = hooks.apply_quantifiers(
-        found, lambda df: df.withColumn("impact_usd", F.lit("$800-1,400/mes")),
+        found, lambda df: df.withColumn("impact_usd", F.lit("about $12 a day")),
         lambda df: df.withColumn("code", F.lower("code")))
     line = priced.select("code", findings.finding_text().alias("text")).first()
-    assert line.code == "ap-c01" and "impacto: $800-1,400/mes" in line.text
+    assert line.code == "r-10" and "impacto: about $12 a day" in line.text
     assert "impacto" not in found.select(findings.finding_text().alias("text")).first().text
     own, builtin = (lambda *a: "own"), (lambda *a: "builtin")
     assert hooks.choose({}, "default", {"default": builtin})() == "builtin"

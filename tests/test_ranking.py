@@ -3,11 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from billweave.operators.ranking import numbered, ones, top_per_group
+from billweave.operators.ranking import cut_points, numbered, ones, top_per_group
 
 
-@pytest.mark.parametrize("split_above, buckets", [(10**6, 64), (50, 8), (0, 64), (50, 2)])
-def test_numbering_is_exact_however_groups_are_split(spark, split_above, buckets):
+@pytest.mark.parametrize("split_above", [10**6, 300, 50, 0])
+def test_numbering_is_exact_however_groups_are_split(spark, split_above):
     rng = random.Random(11)
     data = [("hot" if rng.random() < 0.5 else f"g{rng.randrange(30)}",
              rng.choice([0, 0, 0, rng.randrange(1000)]), i) for i in range(3000)]
@@ -15,7 +15,7 @@ def test_numbering_is_exact_however_groups_are_split(spark, split_above, buckets
     info = df.groupBy("g").agg(F.count("*").alias("n_rows"), F.max("v").alias("top"))
     sums = {"line": F.lit(1), "evens": ones(F.col("v") % 2 == 0),
             "tops": ones(F.col("v") == F.col("top")), "total": F.col("v")}
-    out = numbered(df, info, ["g"], ["v", "id"], sums, split_above, buckets)
+    out = numbered(df, info, ["g"], ["v", "id"], sums, split_above)
     got = {(r.g, r.id): (r.line, r.evens, r.tops, r.total) for r in out.collect()}
     expected = {}
     for group in {g for g, _, _ in data}:
@@ -30,14 +30,22 @@ def test_numbering_is_exact_however_groups_are_split(spark, split_above, buckets
     assert got == expected
 
 
-def test_hot_group_is_cut_into_ranges(spark):
-    """The window of a hot group runs over many slots, none of which is large."""
-    df = spark.range(20_000).select(F.lit("hot").alias("g"), "id")
+def test_hot_group_is_cut_into_even_ranges(spark):
+    """The window of a hot group runs over many slots, and none is large."""
+    df = spark.range(200_000).select(F.lit("hot").alias("g"), "id")
     info = df.groupBy("g").agg(F.count("*").alias("n_rows"))
-    out = numbered(df, info, ["g"], ["id"], {"line": F.lit(1)}, split_above=1000)
+    out = numbered(df, info, ["g"], ["id"], {"line": F.lit(1)}, split_above=2000)
     assert out.filter(F.col("line") != F.col("id") + 1).count() == 0
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_slot" in plan
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "_slot" in window.splitlines()[0]
+    # Cut points do not go through the exchange of the slots.
+    assert "_cuts" not in next(x for x in window.splitlines() if "Project" in x).split("AS _slot")[-1]
+    key = F.struct("g").alias("_group")
+    cuts = cut_points(df.select("*", key), info.select("*", key), ["id"], 2000)
+    edges = [place.id for place in cuts.first()._cuts]
+    sizes = [b - a for a, b in zip([-1, *edges], [*edges, 199_999])]
+    assert len(sizes) > 100 and max(sizes) <= 2 * 2000
 
 
 def test_top_per_group_limits_before_the_shuffle(spark):
