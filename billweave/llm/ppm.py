@@ -1,11 +1,12 @@
 """Probability of texts by prediction by partial matching.
 
 Method: a trie of byte contexts, up to `order` bytes long, holds how often each byte followed. The
-code length of a byte is taken at its longest context that training has seen; a byte that never
-followed there costs the escape (as many symbols as were seen there, against all occurrences and
-symbols: method C) and is looked up in the next shorter context, where the symbols of the longer one
-are excluded from the count. Below contexts of one byte, what is left of the alphabet is equally
-likely. A text is scored as its tokens, A-Z lower-cased, each followed by a blank, the last by an end.
+code length of a byte is taken at its longest context that training has seen. There each symbol gives
+up `DISCOUNT` of its count to the escape; a byte that never followed there costs the escape and is
+looked up in the next shorter context, where the symbols of the longer one are excluded. Shorter
+contexts count a symbol once for each longer context that it followed in (update exclusion). Below
+contexts of one byte, what is left of the alphabet is equally likely. Probabilities add up to one. A
+text is scored as its tokens, A-Z lower-cased, each followed by a blank, the last by an end.
 
 How it is spread: texts are dealt by hash into blocks of about `BLOCK_BYTES`. Each block lists its
 distinct tokens (by a 64-bit hash) and byte strings of order + 1 once, with their counts in training
@@ -35,6 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from billweave.llm.rows import saved, slices
 
 ORDER = 5
+#: What each symbol of a context gives up to the escape.
+DISCOUNT = 0.3
 BLOCK_BYTES = 32_000_000
 #: Bytes of text that a task holds as tokens.
 HELD_BYTES = 1_000_000
@@ -71,8 +74,8 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int,
     """log10 of each string's last byte after the others.
 
     `grams` are distinct and hold every string seen in training that has the same two bytes before
-    its last as one of them, with its count; others have 0. `pairs`: how often each byte pair was
-    seen, over the whole corpus.
+    its last as one of them, with its count; others have 0. `pairs`: after how many different bytes
+    each byte pair was seen, over the whole corpus.
     """
     result, done = np.zeros(len(grams)), np.zeros(len(grams), bool)
     kept, kept_counts = grams[counts > 0], counts[counts > 0]
@@ -82,6 +85,7 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int,
         if level > 1:
             strings, where = np.unique(kept & mask, return_inverse=True)
             times = np.bincount(where, kept_counts, len(strings))
+            kept, kept_counts = strings, np.ones(len(strings))
         else:
             strings = np.flatnonzero(pairs)
             times = pairs[strings].astype(float)
@@ -101,8 +105,8 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int,
             q[was] -= longer[3][long_at[was]]
         here = known & ~done & (n > 0)
         hit, miss = here & seen, here & ~seen
-        result[hit] += np.log10(times[string_at[hit]] / (n[hit] + q[hit]))
-        result[miss] += np.log10(q[miss] / (n[miss] + q[miss]))
+        result[hit] += np.log10((times[string_at[hit]] - DISCOUNT) / n[hit])
+        result[miss] += np.log10(DISCOUNT * q[miss] / n[miss])
         done |= hit
         longer = contexts, strings, owner, symbols
     at, known = place(longer[0], (grams >> 8) & 0xFF)
@@ -239,6 +243,8 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     Rows for which `held_out` is false or null are the training rows. base_score is the log10
     probability under token counts to which a half is added.
     """
+    if not 2 <= order <= 6:
+        raise ValueError("order must be from 2 to 6")
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("out"))
     size = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -254,8 +260,9 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     norm = math.log10(train_tokens + 0.5 * (distinct + 1))
     pairs = np.zeros(1 << 16, np.int64)
     grams = sums.where(F.col("kind") == GRAMS)
-    for row in (grams.groupBy(F.col("feature").bitwiseAND(0xFFFF).alias("pair"))
-                .agg(F.sum("n").alias("n")).collect()):
+    triples = grams.where("n > 0").select(F.col("feature").bitwiseAND(0xFFFFFF).alias("triple")).distinct()
+    for row in (triples.groupBy(F.col("triple").bitwiseAND(0xFFFF).alias("pair"))
+                .agg(F.count("*").alias("n")).collect()):
         pairs[row["pair"]] = row["n"]
     parts = 1 + (by_kind[GRAMS]["rows"] if by_kind else 0) // TRIE_PART
     root = F.shiftright("feature", 8).bitwiseAND(0xFFFF)

@@ -23,9 +23,10 @@ def brute_force(texts, held_out, order=ppm.ORDER):
     for w in train:
         text = spelled(w)
         for at in range(order, len(text)):
-            for k in range(1, order + 1):
-                seen = trie[k].setdefault(text[at - k:at], Counter())
-                seen[text[at]] += 1
+            trie[order].setdefault(text[at - order:at], Counter())[text[at]] += 1
+    for k in range(order - 1, 0, -1):
+        for context, seen in trie[k + 1].items():
+            trie[k].setdefault(context[1:], Counter()).update(seen.keys())
 
     def log_p(context, symbol):
         value, excluded = 0.0, set()
@@ -36,8 +37,8 @@ def brute_force(texts, held_out, order=ppm.ORDER):
             left = {s: n for s, n in seen.items() if s not in excluded}
             n, q = sum(left.values()), len(left)
             if n and symbol in left:
-                return value + math.log10(left[symbol] / (n + q))
-            value += math.log10(q / (n + q)) if n else 0.0
+                return value + math.log10((left[symbol] - ppm.DISCOUNT) / n)
+            value += math.log10(ppm.DISCOUNT * q / n) if n else 0.0
             excluded = set(seen)
         return value - math.log10(ppm.ALPHABET - len(excluded))
 
