@@ -45,7 +45,7 @@ from billweave.llm.rows import fresh, saved, slices
 SHINGLE, PERCENT = 5, 75
 SLOTS, KEYS, ALIKE = 128, 24, 66
 #: Sets and shingles in a block of a key, rows of keys in a task, sets in a leaf, nodes under a node.
-BLOCK, BLOCK_SHINGLES, KEY_ROWS, LEAF, FAN = 2048, 1_000_000, 50_000, 32, 8
+BLOCK, BLOCK_SHINGLES, KEY_ROWS, LEAF, FAN = 2048, 1_000_000, 8_000, 32, 8
 #: Members of a key's group that meet in one task.
 CHUNK = 2048
 SEED = 7_919
