@@ -69,6 +69,20 @@ def undescribed_models(files: DataFrame, model_meta: DataFrame) -> DataFrame:
             .join(described, ["project", "name"], "left_anti"))
 
 
+def table_freshness(tables: DataFrame, sources: DataFrame) -> DataFrame:
+    """Tables with a freshness rule of their own or of their source.
+
+    ``tables``: project, source, table, has_freshness; ``sources``: project, source, has_freshness,
+    one row or more each. A table whose source is not among them has only its own.
+    """
+    by_source = (sources.groupBy("project", "source")
+                 .agg(F.bool_or("has_freshness").alias("source_has_freshness")))
+    return (tables.join(by_source, ["project", "source"], "left")
+            .select("project", "source", "table",
+                    (F.coalesce("has_freshness", F.lit(False))
+                     | F.coalesce("source_has_freshness", F.lit(False))).alias("has_freshness")))
+
+
 def source_freshness(source_meta: DataFrame) -> DataFrame:
     every, fresh = F.count(F.lit(1)), F.count_if("has_freshness")
     return source_meta.groupBy("project").agg(

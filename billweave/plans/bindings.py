@@ -217,6 +217,13 @@ def source_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").isNotNull().alias("has_freshness"))
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source per project and language; those with a rated, good document are fresh."""
+    return (_labelled(spark, sf_dir)
+            .groupBy(F.col("source").alias("project"), F.col("lang").alias("source"))
+            .agg((F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)) > 15).alias("has_freshness")))
+
+
 def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "documents").select(F.col("source").alias("project")).distinct()
             .withColumn("has_marker", F.col("project") != "src7"))

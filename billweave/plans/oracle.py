@@ -817,6 +817,11 @@ FROM ranked"""),
                                      "WHERE quality IS DISTINCT FROM 1"),
         "undescribed_models": with_ctes(MODELS, "SELECT project, name FROM labelled "
                                         "WHERE quality IS NULL"),
+        "table_freshness": with_ctes(MODELS, """
+SELECT project, lang AS source, name AS "table",
+       quality IS NOT NULL OR
+         count(*) FILTER (quality = 1) OVER (PARTITION BY project, lang) > 15 AS has_freshness
+FROM labelled"""),
         "source_freshness": with_ctes(MODELS, "SELECT * FROM freshness"),
         "pattern_models": with_ctes(MODELS, "SELECT * FROM starred"),
         "select_star_models": """

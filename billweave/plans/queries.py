@@ -343,6 +343,11 @@ def undescribed_models(spark, sf_dir):
     return models.undescribed_models(b.model_files(spark, sf_dir), b.model_meta(spark, sf_dir))
 
 
+@query
+def table_freshness(spark, sf_dir):
+    return models.table_freshness(b.source_meta(spark, sf_dir), b.sources(spark, sf_dir))
+
+
 @query
 def source_freshness(spark, sf_dir):
     return models.source_freshness(b.source_meta(spark, sf_dir))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billweave.operators.models import table_freshness
+
 _PARSED = ("project string, kind string, parent string, name string, "
            "has_description boolean, has_tests boolean, has_freshness boolean")
 
@@ -41,10 +43,12 @@ def _parser():
                         found.append((project, "model", "", str(model.get("name", "")),
                                       bool(model.get("description")), tested, False))
                     for source in items(document, "sources"):
+                        name = str(source.get("name", ""))
+                        found.append((project, "source", "", name, False, False,
+                                      bool(source.get("freshness"))))
                         for table in items(source, "tables"):
-                            fresh = bool(table.get("freshness") or source.get("freshness"))
-                            found.append((project, "source", str(source.get("name", "")),
-                                          str(table.get("name", "")), False, False, fresh))
+                            found.append((project, "table", name, str(table.get("name", "")), False,
+                                          False, bool(table.get("freshness"))))
                 except Exception:  # whatever is wrong with one file
                     continue
                 rows += found
@@ -70,5 +74,9 @@ def model_meta(parsed: DataFrame) -> DataFrame:
 
 def source_meta(parsed: DataFrame) -> DataFrame:
     """project, source, table, has_freshness (its own or its source's)."""
-    return parsed.filter(F.col("kind") == "source").select(
+    kind = F.col("kind")
+    tables = parsed.filter(kind == "table").select(
         "project", F.col("parent").alias("source"), F.col("name").alias("table"), "has_freshness")
+    sources = parsed.filter(kind == "source").select(
+        "project", F.col("name").alias("source"), "has_freshness")
+    return table_freshness(tables, sources)
