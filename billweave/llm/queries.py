@@ -112,6 +112,8 @@ QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_pp
 
 _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORMAL = "trim(regexp_replace(" + _LOWER + r", '\s+', ' ', 'g'))"
+_SHINGLED = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
@@ -150,6 +152,79 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, b.shard, f.depth::INT AS depth, shard
        shard_bytes <= {SHARD_BYTES} AS fits
 FROM docs d JOIN first f USING (row)
 JOIN buckets b ON b.depth = f.depth AND b.shard = substr(d.bits, 1, f.depth)""",
+    "op5_reply_order": rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS row, conv_id, turn, role, text FROM conversations),
+cut AS (SELECT row, string_split(text, chr(10)) AS lines FROM m WHERE text IS NOT NULL),
+l AS (
+  SELECT row, pos, lines[pos] AS line, regexp_matches(lines[pos], '{quotes.QUOTED}') AS quoted,
+         regexp_matches(lines[pos], '{quotes.ATTRIBUTION}')
+           AND coalesce(regexp_matches(lines[pos + 1], '{quotes.QUOTED}'), false) AS announces
+  FROM (SELECT row, lines, unnest(range(1, len(lines) + 1)) AS pos FROM cut)),
+own AS (SELECT row, bool_or(quoted) AS has_quote,
+               string_agg(line, chr(10) ORDER BY pos) FILTER (NOT quoted AND NOT announces) AS own
+        FROM l GROUP BY row),
+body AS (SELECT m.*, CASE WHEN has_quote THEN trim(coalesce(own, '')) ELSE text END AS body
+         FROM m LEFT JOIN own USING (row)),
+placed AS (FROM body WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+q AS (
+  SELECT row, conv_id, turn, pos,
+         length(regexp_replace(regexp_extract(line, '{quotes.MARKS}', 1), '[ 	]', '', 'g')) AS level,
+         {_NORMAL.format(f"regexp_replace(line, '{quotes.MARKS}', '')")} AS said
+  FROM l JOIN placed USING (row) WHERE quoted),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY row, level ORDER BY pos) AS run FROM q),
+asked AS (
+  SELECT DISTINCT * FROM (
+    SELECT row, conv_id, turn, level, true AS whole,
+           {_NORMAL.format("string_agg(said, ' ' ORDER BY pos)")} AS said
+    FROM runs GROUP BY row, conv_id, turn, level, run
+    UNION ALL SELECT row, conv_id, turn, level, false, said FROM runs
+    WHERE len(string_split(said, ' ')) >= {quotes.LEAST_WORDS}) WHERE said <> ''),
+told AS (
+  SELECT DISTINCT conv_id, turn, {_NORMAL.format("unit")} AS said
+  FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '
+\s*
+'),
+                                                 string_split(body, chr(10)))) AS unit FROM placed)),
+met AS (
+  SELECT a.row, a.level, a.whole, a.said, max(t.turn) AS reply_to
+  FROM asked a JOIN told t ON a.conv_id = t.conv_id AND a.said = t.said AND t.turn < a.turn GROUP BY ALL),
+votes AS (SELECT row, reply_to, min(level) AS level, bool_or(whole) AS whole, count(*) AS n
+          FROM met GROUP BY row, reply_to),
+links AS (SELECT row, reply_to FROM votes
+          QUALIFY row_number() OVER (PARTITION BY row ORDER BY level, whole DESC, n DESC, reply_to DESC) = 1),
+ups AS (SELECT conv_id, turn, max(reply_to) AS up FROM links JOIN m USING (row) GROUP BY conv_id, turn),
+paths AS (
+  SELECT conv_id, turn, up, [up, turn] AS path FROM ups
+  UNION ALL SELECT p.conv_id, p.turn, u.up, list_prepend(u.up, p.path)
+  FROM paths p JOIN ups u ON u.conv_id = p.conv_id AND u.turn = p.up),
+longest AS (SELECT conv_id, turn, arg_max(path, len(path)) AS path FROM paths GROUP BY conv_id, turn),
+done AS (
+  SELECT b.conv_id, b.turn, b.role, b.body AS text, k.reply_to,
+         CASE WHEN b.conv_id IS NULL OR b.turn IS NULL THEN NULL WHEN k.reply_to IS NULL THEN [b.turn]
+              ELSE coalesce(g.path, [b.turn]) END AS path
+  FROM body b LEFT JOIN links k USING (row)
+    LEFT JOIN longest g ON g.conv_id = b.conv_id AND g.turn = b.turn)
+SELECT conv_id, turn, role, text, reply_to, array_to_string(path, '.') AS path, path[1] AS thread,
+       CAST(len(path) - 1 AS INTEGER) AS depth,
+       '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') AS chat
+FROM done""",
+    "op9_jaccard": rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_SHINGLED}, []) AS w FROM documents),
+sets AS (
+  SELECT DISTINCT row, array_to_string(w[p:p + 4], ' ') AS shingle
+  FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT row, count(*) AS n FROM sets GROUP BY row),
+common AS (SELECT a.row AS x, b.row AS y, count(*) AS c
+           FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.row <> b.row GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes s ON s.row = x JOIN sizes t ON t.row = y
+  WHERE 100 * c >= 75 * (s.n + t.n - c)),
+reached AS (
+  SELECT row, row AS start FROM docs
+  UNION SELECT y, start FROM reached JOIN links ON x = row),
+groups AS (SELECT r.row, min(d.doc_id) AS component_id FROM reached r JOIN docs d ON d.row = r.start GROUP BY r.row)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM docs LEFT JOIN sizes USING (row) LEFT JOIN groups USING (row)""",
     "op7_decontaminate": f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (

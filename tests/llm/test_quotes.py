@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from billweave.llm import quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -57,3 +59,19 @@ def test_nulls_repeats_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = quotes.reply_order(spark.createDataFrame(TALK, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_like_sql(spark):
+    import duckdb
+
+    from billweave.llm import queries
+    odd = [(4, 0, "user", "A b c d.\n\nE f g h"), (4, 1, "user", "y wrote:\n> E  F g h\n> > A b c d.\nx"), (4, 2, None, None),
+           (None, 3, "user", "> a"), (4, 3, "user", ">> A b c d."), (4, None, "user", "t"), (4, 4, "user", "")]
+    df = spark.createDataFrame([*TALK, *odd], SCHEMA)
+    duck = duckdb.connect()
+    duck.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    expected = duck.sql(queries.ORACLE["op5_reply_order"])
+    got = quotes.reply_order(df).withColumn("path", F.array_join("path", "."))
+    columns = sorted(expected.columns)
+    assert (sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+            == sorted(repr(r) for r in expected.select(*columns).fetchall()))
