@@ -11,12 +11,13 @@ MONEY_TYPE = "decimal(24,10)"
 TOTAL_LABELS = ("total", "total costs ($)", "total cost ($)")
 
 # Blanks of every kind, no-break ones too.
-BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                           *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(cell: Column) -> Column:
-    return F.regexp_replace(cell, rf"^{BLANKS}|{BLANKS}\z", "")
+    return F.btrim(cell, F.lit(BLANKS))
 
 
 def parse_money(cell: Column, decimal_mark: str = ".") -> Column:
@@ -34,9 +35,11 @@ def parse_money(cell: Column, decimal_mark: str = ".") -> Column:
         raise ValueError(f"decimal_mark must be '.' or ',', not {decimal_mark!r}")
     text = strip(bare)
     amount = text.try_cast(MONEY_TYPE)
-    lost = text.rlike(NUMBER) & (amount.isNull() | (amount == 0) & (text.try_cast("double") != 0))
-    error = F.raise_error(F.concat(F.lit(f"outside of {MONEY_TYPE}: "), cell))
-    return F.when(lost, error.cast(MONEY_TYPE)).otherwise(amount)
+    error = F.raise_error(F.concat(F.lit(f"outside of {MONEY_TYPE}: "), cell)).cast(MONEY_TYPE)
+    return (F.when(amount != 0, amount)
+            .when(amount.isNull() & ~F.coalesce(text.rlike(NUMBER), F.lit(False)), None)
+            .when(amount.isNotNull() & (text.try_cast("double") == 0), amount)
+            .otherwise(error))
 
 
 def is_total_row(service: Column) -> Column:

@@ -28,12 +28,12 @@ def ones(condition: Column) -> Column:
 def cut_points(df: DataFrame, info: DataFrame, order: list[str], split_above: int) -> DataFrame:
     """_group, _cuts: where to cut each group of more than ``split_above`` rows into ranges of about
     half that many. Both sides carry the group as one struct, ``_group``."""
-    ranges = F.ceil(F.col("n_rows") * 2 / max(split_above, 1))
-    hot = info.filter(F.col("n_rows") > split_above).select(
-        "_group", F.greatest(F.floor(F.col("n_rows") / (ranges * SAMPLED)), F.lit(1)).alias("_every"))
+    every = max(split_above // (2 * SAMPLED), 1)
+    hot = info.filter(F.col("n_rows") > split_above).select("_group")
     in_order = W.partitionBy("_group").orderBy("_place")
-    return (df.select("_group", F.struct(*order).alias("_place"), F.xxhash64(*order).alias("_hash"))
-            .join(hot, "_group").filter(F.pmod("_hash", "_every") == 0)
+    # One row in `every`, whatever the size of its group, so that little is joined.
+    return (df.select("_group", F.struct(*order).alias("_place"))
+            .filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).join(hot, "_group")
             .withColumn("_at", F.row_number().over(in_order)).filter(F.col("_at") % SAMPLED == 0)
             .groupBy("_group").agg(F.array_sort(F.collect_list("_place")).alias("_cuts")))
 
