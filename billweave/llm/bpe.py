@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 from billweave.llm.rows import with_arrow
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 #: Bytes of text whose words are indexed together.
-PARTITION_BYTES = 4_000_000
+PARTITION_BYTES = 1_500_000
 MAX_VOCABULARY_BYTES = 64_000_000
 #: How byte-level BPE cuts text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
