@@ -25,7 +25,8 @@ Pairs within a group are never written out.
 Words: A-Z lower-cased, cut at ASCII blanks. Sets: distinct shingles of `SHINGLE` words (64-bit
 hashes); a shorter text is one shingle. Null text, or text without words, has an empty set and links
 with nothing. The group's name is its smallest id; null ids are left out of it, and a group without
-any other has a null name. A row that occurs twice is two documents with equal sets.
+any other has a null name. Names can be equal by chance (null, or one id on several texts); what tells
+groups apart is `root`. A row that occurs twice is two documents with equal sets.
 """
 
 from __future__ import annotations
@@ -299,7 +300,10 @@ def in_blocks(df: DataFrame, group: str, blocks: Column, task: Column) -> DataFr
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    size: int = SHINGLE) -> DataFrame:
-    """Of every row: id, rid (a hash of id and text), n (size of its set) and group (smallest id)."""
+    """Of every row: id, rid (a hash of id and text), n (size of its set), group (smallest id) and root.
+
+    root is one number for each group and no other's; it is null for an empty set.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("id", "text"))
     id_type = rows.schema["id"].dataType
@@ -336,10 +340,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grouped = sets.select("name", "rid", "id").join(roots, "rid", "left").withColumn(
         "root", F.coalesce("root", "rid"))
     named = grouped.groupBy("root").agg(F.min("id").alias("group"))
-    by_set = grouped.select("name", "root").join(named, "root").select("name", "group")
+    by_set = grouped.select("name", "root").join(named, "root").select("name", "group", "root")
     out = described.select("id", "rid", "n", "name").join(by_set, "name", "left")
     return out.select("id", "rid", "n", F.when(F.col("name").isNull(), F.col("id"))
-                      .otherwise(F.col("group")).alias("group"))
+                      .otherwise(F.col("group")).alias("group"), "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -349,7 +353,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     """
     key, empty, at = fresh(docs, "rid"), fresh(docs, "empty"), fresh(docs, "at")
     groups = similar_groups(docs, doc_id, text, size)
-    first = Window.partitionBy("group").orderBy(F.col("id").asc_nulls_last(), "rid")
+    first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "rid")
     linked = groups.where("n > 0").withColumn("at", F.row_number().over(first)).where("at = 1")
     kept = linked.select(F.col("rid").alias(key), F.lit(False).alias(empty)).unionByName(
         groups.where("n = 0").select(F.col("rid").alias(key), F.lit(True).alias(empty)).distinct())

@@ -104,6 +104,19 @@ def test_null_ids_and_empty_table(spark):
     assert j.keep_one(documents(spark, [])).count() == 0
 
 
+def test_groups_of_one_name_are_apart(spark):
+    first, second, third = (" ".join(f"{k}{i}" for i in range(40)) for k in "xyz")
+    rows = [(first, None), (first + " more", None), (second, None), (third, None), ("", None), (None, None),
+            ("m n o p q r", 7), ("s t u v w x", 7), ("S t u v w x", 9), ("s t u v w x", None)]
+    texts, ids = [t for t, _ in rows], [i for _, i in rows]
+    got = j.similar_groups(documents(spark, texts, ids))
+    assert got.where("root IS NOT NULL").select("root").distinct().count() == 5
+    assert got.where("root IS NULL").count() == 2
+    kept = [(r.text, r.doc_id) for r in j.keep_one(documents(spark, texts, ids)).collect()]
+    assert len(kept) == 7 and len({t for t, _ in kept} & {first, first + " more"}) == 1
+    assert {(second, None), (third, None), ("", None), (None, None), ("m n o p q r", 7), ("s t u v w x", 7)} < set(kept)
+
+
 def test_components(spark):
     r = rng(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 60)] + [
