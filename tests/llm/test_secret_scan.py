@@ -36,6 +36,22 @@ def test_checksums(spark):
     assert list(kinds.values()) == [["forge"], [], ["iban"], [], ["card"], [], []]
 
 
+def test_numbers_with_something_after_them(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    secret = {f"card {card} 12/26": f"card {card}", f"card {card}-123": f"card {card}", f"VISA: {card} 7": f"VISA: {card}",
+              f"card 4111111111111111 1226 9": "card 4111111111111111", f"card {card}12": None,
+              f"IBAN {iban} BIC COBADEFFXXX": f"IBAN {iban}", f"IBAN {iban} 12 AB": f"IBAN {iban}",
+              f"IBAN: {iban.replace(' ', '')}BICCOBADEFFXXX1": f"IBAN: {iban.replace(' ', '')}",
+              f"IBAN XX35 ABCD EFGH IJKL MNOP QR": None, "IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX": None,
+              f"IBAN GB82 WEST 1234 5698 7654 32 SORT 1": "IBAN GB82 WEST 1234 5698 7654 32",
+              f"card {card} 12/26, IBAN {iban} BIC": f"card {card}"}
+    for text, part in secret.items():
+        found = s.Scanner().spans(text)
+        assert [text[a:b] for _, a, b in found][:1] == ([part] if part else []), text
+    docs = documents(spark, [f"pay by card {card} 12/26 or IBAN {iban} BIC COBADEFFXXX now"])
+    assert s.redact(s.scan(docs)).first().text == "pay by [SECRET] 12/26 or [SECRET] BIC COBADEFFXXX now"
+
+
 def test_scan_and_redact(spark):
     texts = ["x token = \"abcdef0123456789abcdef01\" y", None, "", "clean", "é " * 5 + "AKIA" + "Q" * 16, LONG + " secret=abcdefg",
              "password: abc", "x token = \"abcdef0123456789abcdef01\" y"]
