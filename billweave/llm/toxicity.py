@@ -3,8 +3,11 @@
 Method: noisy channel. Runs of characters that look disguised (digits and symbols between letters,
 letters repeated three times or more, single letters set apart) become a lattice: each place offers
 the letters that its character may stand for, a repeated run offers itself once or twice, marks in
-between may fall away. Viterbi decoding picks the path with the best sum of a trigram model of
-letters and the cost of the disguise. The restored words are then scored.
+between may fall away, marks after the last letter may stay, separators of single letters, in any
+mix, may fall away or be a word's edge. Viterbi decoding picks the path with the best sum of a
+trigram model of letters and the cost of the disguise. Between longer pieces of words only the two
+letters on either side matter to that sum, so those choices are read from a table of all such fours
+(a-z). Runs of any length are decoded whole. The restored words are then scored.
 
 Letter model: trigrams over a-z, one class for other letters and the word's edge, counted over all
 texts; 28 to the power of 3 numbers, whatever the input. Lexicon: beginnings of words (4, 5 and 6
@@ -46,19 +49,27 @@ OTHER, EDGE, CLASSES = 26, 27, 28
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
         "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "*": "aeiou",
         "#": "h", "(": "c"}
-#: Log cost of reading a mark as a letter, of dropping a mark, of a repeated run.
-SWAP, DROP, REPEAT = -1.0, -6.0, -0.5
+#: Log cost of reading a mark as a letter, of dropping one or several equal marks, of a repeated run,
+#: of dropping a character between pieces of more than one letter.
+SWAP, DROP, REPEAT, PIECE = -1.0, -6.0, -0.5, -3.0
 
 LETTER, MARK = r"[^\W\d_]", r"[0-9@$!|+€£*#(]"
+#: Marks that are no punctuation at a word's end.
+LAST_MARK = "0123456789@$€£*|+#"
+#: What sets letters apart.
+BETWEEN = " \t\n\r.-_*"
 WORD = re.compile(rf"{LETTER}+")
-#: Marks between letters, or before two letters at the start of a word.
-MARKED = re.compile(rf"{LETTER}{MARK}+{LETTER}|(?<!\S)[0-9@$]+{LETTER}{{2}}")
-DISGUISED = re.compile(rf"(?:{LETTER}|[0-9@$])(?:{LETTER}|{MARK}+(?={LETTER}))*")
-APART = re.compile(r"(?<!\S)[^\W_]([ .\-_*])[^\W_](?:\1[^\W_]){1,20}(?![^\W_])")
+#: Marks between letters, before two letters at the start of a word or at its end; words all of marks.
+MARKED = re.compile(rf"{LETTER}{MARK}+{LETTER}|(?<!\S)[0-9@$]+{LETTER}{{2}}|{LETTER}{MARK}*[{LAST_MARK}]"
+                    rf"|(?<!\S)(?!\$[0-9])(?=[0-9!|+€£*#(]*[@$])({MARK})\1*(?!\1){MARK}{{1,}}(?!\S)")
+DISGUISED = re.compile(rf"(?:{LETTER}|[0-9@$])(?:{LETTER}|{MARK})*")
+SINGLE, GAP = r"(?:[^\W_]|[@$!€£+])", r"[ \t\n\r.\-_*]+"
+APART = re.compile(rf"(?<![^\W_])[^\W_]{GAP}{SINGLE}(?:{GAP}{SINGLE})+(?![^\W_])")
+APART_OF_MARK = re.compile(rf"(?<!\S)[@$]{GAP}{SINGLE}(?:{GAP}{SINGLE})+(?![^\W_])")
 LONG_RUN = re.compile(rf"({LETTER})\1\1")
 #: Quick to find: what every marked and every repeated run holds.
-MARK_THEN_LETTER, ANY_RUN = re.compile(MARK + LETTER), re.compile(r"(.)\1\1")
-#: Longer disguised runs are cut here, at any place; the pieces are decoded one by one.
+ANY_MARK, ANY_RUN = re.compile(rf"{MARK}{LETTER}|{LETTER}{MARK}|[@$]"), re.compile(r"(.)\1\1")
+#: Only shorter runs are kept once decoded.
 LONGEST = 64
 
 
@@ -94,42 +105,88 @@ class Letters:
         # interpolated with the bigram model, which is smoothed by adding a half
         lower = (pair + 0.5) / (pair.sum(1, keepdims=True) + 0.5 * CLASSES)
         seen = cube.sum(2, keepdims=True)
-        self.log = np.log((cube + 5 * lower[None]) / (seen + 5)).tolist()
+        log = np.log((cube + 5 * lower[None]) / (seen + 5))
+        self.log = log.tolist()
+        # of the two classes before and after a separator: what dropping it adds to the sum
+        join = log[:, :, :, None] + log[None]
+        edge = (log[:, :, EDGE][:, :, None, None] + log[:, EDGE, :][None, :, :, None]
+                + log[EDGE][None, None])
+        held = cube > 0
+        # smoothing alone is no ground to join
+        self.gain = np.where(held[:, :, :, None] & held[None], join - edge, -np.inf).astype(np.float32)
+        self.gain[:, OTHER:] = self.gain[:, :, OTHER:] = -np.inf
 
     def decode(self, run: str) -> str:
         """The likeliest letters behind a disguised run; what can't be a letter falls away."""
-        return "".join(self._decode(run[at:at + LONGEST]) for at in range(0, len(run), LONGEST))
-
-    def _decode(self, run: str) -> str:
-        # state: the last two classes; value: (log probability, letters)
-        best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-        for c, n in collapsed(run):
+        places = collapsed(run)
+        last = max((k for k, (c, _) in enumerate(places) if c.isalpha()), default=len(places))
+        # state: the last two classes; value: (log probability, (what came before, letters))
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+        for place, (c, n) in enumerate(places):
             # a place offers (cost, letters)
             if c.isalpha():
                 offers = [(0.0 if n == 1 else REPEAT, c)] + ([(REPEAT, c + c)] if n > 1 else [])
+            elif c[0] in BETWEEN:
+                offers = [(0.0, ""), (0.0, " "), *((SWAP, x) for x in LEET["*"] if "*" in c)]
             else:
-                offers = [(DROP, ""), *((SWAP, x) for x in LEET.get(c, ""))]
+                cost = DROP * min(n, 2) if place < last or c in LAST_MARK else 0.0
+                offers = [(cost, c * n if place > last else ""), *((SWAP + REPEAT * (n > 1), x) for x in LEET.get(c, ""))]
                 if n > 1:
-                    offers += [(SWAP * 2, x + x) for x in LEET.get(c, "")]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (value, text) in best.items():
+                    offers += [(SWAP, x + x) for x in LEET.get(c, "")]
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (value, before) in best.items():
                 for cost, letters in offers:
                     p, q, total = a, b, value + cost
                     for x in letters:
-                        k = letter_class(x)
-                        total += self.log[p][q][k]
-                        p, q = q, k
+                        if x.isalpha() or x == " ":  # marks that stay are in no word
+                            k = EDGE if x == " " else letter_class(x)
+                            total += self.log[p][q][k]
+                            p, q = q, k
                     if (p, q) not in after or total > after[p, q][0]:
-                        after[p, q] = total, text + letters
+                        after[p, q] = total, (before, letters)
             best = after
-        return max(((v + self.log[a][b][EDGE], t) for (a, b), (v, t) in best.items()))[1]
+        _, back = max(((v + self.log[a][b][EDGE], t) for (a, b), (v, t) in best.items()), key=lambda x: x[0])
+        out = []
+        while back:
+            back, letters = back
+            out.append(letters)
+        return "".join(reversed(out))
+
+    def joined(self, text: str) -> str:
+        """The text without separators between pieces that are likelier one word."""
+        points = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), np.uint32)
+        if len(points) < 3:
+            return text
+        low = POINTS[np.minimum(points, 128)]
+        gap = GAPS[np.minimum(points, 128)]
+        starts = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+        ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        ends = ends[np.searchsorted(ends, starts[0], side="right"):] if len(starts) else ends
+        starts = starts[:len(ends)]
+        padded = np.concatenate([[EDGE], low, [EDGE]])  # one further on than in the text
+        gain = self.gain[padded[starts - 1], padded[starts], padded[ends + 1], padded[ends + 2]]
+        drop = np.flatnonzero(gain + PIECE * (ends - starts) > 0)
+        if not len(drop):
+            return text
+        out, at = [], 0
+        for start, end in zip(starts[drop].tolist(), ends[drop].tolist()):
+            out.append(text[at:start])
+            at = end
+        return "".join([*out, text[at:]])
+
+
+#: Letter class of a code point, 128 for all above; whether it is a separator.
+POINTS = np.array([ord(c) - 97 if "a" <= c <= "z" else EDGE for c in map(chr, range(128))] + [OTHER])
+GAPS = np.array([c in BETWEEN for c in map(chr, range(128))] + [False])
 
 
 def collapsed(run: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     for c in run:
-        if out and out[-1][0] == c:
+        if out and out[-1][0] == c and c not in BETWEEN:
             out[-1] = c, out[-1][1] + 1
+        elif out and out[-1][0][0] in BETWEEN and c in BETWEEN:
+            out[-1] = out[-1][0] + c, 1
         else:
             out.append((c, 1))
     return out
@@ -145,6 +202,8 @@ class Restorer:
         self.known: dict[str, str] = {}
 
     def read(self, run: str) -> str:
+        if len(run) > LONGEST:
+            return self.letters.decode(run)
         if run not in self.known:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
@@ -153,14 +212,15 @@ class Restorer:
 
     def restored(self, text: str | None) -> str:
         text = (text or "").lower()
-        if APART.search(text):
-            text = APART.sub(lambda m: self.read(m[0].replace(m[1], "")), text)
-        if MARK_THEN_LETTER.search(text) and MARKED.search(text):
+        for apart in (APART, APART_OF_MARK):
+            if apart.search(text):
+                text = apart.sub(lambda m: self.read(m[0]), text)
+        if ANY_MARK.search(text) and MARKED.search(text):
             text = " ".join(DISGUISED.sub(self._marked, t) if MARKED.search(t) else t
                             for t in text.split())
         if ANY_RUN.search(text) and LONG_RUN.search(text):
             text = WORD.sub(self._repeated, text)
-        return text
+        return self.letters.joined(text)
 
     def _marked(self, found: re.Match) -> str:
         return self.read(found[0]) if MARKED.search(found[0]) else found[0]

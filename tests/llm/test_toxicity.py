@@ -20,6 +20,17 @@ def test_disguised_words_are_restored(restorer, given, read):
     assert restorer.restored(given) == read
 
 
+@pytest.mark.parametrize("given, read", [
+    ("a m o r o n", "a moron"), ("y o u i d i o t", "you idiot"), ("i d.i-o t", "idiot"), ("i_d * i  o.t", "idiot"),
+    ("id iot", "idiot"), ("mor on", "moron"), ("st-upid", "stupid"), ("a$$", "ass"), ("@$$", "ass"), ("a55 a", "ass a"),
+    ("y.o.u a r e s t u p i d p a t h e t i c l o s e r", "you are stupid pathetic loser"),
+    (" ".join("stupid" * 40), "stupid " * 39 + "stupid"), ("you are an idiot", "you are an idiot"),
+    ("a house of reading. late tomorrow", "a house of reading. late tomorrow"), ("$50", "$50"), ("x", "x"), (" - ", " - ")])
+def test_separators_and_last_marks_are_decoded(given, read):
+    words = "idiot stupid moron pathetic loser you are an the house of reading late tomorrow a ass a you are a " * 50
+    assert t.Restorer(t.trigram_counts([words])).restored(given) == read
+
+
 def test_letter_counts():
     counts = t.trigram_counts(["ab, ab", None, "", "É"]).reshape(28, 28, 28)
     assert counts[t.EDGE, 0, 1] == 2 and counts[0, 1, t.EDGE] == 2 and counts[t.EDGE, t.OTHER, t.EDGE] == 1
