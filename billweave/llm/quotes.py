@@ -1,10 +1,11 @@
 """Conversations in reply order, without quoted text.
 
 Method: quotation linking. Lines that start with `>` are quoted; the number of `>` is the level.
-Neighbouring lines of one level are a passage. Passages and their lines are normalised (A-Z lower-cased,
-blanks as one) and hashed, and so are the messages' own texts, their paragraphs and lines. Where the
+Neighbouring lines of one level are a passage; blank quoted lines cut it into paragraphs. Passages, their
+paragraphs, the sentences of these, however lines are wrapped, and lines are normalised (A-Z lower-cased,
+blanks as one) and hashed, and so are the messages' own texts, their paragraphs, sentences and lines. Where the
 hashes of one conversation meet, the quoting message replies to the latest earlier message that said
-it; a whole passage counts more than a line, and level 1 more than deeper ones. Messages come in the
+it; a whole passage or paragraph counts more than a sentence or line, and level 1 more than deeper ones. Messages come in the
 order of their path: the turns from the first message of the thread to themselves. A message that
 quotes nothing starts a thread, so a conversation without quotes stays in the order of its turns.
 
@@ -29,7 +30,9 @@ QUOTED = r"^[ \t]*>"
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
 #: Written by mail programs above a quote.
 ATTRIBUTION = r"(?i)^(on\b.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió) ?:[ \t]*$"
-#: Lines of fewer words are too common to link by.
+#: A sentence ends here, in a normalised paragraph.
+SENTENCE = "(?<=[.!?…]) "
+#: Sentences and lines of fewer words are too common to link by.
 LEAST_WORDS = 3
 
 
@@ -68,19 +71,27 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
                 .groupBy("mid", "conv_id", "turn", "level", "run")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))),
                                  lambda x: x["line"]).alias("lines")))
+    paragraphs = F.transform(F.split(F.array_join("lines", "\n"), r"\n\n+"), normal)
+    parts = F.array_union(sentences(paragraphs), F.col("lines"))
     unit = F.explode(F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), normal(F.array_join("lines", " ")).alias("said"))),
-        F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("said")))))
+        F.transform(F.array_union(F.array(normal(F.array_join("lines", " "))), paragraphs),
+                    lambda x: F.struct(F.lit(True).alias("whole"), x.alias("said"))),
+        F.transform(parts, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("said")))))
     return (passages.select("mid", "conv_id", "turn", "level", unit.alias("unit"))
             .select("mid", "conv_id", "turn", "level", "unit.whole", "unit.said")
             .where((F.length("said") > 0) & (F.col("whole") | (words(F.col("said")) >= LEAST_WORDS)))
             .select("mid", "conv_id", "turn", "level", "whole", F.md5(F.col("said").cast("binary")).alias("hash")))
 
 
+def sentences(paragraphs: Column) -> Column:
+    return F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE)))
+
+
 def said_passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, hash: what messages say themselves, as a whole, by paragraph and by line."""
+    """conv_id, turn, hash: what messages say themselves, as a whole, by paragraph, sentence and line."""
     own = without_quotes(F.col("text"))
-    units = F.concat(F.array(own), F.split(own, r"\n\s*\n"), F.split(own, "\n"))
+    paragraphs = F.split(own, r"\n\s*\n")
+    units = F.concat(F.array(own), paragraphs, sentences(F.transform(paragraphs, normal)), F.split(own, "\n"))
     return (messages.select("conv_id", "turn", F.explode(units).alias("said"))
             .withColumn("said", normal(F.col("said"))).where(F.length("said") > 0)
             .select("conv_id", "turn", F.md5(F.col("said").cast("binary")).alias("hash")).distinct())

@@ -35,6 +35,16 @@ def test_links_paths_and_texts(spark):
     assert got[1, 5].chat == "<|user|>\nThanks"
 
 
+def test_wrapped_parts_of_messages_are_found(spark):
+    said = ("The first part has many words\nand ends here.\n\nThe second part stands alone\nin two lines. It has a sentence more.\n\n"
+            "A third part closes.")
+    rows = [(1, 0, "user", said), (1, 1, "user", "Something else entirely was said."),
+            (1, 2, "user", "> The first part\n> has many words and ends here.\n>\n> The second part stands\n> alone in two lines. It has a sentence more.\nok"),
+            (1, 3, "user", "> It has a\n> sentence more.\nyes"), (1, 4, "user", "> The second part\n> stands alone in two\n> lines.\nno"),
+            (1, 5, "user", "> It has a\n> house more.\nhm")]
+    assert {r.turn: r.reply_to for r in collect(spark, rows)} == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: None}
+
+
 def test_long_chains_are_followed(spark):
     rows = [(9, 0, "user", "message number zero stands here")]
     names = ["zero", *[f"n{i}" for i in range(1, 20)]]
