@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.llm import (bpe, decontaminate, hash_forest, jaccard_join, ppm, quotes,
-                           secret_scan, sharding, toxicity, url_filter)
+                           secret_scan, sharding, substring_dedup, toxicity, url_filter)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SHARD_BYTES = 1_000_000
@@ -105,15 +105,23 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                is_query=F.col("vec_id") % 20 == 0)
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", substring_dedup.removed_words(F.col("removed")).alias("n_removed"),
+                      F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_ppm,
            "op4_shards": op4_shards, "op5_reply_order": op5_reply_order, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity,
-           "op9_jaccard": op9_jaccard, "op10_forest": op10_forest}
+           "op9_jaccard": op9_jaccard, "op10_forest": op10_forest,
+           "op13_substrings": op13_substrings}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NORMAL = "trim(regexp_replace(" + _LOWER + r", '\s+', ' ', 'g'))"
 _SHINGLED = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+')"
+_UNCHANGED = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
@@ -248,4 +256,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (row) LEFT JOIN ids USING (row)""",
+    "op13_substrings": f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_UNCHANGED}, []) AS w FROM documents),
+windows AS (
+  SELECT row, doc_id, p, array_to_string(w[p:p + 12], ' ') AS win
+  FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM docs)),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+gone AS (
+  SELECT DISTINCT row, unnest(range(p, p + 13)) AS q
+  FROM windows JOIN firsts USING (win) WHERE first < doc_id),
+words AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM docs),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY q) AS kept, count(*) AS n
+         FROM words ANTI JOIN gone USING (row, q) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (row)""",
 }
