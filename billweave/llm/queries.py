@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.llm import (bpe, decontaminate, hash_forest, jaccard_join, ppm, quotes,
-                           secret_scan, sharding, substring_dedup, toxicity, url_filter)
+                           secret_scan, sharding, spelling, substring_dedup, toxicity, url_filter)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SHARD_BYTES = 1_000_000
@@ -105,6 +105,11 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                is_query=F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.word_counts(texts, read=spelling.with_slips))
+
+
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", substring_dedup.removed_words(F.col("removed")).alias("n_removed"),
@@ -115,7 +120,7 @@ QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_pp
            "op4_shards": op4_shards, "op5_reply_order": op5_reply_order, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity,
            "op9_jaccard": op9_jaccard, "op10_forest": op10_forest,
-           "op13_substrings": op13_substrings}
+           "op11_spelling": op11_spelling, "op13_substrings": op13_substrings}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -256,6 +261,43 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (row) LEFT JOIN ids USING (row)""",
+    "op11_spelling": rf"""
+WITH RECURSIVE bits AS (
+  SELECT n, n::UBIGINT AS c, 0 AS k FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}::UBIGINT) ELSE c >> 1 END, k + 1
+  FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+        FROM documents)
+  GROUP BY ALL),
+bytes AS (SELECT *, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS b FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+           list_transform(range(0, octet_length(b)), lambda k: ('0x' || substr(hex(b), 2 * k + 1, 2))::UBIGINT),
+           lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h
+  FROM bytes, crc),
+slipped AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT)
+                             || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (SELECT word, n, k, left(word, k) || substr(word, k + 2) AS rest
+          FROM (SELECT *, unnest(range(length(word))) AS k FROM words)),
+links AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n
+  FROM holes a JOIN holes b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT h.word, h.n, w.word, w.n FROM holes h JOIN words w ON w.word = h.rest
+  UNION SELECT w.word, w.n, h.word, h.n FROM holes h JOIN words w ON w.word = h.rest),
+near AS (SELECT word, count(*) AS n_near FROM links GROUP BY word),
+forms AS (
+  SELECT word, near AS form, near_n AS form_n FROM links WHERE true
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1 AND near_n >= 5 * n),
+steps AS (
+  SELECT word, word AS root FROM words
+  UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root)
+SELECT w.word, f.form, s.root, w.n, coalesce(r.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN near r USING (word) LEFT JOIN forms f USING (word)
+  JOIN (FROM steps ANTI JOIN forms ON forms.word = steps.root) s ON s.word = w.word""",
     "op13_substrings": f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_UNCHANGED}, []) AS w FROM documents),
 windows AS (
