@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.llm import (bpe, decontaminate, hash_forest, jaccard_join, ppm, quotes,
-                           secret_scan, sharding, spelling, substring_dedup, toxicity, url_filter)
+                           secret_scan, sharding, spelling, substring_dedup, token_alignment,
+                           toxicity, url_filter)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+ALIGNED = token_alignment.Files(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                public_tokenizers.path("piece_bpe_32k.model"))
 SHARD_BYTES = 1_000_000
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
              ("allow", "com/fr/"), ("block", "com/de/"))
@@ -110,6 +113,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(texts, read=spelling.with_slips))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(texts, ALIGNED).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
+
+
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", substring_dedup.removed_words(F.col("removed")).alias("n_removed"),
@@ -120,7 +129,8 @@ QUERIES = {"op1_bpe": op1_bpe, "op2_url_rules": op2_url_rules, "op3_ppm": op3_pp
            "op4_shards": op4_shards, "op5_reply_order": op5_reply_order, "op6_secrets": op6_secrets,
            "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity,
            "op9_jaccard": op9_jaccard, "op10_forest": op10_forest,
-           "op11_spelling": op11_spelling, "op13_substrings": op13_substrings}
+           "op11_spelling": op11_spelling, "op12_alignment": op12_alignment,
+           "op13_substrings": op13_substrings}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
