@@ -9,8 +9,9 @@ prefix, and pivots only have to meet prefixes.
 
 Position limits: the edit lies to one side of the surviving pivot, so on the other side the words are equal,
 the gram's distance to that end included. A place is therefore indexed under the whole of what lies to its
-left, and under the whole of what lies to its right (its gram with both); a pivot meets only words that
-agree there and whose length differs by one at most. Words that met are then compared in full.
+left, and under the whole of what lies to its right (its gram with both). A word looks for others under
+all that lies to the left of its first pivot, and under all that lies to the right of its last one. Words
+that met and whose length differs by one at most are compared: first by halves, then in full.
 
 Words are what `word_counts` gives: runs of letters (A-Z and U+00C0 to U+00FF; only A-Z are lower-cased) of at
 least `least_length` characters that occur `least_count` times or more, over all texts. Null and empty
@@ -139,23 +140,30 @@ def prefix(word: str, counts: dict[str, int]) -> tuple[list[int], list[int]]:
     return places, pivots(places, lambda p: counts[grams[p]])
 
 
-def _index(shared):
-    """Rows (key, word, n, size, pivot): every place of a prefix, under what is to its left and right."""
+def keys(word: str, counts: dict[str, int]) -> tuple[list[str], list[str]]:
+    """(the keys under which a word is found, those under which it looks for others).
+
+    An edit to the left of the last pivot leaves that and all to its right as it is; any other edit leaves
+    all to the left of the last pivot, and so the first pivot and what is before it.
+    """
+    places, (first, *_, last) = prefix(word, counts)
+    found = [side for p in places for side in ("<" + word[:p + GRAM], ">" + word[p:])]
+    return found, ["<" + word[:first + GRAM], ">" + word[last:]]
+
+
+def _index(shared, seeking: bool):
+    """Rows (key, word, n) of words to be found or of words that look for others."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                rows = []
-                for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    places, chosen = prefix(word, shared.value)
-                    for p in places:
-                        rows.append(("<" + word[:p + GRAM], word, n, p in chosen))
-                        rows.append((">" + word[p:], word, n, p in chosen))
-                columns = list(zip(*rows)) or [()] * 4
+                rows = [(key, word, n) for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                        for key in keys(word, shared.value)[seeking]]
+                columns = list(zip(*rows)) or [()] * 3
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()))],
-                    ["key", "word", "n", "pivot"])
+                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))],
+                    ["key", "word", "n"])
 
     return index
 
@@ -166,15 +174,20 @@ def near_words(words: DataFrame) -> DataFrame:
     Words have to be distinct and of four characters at least, for two disjoint grams.
     """
     counts = words.sparkSession.sparkContext.broadcast(gram_counts(words))
-    places = (words.select("word", "n").mapInArrow(_index(counts), "key string, word string, n long, pivot boolean")
-              .withColumn("size", F.length("word")))
-    pivot = places.where("pivot").select("key", *[F.col(c).alias(f"p_{c}") for c in ("word", "n", "size")])
-    met = (places.join(pivot, "key").where("word <> p_word AND abs(size - p_size) <= 1")
-           .where(F.levenshtein("word", "p_word", 1) == 1))
-    one = met.select("word", "n", F.col("p_word").alias("near"), F.col("p_n").alias("near_n"))
-    other = met.select(F.col("p_word").alias("word"), F.col("p_n").alias("n"), F.col("word").alias("near"),
+    fields = "key string, word string, n long"
+    found = words.select("word", "n").mapInArrow(_index(counts, False), fields).withColumn("size", F.length("word"))
+    seeking = words.select("word", "n").mapInArrow(_index(counts, True), fields)
+    # one of the halves has no edit in it
+    half = F.floor(F.length("word") / 2).cast("int")
+    seeking = seeking.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"),
+                             F.length("word").alias("near_size"), F.substring("word", F.lit(1), half).alias("left"),
+                             F.expr("substring(word, cast(floor(length(word) / 2) as int) + 1)").alias("right"))
+    agree = F.col("word").startswith(F.col("left")) | F.col("word").endswith(F.col("right"))
+    met = (found.join(seeking, "key").where("abs(size - near_size) <= 1 AND word <> near").where(agree)
+           .where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n"))
+    other = met.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"),
                        F.col("n").alias("near_n"))
-    return one.unionByName(other).distinct()
+    return met.unionByName(other).distinct()
 
 
 def roots(forms: DataFrame, largest: int, ratio: int) -> DataFrame:

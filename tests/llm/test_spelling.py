@@ -69,7 +69,9 @@ def test_every_pair_meets_by_pivot_and_prefix():
     for w in words:
         places, chosen = s.prefix(w, counts)
         assert set(chosen) <= set(places) and len(chosen) == 2 and chosen[1] - chosen[0] >= 2
-        keys[w] = [{k for p in ps for k in ("<" + w[:p + 2], ">" + w[p:])} for ps in (places, chosen)]
+        keys[w] = list(map(set, s.keys(w, counts)))
+        assert keys[w][0] == {k for p in places for k in ("<" + w[:p + 2], ">" + w[p:])}
+        assert keys[w][1] == {"<" + w[:chosen[0] + 2], ">" + w[chosen[1]:]}
     for a, b in itertools.combinations(words, 2):
         if one_edit(a, b):
             assert keys[a][1] & keys[b][0] or keys[b][1] & keys[a][0]
