@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 WINDOW = 13
 #: Bytes of text of a block; windows of a bucket, at four bytes of text for each.
-BLOCK_BYTES, BUCKET = 16_000_000, 2_000_000
+BLOCK_BYTES, BUCKET = 8_000_000, 2_000_000
 #: Odd bases of the two polynomials: the fractions of the golden ratio and of the root of 3.
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B
 INTERVALS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
