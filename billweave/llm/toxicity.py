@@ -10,12 +10,14 @@ letters on either side matter to that sum, so those choices are read from a tabl
 (a-z). Runs of any length are decoded whole. The restored words are then scored.
 
 Letter model: trigrams over a-z, one class for other letters and the word's edge, counted over all
-texts; 28 to the power of 3 numbers, whatever the input. Lexicon: beginnings of words (4, 5 and 6
-letters) that labelled toxic texts hold clearly more often than others, once or twice; of at most
-`LEXICON` entries. Score: a logistic curve over how much of the lexicon a text holds, absolutely and
-by its number of words. Lexicon and curve are fitted on labelled rows, at most `MAX_LABELS` of them,
-those with the smallest hash of the id; a larger set of labels is sampled by that bound, which is a
-parameter. Letter counts cover all texts. All that goes to the tasks is bounded by these parameters.
+texts; 28 to the power of 3 numbers, whatever the input. Lexicon: pieces of words, of 5 to 7 letters at any
+place (a word's beginning and end count as letters), that labelled toxic texts hold clearly more often
+than others, once or twice; all of them. Score: a logistic curve over how much of the lexicon a text holds, absolutely
+and by its number of words. Lexicon and curve are fitted on labelled rows, at most `MAX_LABELS` labels and
+as many different texts (those with the smallest hashes); a larger set is sampled by that bound, which is
+a parameter. Equal texts with equal labels count once. Letter counts cover all texts. The lexicon that
+goes to the tasks is as large as that many texts give, whatever the input. Labelled texts are restored
+once.
 
 Null text counts as empty. Texts without words get the score of a text that holds nothing of the
 lexicon. Labels other than 0 and 1, and labels without a text, are ignored; without labels of both
@@ -27,9 +29,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from billweave.llm.rows import fresh, with_arrow
+from billweave.llm.rows import fresh, saved, with_arrow
 
 MAX_LABELS = 50_000
-LEXICON = 2_000
-#: Standard errors that a lexicon entry's log odds must lie above zero.
-SURE = 2.0
-SIZES = (4, 5, 6)
+#: An entry's log odds less so many standard errors must lie above `CLEAR`.
+SURE, CLEAR = 2.0, 1.5
+#: Lengths of pieces of words, in which a word's beginning and its end count as one letter each.
+SIZES = (5, 6, 7)
+TWICE = "2"
 OTHER, EDGE, CLASSES = 26, 27, 28
 #: Letters that digits and symbols stand for in disguised spelling.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
@@ -67,10 +71,14 @@ SINGLE, GAP = r"(?:[^\W_]|[@$!€£+])", r"[ \t\n\r.\-_*]+"
 APART = re.compile(rf"(?<![^\W_])[^\W_]{GAP}{SINGLE}(?:{GAP}{SINGLE})+(?![^\W_])")
 APART_OF_MARK = re.compile(rf"(?<!\S)[@$]{GAP}{SINGLE}(?:{GAP}{SINGLE})+(?![^\W_])")
 LONG_RUN = re.compile(rf"({LETTER})\1\1")
-#: Quick to find: what every marked and every repeated run holds.
-ANY_MARK, ANY_RUN = re.compile(rf"{MARK}{LETTER}|{LETTER}{MARK}|[@$]"), re.compile(r"(.)\1\1")
+NO_LETTER = re.compile(r"[\W\d_]")
 #: Only shorter runs are kept once decoded.
 LONGEST = 64
+#: Kinds of characters, by code point; all further ones are as the last.
+GAP_KIND, MARK_KIND, LETTER_KIND, WORD_KIND, SIGN_KIND = 1, 2, 4, 8, 16
+KINDS = np.array([GAP_KIND * (c in BETWEEN) + MARK_KIND * bool(re.match(MARK, c)) + LETTER_KIND * bool(re.match(LETTER, c))
+                  + WORD_KIND * bool(re.match(r"[^\W_]", c)) + SIGN_KIND * (c in "@$")
+                  for c in map(chr, range(0x3000))] + [LETTER_KIND + WORD_KIND], np.uint8)
 
 
 def letter_class(c: str) -> int:
@@ -118,21 +126,9 @@ class Letters:
 
     def decode(self, run: str) -> str:
         """The likeliest letters behind a disguised run; what can't be a letter falls away."""
-        places = collapsed(run)
-        last = max((k for k, (c, _) in enumerate(places) if c.isalpha()), default=len(places))
         # state: the last two classes; value: (log probability, (what came before, letters))
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
-        for place, (c, n) in enumerate(places):
-            # a place offers (cost, letters)
-            if c.isalpha():
-                offers = [(0.0 if n == 1 else REPEAT, c)] + ([(REPEAT, c + c)] if n > 1 else [])
-            elif c[0] in BETWEEN:
-                offers = [(0.0, ""), (0.0, " "), *((SWAP, x) for x in LEET["*"] if "*" in c)]
-            else:
-                cost = DROP * min(n, 2) if place < last or c in LAST_MARK else 0.0
-                offers = [(cost, c * n if place > last else ""), *((SWAP + REPEAT * (n > 1), x) for x in LEET.get(c, ""))]
-                if n > 1:
-                    offers += [(SWAP, x + x) for x in LEET.get(c, "")]
+        for offers in lattice(run):
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (value, before) in best.items():
                 for cost, letters in offers:
@@ -192,6 +188,21 @@ def collapsed(run: str) -> list[tuple[str, int]]:
     return out
 
 
+def lattice(run: str) -> Iterator[list[tuple[float, str]]]:
+    """What each place of a run offers: (cost, letters)."""
+    places = collapsed(run)
+    last = max((k for k, (c, _) in enumerate(places) if c.isalpha()), default=len(places))
+    for place, (c, n) in enumerate(places):
+        if c.isalpha():
+            yield [(0.0 if n == 1 else REPEAT, c)] + ([(REPEAT, c + c)] if n > 1 else [])
+        elif c[0] in BETWEEN:
+            yield [(0.0, ""), (0.0, " "), *((SWAP, x) for x in LEET["*"] if "*" in c)]
+        else:
+            cost = DROP * min(n, 2) if place < last or c in LAST_MARK else 0.0
+            yield [(cost, c * n if place > last else ""), *((SWAP + REPEAT * (n > 1), x) for x in LEET.get(c, "")),
+                   *((SWAP, x + x) for x in LEET.get(c, "") if n > 1)]
+
+
 class Restorer:
     """Words of texts in lower case, disguised ones restored; keeps runs it has decoded."""
 
@@ -212,64 +223,120 @@ class Restorer:
 
     def restored(self, text: str | None) -> str:
         text = (text or "").lower()
-        for apart in (APART, APART_OF_MARK):
-            if apart.search(text):
+        may = may_hold(text)
+        if may.apart:
+            before = text
+            for apart in (APART, APART_OF_MARK):
                 text = apart.sub(lambda m: self.read(m[0]), text)
-        if ANY_MARK.search(text) and MARKED.search(text):
-            text = " ".join(DISGUISED.sub(self._marked, t) if MARKED.search(t) else t
-                            for t in text.split())
-        if ANY_RUN.search(text) and LONG_RUN.search(text):
-            text = WORD.sub(self._repeated, text)
+            may = may if text == before else may_hold(text)
+        if may.marked:
+            text = self._rewritten(text, MARKED, str.isspace, self._undisguised)
+        if may.repeated or may.marked:
+            text = self._rewritten(text, LONG_RUN, NO_LETTER.match, self.read)
         return self.letters.joined(text)
 
-    def _marked(self, found: re.Match) -> str:
-        return self.read(found[0]) if MARKED.search(found[0]) else found[0]
+    @staticmethod
+    def _rewritten(text: str, pattern: re.Pattern, outside: Callable, rewrite: Callable[[str], str]) -> str:
+        """The text with every stretch around a match, up to characters that are `outside`, rewritten."""
+        out, at = [], 0
+        while found := pattern.search(text, at):
+            begin, end = found.span()
+            while begin > at and not outside(text[begin - 1]):
+                begin -= 1
+            while end < len(text) and not outside(text[end]):
+                end += 1
+            out += text[at:begin], rewrite(text[begin:end])
+            at = end
+        return "".join([*out, text[at:]]) if out else text
 
-    def _repeated(self, found: re.Match) -> str:
-        return self.read(found[0]) if LONG_RUN.search(found[0]) else found[0]
+    def _undisguised(self, piece: str) -> str:
+        return DISGUISED.sub(lambda m: self.read(m[0]) if MARKED.search(m[0]) else m[0], piece)
 
     def words(self, text: str | None) -> list[str]:
         return WORD.findall(self.restored(text))
 
 
-def beginnings(word: str) -> list[str]:
-    """The starts of a word that can be lexicon entries; a shorter word is one with its end."""
-    return [word[:n] for n in SIZES if len(word) >= n] or [word + "."]
-
-
-def held(words: list[str]) -> set[str]:
-    """Entries that a text holds: beginnings, and `2` with those that it holds twice or more."""
-    counts = Counter(b for w in words for b in beginnings(w))
-    return set(counts) | {"2" + b for b, n in counts.items() if n > 1}
+class May(NamedTuple):
+    """What a text may hold; False is certain."""
+    apart: bool
+    marked: bool
+    repeated: bool
+
+
+def may_hold(text: str) -> May:
+    """Looks at all characters at once, as that is quicker than the patterns."""
+    points = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), np.uint32)
+    if len(points) < 2:
+        return May(False, False, False)
+    kinds = KINDS[np.minimum(points, len(KINDS) - 1)]
+    gap, mark, letter = (kinds & GAP_KIND) > 0, (kinds & MARK_KIND) > 0, (kinds & LETTER_KIND) > 0
+    marked = bool(((mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])).any() or (kinds & SIGN_KIND).any())
+    same = points[1:] == points[:-1]
+    repeated = bool((same[1:] & same[:-1]).any())
+    # a piece between gaps that is one character, with single characters on either side
+    joint = (kinds & WORD_KIND) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+    begins, ends = edges[::2], edges[1::2]
+    if len(begins) < 3:
+        return May(False, marked, repeated)
+    last_alone = (ends - begins == 1) | ~joint[ends - 2]
+    first_alone = (ends - begins == 1) | ~joint[np.minimum(begins + 1, len(points) - 1)]
+    apart = bool((last_alone[:-2] & (ends - begins == 1)[1:-1] & first_alone[2:]).any())
+    return May(apart, marked, repeated)
+
+
+def grams(word: str) -> set[str]:
+    """The pieces of a word, whose ends are marked, at any place; a shorter word is one."""
+    whole = f"<{word}>"
+    return {whole[at:at + n] for n in SIZES for at in range(len(whole) - n + 1)} or {whole}
+
+
+class Kept(dict):
+    """Values of words, worked out when asked for; those of short words are kept for a while."""
+
+    def __init__(self, value: Callable[[str], object], most: int) -> None:
+        super().__init__()
+        self.value, self.most = value, most
+
+    def __missing__(self, word: str) -> object:
+        value = self.value(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
+        return value
 
 
 @dataclass
 class Model:
     letters: np.ndarray
+    #: weight of pieces of words, and of `TWICE` and pieces that a text holds twice or more
     lexicon: dict[str, float]
     curve: list[float]
 
-    def __post_init__(self) -> None:
-        #: how a word must start to have an entry
-        self.heads = {b.removeprefix("2")[:SIZES[0]].rstrip(".") for b in self.lexicon}
+    def pieces(self) -> Kept:
+        """Which entries a word holds."""
+        entries = {e.removeprefix(TWICE) for e in self.lexicon}
+        return Kept(lambda word: tuple(sorted(grams(word) & entries)), 300_000)
 
-    def features(self, words: list[str]) -> list[float]:
-        """The intercept, the lexicon's weight in the text, that weight by words, and the words."""
-        heads, get = self.heads, self.lexicon.get
-        counts = Counter([w for w in words if w[:SIZES[0]] in heads])
-        twice: Counter = Counter()
-        for w, n in counts.items():
-            for b in beginnings(w):
-                twice[b] += n
-        total = 0.0
+    def features(self, words: list[str], pieces: Kept) -> list[float]:
+        """The intercept, the lexicon's weight in the text, that weight by words, and the words.
+
+        A word weighs as much as the weightiest entry that it holds.
+        """
+        get = self.lexicon.get
+        counts = Counter([w for w in words if pieces[w]])
+        often: Counter = Counter()
         for w, n in counts.items():
-            total += n * max(max(get(b, 0.0), get("2" + b, 0.0) if twice[b] > 1 else 0.0)
-                             for b in beginnings(w))
+            for e in pieces[w]:
+                often[e] += n
+        total = math.fsum(n * max(max(get(e, 0.0), get(TWICE + e, 0.0) if often[e] > 1 else 0.0) for e in pieces[w])
+                          for w, n in counts.items())
         size = max(len(words), 1)
         return [1.0, math.log1p(total), math.log1p(100 * total / size), math.log1p(size)]
 
-    def score(self, words: list[str]) -> float:
-        z = sum(a * b for a, b in zip(self.curve, self.features(words), strict=True))
+    def score(self, words: list[str], pieces: Kept) -> float:
+        z = sum(a * b for a, b in zip(self.curve, self.features(words, pieces), strict=True))
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
@@ -321,55 +388,85 @@ def count_letters(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-        label: str = "toxic", max_labels: int = MAX_LABELS) -> Model:
-    """Letter counts of all `docs`; lexicon and curve from the rows of `labels`."""
-    letters = count_letters(docs, text)
-    marked = (labels.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{label}`").cast("int").alias("_toxic"))
-              .where("_toxic IN (0, 1) AND _doc IS NOT NULL")
-              .orderBy(F.xxhash64("_doc"), "_doc", "_toxic").limit(max_labels))
-    known = (docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
-             .where("_text IS NOT NULL").join(F.broadcast(marked), "_doc").select("_text", "_toxic"))
+def labelled_words(docs: DataFrame, labels: DataFrame, letters: np.ndarray, doc_id: str, text: str, label: str,
+                   max_rows: int) -> DataFrame:
+    """toxic and words (joined by spaces) of labelled texts.
+
+    Rows with equal text and label are one; of the different ones those with the smallest hash of the
+    text are taken, at most `max_rows`.
+    """
+    marked = (labels.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{label}`").cast("int").alias("toxic"))
+              .where("toxic IN (0, 1) AND _doc IS NOT NULL").distinct()
+              .orderBy(F.xxhash64("_doc"), "_doc", "toxic").limit(max_rows))
+    texts = (docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
+             .where("_text IS NOT NULL").withColumn("_digest", F.md5(F.col("_text").cast("binary")))
+             .join(F.broadcast(marked), "_doc"))
+    key = ["_digest", "toxic"]
+    chosen = texts.select(*key).distinct().orderBy(*key).limit(max_rows)
+    once = texts.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select("toxic", "_text")
     shared = docs.sparkSession.sparkContext.broadcast(letters)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         restorer = Restorer(shared.value)
-        sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        return lambda cells: [[" ".join(restorer.words(t)) for t in cells]]
+
+    return with_arrow(once, ["_text"], [T.StructField("words", T.StringType())], start).drop("_text")
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(sums.keys(), pa.string()), pa.array([n[0] for n in sums.values()], pa.int64()),
-                 pa.array([n[1] for n in sums.values()], pa.int64())], ["entry", "clean", "toxic"])
+
+def count_grams(known: DataFrame) -> DataFrame:
+    """entry, clean and toxic: in how many texts of either label each piece stands."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Kept(grams, 30_000)
+        sums: tuple[Counter, Counter] = Counter(), Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for toxic, counter in enumerate(sums):
+                zeros = pa.array(np.zeros(len(counter), np.int64))
+                counts = pa.array(counter.values(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()),
+                                                  zeros if toxic else counts, counts if toxic else zeros],
+                                                 ["entry", "clean", "toxic"])
+                counter.clear()
 
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for entry in held(restorer.words(t)):
-                    sums[entry][y] += 1
-                sums[""][y] += 1
-                if len(sums) > 500_000:
-                    yield out()
-                    sums.clear()
-        yield out()
-
-    sums = (known.mapInArrow(count, "entry string, clean long, toxic long")
+            for words, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held: Counter = Counter()
+                for word, n in Counter(words.split(" ") if words else ()).items():
+                    held.update(pieces[word])
+                    if n > 1:
+                        held.update(pieces[word])
+                sums[toxic].update(held.keys())
+                sums[toxic].update(TWICE + piece for piece, n in held.items() if n > 1)
+                if len(sums[0]) + len(sums[1]) > 1_000_000:
+                    yield from out()
+        yield from out()
+
+    return (known.select("words", "toxic").mapInArrow(count, "entry string, clean long, toxic long")
             .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    totals = (known.groupBy().agg(F.sum(1 - F.col("_toxic")).alias("clean"),
-                                  F.sum("_toxic").alias("toxic")).first())
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+        label: str = "toxic", max_labels: int = MAX_LABELS) -> Model:
+    """Letter counts of all `docs`; lexicon and curve from the rows of `labels`."""
+    letters = count_letters(docs, text)
+    known = saved(labelled_words(docs, labels, letters, doc_id, text, label, max_labels))
+    totals = known.agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).first()
     n_clean, n_toxic = totals["clean"] or 0, totals["toxic"] or 0
     if not n_clean or not n_toxic:
         return Model(letters, {}, [35.0 if n_toxic else -35.0, 0.0, 0.0, 0.0])
     bound = log_odds_bound(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
-    rows = (sums.where("entry <> '' AND toxic > 2").withColumn("weight", bound).where("weight > 0")
-            .orderBy(F.desc("weight"), "entry").limit(LEXICON).select("entry", "weight").collect())
-    model = Model(letters, {r["entry"]: r["weight"] for r in rows}, [0.0] * 4)
+    rows = count_grams(known).withColumn("weight", bound).where(F.col("weight") > CLEAR).select("entry", "weight")
+    lexicon = {r["entry"]: r["weight"] for r in rows.collect()}
+    model = Model(letters, lexicon, [0.0] * 4)
     held_by = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        restorer = Restorer(held_by.value.letters)
-        return lambda texts: [[held_by.value.features(restorer.words(t)) for t in texts]]
+        pieces = held_by.value.pieces()
+        return lambda texts: [[held_by.value.features(t.split(" ") if t else [], pieces) for t in texts]]
 
-    field = T.StructField("_features", T.ArrayType(T.DoubleType()))
-    rows = with_arrow(known, ["_text"], [field], start).select("_features", "_toxic").collect()
+    field = T.StructField("features", T.ArrayType(T.DoubleType()))
+    rows = with_arrow(known, ["words"], [field], start).select("features", "toxic").collect()
     rows.sort()
     model.curve = fit_curve(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
     return model
@@ -380,8 +477,8 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        restorer = Restorer(shared.value.letters)
-        return lambda texts: [[shared.value.score(restorer.words(t)) for t in texts]]
+        restorer, pieces = Restorer(shared.value.letters), shared.value.pieces()
+        return lambda texts: [[shared.value.score(restorer.words(t), pieces) for t in texts]]
 
     return with_arrow(df, [text], [T.StructField(name, T.DoubleType())], start)
 

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,5 +79,69 @@ def test_nulls_long_repeated_empty(spark):
     assert all(0 <= x <= 1 for x in got) and got[0] == got[1] == got[8] and got[6] == got[7]
     assert t.score(documents(spark, []), model).count() == 0
     none = t.fit(docs, labels.limit(0))
-    assert {r.score for r in t.score(docs, none).collect()} == {t.Model(none.letters, {}, none.curve).score(["a"])}
+    assert {r.score for r in t.score(docs, none).collect()} == {none.score(["a"], none.pieces())}
     assert t.fit(documents(spark, []), labels).lexicon == {}
+
+
+def every_path(letters, run):
+    """The best sum over all paths of a run's lattice, and the readings that have it."""
+    best = {}
+    for path in itertools.product(*t.lattice(run)):
+        text, classes = "".join(x for _, x in path), [t.EDGE, t.EDGE]
+        total = sum(cost for cost, _ in path)
+        for x in [c for c in text if c.isalpha() or c == " "] + [None]:
+            classes.append(t.EDGE if x in (" ", None) else t.letter_class(x))
+            total += letters.log[classes[-3]][classes[-2]][classes[-1]]
+        best.setdefault(round(total, 9), set()).add(text)
+    return best[max(best)]
+
+
+@pytest.mark.parametrize("run", ["1d10t", "st*p1d", "i d i o t", "st00pid", "@$$", "m.o.r 0 n", "a55", "yoouuu", "x", "l0$er!",
+                                 "é1 d", "h0000m3", "t#3", "1+1", "a b c d"])
+def test_decoding_finds_the_best_of_all_paths(restorer, run):
+    assert restorer.letters.decode(run) in every_path(restorer.letters, run)
+
+
+def test_quick_look_misses_no_pattern(restorer):
+    r = rng(11)
+    signs = "aab1@$!*. -_\n€£é(z|#²日"
+    for _ in range(4000):
+        text = "".join(r.choice(signs) for _ in range(r.randrange(1, 14)))
+        may = t.may_hold(text)
+        assert may.apart or not (t.APART.search(text) or t.APART_OF_MARK.search(text)), text
+        assert may.marked or not t.MARKED.search(text), text
+        assert may.repeated or not t.LONG_RUN.search(text), text
+
+
+def test_pieces_count_at_any_place_of_a_word():
+    assert t.grams("super") == {"<supe", "super", "uper>", "<super", "super>", "<super>"}
+    assert t.grams("a") == {"<a>"} and t.grams("idiot") < t.grams("idiot") | t.grams("superidiots")
+    model = t.Model(np.zeros(28**3, np.int64), {"idiot": 2.0, "<ass>": 1.0, "2moron": 3.0}, [0.0, 1.0, 0.0, 0.0])
+    p = model.pieces()
+    assert p["superidiots"] == ("idiot",) and p["glass"] == () and p["ass"] == ("<ass>",) and p["moronic"] == ("moron",)
+    total = lambda *words: model.features(list(words), p)[1]
+    assert total("superidiot") == total("idiot") == pytest.approx(np.log1p(2)) and total("moron") == 0
+    assert total("moron", "moronic") == pytest.approx(np.log1p(6))
+
+
+def test_insults_inside_words_are_learnt(spark):
+    r, texts, marks = rng(), [], []
+    for i in range(300):
+        words = prose(r, 40, 400).split()
+        for _ in range(4 if i % 3 == 0 else 0):
+            words.insert(r.randrange(len(words)), "".join(r.choices("bcdgklmp", k=3)) + "idiot" + "".join(r.choices("efno", k=2)))
+        texts.append(" ".join(words))
+        marks.append((i + 1, int(i % 3 == 0)))
+    docs = documents(spark, texts)
+    model = t.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int").where("doc_id % 2 = 0"))
+    got = {row.doc_id: row.score >= 0.5 for row in t.score(docs, model).collect()}
+    assert "idiot" in model.lexicon and all(got[i] == bool(y) for i, y in marks if i % 2)
+
+
+def test_a_labelled_row_counts_once(spark):
+    docs, labels, _ = corpus(spark, 120)
+    model = t.fit(docs, labels)
+    again = t.fit(docs.unionByName(docs.where("doc_id <= 8")).unionByName(docs.where("doc_id <= 8")), labels.union(labels))
+    assert again.lexicon == model.lexicon and again.curve == pytest.approx(model.curve)
+    few = t.labelled_words(docs, labels, model.letters, "doc_id", "text", "toxic", 30)
+    assert few.count() == 30 and few.columns == ["toxic", "words"]
