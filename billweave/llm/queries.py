@@ -136,6 +136,7 @@ _RULE_ROWS = ", ".join(f"('{v}', '{t}')" for v, t in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NORMAL = "trim(regexp_replace(" + _LOWER + r", '\s+', ' ', 'g'))"
 _SHINGLED = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+')"
+_SENTENCES = r"flatten(list_transform({}, lambda s: string_split(regexp_replace(s, '([.!?…]) ', '\1' || chr(1), 'g'), chr(1))))"
 _UNCHANGED = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -195,19 +196,23 @@ q AS (
          {_NORMAL.format(f"regexp_replace(line, '{quotes.MARKS}', '')")} AS said
   FROM l JOIN placed USING (row) WHERE quoted),
 runs AS (SELECT *, pos - row_number() OVER (PARTITION BY row, level ORDER BY pos) AS run FROM q),
+passages AS (
+  SELECT row, conv_id, turn, level, lines,
+         list_transform(regexp_split_to_array(array_to_string(lines, chr(10)), '\n\n+'), lambda p: {_NORMAL.format("p")}) AS paragraphs
+  FROM (SELECT row, conv_id, turn, level, list(said ORDER BY pos) AS lines FROM runs
+        GROUP BY row, conv_id, turn, level, run)),
 asked AS (
   SELECT DISTINCT * FROM (
     SELECT row, conv_id, turn, level, true AS whole,
-           {_NORMAL.format("string_agg(said, ' ' ORDER BY pos)")} AS said
-    FROM runs GROUP BY row, conv_id, turn, level, run
-    UNION ALL SELECT row, conv_id, turn, level, false, said FROM runs
-    WHERE len(string_split(said, ' ')) >= {quotes.LEAST_WORDS}) WHERE said <> ''),
+           unnest(list_append(paragraphs, {_NORMAL.format("array_to_string(lines, ' ')")})) AS said FROM passages
+    UNION ALL
+    SELECT row, conv_id, turn, level, false, unnest(list_concat(lines, {_SENTENCES.format("paragraphs")})) FROM passages)
+  WHERE said <> '' AND (whole OR len(string_split(said, ' ')) >= {quotes.LEAST_WORDS})),
 told AS (
   SELECT DISTINCT conv_id, turn, {_NORMAL.format("unit")} AS said
-  FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '
-\s*
-'),
-                                                 string_split(body, chr(10)))) AS unit FROM placed)),
+  FROM (SELECT conv_id, turn, unnest(list_concat([body], paragraphs, string_split(body, chr(10)),
+                 {_SENTENCES.format(f"list_transform(paragraphs, lambda p: {_NORMAL.format('p')})")})) AS unit
+        FROM (SELECT *, regexp_split_to_array(body, '\n\s*\n') AS paragraphs FROM placed))),
 met AS (
   SELECT a.row, a.level, a.whole, a.said, max(t.turn) AS reply_to
   FROM asked a JOIN told t ON a.conv_id = t.conv_id AND a.said = t.said AND t.turn < a.turn GROUP BY ALL),

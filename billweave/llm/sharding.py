@@ -85,10 +85,13 @@ def bits_of_all(digits: Column, count: int) -> Column:
     return F.concat(*pieces) if pieces else F.lit("")
 
 
-def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row_id, key, bytes, shard, depth, shard_bytes, shard_rows and fits of every row."""
-    rows = saved(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("_text"))
-                 .withColumn("row_id", F.monotonically_increasing_id())
+def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text", number: str | None = None) -> DataFrame:
+    """row_id, key, bytes, shard, depth, shard_bytes, shard_rows and fits of every row.
+
+    `number` names a column of `df` that tells its rows apart, and is the row_id; without it, rows get one.
+    """
+    numbers = F.col(f"`{number}`") if number else F.monotonically_increasing_id()
+    rows = saved(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("_text"), numbers.alias("row_id"))
                  .select("row_id", "key", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("bytes"),
                          hash_digits(F.col("key"), F.col("_text"), F.col("row_id")).alias("digits")))
     shards = directory(rows, limit)
@@ -107,9 +110,14 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -
 
 
 def write_shards(df: DataFrame, folder: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Writes `df` as Parquet, one folder for each shard; key and text must tell rows apart."""
-    name = fresh(df, "shard")
-    rows = assign(df, limit, key, text)
-    narrow = df.withColumn("row_id", F.monotonically_increasing_id())
-    dealt = narrow.join(rows.select("row_id", F.concat(F.lit("b"), "shard").alias(name)), "row_id").drop("row_id")
-    dealt.repartition(name).write.partitionBy(name).parquet(folder)
+    """Writes `df` as Parquet, one folder for each shard.
+
+    All rows and columns are written, and one that names the shard (`shard`, with underscores in front where
+    `df` has such a column). Rows are numbered in a copy in the shared folder, as numbers that are worked out
+    twice need not agree. An empty table writes no shard.
+    """
+    name, number = fresh(df, "shard"), fresh(df, "row_number")
+    rows = saved(df.withColumn(number, F.monotonically_increasing_id()))
+    dealt = assign(rows, limit, key, text, number)
+    named = dealt.select(F.col("row_id").alias(number), F.concat(F.lit("b"), "shard").alias(name))
+    rows.join(named, number).drop(number).repartition(name).write.partitionBy(name).parquet(folder)

@@ -35,14 +35,18 @@ def test_links_paths_and_texts(spark):
     assert got[1, 5].chat == "<|user|>\nThanks"
 
 
+SAID = ("The first part has many words\nand ends here.\n\nThe second part stands alone\nin two lines. It has a sentence more.\n\n"
+        "A third part closes.")
+WRAPPED = [
+    (8, 0, "user", SAID), (8, 1, "user", "Something else entirely was said."),
+    (8, 2, "user", "> The first part\n> has many words and ends here.\n>\n> The second part stands\n> alone in two lines. It has a sentence more.\nok"),
+    (8, 3, "user", "> It has a\n> sentence more.\nyes"), (8, 4, "user", "> The second part\n> stands alone in two\n> lines.\nno"),
+    (8, 5, "user", "> It has a\n> house more.\nhm")]
+
+
 def test_wrapped_parts_of_messages_are_found(spark):
-    said = ("The first part has many words\nand ends here.\n\nThe second part stands alone\nin two lines. It has a sentence more.\n\n"
-            "A third part closes.")
-    rows = [(1, 0, "user", said), (1, 1, "user", "Something else entirely was said."),
-            (1, 2, "user", "> The first part\n> has many words and ends here.\n>\n> The second part stands\n> alone in two lines. It has a sentence more.\nok"),
-            (1, 3, "user", "> It has a\n> sentence more.\nyes"), (1, 4, "user", "> The second part\n> stands alone in two\n> lines.\nno"),
-            (1, 5, "user", "> It has a\n> house more.\nhm")]
-    assert {r.turn: r.reply_to for r in collect(spark, rows)} == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: None}
+    got = {r.turn: r.reply_to for r in collect(spark, WRAPPED)}
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: None}
 
 
 def test_long_chains_are_followed(spark):
@@ -76,6 +80,7 @@ def test_like_sql(spark):
 
     from billweave.llm import queries
     odd = [(4, 0, "user", "A b c d.\n\nE f g h"), (4, 1, "user", "y wrote:\n> E  F g h\n> > A b c d.\nx"), (4, 2, None, None),
+           *WRAPPED,
            (None, 3, "user", "> a"), (4, 3, "user", ">> A b c d."), (4, None, "user", "t"), (4, 4, "user", "")]
     df = spark.createDataFrame([*TALK, *odd], SCHEMA)
     duck = duckdb.connect()

@@ -56,3 +56,15 @@ def test_files_and_empty_table(spark, tmp_path):
     sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()
     assert len(sizes) > 2 and max(s.n for s in sizes) <= 2000
     assert sharding.assign(documents(spark, []), 10).count() == 0
+
+
+def test_no_row_is_lost_whatever_the_plan(spark, tmp_path):
+    docs = (spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"),
+                                       F.repeat(F.lit("wide "), 50).alias("shard"), F.lit(1).alias("row_number"))
+            .repartition("doc_id"))
+    sharding.write_shards(docs, str(tmp_path / "out"), 5000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == back.select("doc_id").distinct().count() == 20_000
+    assert set(back.columns) == {"doc_id", "text", "shard", "row_number", "_shard"}
+    assert back.groupBy("_shard").agg(F.sum(F.octet_length("text")).alias("n")).where("n > 5000").count() == 0
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 10)
