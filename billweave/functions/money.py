@@ -20,26 +20,32 @@ def strip(cell: Column) -> Column:
     return F.btrim(cell, F.lit(BLANKS))
 
 
-def parse_money(cell: Column, decimal_mark: str = ".") -> Column:
-    """'$1,234.50' -> 1234.50; blank or non-numeric text -> NULL.
-
-    Decimal on purpose: 'nan' and 'inf' become NULL instead of poisoning every total, and sums
-    do not depend on the order in which shuffled rows arrive. A number that the type cannot hold
-    (from 1e14 on, or so small that it would become 0) is an error, not an unreadable cell.
-    """
+def amount_text(cell: Column, decimal_mark: str = ".") -> Column:
+    """A cell without blanks, currency sign and thousands marks, and with a point."""
     if decimal_mark == ".":
         bare = F.translate(cell, "$,", "")
     elif decimal_mark == ",":
         bare = F.translate(cell, ",$.", ".")
     else:
         raise ValueError(f"decimal_mark must be '.' or ',', not {decimal_mark!r}")
-    text = strip(bare)
-    amount = text.try_cast(MONEY_TYPE)
-    error = F.raise_error(F.concat(F.lit(f"outside of {MONEY_TYPE}: "), cell)).cast(MONEY_TYPE)
-    return (F.when(amount != 0, amount)
-            .when(amount.isNull() & ~F.coalesce(text.rlike(NUMBER), F.lit(False)), None)
-            .when(amount.isNotNull() & (text.try_cast("double") == 0), amount)
-            .otherwise(error))
+    return strip(bare)
+
+
+def parse_money(cell: Column, decimal_mark: str = ".") -> Column:
+    """'$1,234.50' -> 1234.50; blank or non-numeric text and numbers from 1e14 on -> NULL.
+
+    Decimal on purpose: 'nan' and 'inf' become NULL instead of poisoning every total, and sums
+    do not depend on the order in which shuffled rows arrive. Amounts are rounded to ten decimals.
+    ``reject_reason`` says why a cell is NULL.
+    """
+    return amount_text(cell, decimal_mark).try_cast(MONEY_TYPE)
+
+
+def reject_reason(cell: Column, decimal_mark: str = ".") -> Column:
+    """Of a cell that ``parse_money`` gives NULL for: 'missing', 'not a number' or 'out of range'."""
+    text = amount_text(cell, decimal_mark)
+    return (F.when(text.isNull() | (text == ""), "missing").when(text.rlike(NUMBER), "out of range")
+            .otherwise("not a number"))
 
 
 def is_total_row(service: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from billweave.functions.money import share_pct
-from billweave.operators.ranking import SPLIT_ABOVE, numbered, ones, top_per_group
+from billweave.operators.ranking import numbered, ones, top_per_group
 
 # Share of the change, in percent, above which a new key counts as a newcomer.
 NEWCOMER_SHARE = 10
@@ -147,7 +147,7 @@ def _moves(lines: DataFrame) -> DataFrame:
         (-F.abs(after - before)).alias("sort_move"))
 
 
-def _compared(roles: DataFrame, totals: DataFrame, ranked: bool, split_above: int) -> DataFrame:
+def _compared(roles: DataFrame, totals: DataFrame, ranked: bool, ranges: int | None) -> DataFrame:
     moves = _moves(_lines(roles))
     side = move_side(F.col("delta"), F.col("total_delta"))
     share = share_pct(F.col("delta"), F.col("total_delta"))
@@ -165,13 +165,13 @@ def _compared(roles: DataFrame, totals: DataFrame, ranked: bool, split_above: in
     newcomer = F.col("is_new") & (share > NEWCOMER_SHARE)
     ranks = {"driver_rank": side == 1, "counter_rank": side == -1, "newcomer_rank": newcomer}
     sums = {"rank": F.lit(1), **{name: ones(member) for name, member in ranks.items()}}
-    return numbered(moves, info, GRAIN, LINE_ORDER, sums, split_above).select(
+    return numbered(moves, info, GRAIN, LINE_ORDER, sums, ranges).select(
         *columns, "rank",
         *[F.when(member, F.col(name)).alias(name) for name, member in ranks.items()])
 
 
 def delta_lines(fact: DataFrame, ranked: bool = False,
-                split_above: int = SPLIT_ABOVE) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """What changed against the month before, per account, month, grain and key.
 
     Every month of every account is compared at once. ``side`` tells whether a line moves with the
@@ -185,7 +185,7 @@ def delta_lines(fact: DataFrame, ranked: bool = False,
     roles = _as_roles(cost_cells(fact))
     totals = _with_growth(_between_billed_months(_totals(roles)))
     return _compared(roles, totals.withColumn("shown_period", F.col("period")), ranked,
-                     split_above)
+                     ranges)
 
 
 def _two_roles(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -212,14 +212,14 @@ def _two_totals(roles: DataFrame, period: dt.date | None) -> DataFrame:
 
 
 def diff_two(before: DataFrame, after: DataFrame, period: dt.date | None = None,
-             ranked: bool = False, split_above: int = SPLIT_ABOVE) -> DataFrame:
+             ranked: bool = False, ranges: int | None = None) -> DataFrame:
     """The same lines for two given snapshots, one per account and side, whatever their dates.
 
     The result carries ``period``; if none is given, that of the account's later snapshot, or of
     its earlier one where the later has no rows.
     """
     roles = _two_roles(before, after)
-    return _compared(roles, _two_totals(roles, period), ranked, split_above)
+    return _compared(roles, _two_totals(roles, period), ranked, ranges)
 
 
 def diff_two_totals(before: DataFrame, after: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from billweave.functions.money import TIB, USD_PER_TIB, dollars, scan_price
 from billweave.functions.text import fill, has_template_marks, pad_left, pad_right
 from billweave.functions.wording import DEFAULT_LANG, phrases
-from billweave.operators.ranking import SPLIT_ABOVE, numbered
+from billweave.operators.ranking import numbered
 from billweave.operators.reports import printed
 
 
@@ -67,7 +67,7 @@ def cost_json(priced: DataFrame, group: list[str]) -> DataFrame:
 
 def cost_report(priced: DataFrame, group: list[str], fail_over_usd: float | None = None,
                 style: str = "text", usd_per_tib: float = USD_PER_TIB,
-                lang: str = DEFAULT_LANG, split_above: int = SPLIT_ABOVE) -> DataFrame:
+                lang: str = DEFAULT_LANG, ranges: int | None = None) -> DataFrame:
     """Report per group and by line, ``style`` text or github, queries in order of path."""
     say = phrases(lang)
     if style not in ("text", "github"):
@@ -88,7 +88,7 @@ def cost_report(priced: DataFrame, group: list[str], fail_over_usd: float | None
     info = priced.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"),
                                       F.sum("usd").cast("double").alias("total_usd"))
     lines = numbered(rows, info.select(*group, "n_rows"), group, ["path", "_tie"],
-                     {"line": F.lit(1)}, split_above)
+                     {"line": F.lit(1)}, ranges)
 
     total = fill(say["query_total"], total=dollars(F.col("total_usd")))
     if fail_over_usd is not None:

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A group above this many rows is numbered by several tasks instead of one.
-SPLIT_ABOVE = 1_000_000
-# Rows looked at for each range that such a group is cut into.
-SAMPLED = 32
+from billweave.operators.store import stored
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, n: int,
@@ -25,61 +22,44 @@ def ones(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def cut_points(df: DataFrame, info: DataFrame, order: list[str], split_above: int) -> DataFrame:
-    """_group, _cuts: where to cut each group of more than ``split_above`` rows into ranges of about
-    half that many. Both sides carry the group as one struct, ``_group``."""
-    every = max(split_above // (2 * SAMPLED), 1)
-    hot = info.filter(F.col("n_rows") > split_above).select("_group")
-    in_order = W.partitionBy("_group").orderBy("_place")
-    # One row in `every`, whatever the size of its group, so that little is joined.
-    return (df.select("_group", F.struct(*order).alias("_place"))
-            .filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).join(hot, "_group")
-            .withColumn("_at", F.row_number().over(in_order)).filter(F.col("_at") % SAMPLED == 0)
-            .groupBy("_group").agg(F.array_sort(F.collect_list("_place")).alias("_cuts")))
+def in_ranges(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
+              ranges: int | None = None) -> DataFrame:
+    """``df`` with the columns of ``info``, dealt by group and order into consecutive ranges; ``_slot``
+    is the group and the number of the range.
+
+    Spark samples the rows for ranges of about equal size, a hot group included. How many there are
+    is ``ranges`` or, by default, spark.sql.shuffle.partitions, less what adaptive execution puts together.
+    """
+    key = F.struct(*group).alias("_group")
+    rest = info.select(key, *[c for c in info.columns if c not in group])
+    rows = df.select("*", key).join(rest, "_group")
+    count = [ranges] if ranges else []
+    return (rows.repartitionByRange(*count, "_group", *order)
+            .withColumn("_slot", F.struct("_group", F.spark_partition_id().alias("range"))).drop("_group"))
 
 
 def numbered(df: DataFrame, info: DataFrame, group: list[str], order: list[str],
-             sums: dict[str, Column], split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Join ``info`` (one row per group, with ``n_rows``, an upper bound of the group's size) to
-    ``df`` and add running sums in ascending ``order``; rows that are equal in it are taken as
-    equal.
+             sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """Join ``info`` (one row per group) to ``df`` and add running sums in ascending ``order``; rows
+    that are equal in it are taken as equal.
 
     ``sums`` maps a new column to a number: each row gets its sum over the rows of the group up to
     and including itself. ``{"rank": lit(1)}`` is an exact row number, ``ones(condition)`` counts.
 
-    A single window per group would sort a hot group in one task. Groups above ``split_above``
-    are therefore cut into value ranges of about half that size, however many it takes, at every
-    ``SAMPLED``-th of a sample of their rows (chosen by hash, hence the same on every
-    recomputation). Ranges are numbered on their own and shifted by the sums of the ranges before
-    them. Groups are joined by one struct, so that adaptive execution can split a hot side or
-    broadcast a small one by its measured size.
+    A single window per group would sort a hot group in one task. Rows are therefore dealt by group
+    and order into ranges, summed within each, and shifted by the sums of the group's ranges before
+    (a prefix sum over ranges, not over rows). Where Spark's sample puts the borders differs from
+    evaluation to evaluation, so the rows with their sums are written once (``stored``), and both
+    the sums of the ranges and the rows are read from that table.
     """
-    place, key = F.struct(*order), F.struct(*group).alias("_group")
-    keyed = df.select("*", key)
-    cuts = cut_points(keyed, info.select("*", key), order, split_above)
-    slot = F.struct("_group", "_range").alias("_slot")
-    rest = info.select(key, *[c for c in info.columns if c not in group])
-    by_range = (keyed.join(rest.join(cuts, "_group"), "_group")
-                .withColumn("_range", _range_of(place))
-                .groupBy("_group", "_range")
-                .agg(*[F.sum(value).alias(name) for name, value in sums.items()]))
-    before = W.partitionBy("_group").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shifts = by_range.select(slot, *[F.sum(name).over(before).alias(f"_{name}") for name in sums])
-
-    guided = (keyed.join(rest.join(cuts, "_group", "left"), "_group")
-              .withColumn("_range", F.coalesce(_range_of(place), F.lit(0)))
-              # One struct as the key: partitioning by group alone must not do for the window, or
-              # the ranges of a group would stay together in one task.
-              .select("*", slot).drop("_cuts", "_group", "_range")
-              .join(shifts, "_slot", "left"))
-    running = (W.partitionBy("_slot").orderBy(*order)
-               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    zero = F.lit(0)
-    return (guided
-            .withColumns({name: F.coalesce(F.sum(value).over(running), zero)
-                          + F.coalesce(f"_{name}", zero) for name, value in sums.items()})
+    running = W.partitionBy("_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = {name: F.coalesce(F.sum(value).over(running), F.lit(0)) for name, value in sums.items()}
+    rows = stored(in_ranges(df, info, group, order, ranges).withColumns(within))
+    by_range = rows.groupBy("_slot").agg(*[F.sum(value).alias(f"_{name}") for name, value in sums.items()])
+    before = (W.partitionBy("_slot._group").orderBy("_slot.range")
+              .rowsBetween(W.unboundedPreceding, -1))
+    shifts = by_range.select("_slot", *[F.sum(f"_{name}").over(before).alias(f"_{name}") for name in sums])
+    # Joined by one struct, so that adaptive execution can split a large range or broadcast the sums.
+    return (rows.join(shifts, "_slot")
+            .withColumns({name: F.col(name) + F.coalesce(f"_{name}", F.lit(0)) for name in sums})
             .drop("_slot", *[f"_{name}" for name in sums]))
-
-
-def _range_of(place: Column) -> Column:
-    return F.size(F.filter("_cuts", lambda cut: cut < place))

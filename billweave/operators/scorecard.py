@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from billweave.functions.text import (fill, pad_left, pad_right, score_bar, severity_rank)
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.findings import finding_text
-from billweave.operators.ranking import SPLIT_ABOVE, numbered
+from billweave.operators.ranking import numbered
 from billweave.operators.reports import printed
 from billweave.sources.rubric import dimension_weights
 
@@ -49,7 +49,7 @@ def overall_scores(scores: DataFrame, rubric: DataFrame) -> DataFrame:
 
 
 def scorecard_report(scores: DataFrame, rubric: DataFrame, findings: DataFrame | None = None,
-                     lang: str = DEFAULT_LANG, split_above: int = SPLIT_ABOVE) -> DataFrame:
+                     lang: str = DEFAULT_LANG, ranges: int | None = None) -> DataFrame:
     """Printed scorecard per platform and by line: a bar per dimension, the overall score, then
     findings by severity. Dimensions go by the rubric's name, or else by the language's."""
     say = phrases(lang)
@@ -95,7 +95,7 @@ def scorecard_report(scores: DataFrame, rubric: DataFrame, findings: DataFrame |
     # A finding prints several lines; the running sum is the number of its last one.
     lines = numbered(found, tops, ["platform"],
                      ["severity_rank", "code", "month", "item", "_tie"],
-                     {"last": F.size("texts")}, split_above)
+                     {"last": F.size("texts")}, ranges)
     shown = lines.select("platform", (F.col("top") + F.col("last") - F.size("texts")).alias("_before"),
                          F.posexplode("texts").alias("_at", "text"))
     return printed(fixed, ["platform"], F.col("n_lines")).unionByName(shown.select(

@@ -160,12 +160,47 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(short, text(service)).otherwise(text(service, quoted, project)))}
     every = F.explode(F.array(*[F.struct(F.lit(name).alias("source_path"), row.alias("line"))
                                 for name, (_, row) in files.items()])).alias("row")
-    body = items.select(F.lit(1).alias("at"), every).select("row.source_path", "at", "row.line")
+    # Dealt out as the splits of files are.
+    body = (items.repartition("line_id").select(F.lit(1).alias("at"), every)
+            .select("row.source_path", "at", "row.line"))
     heads = spark.createDataFrame([(name, 0, head) for name, (head, _) in files.items()],
                                   "source_path string, at int, line string")
     return heads.unionByName(body)
 
 
+# Lines of a split of the file with breaks; its records are four lines long.
+SPLIT_LINES = 1001
+
+
+def broken_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a file whose cells hold line breaks, marks and commas inside quotes, one record for each
+    line number of an order, cut into splits wherever they happen to fall."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    record = F.concat(F.lit('"'), "p_type", F.lit("\nline "), "l_linenumber", F.lit('","'),
+                      F.format_number(F.col("cents") / 100, 2), F.lit('","unit ""'), "l_linenumber",
+                      F.lit('""\n\n,x"'))
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4 + F.col("pos")
+    lines = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+             .agg(F.min("l_partkey").alias("p_partkey"),
+                  F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+             .join(parts, "p_partkey")
+             .select("l_orderkey", "l_linenumber", F.posexplode(F.split(record, "\n")).alias("pos", "line"))
+             .select(F.struct(F.floor(number / SPLIT_LINES).alias("split"), number.alias("number")).alias("at"),
+                     "line"))
+    head = spark.sql("SELECT struct(-1L AS split, -1L AS number) AS at, 'service,cost,project' AS line")
+    return head.unionByName(lines).select(F.lit("orders.csv").alias("source_path"), "at", "line")
+
+
+def cost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the generic export, with some that are too large, too small or empty."""
+    quantity = F.col("l_quantity")
+    price = F.format_number("l_extendedprice", 2)
+    cell = (F.when(quantity == 1, "n/a").when(quantity == 2, "nan").when(quantity == 3, F.lit(" \u00a0"))
+            .when(quantity == 4, F.concat(F.lit("$"), price, F.lit("e14"))).when(quantity == 5, "1e-11")
+            .when(quantity == 6, F.concat(F.lit("-"), price)).when(quantity == 7, F.lit(None)).otherwise(price))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("project"), cell.alias("cell"))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.lit("warehouse").alias("project"), F.col("source").alias("dataset"),

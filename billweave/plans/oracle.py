@@ -733,6 +733,36 @@ FROM exported GROUP BY source_format"""),
         "csv_files": with_ctes(CSV_FILES, """
 SELECT source_format, service, project, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cost_cents
 FROM parsed GROUP BY ALL"""),
+        "csv_line_breaks": """
+SELECT p_type || chr(10) || 'line ' || l_linenumber AS service,
+       'unit "' || l_linenumber || '"' || chr(10) || chr(10) || ',x' AS project,
+       count(*) AS n, CAST(sum(cents) AS BIGINT) AS cost_cents
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p_partkey,
+             sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents
+      FROM lineitem GROUP BY l_orderkey, l_linenumber) JOIN part USING (p_partkey)
+GROUP BY ALL""",
+        "rejected_cells": """
+WITH lines AS (
+  SELECT p_type AS service, l_orderkey % 7 = 0 AS short,
+         CASE l_quantity WHEN 1 THEN 'n/a' WHEN 2 THEN 'nan' END AS cell
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber NOT IN (6, 7)),
+bad AS (
+  SELECT format, service, CASE WHEN short THEN '' ELSE cell END AS cell
+  FROM lines, (VALUES ('gcp-cost-table'), ('aws-cur'), ('generic')) f(format)
+  WHERE CASE WHEN short THEN format <> 'aws-cur' ELSE cell IS NOT NULL END
+  UNION ALL SELECT 'aws-ce', service, NULL FROM lines WHERE short)
+SELECT format AS source_format, service, cell,
+       CASE WHEN coalesce(cell, '') = '' THEN 'missing' ELSE 'not a number' END AS reason, count(*) AS n
+FROM bad GROUP BY ALL""",
+        "parsed_cells": """
+SELECT l_returnflag AS project,
+       CASE WHEN l_quantity IN (1, 2) THEN 'not a number' WHEN l_quantity IN (3, 7) THEN 'missing'
+            WHEN l_quantity = 4 THEN 'out of range' END AS reason,
+       count(*) AS n,
+       CAST(sum(CASE WHEN l_quantity < 5 OR l_quantity = 7 THEN NULL WHEN l_quantity = 5 THEN 0
+                     WHEN l_quantity = 6 THEN -1 ELSE 1 END
+                * CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
+FROM lineitem GROUP BY ALL""",
         "parse_money": """
 SELECT ' ' || l_returnflag || ' ' AS project, count(*) AS n,
        count(*) FILTER (l_quantity NOT IN (1, 2)) AS n_parsed,

@@ -13,7 +13,7 @@ from billweave.operators import (anonymize, bill_rules, diff, findings, hooks, m
                                  reports, scorecard, spend, warehouse)
 from billweave.plans import bindings as b
 from billweave.operators.ranking import numbered
-from billweave.sources.billing_csv import normalize_export, parse_lines
+from billweave.sources.billing_csv import normalize_export, parse_lines, rejected_lines
 from billweave.sources.rubric import default_rubric
 
 # The bound bills count cents.
@@ -82,6 +82,26 @@ def csv_files(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n"), (F.sum("cost") * 100).cast("bigint").alias("cost_cents")))
 
 
+@query
+def csv_line_breaks(spark, sf_dir):
+    return (parse_lines(b.broken_csv_lines(spark, sf_dir)).groupBy("service", "project")
+            .agg(F.count(F.lit(1)).alias("n"), (F.sum("cost") * 100).cast("bigint").alias("cost_cents")))
+
+
+@query
+def rejected_cells(spark, sf_dir):
+    return (rejected_lines(b.csv_lines(spark, sf_dir)).groupBy("source_format", "service", "cell", "reason")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def parsed_cells(spark, sf_dir):
+    cells = b.cost_cells(spark, sf_dir).select("project", "cell", m.parse_money(F.col("cell")).alias("cost"))
+    reason = F.when(F.col("cost").isNull(), m.reject_reason(F.col("cell")))
+    return (cells.withColumn("reason", reason).groupBy("project", "reason")
+            .agg(F.count(F.lit(1)).alias("n"), (F.sum("cost") * 100).cast("bigint").alias("cents")))
+
+
 @query
 def parse_money(spark, sf_dir):
     items = b.generic_export(spark, sf_dir)

@@ -2,21 +2,22 @@
 
 The header decides the format. Spark would apply one file's header to all files of a read, so files
 are read as lines in one distributed read: each file's first line is found by grouping, the few
-different headers are looked at, and all rows are taken apart by the layout of their file.
+different headers are looked at, and of every row the two or three cells that its file's layout needs
+are taken by position. Files with line breaks inside quotes are found on the way, and only their
+lines are put together into records.
 """
 
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from billweave.functions.money import is_total_row, parse_money, strip
+from billweave.functions.money import is_total_row, parse_money, reject_reason, strip
+from billweave.sources import csv_records
 
 # More headers than this in one read are an error; a layout is shared by many files.
 MAX_HEADERS = 1000
@@ -88,24 +89,21 @@ def detect_layout(header: list[str], source: str = "header") -> Layout:
         f"'Service'), {GENERIC} (exactly service,cost[,project])")
 
 
-def _fields(layout: Layout, cell, width: int, decimal_mark: str) -> tuple[Column, Column, Column]:
-    """service, project and cost from ``cell(i)``, of rows of up to ``width`` cells."""
-    if layout.cost is None:  # the last number of the row, be it beyond the header
-        texts = F.array(*[cell(i) for i in range(1, width)]).cast("array<string>")
-        numbers = F.filter(F.transform(texts, lambda text: parse_money(text, decimal_mark)),
-                           lambda number: number.isNotNull())
-        cost = F.try_element_at(numbers, F.lit(-1))
-    else:
-        cost = parse_money(cell(layout.cost), decimal_mark)
-    project = (F.lit("") if layout.project is None
-               else F.coalesce(strip(cell(layout.project)), F.lit("")))
-    return strip(cell(layout.service)), project, cost
-
-
 def _kept(records: DataFrame) -> DataFrame:
     return records.filter(~is_total_row(F.col("service")) & F.col("cost").isNotNull())
 
 
+def _bound(rows: DataFrame, fields: dict[str, Column], *keep: str) -> DataFrame:
+    """The fields as rows of their own: filters look at them instead of working them out again."""
+    return rows.select(F.inline(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))), *keep)
+
+
+def _last_number(cells: Column, decimal_mark: str) -> Column:
+    numbers = F.filter(F.transform(cells, lambda cell: parse_money(cell, decimal_mark)),
+                       lambda number: number.isNotNull())
+    return F.try_element_at(numbers, F.lit(-1))
+
+
 def normalize(raw: DataFrame, layout: Layout, keep: list[str] | None = None,
               decimal_mark: str = ".") -> DataFrame:
     """Raw STRING cells in export order (then the ``keep`` columns) -> service, project, cost.
@@ -115,10 +113,16 @@ def normalize(raw: DataFrame, layout: Layout, keep: list[str] | None = None,
     """
     keep = keep or []
     cells = raw.toDF(*[f"c{i}" for i in range(layout.width)], *keep)
-    service, project, cost = _fields(layout, lambda i: F.col(f"c{i}"), layout.width, decimal_mark)
-    return _kept(cells.select(service.alias("service"), project.alias("project"),
-                              cost.alias("cost"), *keep)
-                 .withColumn("source_format", F.lit(layout.format)))
+    if layout.cost is None:
+        numbers = F.array(*[F.col(f"c{i}") for i in range(1, layout.width)]).cast("array<string>")
+        cost = _last_number(numbers, decimal_mark)
+    else:
+        cost = parse_money(F.col(f"c{layout.cost}"), decimal_mark)
+    project = (F.lit("") if layout.project is None
+               else F.coalesce(strip(F.col(f"c{layout.project}")), F.lit("")))
+    fields = {"service": strip(F.col(f"c{layout.service}")), "project": project, "cost": cost,
+              "source_format": F.lit(layout.format)}
+    return _kept(_bound(cells, fields, *keep)).select("service", "project", "cost", *keep, "source_format")
 
 
 def normalize_export(raw: DataFrame, decimal_mark: str = ".") -> DataFrame:
@@ -130,75 +134,104 @@ def _header_cells(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("\ufeff")]), [])
 
 
-def parse_lines(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
-    """source_path, at (the order of a file's lines) and line -> service, project, cost,
-    source_format, source_path.
-
-    One job finds every file's header, the different headers and the widest row; what comes to the
-    driver are headers, at most ``MAX_HEADERS`` of them.
-    """
-    files = lines.groupBy("source_path").agg(
+def _files(lines: DataFrame) -> DataFrame:
+    """For each file its first line, where that is, and whether a line ends inside quotes."""
+    return lines.groupBy("source_path").agg(
         F.min_by("line", "at").alias("header"), F.min("at").alias("first"),
-        F.max(F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))).alias("marks"))
-    found = (files.groupBy("header")
-             .agg(F.min("source_path").alias("path"), F.max("marks").alias("marks"))
+        F.max(csv_records.ends_inside(F.col("line"))).alias("broken"))
+
+
+def _headers(files: DataFrame) -> list:
+    found = (files.groupBy("header").agg(F.min("source_path").alias("path"), F.max("broken").alias("broken"))
              .limit(MAX_HEADERS + 1).collect())
     if len(found) > MAX_HEADERS:
         raise BillingFormatError(f"more than {MAX_HEADERS} different headers")
-    layouts = {r.header: detect_layout(_header_cells(r.header), r.path) for r in found}
-    width = 1 + max((r.marks for r in found), default=0)
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    rows = (lines.join(files.select("source_path", "header", "first"), "source_path")
-            .filter((F.col("at") > F.col("first")) & (strip(F.col("line")) != ""))
-            .withColumn("cells", F.from_csv("line", schema, {"escape": '"'})))
-
-    def cell(i: int) -> Column:
-        return F.col("cells")[f"c{i}"] if i < width else F.lit(None).cast("string")
-
-    by_layout = defaultdict(list)
-    for header, layout in layouts.items():
-        by_layout[layout._replace(width=0)].append(header)
-    record = F.lit(None)
-    for layout, headers in by_layout.items():
-        service, project, cost = _fields(layout, cell, width, decimal_mark)
-        fields = F.struct(service.alias("service"), project.alias("project"), cost.alias("cost"),
-                          F.lit(layout.format).alias("source_format"))
-        known = F.col("header").isin(*headers)
-        record = F.when(known, fields).otherwise(record)
-    if not layouts:
-        empty = "service string, project string, cost decimal(24,10), source_format string"
-        return rows.sparkSession.createDataFrame([], empty + ", source_path string")
-    # As rows of their own, so that the filters look at parsed fields instead of parsing again.
-    return _kept(rows.select(F.inline(F.array(record)), "source_path"))
-
-
-def _read_multi_line(spark: SparkSession, lines: DataFrame, decimal_mark: str) -> DataFrame:
-    """Files with line breaks inside quotes: one positional read for each layout. File names come to
-    the driver, and no file is split."""
-    files = lines.groupBy("source_path").agg(F.min_by("line", "at").alias("header"))
-    groups = defaultdict(list)
-    for row in files.toLocalIterator():
-        groups[detect_layout(_header_cells(row.header), row.source_path)].append(row.source_path)
-
-    def read_group(layout: Layout, members: list[str]) -> DataFrame:
-        schema = StructType([StructField(f"c{i}", StringType()) for i in range(layout.width)])
-        raw = (spark.read.schema(schema).options(header=True, escape='"', multiLine=True)
-               .csv(members).select("*", F.col("_metadata.file_path").alias("source_path")))
-        return normalize(raw, layout, ["source_path"], decimal_mark)
-
-    return reduce(DataFrame.unionByName, [read_group(*group) for group in groups.items()])
+    return found
 
 
-def read_billing(spark: SparkSession, paths: str | list[str], account: str | Column = "",
-                 period: str | Column | None = None, decimal_mark: str = ".",
-                 multi_line: bool = False, pattern: str = "*.csv") -> DataFrame:
-    """Files and folders of exports, in any mix of formats -> one billing fact.
+def parse_cells(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
+    """source_path, at (the order of a file's lines) and line -> service, project, cost, cell,
+    source_format, source_path, at, of every row of every file.
 
-    ``account`` and ``period`` (a day of the month) are constants or columns over ``source_path``.
-    The number of jobs does not depend on the number of files. Files without content are skipped by
-    Spark; if there is no other, that is an error. ``multi_line`` allows line breaks
-    inside quotes, at the price of unsplittable files.
+    ``cell`` is the text that the cost was read from, NULL where it is the last number of the row.
+    ``at`` is (split, number); anything else orders a file that is one split. One job finds every
+    file's header and the different headers; what comes to the driver are headers, at most
+    ``MAX_HEADERS`` of them. Only headers that hold line breaks themselves take a second job of that kind.
     """
+    if not isinstance(lines.schema["at"].dataType, StructType):
+        lines = lines.withColumn("at", F.struct(F.lit(0).cast("bigint").alias("split"),
+                                                F.col("at").cast("bigint").alias("number")))
+    files = _files(lines)
+    found = _headers(files)
+    if any(r.broken for r in found):
+        known = lines.join(files.select("source_path", "broken"), "source_path")
+        columns = ("source_path", "at", "line")
+        lines = (known.filter(~F.col("broken")).select(*columns)
+                 .unionByName(csv_records.whole_records(known.filter("broken").select(*columns))))
+        # Records are counted from 1.
+        files = files.withColumn("first", F.when(F.col("broken"), F.struct(
+            F.col("first.split").alias("split"), F.lit(1).cast("bigint").alias("number"))).otherwise(F.col("first")))
+        if files.filter(csv_records.ends_inside(F.col("header"))).take(1):
+            files = _files(lines)
+            found = _headers(files)
+    layouts: dict[Layout, int] = {}
+    numbers = []  # of the layout of each header
+    for r in found:
+        layout = detect_layout(_header_cells(r.header), r.path)._replace(width=0)
+        numbers.append((r.header, layouts.setdefault(layout, len(layouts))))
+    spark = lines.sparkSession
+    known = files.join(F.broadcast(spark.createDataFrame(numbers, "header string, layout int")), "header")
+    rows = (lines.join(known.select("source_path", "first", "layout"), "source_path")
+            .filter((F.col("at") > F.col("first")) & (strip(F.col("line")) != "")))
+    none = F.lit(None).cast("string")
+    raw = {"service": none, "project": none, "cell": none, "source_format": none}
+    rest = F.lit(None).cast("array<string>")
+    for layout, number in layouts.items():
+        mine, line = F.col("layout") == number, F.col("line")
+        places = {"service": layout.service, "project": layout.project, "cell": layout.cost}
+        for name, at in places.items():
+            if at is not None:
+                raw[name] = F.when(mine, csv_records.raw_cell(line, at)).otherwise(raw[name])
+        if layout.cost is None:
+            rest = F.when(mine, F.slice(csv_records.raw_cells(line), 2, F.length(line) + 1)).otherwise(rest)
+        raw["source_format"] = F.when(mine, F.lit(layout.format)).otherwise(raw["source_format"])
+    cells = rows.select(*[v.alias(k) for k, v in raw.items()], rest.alias("rest"), "source_path", "at")
+    said = {name: csv_records.unquoted(F.col(name)) for name in ("service", "project", "cell")}
+    cells = cells.select(*[v.alias(k) for k, v in said.items()], "rest", "source_format", "source_path", "at")
+    last = _last_number(F.transform("rest", csv_records.unquoted), decimal_mark)
+    cost = F.when(F.col("rest").isNull(), parse_money(F.col("cell"), decimal_mark)).otherwise(last)
+    return _bound(cells, {"service": strip(F.col("service")),
+                          "project": F.coalesce(strip(F.col("project")), F.lit("")), "cost": cost,
+                          "cell": F.col("cell"), "source_format": F.col("source_format")}, "source_path", "at")
+
+
+def parse_lines(lines: DataFrame, decimal_mark: str = ".", observation: Observation | None = None) -> DataFrame:
+    """source_path, at and line -> service, project, cost, source_format, source_path.
+
+    Rows without a readable cost are left out, as are total rows; ``rejected_lines`` has the former.
+    ``observation`` counts ``rows`` and ``rejected`` while the rows are read.
+    """
+    cells = parse_cells(lines, decimal_mark)
+    if observation is not None:
+        cells = cells.observe(observation, F.count(F.lit(1)).alias("rows"),
+                              F.count_if(_is_rejected()).alias("rejected"))
+    return _kept(cells).select("service", "project", "cost", "source_format", "source_path")
+
+
+def _is_rejected() -> Column:
+    return ~is_total_row(F.col("service")) & F.col("cost").isNull()
+
+
+def rejected_lines(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
+    """Rows of a service whose cost cannot be read: service, project, cell, reason, source_format,
+    source_path and at, the place of the record in its file."""
+    reason = reject_reason(F.col("cell"), decimal_mark)
+    return parse_cells(lines, decimal_mark).filter(_is_rejected()).select(
+        "service", "project", "cell", reason.alias("reason"), "source_format", "source_path", "at")
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """source_path, at and line of all files; the files stay splittable."""
     paths = [paths] if isinstance(paths, str) else list(paths)
 
     def read(kind: str):
@@ -208,13 +241,32 @@ def read_billing(spark: SparkSession, paths: str | list[str], account: str | Col
     if not read("binaryFile").select("path").take(1):
         raise BillingFormatError(f"no file with content like {pattern} under {paths}")
     # Rows of one split keep their order; splits are told apart by where they start.
-    lines = read("text").select(
+    return read("text").select(
         F.col("_metadata.file_path").alias("source_path"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.struct(F.col("_metadata.file_block_start").alias("split"),
+                 F.monotonically_increasing_id().alias("number")).alias("at"),
         F.col("value").alias("line"))
-    records = (_read_multi_line(spark, lines, decimal_mark) if multi_line
-               else parse_lines(lines, decimal_mark))
+
+
+def read_billing(spark: SparkSession, paths: str | list[str], account: str | Column = "",
+                 period: str | Column | None = None, decimal_mark: str = ".",
+                 multi_line: bool | None = None, pattern: str = "*.csv",
+                 observation: Observation | None = None) -> DataFrame:
+    """Files and folders of exports, in any mix of formats -> one billing fact.
+
+    ``account`` and ``period`` (a day of the month) are constants or columns over ``source_path``.
+    The number of jobs does not depend on the number of files. Files without content are skipped by
+    Spark; if there is no other, that is an error. Line breaks inside quotes are read in any case;
+    ``multi_line`` is still accepted and changes nothing.
+    """
+    records = parse_lines(read_lines(spark, paths, pattern), decimal_mark, observation)
     month = F.lit(period) if period is None or isinstance(period, str) else period
     owner = F.lit(account) if isinstance(account, str) else account
     return records.select(owner.cast("string").alias("account"), month.cast("date").alias("period"),
                           "service", "project", "cost", "source_format", "source_path")
+
+
+def read_rejected(spark: SparkSession, paths: str | list[str], decimal_mark: str = ".",
+                  pattern: str = "*.csv") -> DataFrame:
+    """The rows of the same files whose cost ``read_billing`` cannot read, with reason and place."""
+    return rejected_lines(read_lines(spark, paths, pattern), decimal_mark)

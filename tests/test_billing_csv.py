@@ -1,10 +1,11 @@
 import pytest
 from conftest import JULY, JUNE, gcp_csv, rows
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from billweave.functions.money import parse_money, strip
 from billweave.sources.billing_csv import (BillingFormatError, detect_format, detect_layout,
-                                           normalize_export, parse_lines, read_billing)
+                                           normalize_export, parse_lines, read_billing, read_rejected)
 
 USAGE = [("900011", "SearchIndex", "310.25"), ("900011", "SearchIndex", "89.75"),
          ("900022", "QueueHub", "12.00"), ("900022", "QueueHub", "n/d"), ("900033", "CacheNode", "7.5")]
@@ -134,11 +135,16 @@ def test_last_number_may_stand_beyond_the_header(spark, tmp_path):
     assert by(df, "service") == {"A": 2, "B": 1}
 
 
-def test_numbers_out_of_range_do_not_vanish(spark, tmp_path):
-    for cell in ("123456789012345678", "1.2e-11"):
-        df = read_billing(spark, write(tmp_path, big=f"service,cost\nA,{cell}\n"))
-        with pytest.raises(Exception, match="outside of decimal"):
-            df.collect()
+def test_numbers_out_of_range_are_rejected_by_name(spark, tmp_path):
+    folder = write(tmp_path, big="service,cost\nA,123456789012345678\nB,1.2e-11\nC,n/d\nD\nTotal,x\nE,2\n")
+    seen = Observation("cells")
+    df = read_billing(spark, folder, observation=seen)
+    assert by(df, "service") == {"B": 0, "E": 2}
+    assert seen.get == {"rows": 6, "rejected": 3}
+    bad = read_rejected(spark, folder)
+    assert rows(bad, "service", "cell", "reason") == [
+        ("A", "123456789012345678", "out of range"), ("C", "n/d", "not a number"), ("D", "", "missing")]
+    assert {r.source_path.rsplit("/", 1)[1] for r in bad.collect()} == {"big.csv"}
 
 
 def test_repeated_header_names_are_read_by_position(spark, tmp_path):

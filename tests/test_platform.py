@@ -259,10 +259,10 @@ def test_cost_reports(priced):
     assert "$8/TiB" in dear
 
 
-@pytest.mark.parametrize("split_above", [0, 3])
-def test_cost_report_of_a_split_group(priced, split_above):
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_cost_report_of_a_split_group(priced, ranges):
     whole = _whole(querycost.cost_report(priced, ["suite"], 20.0))
-    assert _whole(querycost.cost_report(priced, ["suite"], 20.0, split_above=split_above)) == whole
+    assert _whole(querycost.cost_report(priced, ["suite"], 20.0, ranges=ranges)) == whole
 
 
 # ---- scorecard and findings -------------------------------------------------------------------
@@ -344,11 +344,11 @@ def test_scorecard_report(spark):
     assert "Hallazgos" not in plain and plain.count("\n") == 7
 
 
-@pytest.mark.parametrize("split_above", [5, 10**6])
-def test_scorecard_lines_of_many_findings(spark, split_above):
+@pytest.mark.parametrize("ranges", [7, None])
+def test_scorecard_lines_of_many_findings(spark, ranges):
     found = _finding(spark, *[("p", f"C{i:02d}", "t", "low", "e" * (i % 2), "", "") for i in range(25)])
     scores = spark.createDataFrame([("p", "cost", 0, 0, 62.5)], SCORES)
-    text = _whole(scorecard.scorecard_report(scores, default_rubric(spark), found, split_above=split_above))
+    text = _whole(scorecard.scorecard_report(scores, default_rubric(spark), found, ranges=ranges))
     assert [x[5:8] for x in text.splitlines() if "[C" in x] == [f"C{i:02d}" for i in range(25)]
     assert text.count("evidencia: e") == 12
 

@@ -1,13 +1,14 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from billweave.operators.ranking import cut_points, numbered, ones, top_per_group
+from billweave.operators.ranking import in_ranges, numbered, ones, top_per_group
 
 
-@pytest.mark.parametrize("split_above", [10**6, 300, 50, 0])
-def test_numbering_is_exact_however_groups_are_split(spark, split_above):
+@pytest.mark.parametrize("ranges", [None, 1, 7, 90])
+def test_numbering_is_exact_however_groups_are_split(spark, ranges):
     rng = random.Random(11)
     data = [("hot" if rng.random() < 0.5 else f"g{rng.randrange(30)}",
              rng.choice([0, 0, 0, rng.randrange(1000)]), i) for i in range(3000)]
@@ -15,7 +16,7 @@ def test_numbering_is_exact_however_groups_are_split(spark, split_above):
     info = df.groupBy("g").agg(F.count("*").alias("n_rows"), F.max("v").alias("top"))
     sums = {"line": F.lit(1), "evens": ones(F.col("v") % 2 == 0),
             "tops": ones(F.col("v") == F.col("top")), "total": F.col("v")}
-    out = numbered(df, info, ["g"], ["v", "id"], sums, split_above)
+    out = numbered(df, info, ["g"], ["v", "id"], sums, ranges)
     got = {(r.g, r.id): (r.line, r.evens, r.tops, r.total) for r in out.collect()}
     expected = {}
     for group in {g for g, _, _ in data}:
@@ -31,21 +32,34 @@ def test_numbering_is_exact_however_groups_are_split(spark, split_above):
 
 
 def test_hot_group_is_cut_into_even_ranges(spark):
-    """The window of a hot group runs over many slots, and none is large."""
-    df = spark.range(200_000).select(F.lit("hot").alias("g"), "id")
+    """The window of a hot group runs over many ranges, and none is large."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 100 == 0, "cold").otherwise("hot").alias("g"),
+                                     (F.col("id") * 7919 % 200_000).alias("id"))
     info = df.groupBy("g").agg(F.count("*").alias("n_rows"))
-    out = numbered(df, info, ["g"], ["id"], {"line": F.lit(1)}, split_above=2000)
-    assert out.filter(F.col("line") != F.col("id") + 1).count() == 0
+    sizes = in_ranges(df, info, ["g"], ["id"], 100).groupBy("_slot").count().collect()
+    assert len(sizes) >= 100 and max(r["count"] for r in sizes) <= 2 * 2000
+    out = numbered(df.filter("g = 'hot'"), info, ["g"], ["id"], {"line": F.lit(1)}, 100)
+    place = out.filter(F.col("line") != F.col("id") - F.floor((F.col("id") + 99) / 100) + 1)
+    assert out.count() == 198_000 and "id" in place.columns
+    ordered = [r.line for r in out.orderBy("id").select("line").collect()]
+    assert ordered == list(range(1, 198_001))
+    # The window is over ranges; nothing in the plan partitions rows by group alone.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    window = plan[plan.index("Window"):]
-    assert "_slot" in window.splitlines()[0]
-    # Cut points do not go through the exchange of the slots.
-    assert "_cuts" not in next(x for x in window.splitlines() if "Project" in x).split("AS _slot")[-1]
-    key = F.struct("g").alias("_group")
-    cuts = cut_points(df.select("*", key), info.select("*", key), ["id"], 2000)
-    edges = [place.id for place in cuts.first()._cuts]
-    sizes = [b - a for a, b in zip([-1, *edges], [*edges, 199_999])]
-    assert len(sizes) > 100 and max(sizes) <= 2 * 2000
+    assert "Sort" not in plan and plan.count("Window") == 1
+
+
+def test_cost_grows_with_the_rows(spark):
+    """Ranges of a few rows each: neither their number nor that of the rows squares the time."""
+    def seconds(n, ranges):
+        df = spark.range(n).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % n).alias("id"))
+        info = df.groupBy("g").agg(F.count("*").alias("n_rows"))
+        start = time.perf_counter()
+        out = numbered(df, info, ["g"], ["id"], {"line": F.lit(1)}, ranges)
+        assert out.filter(F.col("line") != F.col("id") + 1).count() == 0
+        return time.perf_counter() - start
+    seconds(1000, 10)
+    small, large = seconds(40_000, 50), seconds(320_000, 400)
+    assert large < 16 * small
 
 
 def test_top_per_group_limits_before_the_shuffle(spark):

@@ -102,7 +102,7 @@ def test_json_keeps_all_decimals(fact):
 def _many(fact, n=37):
     up = [("a", 2, f"up{i:03d}", "p", 1000 * n + i) for i in range(60)]
     down = [("a", 1, f"down{i:05d}", "q", 1 + i / 10) for i in range(n)]
-    return diff.delta_lines(fact(*up, *down), ranked=True, split_above=2000)
+    return diff.delta_lines(fact(*up, *down), ranked=True, ranges=5)
 
 
 def test_reports_have_one_form_whatever_their_size(fact):
