@@ -15,7 +15,7 @@ from billweave.functions.money import amount, money, percent, signed_money
 from billweave.functions.text import fill, pad_left, pad_right
 from billweave.functions.wording import DEFAULT_LANG, phrases
 from billweave.operators.diff import GRAIN, PAIR, by_move
-from billweave.operators.ranking import top_per_group
+from billweave.operators.ranking import numbered, top_per_group
 
 # Smallest share, in percent, at which the text names the leading project.
 PROJECT_MENTION = 40
@@ -206,11 +206,20 @@ def report_json(ranked_lines: DataFrame, unit: int = 1) -> DataFrame:
             pct("growth_pct").alias("growth_pct"))))
 
 
-def write_reports(reports: DataFrame, path: str, by: list[str], text: str | None = None) -> None:
-    """Write reports as files, one folder per value of ``by``, lines in the order of the remaining
-    columns. ``text`` names the printed column; by default ``text`` or else ``json``."""
+def write_reports(reports: DataFrame, path: str, by: list[str], text: str | None = None,
+                  most_chars: int = 64_000_000, ranges: int | None = None) -> None:
+    """Write reports as files: a folder per value of ``by``, in it a folder ``part=0`` with one file of all
+    lines, in the order of the remaining columns. A report of more than ``most_chars`` characters goes on
+    in part 1, 2, ..., each of about that size, so that no task writes a huge one alone. ``text`` names the
+    printed column; by default ``text`` or else ``json``."""
     text = text or ("text" if "text" in reports.columns else "json")
     rest = [c for c in reports.columns if c not in by and c != text]
-    (reports.repartitionByRange(*by, *rest).sortWithinPartitions(*by, *rest)
-     .select(*by, F.col(text).alias("value")).write.mode("overwrite").partitionBy(*by)
-     .text(path))
+    size = F.length(text) + 1
+    # Equal places are told apart by the text, as a part must not depend on how they happen to lie.
+    lines = reports.withColumns({"_size": size.cast("bigint"), "_tie": F.xxhash64(text)})
+    whole = lines.groupBy(*by).agg(F.sum("_size").alias("_all"))
+    placed = numbered(lines, whole, by, [*rest, "_tie"], {"_until": F.col("_size")}, ranges)
+    part = F.when(F.col("_all") <= most_chars, 0).otherwise(F.floor((F.col("_until") - F.col("_size")) / most_chars))
+    (placed.withColumn("part", part.cast("int")).repartition(*by, "part")
+     .sortWithinPartitions(*by, "part", *rest, "_tie")
+     .select(*by, "part", F.col(text).alias("value")).write.mode("overwrite").partitionBy(*by, "part").text(path))

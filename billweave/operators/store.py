@@ -5,16 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read from there, without lineage.
+def new_table(spark: SparkSession) -> str:
+    """A path for a table in the folder in spark.checkpoint.dir; the table goes when the driver's JVM ends.
 
-    Only in local mode may that setting be missing; a temporary folder is set then. The table goes when the
-    driver's JVM ends.
+    Only in local mode may that setting be missing; a temporary folder is set then.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
@@ -23,7 +21,13 @@ def stored(df: DataFrame) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp()
         context.setCheckpointDir(folder)
     table = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(table)
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(table)
+    return table
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a new table and read from there, without lineage."""
+    table = new_table(df.sparkSession)
+    df.write.parquet(table)
+    return df.sparkSession.read.schema(df.schema).parquet(table)

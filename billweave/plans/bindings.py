@@ -220,6 +220,53 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SELECT").alias("statement_type"))
 
 
+# Snapshots of the catalog, and the day on which retention is looked at.
+SNAPSHOTS = [dt.date(2024, 1, 10), dt.date(2024, 2, 20), dt.date(2024, 4, 15)]
+RETENTION_DAY = dt.date(2024, 3, 1)
+# Bands of days, and what is to be done with tables that are in them.
+BANDS = [(0, 7, "hot"), (7, 30, "warm"), (30, 90, "cold"), (90, 365, "archive"), (365, None, "delete")]
+
+
+def dated_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with a day on which each table was made, some of them after the last snapshot."""
+    made = F.date_sub(F.lit(RETENTION_DAY), (F.col("doc_id") * 37 % 500 - 20).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        F.lit("warehouse").alias("project"), F.col("source").alias("dataset"),
+        F.col("doc_id").cast("string").alias("table"), (F.col("n_chars") * 1000).alias("num_bytes"),
+        made.alias("created"))
+
+
+def reading_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event reads two tables: that with the number of its user, which is often, and one that
+    its own number gives; not all of them are in the catalog."""
+    tables = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), "source")
+    jobs = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").alias("created"),
+        F.explode(F.array("user_id", F.col("event_id") * 13 % 1201)).alias("_doc"))
+    read = jobs.join(tables, "_doc", "left").select(
+        "created", "event_id", F.struct(F.coalesce("source", F.lit("gone")).alias("dataset"),
+                                        F.col("_doc").cast("string").alias("table")).alias("read"))
+    return (read.groupBy("event_id", "created").agg(F.collect_set("read").alias("tables"))
+            .select(F.lit("warehouse").alias("project"), "created", "tables"))
+
+
+def query_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a query that costs its price, and touches a component for each of its lines' parts'
+    types, by quantity; lines with discounts of a tenth have no weight. Returned lines are credits."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("component"))
+    lines = spark.read.schema("l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+                              "l_extendedprice double, l_returnflag string").parquet(f"{sf_dir}/lineitem.parquet")
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    queries = lines.groupBy("l_orderkey", "l_returnflag").agg(cents.alias("cents")).withColumn(
+        "cents", F.when(F.col("l_returnflag") == "R", -F.col("cents")).otherwise(F.col("cents")))
+    weight = F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_quantity").cast("bigint"))
+    return (lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .select("l_orderkey", "l_returnflag", "component", weight.alias("bytes"))
+            .join(queries, ["l_orderkey", "l_returnflag"])
+            .select(F.col("l_returnflag").alias("suite"), F.col("l_orderkey").alias("query"), "component", "bytes",
+                    "cents"))
+
+
 def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("doc_id").cast("string")
     folder = F.when(F.col("source") == "src0", "models/staging/").otherwise("models/marts/")

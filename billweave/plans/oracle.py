@@ -717,6 +717,36 @@ SELECT source_format, service, project, count(*) AS n, CAST(sum(cents) AS BIGINT
 FROM exported WHERE source_format = '{source_format}' GROUP BY ALL""")
 
 
+DATED_CATALOG = """
+dated AS (
+  SELECT 'warehouse' AS project, source AS dataset, doc_id::VARCHAR AS "table", doc_id,
+         n_chars * 1000 AS num_bytes, DATE '2024-03-01' - (doc_id * 37 % 500 - 20)::INTEGER AS created
+  FROM documents),
+reads AS (
+  SELECT DISTINCT doc, ts::DATE AS day
+  FROM (SELECT user_id AS doc, ts FROM events UNION ALL SELECT event_id * 13 % 1201, ts FROM events))"""
+
+# Cents by weight, rounded down; those left over go to the largest remainders.
+PARTS = """
+lines AS (
+  SELECT l_returnflag AS suite, l_orderkey AS query, p_type AS component,
+         sum(CASE WHEN l_linenumber = 7 THEN 0 ELSE l_quantity::BIGINT END)::BIGINT AS bytes
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+costs AS (
+  SELECT l_returnflag AS suite, l_orderkey AS query, sum(round(l_extendedprice * 100)::BIGINT)::HUGEINT AS cents
+  FROM lineitem GROUP BY ALL),
+weights AS (
+  SELECT *, CASE WHEN sum(bytes) OVER q > 0 THEN bytes ELSE 1 END AS weight,
+         CASE WHEN sum(bytes) OVER q > 0 THEN sum(bytes) OVER q ELSE count(*) OVER q END AS whole
+  FROM lines JOIN costs USING (suite, query) WINDOW q AS (PARTITION BY suite, query)),
+shares AS (SELECT *, cents * weight // whole AS down, cents * weight % whole AS fraction FROM weights),
+parts AS (
+  SELECT suite, query, component, bytes, CASE WHEN suite = 'R' THEN -1 ELSE 1 END *
+         (down + CASE WHEN row_number() OVER (PARTITION BY suite, query ORDER BY fraction DESC, component)
+                           <= cents - sum(down) OVER (PARTITION BY suite, query) THEN 1 ELSE 0 END)::BIGINT AS cents
+  FROM shares)"""
+
+
 def oracle_queries() -> dict[str, str]:
     panel = lambda select: with_ctes(PANEL, select)
     delta = usd("delta")
@@ -733,6 +763,38 @@ FROM exported GROUP BY source_format"""),
         "csv_files": with_ctes(CSV_FILES, """
 SELECT source_format, service, project, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cost_cents
 FROM parsed GROUP BY ALL"""),
+        "table_idleness": with_ctes(DATED_CATALOG, """
+asked AS (
+  SELECT project, dataset, "table", doc_id, snapshot
+  FROM dated, (VALUES (DATE '2024-01-10'), (DATE '2024-02-20'), (DATE '2024-04-15')) s(snapshot)),
+found AS (
+  SELECT project, dataset, "table", snapshot, max(day) AS last_read
+  FROM asked LEFT JOIN reads ON doc = doc_id AND day <= snapshot GROUP BY ALL)""", """
+SELECT *, (snapshot - last_read)::INTEGER AS idle_days,
+       CASE WHEN last_read IS NULL THEN 'never' WHEN snapshot - last_read >= 90 THEN 'zombie'
+            WHEN snapshot - last_read >= 30 THEN 'idle' ELSE 'used' END AS state
+FROM found"""),
+        "retention_bands": with_ctes(DATED_CATALOG, """
+last AS (SELECT doc, max(day) AS last_read FROM reads WHERE day <= DATE '2024-03-01' GROUP BY doc),
+days AS (
+  SELECT project, num_bytes, last_read, DATE '2024-03-01' - created AS age,
+         DATE '2024-03-01' - coalesce(last_read, created) AS idle
+  FROM dated LEFT JOIN last ON doc = doc_id),
+bands AS (
+  SELECT * FROM (VALUES (0, 7, 'hot'), (7, 30, 'warm'), (30, 90, 'cold'), (90, 365, 'archive'),
+                        (365, 1000000, 'delete')) b(lower, upper, action))""", """
+SELECT project, a.action AS age_action, i.action AS action, count(*) AS n_tables,
+       sum(num_bytes)::BIGINT AS num_bytes, count(*) FILTER (last_read IS NULL) AS n_never_read
+FROM days LEFT JOIN bands a ON age >= a.lower AND age < a.upper
+  LEFT JOIN bands i ON idle >= i.lower AND idle < i.upper
+GROUP BY ALL"""),
+        "repartition_check": """
+SELECT l_shipdate::DATE AS day, count(*) AS rows_before, count(*) AS rows_after, 'equal' AS state
+FROM lineitem GROUP BY ALL""",
+        "component_parts": with_ctes(PARTS, "SELECT * FROM parts"),
+        "component_costs": with_ctes(PARTS, """
+SELECT suite, component, count(*) AS n_queries, sum(bytes)::BIGINT AS bytes, sum(cents)::BIGINT AS cents
+FROM parts GROUP BY ALL"""),
         "csv_line_breaks": """
 SELECT p_type || chr(10) || 'line ' || l_linenumber AS service,
        'unit "' || l_linenumber || '"' || chr(10) || chr(10) || ',x' AS project,

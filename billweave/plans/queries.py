@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from billweave.functions import money as m
 from billweave.functions import text as t
-from billweave.operators import (anonymize, bill_rules, diff, findings, hooks, models, querycost,
-                                 reports, scorecard, spend, warehouse)
+from billweave.operators import (anonymize, apportion, bill_rules, diff, findings, hooks, models,
+                                 querycost, reports, rewrite, scorecard, spend, usage, warehouse)
 from billweave.plans import bindings as b
 from billweave.operators.ranking import numbered
+from billweave.operators.store import new_table
 from billweave.sources.billing_csv import normalize_export, parse_lines, rejected_lines
 from billweave.sources.rubric import default_rubric
 
@@ -342,6 +343,35 @@ def job_findings(spark, sf_dir):
 
 # ---- model rules ------------------------------------------------------------------------------
 
+@query
+def table_idleness(spark, sf_dir):
+    return usage.table_idleness(b.dated_catalog(spark, sf_dir), b.reading_jobs(spark, sf_dir), b.SNAPSHOTS)
+
+
+@query
+def retention_bands(spark, sf_dir):
+    bands = spark.createDataFrame(b.BANDS, "lower int, upper int, action string")
+    return usage.retention(b.dated_catalog(spark, sf_dir), b.reading_jobs(spark, sf_dir), bands, b.RETENTION_DAY)
+
+
+@query
+def repartition_check(spark, sf_dir):
+    """lineitem rewritten by day, read back and compared with what it was."""
+    items, path = b.table(spark, sf_dir, "lineitem"), new_table(spark)
+    rewrite.rewrite_by_day(items, path, "l_shipdate", cluster=["l_orderkey"])
+    return rewrite.reconcile(items, spark.read.parquet(path), "l_shipdate")
+
+
+@query
+def component_parts(spark, sf_dir):
+    return apportion.apportion(b.query_parts(spark, sf_dir), ["suite", "query"])
+
+
+@query
+def component_costs(spark, sf_dir):
+    return apportion.component_costs(b.query_parts(spark, sf_dir), ["suite", "query"], ["suite"])
+
+
 @query
 def missing_marker(spark, sf_dir):
     return models.missing_marker(b.project_roots(spark, sf_dir))

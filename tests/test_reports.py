@@ -137,6 +137,24 @@ def test_reports_to_files(spark, lines, tmp_path):
         assert ("Map Tiles" in "".join(r.value for r in written.collect()))
 
 
+def test_every_report_is_one_file_or_numbered_parts(spark, tmp_path):
+    lines = (spark.range(600).select(F.col("id").alias("report"), F.explode(F.sequence(F.lit(1), F.when(
+                F.col("id") == 7, 3000).otherwise(F.col("id") % 5 + 1))).alias("line"))
+             .withColumn("text", F.concat(F.lit("line "), "line", F.lit(" of "), "report")))
+    out = str(tmp_path / "out")
+    reports.write_reports(lines.repartition(7), out, ["report"], most_chars=9000, ranges=11)
+    files = spark.read.text(out, wholetext=True).select("report", "part", "value").collect()
+    assert len({(f.report, f.part) for f in files}) == len(files)
+    got = {}
+    for f in sorted(files, key=lambda f: (f.report, f.part)):
+        got[f.report] = got.get(f.report, "") + f.value
+    assert got == {n: "".join(f"line {k} of {n}\n" for k in range(1, (3000 if n == 7 else n % 5 + 1) + 1))
+                   for n in range(600)}
+    parts = [len(f.value) for f in files if f.report == 7]
+    assert len(parts) == -(-sum(parts) // 9000) and max(parts) < 9100
+    assert {f.part for f in files if f.report != 7} == {0}
+
+
 def test_amount_formats(spark):
     values = [8765.0, 349.6, 1050.0, 15500.0, 0.0, -2345678.0, 0.5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
