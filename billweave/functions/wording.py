@@ -146,26 +146,29 @@ EN = {
     "md_columns": "| Service | Before | After | Δ | % of change |",
     "md_rule": "|---|---:|---:|---:|---:|",
     "md_row": "| {label} | {before} | {after} | {delta} | {pct}% |",
-    "anon_title": "## The cloud bill of {alias}{sector}",
-    "anon_alias": "a mid-sized company",
-    "anon_opening": "**The bill went {verb} {pct} in a month: from ~${before} to ~${after}.**",
-    "anon_drivers": "Where the money went:",
+    "anon_title": "## Why the bill of {alias}{sector} changed",
+    "anon_alias": "a customer",
+    "anon_opening": "**In a month the bill went {verb} by {pct}: ~${before} became ~${after}.**",
+    "anon_drivers": "What moved the bill:",
     "anon_row": "{i}. **{key}**{new} {sign}${delta} — {pct}% of the {direction}",
     "anon_new": " (new)",
-    "anon_lessons": "First reading:",
-    "lesson_majority": "A single service ({key}) makes up more than half of the change.",
-    "lesson_new": "{key} appeared without a visible budget.",
-    "lesson_project": "A single team ({alias}) holds {pct}% of the rise.",
+    "anon_lessons": "What can be learnt:",
+    "lesson_majority": ("{key} alone moves more than half of the change: "
+                        "its cost per unit is worth measuring."),
+    "lesson_new": ("{key} came onto the bill without a budget: "
+                   "new services should pass an approval."),
+    "lesson_project": ("{alias} gathers {pct}% of the rise: "
+                       "the cost should be shared out by team."),
     "project_alias": "project {letters}",
     "anon_total": "**The bill of the period adds up to ~${total}.**",
-    "anon_spots": "Where the money is:",
+    "anon_spots": "What it is spent on:",
     "anon_spot_row": "{i}. **{key}** ~${cost} — {pct}% of the total",
-    "anon_note": "_Rounded and anonymised figures._",
+    "anon_note": "_Amounts are rough, real names are left out._",
     "query_banner": "═══ QUERY COST ═══",
     "query_md_title": "### Query cost",
     "query_md_columns": "| Query | Scans | Estimated cost per run |",
     "query_md_rule": "|---|---:|---:|",
-    "query_skipped": "— (uncompiled template: point at the compiled SQL)",
+    "query_skipped": "— (template, not compiled)",
     "query_error": "error: {error}",
     "query_total": "Total per run: {total}",
     "query_limit": " · limit: {limit} → {state}",
@@ -217,7 +220,71 @@ EN = {
     "fix_AP-C02_models": "List the columns in the final layers.",
 }
 
+# What a criterion of the built-in rubric asks; our own words.
+CRITERIA_ES = {
+    "ARC-01": "El plano de la plataforma se revisó en el último semestre.",
+    "ARC-02": "Los datos pasan por zonas con un fin claro cada una.",
+    "ARC-03": "Las cargas se programan, se reintentan y avisan si fallan.",
+    "ARC-04": "Cada indicador se calcula en un solo lugar.",
+    "ARC-05": "Los recursos se crean desde código versionado.",
+    "GOV-01": "Los conjuntos importantes tienen responsable conocido.",
+    "GOV-02": "Cualquier área puede buscar qué datos hay.",
+    "GOV-03": "Se puede seguir un dato desde su origen hasta el informe.",
+    "GOV-04": "Una fuente nueva entra con acuerdo escrito.",
+    "QUA-01": "Los modelos importantes se prueban en cada carga.",
+    "QUA-02": "Se vigila que los datos lleguen a tiempo.",
+    "QUA-03": "Cada error de datos se avisa, se corrige y se estudia.",
+    "QUA-04": "Quien usa un dato sabe cuánto fiarse de él.",
+    "COS-01": "El gasto se sabe por equipo.",
+    "COS-02": "Hay presupuesto y aviso al pasarse.",
+    "COS-03": "Las tablas grandes se leen por partes.",
+    "COS-04": "Los datos viejos pasan a almacenamiento barato.",
+    "COS-05": "Lo que nadie usa se apaga con regularidad.",
+    "SCA-01": "Diez veces más datos no obligan a rehacer la plataforma.",
+    "SCA-02": "Lo continuo y lo periódico tienen recursos propios.",
+    "SCA-03": "Conectar una fuente cuesta días.",
+    "SEC-01": "Los datos personales están marcados y restringidos.",
+    "SEC-02": "Cada persona accede solo a lo que necesita.",
+    "SEC-03": "Los accesos quedan registrados y alguien los mira.",
+    "AIR-01": "Los modelos de IA leen de una capa cuidada y descrita.",
+    "AIR-02": "Se vigilan calidad y retraso de lo que usa la IA.",
+    "AIR-03": "La IA no ve datos personales sin permiso.",
+    "AIR-04": "Un experimento puede repetirse con los mismos datos.",
+}
+
+CRITERIA_EN = {
+    "ARC-01": "The platform's plan was reviewed within half a year.",
+    "ARC-02": "Data pass through zones, each with a clear purpose.",
+    "ARC-03": "Loads are scheduled, retried and report failures.",
+    "ARC-04": "Every figure is computed in one place.",
+    "ARC-05": "Resources are made from versioned code.",
+    "GOV-01": "Important datasets have a known person in charge.",
+    "GOV-02": "Every department can look up what data there are.",
+    "GOV-03": "A value can be followed from its origin to the report.",
+    "GOV-04": "A new source comes in with a written agreement.",
+    "QUA-01": "Important models are tested on every load.",
+    "QUA-02": "It is watched that data arrive in time.",
+    "QUA-03": "Every data error is announced, mended and studied.",
+    "QUA-04": "Who uses a value knows how far to trust it.",
+    "COS-01": "Spend is known by team.",
+    "COS-02": "There is a budget, and a warning when it is passed.",
+    "COS-03": "Large tables are read in parts.",
+    "COS-04": "Old data move to cheap storage.",
+    "COS-05": "What nobody uses is switched off regularly.",
+    "SCA-01": "Ten times the data do not force a new platform.",
+    "SCA-02": "Continuous and periodic loads have their own resources.",
+    "SCA-03": "Connecting a source takes days.",
+    "SEC-01": "Personal data are marked and restricted.",
+    "SEC-02": "People reach only what they need.",
+    "SEC-03": "Access is recorded, and somebody looks at it.",
+    "AIR-01": "AI models read from a tended and described layer.",
+    "AIR-02": "Quality and delay of what AI uses are watched.",
+    "AIR-03": "AI sees no personal data without leave.",
+    "AIR-04": "An experiment can be repeated on the same data.",
+}
+
 WORDING = {"es": ES, "en": EN}
+CRITERIA = {"es": CRITERIA_ES, "en": CRITERIA_EN}
 
 
 def phrases(lang: str = DEFAULT_LANG) -> dict[str, str]:

@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billweave.functions.wording import CRITERIA, DEFAULT_LANG, phrases
 from billweave.schema import RUBRIC
 
 # Dimension, weight, ids of its criteria.
@@ -21,11 +22,12 @@ DIMENSIONS = (
 )
 
 
-def default_rubric(spark: SparkSession) -> DataFrame:
-    """28 rows: position of the dimension, dimension, weight, criterion_id; names and texts are
-    left to the language of a report."""
+def default_rubric(spark: SparkSession, lang: str = DEFAULT_LANG) -> DataFrame:
+    """28 rows: position of the dimension, dimension, weight, criterion_id and what it asks; the names
+    of dimensions are left to the language of a report."""
+    phrases(lang)
     return spark.createDataFrame(
-        [(place, dimension, Decimal(weight), criterion, None, None)
+        [(place, dimension, Decimal(weight), criterion, None, CRITERIA[lang][criterion])
          for place, (dimension, weight, criteria) in enumerate(DIMENSIONS, 1)
          for criterion in criteria], RUBRIC)
 

@@ -105,12 +105,18 @@ models:
       - name: millimetres
         tests: [not_null]
   - name: wind_gusts
+  - name: fog
+    description: Hours of fog
+  - name: hail
+    columns: [{name: size, tests: [unique]}]
 sources:
   - name: stations
     freshness: {warn_after: {count: 6, period: hour}}
     tables: [{name: readings}]
   - name: maps
     tables: [{name: tiles}, {name: borders}]
+  - name: lakes
+    tables: [{name: levels}]
 """
 BROKEN = {"syntax": "models: [unclosed", "list": "- just\n- a list\n", "date": "d: 2024-13-45", "empty": "",
           "number": "models: 5", "nested": "sources: [{name: s, tables: 7}]"}
@@ -125,6 +131,9 @@ def projects(tmp_path_factory):
         "weather/models/report/daily_rain.sql": "select day, millimetres from {{ ref('clean') }}",
         "weather/models/report/wind_gusts.sql": "SELECT\n  *\nFROM {{ ref('clean') }}",
         "weather/models/report/alerts.sql": "select id from {{ ref('daily_rain') }}",
+        "weather/models/report/fog.sql": "select day, hours from {{ ref('clean') }}",
+        "weather/models/report/hail.sql": "select * from {{ ref('raw_wind') }} where size > 0",
+        "weather/models/staging/raw_wind.sql": "select gust, size from stations.readings",
         "weather/models/staging/clean.sql": "select * from stations.readings",
         "tidy/dbt_project.yml": "name: tidy\n",
         "tidy/models/only.sql": "select id from t",
@@ -153,18 +162,19 @@ def test_model_rules_from_files(spark, projects):
         ("unmarked", "DBT-00", "high"), ("weather", "AP-AI01", "medium"), ("weather", "AP-C02", "medium"),
         ("weather", "AP-G02", "high"), ("weather", "AP-G02b", "medium")]
     text = {r.code: (r.title, r.evidence) for r in found.filter("subject = 'weather'").collect()}
-    assert text["AP-G02"] == ("Solo 25% de los modelos tiene tests (3/4 sin tests)",
-                              "ej: alerts, clean, wind_gusts")
-    assert text["AP-G02b"][0] == "3/4 modelos sin descripción"
-    assert text["AP-AI01"][0] == "Solo 1/3 sources con freshness configurado"
-    assert text["AP-C02"] == ("1 modelos (fuera de staging) usan SELECT *", "ej: wind_gusts")
+    assert text["AP-G02"] == ("Solo 29% de los modelos tiene tests (5/7 sin tests)",
+                              "ej: alerts, clean, fog, raw_wind, wind_gusts")
+    assert text["AP-G02b"][0] == "5/7 modelos sin descripción"
+    assert text["AP-AI01"][0] == "Solo 1/4 sources con freshness configurado"
+    assert text["AP-C02"] == ("2 modelos (fuera de staging) usan SELECT *", "ej: hail, wind_gusts")
 
 
 def test_metadata_extraction_skips_only_broken_files(spark, projects):
     _, meta, sources, _ = _model_inputs(spark, projects)
     assert rows(meta) == [("tidy", "only", True, True), ("weather", "daily_rain", True, True),
+                          ("weather", "fog", True, False), ("weather", "hail", False, True),
                           ("weather", "wind_gusts", False, False)]
-    assert rows(sources) == [("tidy", "s", "t", True), ("weather", "maps", "borders", False),
+    assert rows(sources) == [("tidy", "s", "t", True), ("weather", "lakes", "levels", False), ("weather", "maps", "borders", False),
                              ("weather", "maps", "tiles", False), ("weather", "stations", "readings", True)]
     odd = spark.createDataFrame([("p", None), ("p", "models: [{name: a}]")], "project string, yaml string")
     assert rows(model_meta.model_meta(model_meta.parse_schema_files(odd)), "name") == [("a",)]
@@ -269,6 +279,8 @@ def test_cost_report_of_a_split_group(priced, ranges):
 
 def test_default_rubric(spark):
     rubric = default_rubric(spark)
+    texts = {lang: {r.text for r in default_rubric(spark, lang).collect()} for lang in ("es", "en")}
+    assert len(texts["es"]) == len(texts["en"]) == 28 and not texts["es"] & texts["en"] and None not in texts["en"]
     assert rubric.count() == 28
     weights = dimension_weights(rubric)
     assert weights.count() == 7 and weights.agg(F.sum("weight")).first()[0] == 1
