@@ -11,7 +11,7 @@ letters on either side matter to that sum, so those choices are read from a tabl
 
 Letter model: trigrams over a-z, one class for other letters and the word's edge, counted over all
 texts; 28 to the power of 3 numbers, whatever the input. Lexicon: pieces of words, of 5 to 7 letters at any
-place (a word's beginning and end count as letters), that labelled toxic texts hold clearly more often
+place (a word's beginning and end count as letters), told apart by 64-bit hashes, that labelled toxic texts hold clearly more often
 than others, once or twice; all of them. Score: a logistic curve over how much of the lexicon a text holds, absolutely
 and by its number of words. Lexicon and curve are fitted on labelled rows, at most `MAX_LABELS` labels and
 as many different texts (those with the smallest hashes); a larger set is sampled by that bound, which is
@@ -47,7 +47,6 @@ MAX_LABELS = 50_000
 SURE, CLEAR = 2.0, 1.5
 #: Lengths of pieces of words, in which a word's beginning and its end count as one letter each.
 SIZES = (5, 6, 7)
-TWICE = "2"
 OTHER, EDGE, CLASSES = 26, 27, 28
 #: Letters that digits and symbols stand for in disguised spelling.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
@@ -76,9 +75,11 @@ NO_LETTER = re.compile(r"[\W\d_]")
 LONGEST = 64
 #: Kinds of characters, by code point; all further ones are as the last.
 GAP_KIND, MARK_KIND, LETTER_KIND, WORD_KIND, SIGN_KIND = 1, 2, 4, 8, 16
-KINDS = np.array([GAP_KIND * (c in BETWEEN) + MARK_KIND * bool(re.match(MARK, c)) + LETTER_KIND * bool(re.match(LETTER, c))
-                  + WORD_KIND * bool(re.match(r"[^\W_]", c)) + SIGN_KIND * (c in "@$")
-                  for c in map(chr, range(0x3000))] + [LETTER_KIND + WORD_KIND], np.uint8)
+KINDS = np.array([GAP_KIND * (c in BETWEEN) + MARK_KIND * (c in "0123456789@$!|+€£*#(") + SIGN_KIND * (c in "@$")
+                  + WORD_KIND * c.isalnum() + LETTER_KIND * (c.isalnum() and not c.isdecimal())
+                  for c in map(chr, range(0x20000))] + [LETTER_KIND + WORD_KIND], np.uint8)
+#: Base of the hashes of pieces, an odd number: the fraction of the golden ratio.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_class(c: str) -> int:
@@ -285,59 +286,101 @@ def may_hold(text: str) -> May:
     return May(apart, marked, repeated)
 
 
-def grams(word: str) -> set[str]:
-    """The pieces of a word, whose ends are marked, at any place; a shorter word is one."""
-    whole = f"<{word}>"
-    return {whole[at:at + n] for n in SIZES for at in range(len(whole) - n + 1)} or {whole}
-
-
-class Kept(dict):
-    """Values of words, worked out when asked for; those of short words are kept for a while."""
-
-    def __init__(self, value: Callable[[str], object], most: int) -> None:
-        super().__init__()
-        self.value, self.most = value, most
-
-    def __missing__(self, word: str) -> object:
-        value = self.value(word)
-        if len(word) <= LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = value
-        return value
+class Pieces(NamedTuple):
+    """The pieces of the words of several texts."""
+    hashes: np.ndarray
+    #: of each piece: its word and its text
+    word: np.ndarray
+    text: np.ndarray
+    #: of each word: its text; of each text: how many words it has
+    word_text: np.ndarray
+    words: np.ndarray
+
+
+def pieces_of(texts: list[str]) -> Pieces:
+    """All pieces of all words, at any place. What is between words counts as one letter at both ends of a
+    word; a word too short for the smallest size is one piece."""
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    raw = ("".join(t + "\n" for t in texts)).encode("utf-32-le", errors="surrogatepass")
+    points = np.frombuffer(raw, np.uint32)
+    letter = (KINDS[np.minimum(points, len(KINDS) - 1)] & LETTER_KIND) > 0
+    codes = np.concatenate([[0], np.where(letter, points, 0)]).astype(np.uint64)
+    of_text = np.concatenate([[0], np.repeat(np.arange(len(texts)), lengths)])
+    # what is between words is one 0, and there is one before the first and after the last
+    kept = np.concatenate([[True], (codes[1:] > 0) | (codes[:-1] > 0)])
+    codes, of_text = codes[kept], of_text[kept]
+    edge = codes == 0
+    starts = ~edge & np.concatenate([[True], edge[:-1]])
+    word, edges = np.cumsum(starts) - 1, np.cumsum(edge)
+    word_text = of_text[starts]
+    hashes, words, value = [], [], codes
+    for size in range(2, max(SIZES) + 1):
+        if len(codes) < size:
+            break
+        value = value[:-1] * BASE + codes[size - 1:]
+        # no edge inside, be it first or last
+        valid = edges[size - 2:len(edges) - 1] - edges[:len(edges) - size + 1] == 0
+        if size < min(SIZES):
+            valid &= edge[:len(edges) - size + 1] & edge[size - 1:]
+            valid &= size > 2
+        at = np.flatnonzero(valid)
+        hashes.append(value[at] + np.uint64(size))
+        words.append(word[at + 1])
+    found = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    of_word = np.concatenate(words) if words else np.zeros(0, np.int64)
+    return Pieces(found.view(np.int64), of_word, word_text[of_word], word_text,
+                  np.bincount(word_text, minlength=len(texts)))
+
+
+def piece_hash(piece: str) -> int:
+    """The hash of a piece; `<` and `>` are the ends of a word."""
+    value = 0
+    for c in piece:
+        value = value * int(BASE) + (0 if c in "<>" else ord(c))
+    value = (value + len(piece)) % 2**64
+    return value - 2**64 if value >= 2**63 else value
 
 
 @dataclass
 class Model:
     letters: np.ndarray
-    #: weight of pieces of words, and of `TWICE` and pieces that a text holds twice or more
-    lexicon: dict[str, float]
+    #: hashes of pieces, ascending; their weights in texts that hold them, and if twice or more
+    entries: np.ndarray
+    once: np.ndarray
+    twice: np.ndarray
     curve: list[float]
 
-    def pieces(self) -> Kept:
-        """Which entries a word holds."""
-        entries = {e.removeprefix(TWICE) for e in self.lexicon}
-        return Kept(lambda word: tuple(sorted(grams(word) & entries)), 300_000)
+    def __post_init__(self) -> None:
+        #: whether an entry's hash may begin with these 20 bits
+        self.beginnings = np.zeros(1 << 20, bool)
+        self.beginnings[self.entries.view(np.uint64) >> np.uint64(44)] = True
 
-    def features(self, words: list[str], pieces: Kept) -> list[float]:
-        """The intercept, the lexicon's weight in the text, that weight by words, and the words.
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Of restored texts: one, the lexicon's weight in it, that weight by words, and the words.
 
         A word weighs as much as the weightiest entry that it holds.
         """
-        get = self.lexicon.get
-        counts = Counter([w for w in words if pieces[w]])
-        often: Counter = Counter()
-        for w, n in counts.items():
-            for e in pieces[w]:
-                often[e] += n
-        total = math.fsum(n * max(max(get(e, 0.0), get(TWICE + e, 0.0) if often[e] > 1 else 0.0) for e in pieces[w])
-                          for w, n in counts.items())
-        size = max(len(words), 1)
-        return [1.0, math.log1p(total), math.log1p(100 * total / size), math.log1p(size)]
-
-    def score(self, words: list[str], pieces: Kept) -> float:
-        z = sum(a * b for a, b in zip(self.curve, self.features(words, pieces), strict=True))
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+        pieces = pieces_of(texts)
+        size = np.maximum(pieces.words, 1)
+        total = np.zeros(len(texts))
+        at = np.flatnonzero(self.beginnings[pieces.hashes.view(np.uint64) >> np.uint64(44)])
+        if len(at) and len(self.entries):
+            place = np.minimum(np.searchsorted(self.entries, pieces.hashes[at]), len(self.entries) - 1)
+            there = self.entries[place] == pieces.hashes[at]
+            at, place = at[there], place[there]
+            _, pair, often = np.unique(pieces.text[at] * len(self.entries) + place, return_inverse=True,
+                                       return_counts=True)
+            weight = np.where(often[pair] > 1, np.maximum(self.once, self.twice)[place], self.once[place])
+            words, word = np.unique(pieces.word[at], return_inverse=True)
+            best = np.zeros(len(words))
+            np.maximum.at(best, word, weight)
+            total = np.bincount(pieces.word_text[words], best, len(texts))
+        return np.column_stack([np.ones(len(texts)), np.log1p(total), np.log1p(100 * total / size), np.log1p(size)])
+
+    def score(self, texts: list[str]) -> list[float]:
+        # column by column, as a matrix product rounds by the number of rows
+        z = sum(weight * column for weight, column in zip(self.curve, self.features(texts).T, strict=True))
+        return (1 / (1 + np.exp(-np.clip(z, -35, 35)))).tolist()
 
 
 def log_odds_bound(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
@@ -388,9 +431,9 @@ def count_letters(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, letters: np.ndarray, doc_id: str, text: str, label: str,
+def labelled_texts(docs: DataFrame, labels: DataFrame, letters: np.ndarray, doc_id: str, text: str, label: str,
                    max_rows: int) -> DataFrame:
-    """toxic and words (joined by spaces) of labelled texts.
+    """toxic and the restored text of labelled texts.
 
     Rows with equal text and label are one; of the different ones those with the smallest hash of the
     text are taken, at most `max_rows`.
@@ -408,65 +451,72 @@ def labelled_words(docs: DataFrame, labels: DataFrame, letters: np.ndarray, doc_
 
     def start():
         restorer = Restorer(shared.value)
-        return lambda cells: [[" ".join(restorer.words(t)) for t in cells]]
+        return lambda cells: [[restorer.restored(t) for t in cells]]
 
-    return with_arrow(once, ["_text"], [T.StructField("words", T.StringType())], start).drop("_text")
+    return with_arrow(once, ["_text"], [T.StructField("restored", T.StringType())], start).drop("_text")
 
 
-def count_grams(known: DataFrame) -> DataFrame:
-    """entry, clean and toxic: in how many texts of either label each piece stands."""
+def count_pieces(known: DataFrame) -> DataFrame:
+    """entry, often, clean and toxic: in how many texts of either label each piece stands, and (`often`)
+    stands twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Kept(grams, 30_000)
-        sums: tuple[Counter, Counter] = Counter(), Counter()
+        # by (label, often): the pieces of one text after the other
+        held: dict[tuple[int, bool], list[np.ndarray]] = {(y, o): [] for y in (0, 1) for o in (False, True)}
+        waiting = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for toxic, counter in enumerate(sums):
-                zeros = pa.array(np.zeros(len(counter), np.int64))
-                counts = pa.array(counter.values(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()),
-                                                  zeros if toxic else counts, counts if toxic else zeros],
-                                                 ["entry", "clean", "toxic"])
-                counter.clear()
+            for (toxic, often), lists in held.items():
+                entries, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_counts=True)
+                zeros, counts = np.zeros(len(entries), np.int64), counts.astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(entries), pa.array(np.full(len(entries), often)), pa.array(zeros if toxic else counts),
+                     pa.array(counts if toxic else zeros)], ["entry", "often", "clean", "toxic"])
+                lists.clear()
 
         for batch in batches:
-            for words, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held: Counter = Counter()
-                for word, n in Counter(words.split(" ") if words else ()).items():
-                    held.update(pieces[word])
-                    if n > 1:
-                        held.update(pieces[word])
-                sums[toxic].update(held.keys())
-                sums[toxic].update(TWICE + piece for piece, n in held.items() if n > 1)
-                if len(sums[0]) + len(sums[1]) > 1_000_000:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                entries, counts = np.unique(pieces_of([text]).hashes, return_counts=True)
+                held[toxic, False].append(entries)
+                held[toxic, True].append(entries[counts > 1])
+                waiting += len(entries)
+                if waiting > 3_000_000:
                     yield from out()
+                    waiting = 0
         yield from out()
 
-    return (known.select("words", "toxic").mapInArrow(count, "entry string, clean long, toxic long")
-            .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    return (known.select("restored", "toxic").mapInArrow(count, "entry long, often boolean, clean long, toxic long")
+            .groupBy("entry", "often").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+
+
+def lexicon(letters: np.ndarray, weights: dict[tuple[int, bool], float]) -> Model:
+    """A model of these weights of (hash, often), without a curve."""
+    entries = np.array(sorted({e for e, _ in weights}), np.int64)
+    once, twice = (np.array([weights.get((e, often), 0.0) for e in entries.tolist()]) for often in (False, True))
+    return Model(letters, entries, once, twice, [0.0] * 4)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", max_labels: int = MAX_LABELS) -> Model:
     """Letter counts of all `docs`; lexicon and curve from the rows of `labels`."""
     letters = count_letters(docs, text)
-    known = saved(labelled_words(docs, labels, letters, doc_id, text, label, max_labels))
+    known = saved(labelled_texts(docs, labels, letters, doc_id, text, label, max_labels))
     totals = known.agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).first()
     n_clean, n_toxic = totals["clean"] or 0, totals["toxic"] or 0
     if not n_clean or not n_toxic:
-        return Model(letters, {}, [35.0 if n_toxic else -35.0, 0.0, 0.0, 0.0])
+        none = lexicon(letters, {})
+        none.curve = [35.0 if n_toxic else -35.0, 0.0, 0.0, 0.0]
+        return none
     bound = log_odds_bound(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
-    rows = count_grams(known).withColumn("weight", bound).where(F.col("weight") > CLEAR).select("entry", "weight")
-    lexicon = {r["entry"]: r["weight"] for r in rows.collect()}
-    model = Model(letters, lexicon, [0.0] * 4)
+    rows = count_pieces(known).withColumn("weight", bound).where(F.col("weight") > CLEAR).collect()
+    model = lexicon(letters, {(r["entry"], r["often"]): r["weight"] for r in rows})
     held_by = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        pieces = held_by.value.pieces()
-        return lambda texts: [[held_by.value.features(t.split(" ") if t else [], pieces) for t in texts]]
+        return lambda texts: [held_by.value.features(texts).tolist()]
 
     field = T.StructField("features", T.ArrayType(T.DoubleType()))
-    rows = with_arrow(known, ["words"], [field], start).select("features", "toxic").collect()
+    rows = with_arrow(known, ["restored"], [field], start).select("features", "toxic").collect()
     rows.sort()
     model.curve = fit_curve(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
     return model
@@ -477,8 +527,8 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        restorer, pieces = Restorer(shared.value.letters), shared.value.pieces()
-        return lambda texts: [[shared.value.score(restorer.words(t), pieces) for t in texts]]
+        restorer = Restorer(shared.value.letters)
+        return lambda texts: [shared.value.score([restorer.restored(t) for t in texts])]
 
     return with_arrow(df, [text], [T.StructField(name, T.DoubleType())], start)
 

@@ -79,8 +79,8 @@ def test_nulls_long_repeated_empty(spark):
     assert all(0 <= x <= 1 for x in got) and got[0] == got[1] == got[8] and got[6] == got[7]
     assert t.score(documents(spark, []), model).count() == 0
     none = t.fit(docs, labels.limit(0))
-    assert {r.score for r in t.score(docs, none).collect()} == {none.score(["a"], none.pieces())}
-    assert t.fit(documents(spark, []), labels).lexicon == {}
+    assert {r.score for r in t.score(docs, none).collect()} == set(none.score(["a"]))
+    assert len(t.fit(documents(spark, []), labels).entries) == 0
 
 
 def every_path(letters, run):
@@ -113,15 +113,29 @@ def test_quick_look_misses_no_pattern(restorer):
         assert may.repeated or not t.LONG_RUN.search(text), text
 
 
-def test_pieces_count_at_any_place_of_a_word():
-    assert t.grams("super") == {"<supe", "super", "uper>", "<super", "super>", "<super>"}
-    assert t.grams("a") == {"<a>"} and t.grams("idiot") < t.grams("idiot") | t.grams("superidiots")
-    model = t.Model(np.zeros(28**3, np.int64), {"idiot": 2.0, "<ass>": 1.0, "2moron": 3.0}, [0.0, 1.0, 0.0, 0.0])
-    p = model.pieces()
-    assert p["superidiots"] == ("idiot",) and p["glass"] == () and p["ass"] == ("<ass>",) and p["moronic"] == ("moron",)
-    total = lambda *words: model.features(list(words), p)[1]
-    assert total("superidiot") == total("idiot") == pytest.approx(np.log1p(2)) and total("moron") == 0
-    assert total("moron", "moronic") == pytest.approx(np.log1p(6))
+def plain_pieces(word):
+    whole = f"<{word}>"
+    return [whole[at:at + n] for n in t.SIZES for at in range(len(whole) - n + 1)] or [whole]
+
+
+def test_pieces_stand_at_any_place_of_a_word():
+    texts = ["super a, idiot-ß x2y", "", "?!", "Ab cde fghi", "one", "日本 ñandú 😀"]
+    got = t.pieces_of(texts)
+    words = [[w for w in t.WORD.findall(text)] for text in texts]
+    assert got.words.tolist() == [len(w) for w in words]
+    expected = sorted((k, t.piece_hash(g)) for k, ws in enumerate(words) for w in ws for g in plain_pieces(w))
+    assert sorted(zip(got.text.tolist(), got.hashes.tolist())) == expected
+    assert {"<supe", "super", "uper>", "<super", "super>", "<super>"} == set(plain_pieces("super"))
+    assert len(t.pieces_of([]).hashes) == 0
+
+
+def test_words_weigh_as_their_weightiest_piece():
+    model = t.lexicon(np.zeros(28**3, np.int64), {(t.piece_hash("idiot"), False): 2.0, (t.piece_hash("idio"), False): 9.0,
+                                                  (t.piece_hash("<ass>"), False): 1.0, (t.piece_hash("moron"), True): 3.0})
+    total = lambda text: np.expm1(model.features(["other", text, ""])[1, 1])
+    assert total("superidiot") == pytest.approx(2) and total("idiot glass ass") == pytest.approx(3)
+    assert total("moron") == 0 and total("moron moronic") == pytest.approx(6) and total("") == 0
+    assert model.features(["a b"])[0].tolist() == [1, 0, 0, np.log1p(2)]
 
 
 def test_insults_inside_words_are_learnt(spark):
@@ -135,13 +149,13 @@ def test_insults_inside_words_are_learnt(spark):
     docs = documents(spark, texts)
     model = t.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int").where("doc_id % 2 = 0"))
     got = {row.doc_id: row.score >= 0.5 for row in t.score(docs, model).collect()}
-    assert "idiot" in model.lexicon and all(got[i] == bool(y) for i, y in marks if i % 2)
+    assert t.piece_hash("idiot") in model.entries and all(got[i] == bool(y) for i, y in marks if i % 2)
 
 
 def test_a_labelled_row_counts_once(spark):
     docs, labels, _ = corpus(spark, 120)
     model = t.fit(docs, labels)
     again = t.fit(docs.unionByName(docs.where("doc_id <= 8")).unionByName(docs.where("doc_id <= 8")), labels.union(labels))
-    assert again.lexicon == model.lexicon and again.curve == pytest.approx(model.curve)
-    few = t.labelled_words(docs, labels, model.letters, "doc_id", "text", "toxic", 30)
-    assert few.count() == 30 and few.columns == ["toxic", "words"]
+    assert (again.entries == model.entries).all() and (again.once == model.once).all() and again.curve == pytest.approx(model.curve)
+    few = t.labelled_texts(docs, labels, model.letters, "doc_id", "text", "toxic", 30)
+    assert few.count() == 30 and few.columns == ["toxic", "restored"]
