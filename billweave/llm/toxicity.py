@@ -78,6 +78,8 @@ GAP_KIND, MARK_KIND, LETTER_KIND, WORD_KIND, SIGN_KIND = 1, 2, 4, 8, 16
 KINDS = np.array([GAP_KIND * (c in BETWEEN) + MARK_KIND * (c in "0123456789@$!|+€£*#(") + SIGN_KIND * (c in "@$")
                   + WORD_KIND * c.isalnum() + LETTER_KIND * (c.isalnum() and not c.isdecimal())
                   for c in map(chr, range(0x20000))] + [LETTER_KIND + WORD_KIND], np.uint8)
+#: Bytes of text whose pieces are looked at at once.
+SCORED_BYTES = 300_000
 #: Base of the hashes of pieces, an odd number: the fraction of the golden ratio.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -516,7 +518,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return lambda texts: [held_by.value.features(texts).tolist()]
 
     field = T.StructField("features", T.ArrayType(T.DoubleType()))
-    rows = with_arrow(known, ["restored"], [field], start).select("features", "toxic").collect()
+    rows = with_arrow(known, ["restored"], [field], start, SCORED_BYTES).select("features", "toxic").collect()
     rows.sort()
     model.curve = fit_curve(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
     return model
@@ -530,7 +532,7 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
         restorer = Restorer(shared.value.letters)
         return lambda texts: [shared.value.score([restorer.restored(t) for t in texts])]
 
-    return with_arrow(df, [text], [T.StructField(name, T.DoubleType())], start)
+    return with_arrow(df, [text], [T.StructField(name, T.DoubleType())], start, SCORED_BYTES)
 
 
 def without_toxic(df: DataFrame, model: Model, text: str = "text", at: float = 0.5) -> DataFrame:
