@@ -447,8 +447,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, letters: np.ndarray, doc_
              .where("_text IS NOT NULL").withColumn("_digest", F.md5(F.col("_text").cast("binary")))
              .join(F.broadcast(marked), "_doc"))
     key = ["_digest", "toxic"]
-    chosen = texts.select(*key).distinct().orderBy(*key).limit(max_rows)
-    once = texts.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select("toxic", "_text")
+    # of equal texts that with the smallest id; only rows that are equal in all must meet in a shuffle
+    rows = texts.groupBy(*key, "_doc").agg(F.count("*").alias("_rows"))
+    chosen = (rows.groupBy(*key).agg(F.min(F.struct("_doc", "_rows")).alias("_first"))
+              .select(*key, "_first.*").orderBy(*key).limit(max_rows))
+    picked = texts.join(F.broadcast(chosen), [*key, "_doc"])
+    once = (picked.where("_rows = 1").unionByName(picked.where("_rows > 1").dropDuplicates(key))
+            .select("toxic", "_text"))
     shared = docs.sparkSession.sparkContext.broadcast(letters)
 
     def start():
@@ -482,7 +487,7 @@ def count_pieces(known: DataFrame) -> DataFrame:
                 held[toxic, False].append(entries)
                 held[toxic, True].append(entries[counts > 1])
                 waiting += len(entries)
-                if waiting > 3_000_000:
+                if waiting > 500_000:
                     yield from out()
                     waiting = 0
         yield from out()
