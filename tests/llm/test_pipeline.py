@@ -29,7 +29,7 @@ def test_same_as_sql(spark, name):
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(entry.oracle_sql()) <= set(names)
 
 
