@@ -3,22 +3,25 @@
 Two documents link if the Jaccard similarity of their shingle sets reaches `PERCENT` / 100; linked
 ones, directly or over others, form a group.
 
-Method: signature trees. A tree holds documents in its leaves; every node has the OR of its
-documents' token bitmaps, the most tokens that one bit stands for, and the range of set sizes. Two
-trees (or one and itself) are traversed together; a pair of nodes is left as soon as the largest
-overlap that bitmaps and sizes allow is below what the threshold asks for, or if all their documents
-already are in one group. Pairs of leaves that remain are compared exactly.
+Method: signature trees. Every set has a bitmap of its tokens whose width follows the set's size
+(two bits and more for each token, `MOST_BITS` at most). A tree holds sets of one width in its leaves;
+every node has the OR of their bitmaps, the most tokens that are not the first of their bit, and the
+range of set sizes. Two trees (or one and itself) are traversed together; a pair of nodes is left as
+soon as the largest overlap that bitmaps and sizes allow is below what the threshold asks for. Sets of
+the next width are folded to the narrower one, as sizes that may link are at most one width apart.
 
 How it is spread:
-1. Documents with equal sets are one. Each set has `SLOTS` minima under as many hash functions.
-2. Sets that share one of the first `KEYS` minima meet. A pair goes on if its sizes allow a link and
-   at least `ALIKE` of all minima agree, and only from the first of the keys that it shares, so that
-   a pair is compared once. A pair at the threshold misses all keys with probability 0.25 ** KEYS,
-   below 1e-14, and falls below ALIKE, or is taken for one that met before, with about 1e-8.
-3. The sets of a key that have such a partner go to one task with their whole texts; a signature tree
-   finds the links among them exactly. More than `BLOCK` sets of a key, or more than `BLOCK_SHINGLES`
-   in all, are dealt into blocks, and each pair of blocks is a task of its own, so a group of any size
-   is split and nothing is dropped. Only links that span the groups leave a task.
+1. Documents with equal sets are one. Each set has `BANDS` keys, each made of `ROWS` minima under hash
+   functions of their own, and its bitmap.
+2. Sets that share a key meet in a task, which builds signature trees of them and traverses these. No
+   pair whose bitmaps allow a link is left out; pairs count at the first of the keys that they share
+   only. A pair at the threshold shares no key with probability (1 - 0.75 ** ROWS) ** BANDS, which is
+   5e-10, and is taken for one that met before with less than 1e-8.
+3. The sets of a key that have such a partner go to one task with their whole texts; signature trees
+   and then the sets themselves give the links among them exactly. More than `BLOCK` sets of a key, or
+   more than `BLOCK_SHINGLES` in all, are dealt into blocks, and each pair of blocks is a task of its
+   own, so a group of any size is split and nothing is dropped. Only links that span the groups leave
+   a task, and leaves that are in one group already are not compared.
 4. The components of those links are the groups.
 Pairs within a group are never written out.
 
@@ -44,13 +47,15 @@ from billweave.llm.components import components
 from billweave.llm.rows import fresh, saved, slices
 
 SHINGLE, PERCENT = 5, 75
-SLOTS, KEYS, ALIKE = 128, 24, 66
+BANDS, ROWS = 26, 2
 #: Sets and shingles in a block of a key, rows of keys in a task, sets in a leaf, nodes under a node.
 BLOCK, BLOCK_SHINGLES, KEY_ROWS, LEAF, FAN = 2048, 1_000_000, 8_000, 32, 8
 #: Members of a key's group that meet in one task.
 CHUNK = 2048
+#: Widest bitmap; tokens of two leaves up to which all their overlaps are one product.
+MOST_BITS, DENSE = 1 << 15, 1 << 18
 SEED = 7_919
-SETS = "id {id}, rid long, n long, name binary, keys array<long>, sketch binary"
+SETS = "id {id}, rid long, n long, name binary, keys array<long>, marks binary, map binary"
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -74,7 +79,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def multipliers() -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    return rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minima(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -85,28 +90,44 @@ def minima(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch_of(least: np.ndarray) -> bytes:
-    """Four bytes of each key and one of each other minimum."""
-    return ((least[:KEYS] >> np.uint64(24)).astype("<u4").tobytes()
-            + (least[KEYS:] >> np.uint64(56)).astype(np.uint8).tobytes())
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One number for the minima of each band."""
+    key = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ (key >> np.uint64(31)) ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(29))
+
+
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of the maps of sets of these sizes: a power of two, at least two for each token."""
+    return np.minimum(MOST_BITS, 1 << np.maximum(6, np.ceil(np.log2(2 * n))).astype(np.int64))
+
+
+def bitmap(found: np.ndarray) -> bytes:
+    bits = np.zeros(int(widths(np.array(len(found)))), np.uint8)
+    bits[(found >> np.uint64(8)).astype(np.int64) & (len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def describe(batches: Iterator[pa.RecordBatch], size: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     factors = multipliers()
     for batch in batches:
         for part in slices(batch):
-            n, names, keys, sketches = [], [], [], []
+            n, names, keys, marks, maps = [], [], [], [], []
             for text in part.column("text").to_pylist():
                 found = shingles(text, size)
+                some = len(found) > 0
+                key = band_keys(minima(found, factors)) if some else None
                 n.append(len(found))
-                names.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                least = minima(found, factors) if len(found) else None
-                keys.append(least[:KEYS].view(np.int64) if len(found) else None)
-                sketches.append(sketch_of(least) if len(found) else None)
+                names.append(xxhash.xxh3_128_digest(found.tobytes()) if some else None)
+                keys.append(key.view(np.int64) if some else None)
+                marks.append((key >> np.uint64(32)).astype("<u4").tobytes() if some else None)
+                maps.append(bitmap(found) if some else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id").cast(id_type), part.column("rid"), pa.array(n, pa.int64()),
                  pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(sketches, pa.binary())], ["id", "rid", "n", "name", "keys", "sketch"])
+                 pa.array(marks, pa.binary()), pa.array(maps, pa.binary())],
+                ["id", "rid", "n", "name", "keys", "marks", "map"])
 
 
 class Groups:
@@ -128,56 +149,72 @@ class Groups:
         return a != b
 
 
-def may_link(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can reach the threshold at all."""
-    return 100 * np.minimum(small, large) >= PERCENT * np.maximum(small, large)
+class Bitmaps:
+    """The bitmaps of some sets, each in its own width and, for the narrower neighbour, folded."""
+
+    def __init__(self, n: np.ndarray, maps: list[bytes], likeness: np.ndarray) -> None:
+        #: sets with equal or close numbers of `likeness` become neighbours in trees
+        self.n, self.likeness, self.width = n, likeness, widths(n)
+        #: width -> (row of each set or -1, maps, tokens beyond the first of each bit)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in np.unique(self.width).tolist():
+            own, wider = np.flatnonzero(self.width == width), np.flatnonzero(self.width == 2 * width)
+            wide = self._read(maps, wider, 2 * width)
+            half = wide.shape[1] // 2
+            words = np.concatenate([self._read(maps, own, width), wide[:, :half] | wide[:, half:]])
+            row = np.full(len(n), -1)
+            row[own], row[wider] = np.arange(len(own)), len(own) + np.arange(len(wider))
+            spare = n[np.concatenate([own, wider])] - np.bitwise_count(words).sum(1, dtype=np.int64)
+            self.held[width] = row, words, spare
 
-
-def alike(table: pa.Table) -> pa.Table:
-    """Of some keys' groups: the sets that have a partner to be compared with there."""
-    table = table.sort_by("key")
-    key, rid, n, slot, side = (table.column(c).to_numpy() for c in ("key", "rid", "n", "pos", "side"))
-    name = table.column("name").to_numpy()
-    raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
-    keys = raw[:, :4 * KEYS].copy().view("<u4")
-    rest = raw[:, 4 * KEYS:]
-    cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-    found = np.zeros(len(key), bool)
-    for start, end in zip(cuts, cuts[1:]):
-        mine = slice(start, end)
-        for at in range(start, end, 128):
-            rows = slice(at, min(at + 128, end))
-            close = may_link(n[rows, None], n[None, mine])
-            close &= np.arange(rows.start, rows.stop)[:, None] < np.arange(start, end)[None]
-            # of two chunks only pairs across count
-            close &= (side[rows, None] == 0) | (side[rows, None] != side[None, mine])
-            for earlier in range(slot[start]):
-                close &= keys[rows, None, earlier] != keys[None, mine, earlier]
-            left, right = np.nonzero(close)
-            for k in range(0, len(left), 50_000):
-                x, y = left[k:k + 50_000] + rows.start, right[k:k + 50_000] + start
-                same = (rest[x] == rest[y]).sum(1) + (keys[x] == keys[y]).sum(1) >= ALIKE
-                found[x[same]] = found[y[same]] = True
-    return pa.table([name[found], rid[found]], ["key", "rid"])
+    @staticmethod
+    def _read(maps: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
+        raw = b"".join(maps[r] for r in rows.tolist())
+        return np.frombuffer(raw, "<u8").reshape(len(rows), width // 64)
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of these pairs of sets can reach the threshold, by sizes and bitmaps."""
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        keep = 100 * small >= PERCENT * large
+        narrow = np.minimum(self.width[i], self.width[j])
+        for width in np.unique(narrow[keep]).tolist():
+            row, words, spare = self.held[width]
+            here = np.flatnonzero(keep & (narrow == width))
+            step = 1 + (1 << 22) // width
+            for at in range(0, len(here), step):
+                part = here[at:at + step]
+                x, y = row[i[part]], row[j[part]]
+                overlap = most_shared(words[x] & words[y], spare[x], spare[y], small[part])
+                keep[part] = enough(overlap, small[part] + large[part])
+        return keep
+
+    def tree(self, width: int, members: np.ndarray, own: bool) -> SignatureTree | None:
+        """Of those members that have this width or, folded, of those with the next."""
+        members = members[self.width[members] == (width if own else 2 * width)]
+        return SignatureTree(self, width, members) if len(members) else None
+
+
+def most_shared(both: np.ndarray, spare: np.ndarray, spare2: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The largest overlap that two maps allow: their shared bits, and what stands beside the first of a bit."""
+    return np.minimum(np.bitwise_count(both).sum(1, dtype=np.int64) + np.minimum(spare, spare2), least)
+
+
+def enough(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    # overlap / union reaches p: overlap * (100 + p) >= p * (both sizes)
+    return (100 + PERCENT) * overlap >= PERCENT * sizes
 
 
 class SignatureTree:
-    """Sets in leaves; by level, the nodes' bitmaps, most tokens of a bit, and size ranges."""
-
-    def __init__(self, sets: list[np.ndarray], members: np.ndarray, bits: int) -> None:
-        sizes = np.array([len(sets[m]) for m in members])
-        first = np.array([sets[m][0] for m in members])
-        # sets of about one size, and among those with the same least token, are neighbours
-        order = np.lexsort((first, np.floor(np.log(sizes) / np.log(1.15))))
-        self.members, sizes = members[order], sizes[order]
-        maps = np.zeros((len(members), bits // 64), np.uint64)
-        most = np.zeros(len(members), np.int64)
-        for row, m in enumerate(self.members.tolist()):
-            bit = (sets[m] >> np.uint64(8)).astype(np.int64) & (bits - 1)
-            np.bitwise_or.at(maps[row], bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
-            most[row] = np.bincount(bit).max()
-        #: levels[0]: leaves; of each level: bitmaps, most, least size, largest size
-        self.levels = [self._above((maps, most, sizes, sizes), LEAF)]
+    """Sets of one width in leaves; by level, the nodes' bitmaps, most spare tokens, and size ranges."""
+
+    def __init__(self, maps: Bitmaps, width: int, members: np.ndarray) -> None:
+        # sets of about one size, and among those alike ones, are neighbours
+        order = np.lexsort((maps.likeness[members], np.floor(np.log(maps.n[members]) / np.log(1.15))))
+        self.members = members[order]
+        row, words, spare = maps.held[width]
+        at, sizes = row[self.members], maps.n[self.members]
+        #: levels[0]: leaves; of each level: bitmaps, most spare tokens, least size, largest size
+        self.levels = [self._above((words[at], spare[at], sizes, sizes), LEAF)]
         while len(self.levels[-1][0]) > 1:
             self.levels.append(self._above(self.levels[-1], FAN))
 
@@ -191,72 +228,144 @@ class SignatureTree:
     def leaf(self, n: int) -> np.ndarray:
         return self.members[n * LEAF:(n + 1) * LEAF]
 
+    def children(self, nodes: np.ndarray, level: int) -> list[range]:
+        if level >= len(self.levels):
+            return [range(n, n + 1) for n in nodes.tolist()]
+        below = len(self.levels[level - 1][0])
+        return [range(n * FAN, min((n + 1) * FAN, below)) for n in nodes.tolist()]
+
 
 def can_overlap(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of nodes can hold a link, by the largest overlap that they allow."""
     (maps, most, small, large), (maps2, most2, small2, large2) = a, b
-    keep = np.ones(len(i), bool)
-    for at in range(0, len(i), 4096):
-        x, y = i[at:at + 4096], j[at:at + 4096]
-        shared = np.bitwise_count(maps[x] & maps2[y]).sum(1, dtype=np.int64)
-        most_shared = np.minimum(shared * np.minimum(most[x], most2[y]), np.minimum(large[x], large2[y]))
-        # overlap / union reaches p: overlap * (100 + p) >= p * (both sizes)
-        keep[at:at + 4096] = ((100 + PERCENT) * most_shared >= PERCENT * (small[x] + small2[y]))
     # sizes alone: the ranges must come close enough
-    keep &= 100 * large[i] >= PERCENT * small2[j]
-    keep &= 100 * large2[j] >= PERCENT * small[i]
+    keep = (100 * large[i] >= PERCENT * small2[j]) & (100 * large2[j] >= PERCENT * small[i])
+    here = np.flatnonzero(keep)
+    step = 1 + (1 << 16) // maps.shape[1]
+    for at in range(0, len(here), step):
+        part = here[at:at + step]
+        x, y = i[part], j[part]
+        overlap = most_shared(maps[x] & maps2[y], most[x], most2[y], np.minimum(large[x], large2[y]))
+        keep[part] = enough(overlap, small[x] + small2[y])
     return keep
 
 
-def tree_links(sets: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that span the groups among these sets; between sides 1 and 2 only, where those are given."""
-    bits = 1 << max(9, int(np.ceil(np.log2(4 * max(map(len, sets))))))
-    everyone = np.arange(len(sets))
-    groups = Groups(len(sets))
-    across = bool((side == 2).any())
-    one = SignatureTree(sets, everyone[side != 2], bits)
-    two = SignatureTree(sets, everyone[side == 2], bits) if across else one
-    high = max(len(one.levels), len(two.levels)) - 1
+def traverse(one: SignatureTree, two: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of leaves that can hold a link; a leaf with itself comes first."""
     i = j = np.zeros(1, np.int64)
-    for level in range(high, -1, -1):
+    for level in range(max(len(one.levels), len(two.levels)) - 1, -1, -1):
         a, b = (t.levels[min(level, len(t.levels) - 1)] for t in (one, two))
         keep = can_overlap(a, b, i, j)
         i, j = i[keep], j[keep]
         if level:
-            i, j = children(i, one, level), children(j, two, level)
-            pairs = np.array([(x, y) for xs, ys in zip(i, j) for x in xs for y in ys
-                              if across or x <= y], np.int64).reshape(-1, 2)
+            pairs = np.array([(x, y) for xs, ys in zip(one.children(i, level), two.children(j, level))
+                              for x in xs for y in ys if one is not two or x <= y], np.int64).reshape(-1, 2)
             i, j = pairs[:, 0], pairs[:, 1]
-    order = np.argsort(i != j, kind="stable")  # leaves with themselves first
+    order = np.argsort(i != j, kind="stable")
     for x, y in zip(i[order].tolist(), j[order].tolist()):
-        left, right = one.leaf(x), two.leaf(y)
-        if len({groups.root(m) for m in (*left.tolist(), *right.tolist())}) > 1:
-            yield from leaf_links(sets, left, right, groups)
+        yield one.leaf(x), two.leaf(y)
+
 
+def leaf_pairs(maps: Bitmaps, members: np.ndarray, others: np.ndarray | None = None
+               ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves that can hold a link of two members, or of a member and one of the others."""
+    for width in maps.held:
+        own, wider = maps.tree(width, members, True), maps.tree(width, members, False)
+        if others is None:
+            walks = [(own, own), (own, wider)]
+        else:
+            own2, wider2 = maps.tree(width, others, True), maps.tree(width, others, False)
+            walks = [(own, own2), (own, wider2), (wider, own2)]
+        for one, two in walks:
+            if one and two:
+                yield from traverse(one, two)
 
-def children(nodes: np.ndarray, tree: SignatureTree, level: int) -> list[range]:
-    if level >= len(tree.levels):
-        return [range(n, n + 1) for n in nodes.tolist()]
-    below = len(tree.levels[level - 1][0])
-    return [range(n * FAN, min((n + 1) * FAN, below)) for n in nodes.tolist()]
+
+def set_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of two leaves, those of a leaf with itself once."""
+    i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+    once = i < j if left is right or np.array_equal(left, right) else np.ones(len(i), bool)
+    return i[once], j[once]
+
+
+def by_side(side: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The rows that are compared among themselves, or those of side 1 and those of side 2."""
+    if not side[rows].any():
+        return rows, None
+    return rows[side[rows] == 1], rows[side[rows] == 2]
+
+
+def with_partner(table: pa.Table) -> pa.Table:
+    """Of some keys' groups: the sets that have a partner there by bitmaps, and with no earlier key."""
+    table = table.sort_by("key")
+    key, rid, n, slot, side, name = (table.column(c).to_numpy()
+                                     for c in ("key", "rid", "n", "pos", "side", "name"))
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), "<u4").reshape(len(key), BANDS)
+    maps = Bitmaps(n, table.column("map").to_pylist(), marks[np.arange(len(key)), slot - 1])
+    found = np.zeros(len(key), bool)
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        for at in range(0, len(i), 20_000):
+            x, y = i[at:at + 20_000], j[at:at + 20_000]
+            first = (marks[x] == marks[y]).argmax(1) >= slot[x]
+            x, y = x[first], y[first]
+            linked = maps.may_link(x, y)
+            found[x[linked]] = found[y[linked]] = True
+
+    cuts = np.array([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)])
+    sizes = np.diff(cuts)
+    # groups of one leaf, those of a size at once
+    alone = (sizes <= LEAF) & (np.maximum.reduceat(side, cuts[:-1]) == 0)
+    for size in np.unique(sizes[alone]).tolist():
+        a, b = np.triu_indices(size, 1)
+        start = cuts[:-1][alone & (sizes == size)][:, None]
+        meet((start + a).ravel(), (start + b).ravel())
+    for group in np.flatnonzero(~alone).tolist():
+        members, others = by_side(side, np.arange(cuts[group], cuts[group + 1]))
+        for left, right in leaf_pairs(maps, members, others):
+            if not (found[left].all() and found[right].all()):
+                meet(*set_pairs(left, right))
+    return pa.table([name[found], rid[found]], ["key", "rid"])
+
+
+def tree_links(sets: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that span the groups among these sets; between sides 1 and 2 only, where those are given."""
+    maps = Bitmaps(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], np.array([s[0] for s in sets]))
+    groups = Groups(len(sets))
+    for left, right in leaf_pairs(maps, *by_side(side, np.arange(len(sets)))):
+        if len({groups.root(m) for m in (*left.tolist(), *right.tolist())}) > 1:
+            yield from leaf_links(sets, maps, left, right, groups)
 
 
-def leaf_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
+def leaf_links(sets: list[np.ndarray], maps: Bitmaps, left: np.ndarray, right: np.ndarray,
                groups: Groups) -> Iterator[tuple[int, int]]:
-    """Compares two leaves exactly: every token is a column, overlaps are a matrix product."""
-    both = np.union1d(left, right)
-    tokens, column = np.unique(np.concatenate([sets[m] for m in both]), return_inverse=True)
-    size = np.array([len(sets[m]) for m in both])
-    held = np.zeros((len(both), len(tokens)), np.float32)
-    held[np.repeat(np.arange(len(both)), size), column] = 1
-    # single-precision sums are exact below 2 ** 24 tokens
-    overlap = (held @ held.T).astype(np.int64)
-    linked = 100 * overlap >= PERCENT * (size[:, None] + size[None] - overlap)
-    of_left, of_right = np.isin(both, left), np.isin(both, right)
-    linked &= (of_left[:, None] & of_right[None]) | (of_right[:, None] & of_left[None])
-    for a, b in zip(*np.nonzero(np.triu(linked, 1))):
-        if groups.join(int(both[a]), int(both[b])):
-            yield int(both[a]), int(both[b])
+    """Compares two leaves exactly, and of them the pairs that their own bitmaps allow."""
+    i, j = set_pairs(left, right)
+    close = maps.may_link(i, j)
+    i, j = i[close], j[close]
+    both = np.unique(np.concatenate([i, j]))
+    if len(i) > len(both) and maps.n[both].sum() <= DENSE:
+        # every token is a column; single-precision sums are exact below 2 ** 24 tokens
+        tokens, column = np.unique(np.concatenate([sets[m] for m in both]), return_inverse=True)
+        held = np.zeros((len(both), len(tokens)), np.float32)
+        held[np.repeat(np.arange(len(both)), maps.n[both]), column] = 1
+        product = (held @ held.T).astype(np.int64)
+        shared = product[np.searchsorted(both, i), np.searchsorted(both, j)]
+        linked = enough(shared, maps.n[i] + maps.n[j])
+        i, j = i[linked], j[linked]
+        exact = True
+    else:
+        exact = False
+    for a, b in zip(i.tolist(), j.tolist()):
+        if groups.root(a) != groups.root(b) and (exact or links(sets[a], sets[b])):
+            groups.join(a, b)
+            yield a, b
+
+
+def links(one: np.ndarray, two: np.ndarray) -> bool:
+    small, large = sorted((one, two), key=len)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return bool(enough((large[at] == small).sum(), len(one) + len(two)))
 
 
 def exact_links(size: int):
@@ -313,17 +422,17 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # 1. one row for each set; its number is the least rid
     sets = saved(described.where("name IS NOT NULL").groupBy("name").agg(
         F.min("rid").alias("rid"), F.min("id").alias("id"), F.first("n").alias("n"),
-        F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+        F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("map").alias("map")))
     # 2. sets that share a key; those that are alone with a key go no further
     keyed = sets.select("rid", F.posexplode("keys")).select(
         "rid", "pos", F.xxhash64("pos", "col").alias("key"))
     shared = saved(keyed.withColumn("count", F.count("*").over(Window.partitionBy("key")))
-                   .where("count > 1").join(sets.select("rid", "n", "sketch"), "rid")
+                   .where("count > 1").join(sets.select("rid", "n", "marks", "map"), "rid")
                    .withColumn("name", F.col("key")))
     tasks = 1 + shared.count() // KEY_ROWS
     met = in_blocks(shared, "key", F.ceil(F.col("count") / CHUNK), F.pmod("key", F.lit(tasks)))
-    near = (met.select("task", "key", "name", "pos", "rid", "n", "sketch", "side").groupBy("task")
-            .applyInArrow(alike, "key long, rid long").distinct().join(sets.select("rid", "n"), "rid"))
+    near = (met.select("task", "key", "name", "pos", "rid", "n", "marks", "map", "side").groupBy("task")
+            .applyInArrow(with_partner, "key long, rid long").distinct().join(sets.select("rid", "n"), "rid"))
     near = saved(near)
     # 3. exact links between the sets of a key, from whole texts
     blocks = near.groupBy("key").agg(

@@ -126,3 +126,42 @@ def test_components(spark):
         groups.join(a, b)
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: groups.root(n) for e in edges for n in e if e[0] != e[1]}
+
+
+def test_bitmaps_allow_every_link():
+    """Sizes on both sides of a width, folded maps, and maps that are full."""
+    r = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 30, 32, 33, 40, 500, 513, 600, 17_000, 40_000):
+        base = r.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.75, 0.8, 0.9, 1.0):
+            kept = base[:max(1, int(np.ceil(n * share)))]
+            sets += [np.unique(kept), np.unique(np.concatenate([kept, r.integers(0, 2**63, n // 8, dtype=np.uint64)]))]
+    maps = j.Bitmaps(np.array([len(s) for s in sets]), [j.bitmap(s) for s in sets], np.array([s[0] for s in sets]))
+    a, b = np.triu_indices(len(sets), 1)
+    linked = np.array([j.links(sets[x], sets[y]) for x, y in zip(a.tolist(), b.tolist())])
+    allowed = maps.may_link(a, b)
+    assert linked.any() and not (linked & ~allowed).any()
+    assert allowed.sum() < 2 * linked.sum()
+    met = {(min(x, y), max(x, y)) for left, right in j.leaf_pairs(maps, np.arange(len(sets)))
+           for x in left.tolist() for y in right.tolist()}
+    assert {(x, y) for x, y in zip(a[linked].tolist(), b[linked].tolist())} <= met
+
+
+def test_bitmaps_tell_long_unlike_sets_apart():
+    r = np.random.default_rng(4)
+    for n in (40, 400, 4_000, 16_000):
+        sets = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(10)]
+        maps = j.Bitmaps(np.array([len(s) for s in sets]), [j.bitmap(s) for s in sets], np.zeros(10))
+        assert not maps.may_link(*np.triu_indices(10, 1)).any()
+
+
+def test_one_text_of_millions_of_words(spark):
+    def numbers(first, last):
+        return F.array_join(F.sequence(F.lit(first), F.lit(last)).cast("array<string>"), " ")
+
+    docs = spark.range(1, 6).select(F.col("id").alias("doc_id"), F.expr("CASE id WHEN 5 THEN 'a b c d e f' END").alias("text"))
+    for doc, first, last in ((1, 0, 5_000_000), (2, 90, 5_000_000), (3, 0, 60), (4, 2, 60)):
+        docs = docs.withColumn("text", F.when(F.col("doc_id") == doc, numbers(first, last)).otherwise(F.col("text")))
+    got = {g.id: (g.n, g.group) for g in j.similar_groups(docs).select("id", "n", "group").collect()}
+    assert got == {1: (4_999_997, 1), 2: (4_999_907, 1), 3: (57, 3), 4: (55, 3), 5: (2, 5)}
