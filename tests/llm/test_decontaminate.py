@@ -53,6 +53,28 @@ def test_like_brute_force_also_with_items_in_blocks(spark, tables, block, monkey
         assert (row.n_words, row.n, row.ids) == (n, hit, sorted(str(i) for i in ids if i is not None)), text
 
 
+def test_hashes_that_collide_and_copies_cost_no_result(spark, tables, monkeypatch):
+    docs, benchmark, texts, items = tables
+    monkeypatch.setattr(d, "SLOTS", 4)
+    monkeypatch.setattr(d, "PLACES", 8)
+    found = d.find_passages(docs.union(docs), benchmark)
+    rows = found.select("n_words", d.hit_words(F.col("hits")).alias("n"), d.hit_items(F.col("hits")).alias("ids"),
+                        "doc_id").orderBy("doc_id").collect()
+    for text, *pair in zip(texts, rows[::2], rows[1::2], strict=True):
+        n, hit, ids = brute_force(text, items)
+        for row in pair:
+            assert (row.n_words, row.n, row.ids) == (n, hit, sorted(str(i) for i in ids if i is not None)), text
+
+
+def test_tables_of_hashes_are_bounded_and_texts_stay_where_they_are(spark, tables):
+    docs, benchmark, _, _ = tables
+    items = benchmark.selectExpr("item_id AS item", "text").where(F.length("text") > 0)
+    held = d.hash_tables(items, d.WINDOW)
+    assert sum(map(len, held.values())) <= d.WINDOW * d.SLOTS + d.PLACES and set(held) <= set(range(d.WINDOW + 1))
+    plan = d.find_passages(docs, benchmark)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_dropping_and_empty_tables(spark, tables):
     docs, benchmark, texts, items = tables
     kept = d.without_contaminated(docs, benchmark)
