@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from billweave.llm.rows import LOWER, UPPER, fresh, saved, slices
+from billweave.llm.rows import LOWER, UPPER, fresh, saved, slices, with_arrow
 
 WINDOW = 13
 #: Bytes of text whose words are held at once; a longer text comes alone.
@@ -172,9 +172,8 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")),
-                      F.lit(0)).cast("long")
+def counter():
+    return lambda texts: [[len(words_of(text)) for text in texts]]
 
 
 def hits_by_text(texts: Column, df: DataFrame, items: DataFrame, window: int) -> DataFrame:
@@ -204,9 +203,10 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     key, found = fresh(df, "text_key"), fresh(df, "found_hits")
     hits = saved(hits_by_text(F.col(f"`{text}`"), df, items, window))
     hits = hits.select(F.col("key").alias(key), F.col("hits").alias(found))
-    named = df.withColumn(key, text_key(F.col(f"`{text}`"))).join(hits, key, "left")
+    named = with_arrow(df.withColumn(key, text_key(F.col(f"`{text}`"))), [text],
+                       [T.StructField("n_words", T.LongType())], counter, BLOCK_BYTES).join(hits, key, "left")
     none = F.array().cast(hits.schema[found].dataType)
-    return named.select(*kept, n_words(F.col(f"`{text}`")).alias("n_words"), F.coalesce(found, none).alias("hits"))
+    return named.select(*kept, "n_words", F.coalesce(found, none).alias("hits"))
 
 
 def hit_words(hits: Column) -> Column:
