@@ -135,18 +135,91 @@ def _header_cells(line: str) -> list[str]:
 
 
 def _files(lines: DataFrame) -> DataFrame:
-    """For each file its first line, where that is, and whether a line ends inside quotes."""
-    return lines.groupBy("source_path").agg(
-        F.min_by("line", "at").alias("header"), F.min("at").alias("first"),
-        F.max(csv_records.ends_inside(F.col("line"))).alias("broken"))
-
-
-def _headers(files: DataFrame) -> list:
-    found = (files.groupBy("header").agg(F.min("source_path").alias("path"), F.max("broken").alias("broken"))
+    """For each file its first line, where that is, whether a line ends inside quotes or none does, and
+    whether the first does."""
+    inside = F.max(csv_records.ends_inside(F.col("line")))
+    return (lines.groupBy("source_path").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("first"),
+                                             inside.alias("broken"))
+            .withColumns({"plain": ~F.col("broken"), "open": csv_records.ends_inside(F.col("header"))}))
+
+
+def _found(files: DataFrame) -> tuple[list, bool]:
+    """The files, if they are few, or else a row for each different header; and whether they are few."""
+    found = files.limit(MAX_HEADERS + 1).collect()
+    if len(found) <= MAX_HEADERS:
+        return found, True
+    found = (files.groupBy("header").agg(F.min("source_path").alias("source_path"),
+                                         *[F.max(name).alias(name) for name in ("broken", "plain", "open")])
              .limit(MAX_HEADERS + 1).collect())
     if len(found) > MAX_HEADERS:
         raise BillingFormatError(f"more than {MAX_HEADERS} different headers")
-    return found
+    return found, False
+
+
+def _of_files(lines: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """Lines with what is known of their files. What is known of few files goes to the lines, which stay where
+    they are; with many, both are shuffled by a key that nothing else uses, so that adaptive execution can
+    split a large file."""
+    if few:
+        return lines.join(F.broadcast(known), "source_path")
+    key = F.struct("source_path").alias("_file")
+    known = known.filter(F.col("source_path").isNotNull()).select(key, *[c for c in known.columns if c != "source_path"])
+    return lines.select("*", key).join(known, "_file").drop("_file")
+
+
+def _whole(lines: DataFrame, files: DataFrame, found: list, few: bool) -> DataFrame:
+    """The records of the files with line breaks inside quotes."""
+    if few and all(r.broken for r in found):
+        return csv_records.whole_records(lines)
+    if few:
+        broken = lines.sparkSession.createDataFrame([(r.source_path,) for r in found if r.broken], "source_path string")
+    else:
+        broken = files.filter("broken").select("source_path")
+    return csv_records.whole_records(_of_files(lines, broken, few).select("source_path", "at", "line"))
+
+
+def _rows(lines: DataFrame) -> tuple[DataFrame, dict[Layout, int]]:
+    """source_path, at, line and the number of the layout of all records after the headers, and the layouts."""
+    spark, columns = lines.sparkSession, ("source_path", "at", "line")
+    files = _files(lines)
+    found, few = _found(files)
+    broken, plain = (any(r[kind] for r in found) for kind in ("broken", "plain"))
+    if any(r.open for r in found):  # a header that holds line breaks itself
+        records = _whole(lines, files, found, few)
+        if plain:
+            kept = (spark.createDataFrame([(r.source_path,) for r in found if r.plain], "source_path string") if few
+                    else files.filter("plain").select("source_path"))
+            records = _of_files(lines, kept, few).select(*columns).unionByName(records)
+        lines, broken, plain = records, False, True
+        files = _files(lines)
+        found, few = _found(files)
+    layouts: dict[Layout, int] = {}
+    numbers = {}  # of the layout of each header
+    for r in found:
+        layout = detect_layout(_header_cells(r.header), r.source_path)._replace(width=0)
+        numbers[r.header] = layouts.setdefault(layout, len(layouts))
+    if few:
+        known = spark.createDataFrame([(r.source_path, bool(r.broken), r.first.split, numbers[r.header]) for r in found],
+                                      "source_path string, broken boolean, split bigint, layout int")
+    else:
+        of = spark.createDataFrame([*numbers.items()], "header string, layout int")
+        known = files.join(F.broadcast(of), "header").select("source_path", "broken", "first", "first.split", "layout")
+    rows = []
+    if plain or not broken:
+        # Lines may be numbered otherwise when they are read again, so where a file begins is looked up again.
+        of = known if not broken else known.filter(~F.col("broken"))
+        if few:
+            of = lines.groupBy("source_path").agg(F.min("at").alias("first")).join(F.broadcast(of), "source_path")
+        rows.append(_of_files(lines, of.select("source_path", "first", "layout"), few).filter(F.col("at") > F.col("first")))
+    if broken:
+        # Records are counted from 1.
+        first = F.struct("split", F.lit(1).cast("bigint").alias("number")).alias("first")
+        rows.append(_of_files(_whole(lines, files, found, few), known.filter("broken").select("source_path", first, "layout"), few)
+                    .filter(F.col("at") > F.col("first")))
+    every = rows[0].select(*columns, "layout")
+    for more in rows[1:]:
+        every = every.unionByName(more.select(*columns, "layout"))
+    return every.filter(strip(F.col("line")) != ""), layouts
 
 
 def parse_cells(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
@@ -154,35 +227,14 @@ def parse_cells(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
     source_format, source_path, at, of every row of every file.
 
     ``cell`` is the text that the cost was read from, NULL where it is the last number of the row.
-    ``at`` is (split, number); anything else orders a file that is one split. One job finds every
-    file's header and the different headers; what comes to the driver are headers, at most
-    ``MAX_HEADERS`` of them. Only headers that hold line breaks themselves take a second job of that kind.
+    ``at`` is (split, number); anything else orders a file that is one split. One job looks at every file;
+    what comes to the driver are headers, at most ``MAX_HEADERS`` of them. Only more files than that, and
+    headers that hold line breaks themselves, take a second job of that kind. No file is dealt to one task.
     """
     if not isinstance(lines.schema["at"].dataType, StructType):
         lines = lines.withColumn("at", F.struct(F.lit(0).cast("bigint").alias("split"),
                                                 F.col("at").cast("bigint").alias("number")))
-    files = _files(lines)
-    found = _headers(files)
-    if any(r.broken for r in found):
-        known = lines.join(files.select("source_path", "broken"), "source_path")
-        columns = ("source_path", "at", "line")
-        lines = (known.filter(~F.col("broken")).select(*columns)
-                 .unionByName(csv_records.whole_records(known.filter("broken").select(*columns))))
-        # Records are counted from 1.
-        files = files.withColumn("first", F.when(F.col("broken"), F.struct(
-            F.col("first.split").alias("split"), F.lit(1).cast("bigint").alias("number"))).otherwise(F.col("first")))
-        if files.filter(csv_records.ends_inside(F.col("header"))).take(1):
-            files = _files(lines)
-            found = _headers(files)
-    layouts: dict[Layout, int] = {}
-    numbers = []  # of the layout of each header
-    for r in found:
-        layout = detect_layout(_header_cells(r.header), r.path)._replace(width=0)
-        numbers.append((r.header, layouts.setdefault(layout, len(layouts))))
-    spark = lines.sparkSession
-    known = files.join(F.broadcast(spark.createDataFrame(numbers, "header string, layout int")), "header")
-    rows = (lines.join(known.select("source_path", "first", "layout"), "source_path")
-            .filter((F.col("at") > F.col("first")) & (strip(F.col("line")) != "")))
+    rows, layouts = _rows(lines)
     none = F.lit(None).cast("string")
     raw = {"service": none, "project": none, "cell": none, "source_format": none}
     rest = F.lit(None).cast("array<string>")
@@ -198,8 +250,11 @@ def parse_cells(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
     cells = rows.select(*[v.alias(k) for k, v in raw.items()], rest.alias("rest"), "source_path", "at")
     said = {name: csv_records.unquoted(F.col(name)) for name in ("service", "project", "cell")}
     cells = cells.select(*[v.alias(k) for k, v in said.items()], "rest", "source_format", "source_path", "at")
-    last = _last_number(F.transform("rest", csv_records.unquoted), decimal_mark)
-    cost = F.when(F.col("rest").isNull(), parse_money(F.col("cell"), decimal_mark)).otherwise(last)
+    # mostly the last cell is a number, and the others need not be looked at
+    last = F.coalesce(parse_money(csv_records.unquoted(F.try_element_at("rest", F.lit(-1))), decimal_mark),
+                      _last_number(F.transform("rest", csv_records.unquoted), decimal_mark))
+    cell = F.when(F.col("cell") != "", parse_money(F.col("cell"), decimal_mark))
+    cost = F.when(F.col("rest").isNull(), cell).otherwise(last)
     return _bound(cells, {"service": strip(F.col("service")),
                           "project": F.coalesce(strip(F.col("project")), F.lit("")), "cost": cost,
                           "cell": F.col("cell"), "source_format": F.col("source_format")}, "source_path", "at")

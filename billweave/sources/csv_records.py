@@ -52,7 +52,9 @@ def unquoted(raw: Column) -> Column:
     """What a written cell says."""
     said = F.replace(F.regexp_extract(raw, f'\\A"({INSIDE})', 1), F.lit('""'), F.lit('"'))
     rest = F.regexp_extract(raw, f'\\A"{INSIDE}"([^,]*+)\\z', 1)
-    return F.when(raw.startswith('"'), F.concat(said, rest)).otherwise(raw)
+    inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+    simple = raw.endswith('"') & (F.length(raw) > 1) & ~inner.contains('"')  # spared the patterns
+    return F.when(~raw.startswith('"'), raw).when(simple, inner).otherwise(F.concat(said, rest))
 
 
 def _state(start: Column, value: Column, flips: Column) -> Column:
@@ -85,7 +87,8 @@ def whole_records(lines: DataFrame) -> DataFrame:
     place = ["source_path", "split"]
     to, before = _frames(place, "number")
     inside, stays = ends_inside(F.col("line")), stays_inside(F.col("line"))
-    looked = lines.select("source_path", "at.split", "at.number", "line", inside.alias("a"), stays.alias("b"))
+    looked = (lines.select("source_path", "at.split", "at.number", "line", inside.alias("a"), stays.alias("b"))
+              .filter(F.col("source_path").isNotNull() & F.col("split").isNotNull()))
     # both answers equal: the state is fixed; (inside, outside): it flips; else it stays
     functions = looked.select(*place, "number", "line", F.when(F.col("a") == F.col("b"), F.col("a")).alias("fixed"),
                               (F.col("a") & ~F.col("b")).cast("int").alias("flip"))

@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from billweave.sources import billing_csv
 from billweave.sources import csv_records as c
 from billweave.sources.billing_csv import parse_lines, read_billing
 
@@ -97,6 +98,42 @@ def test_a_file_of_many_splits_is_read_whole(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("header, body", [("service,cost", 'a,1\n'), ("service,cost", '"a\nb",1\n'), ("Service,2026-03-01", "a,x,1,\n")])
+def test_lines_of_one_file_stay_spread(spark, header, body):
+    """No task takes all lines of a file, though Spark is not free to broadcast."""
+    text = header + "\n" + body * 4000
+    lines = split_up(text.rstrip("\n"), "f", 50, random.Random(1))
+    df = spark.createDataFrame(lines, "source_path string, at struct<split:bigint,number:bigint>, line string").repartition(8)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        tasks = [r["count"] for r in parse_lines(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert sum(tasks) == 4000 and max(tasks) < 1500
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_many_files_and_few_give_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(billing_csv, "MAX_HEADERS", most)
+    head = "service,cost,project\n"
+    texts = {"a": head + "A,1,p\nB,2,q", "b": head + '"C\nD",3,p\nE,n/d,q', "c": head + "F,4,r"}
+    def lines(more):
+        every = [x for name, text in (texts | more).items() for x in split_up(text, name, 2, random.Random(1))]
+        return spark.createDataFrame(every, "source_path string, at struct<split:bigint,number:bigint>, line string").repartition(3)
+    assert rows(parse_lines(lines({})).withColumn("cost", F.col("cost").cast("int")), "source_path", "service", "cost") == [
+        ("a", "A", 1), ("a", "B", 2), ("b", "C\nD", 3), ("c", "F", 4)]
+    # a header that holds a line break itself
+    odd = lines({"d": 'Service,"2026\n03"\nG,5'})
+    if most == 1:
+        with pytest.raises(billing_csv.BillingFormatError, match="more than 1 different"):
+            parse_lines(odd)
+    else:
+        assert rows(parse_lines(odd), "service") == [("A",), ("B",), ("C\nD",), ("F",), ("G",)]
+
+
 def test_a_mark_that_is_never_closed(spark, monkeypatch):
     monkeypatch.setattr(c, "MAX_RECORD", 1000)
     text = "service,cost\nA,1\n\"B,2\n" + "x,1\n" * 100
