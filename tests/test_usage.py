@@ -75,6 +75,25 @@ def fair(cents, weights):
     return {k: v if cents >= 0 else -v for k, v in parts.items()}
 
 
+@pytest.mark.parametrize("many", [0, 50, 100_000])
+def test_large_queries_and_small_ones_get_the_same(spark, monkeypatch, many):
+    monkeypatch.setattr(ap, "MANY", many)
+    data = {("s", q): (q * 37 - 400, {f"c{k}": k % 4 for k in range(1 + q % 9)}) for q in range(40)}
+    data["hot", None] = (777, {f"c{k:03}": k % 5 for k in range(300)})
+    df = spark.createDataFrame([(*q, c, w, cents) for q, (cents, weights) in data.items() for c, w in weights.items()],
+                               "suite string, query int, component string, bytes bigint, cents bigint")
+    got = {}
+    for row in ap.apportion(df, ["suite", "query"], ranges=3).collect():
+        got.setdefault((row.suite, row.query), {})[row.component] = row.cents
+    assert got == {q: fair(*v) for q, v in data.items()}
+
+
+def test_parts_are_shuffled_once_after_they_are_written(spark):
+    df = spark.createDataFrame([("q", "a", 1, 5)], "query string, component string, bytes bigint, cents bigint")
+    plan = ap.apportion(df, ["query"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 @pytest.mark.parametrize("ranges", [None, 5])
 def test_parts_add_up_to_the_cent(spark, ranges):
     import random
