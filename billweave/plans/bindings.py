@@ -10,6 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billweave.operators.store import stored
 from billweave.sources.rubric import DIMENSIONS
 
 # Day on which the spend rules look back.
@@ -137,7 +138,8 @@ def generic_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of four CSV files, one for each layout: quoted cells with commas, short rows and, in
     every fifth row of the third file, a cell beyond the header that holds the cost."""
-    items = _line_items(spark, sf_dir)
+    # Dealt out as the splits of files are, and written once: the lines are read more than once, as files are.
+    items = stored(_line_items(spark, sf_dir).select("service", "cost", "project", "line_id").repartition("line_id"))
     quoted = F.concat(F.lit('"'), "cost", F.lit('"'))
     number = F.col("line_id").cast("bigint")
     short = number % 7 == 0
@@ -160,8 +162,7 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(short, text(service)).otherwise(text(service, quoted, project)))}
     every = F.explode(F.array(*[F.struct(F.lit(name).alias("source_path"), row.alias("line"))
                                 for name, (_, row) in files.items()])).alias("row")
-    # Dealt out as the splits of files are.
-    body = (items.repartition("line_id").select(F.lit(1).alias("at"), every)
+    body = (items.select(F.lit(1).alias("at"), every)
             .select("row.source_path", "at", "row.line"))
     heads = spark.createDataFrame([(name, 0, head) for name, (head, _) in files.items()],
                                   "source_path string, at int, line string")

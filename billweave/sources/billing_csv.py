@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from billweave.functions.money import is_total_row, parse_money, reject_reason, strip
+from billweave.functions.money import BLANKS, is_total_label, parse_money, quick_strip, reject_reason, strip
 from billweave.sources import csv_records
 
 # More headers than this in one read are an error; a layout is shared by many files.
@@ -90,7 +90,7 @@ def detect_layout(header: list[str], source: str = "header") -> Layout:
 
 
 def _kept(records: DataFrame) -> DataFrame:
-    return records.filter(~is_total_row(F.col("service")) & F.col("cost").isNotNull())
+    return records.filter(F.col("cost").isNotNull() & ~is_total_label(F.col("service")))
 
 
 def _bound(rows: DataFrame, fields: dict[str, Column], *keep: str) -> DataFrame:
@@ -136,13 +136,21 @@ def _header_cells(line: str) -> list[str]:
 
 def _files(lines: DataFrame) -> DataFrame:
     """For each file its first line, where that is, whether a line ends inside quotes or none does, and
-    whether the first does."""
-    inside = F.max(csv_records.ends_inside(F.col("line")))
-    return (lines.groupBy("source_path").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("first"),
+    whether the first does. With a set, Spark sums by hashes; with text and flags alone it would sort all
+    lines by file first."""
+    inside = F.array_max(F.collect_set("inside"))
+    return (lines.withColumn("inside", csv_records.ends_inside(F.col("line"))).groupBy("source_path").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("first"),
                                              inside.alias("broken"))
             .withColumns({"plain": ~F.col("broken"), "open": csv_records.ends_inside(F.col("header"))}))
 
 
+def _firsts(lines: DataFrame) -> DataFrame:
+    """For each file where its first line is. Numbers are summed by hashes, which structs are not."""
+    number = F.min(F.coalesce("at.number", F.lit(-1 << 63).cast("bigint")))
+    return (lines.filter(F.col("at").isNotNull()).groupBy("source_path", "at.split").agg(number.alias("number"))
+            .groupBy("source_path").agg(F.min(F.struct("split", "number")).alias("first")))
+
+
 def _found(files: DataFrame) -> tuple[list, bool]:
     """The files, if they are few, or else a row for each different header; and whether they are few."""
     found = files.limit(MAX_HEADERS + 1).collect()
@@ -209,7 +217,7 @@ def _rows(lines: DataFrame) -> tuple[DataFrame, dict[Layout, int]]:
         # Lines may be numbered otherwise when they are read again, so where a file begins is looked up again.
         of = known if not broken else known.filter(~F.col("broken"))
         if few:
-            of = lines.groupBy("source_path").agg(F.min("at").alias("first")).join(F.broadcast(of), "source_path")
+            of = _firsts(lines).join(F.broadcast(of), "source_path")
         rows.append(_of_files(lines, of.select("source_path", "first", "layout"), few).filter(F.col("at") > F.col("first")))
     if broken:
         # Records are counted from 1.
@@ -219,7 +227,7 @@ def _rows(lines: DataFrame) -> tuple[DataFrame, dict[Layout, int]]:
     every = rows[0].select(*columns, "layout")
     for more in rows[1:]:
         every = every.unionByName(more.select(*columns, "layout"))
-    return every.filter(strip(F.col("line")) != ""), layouts
+    return every.filter(F.substring("line", 1, 1).between("!", "~") | (F.ltrim("line", F.lit(BLANKS)) != "")), layouts
 
 
 def parse_cells(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
@@ -235,29 +243,43 @@ def parse_cells(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:
         lines = lines.withColumn("at", F.struct(F.lit(0).cast("bigint").alias("split"),
                                                 F.col("at").cast("bigint").alias("number")))
     rows, layouts = _rows(lines)
-    none = F.lit(None).cast("string")
-    raw = {"service": none, "project": none, "cell": none, "source_format": none}
-    rest = F.lit(None).cast("array<string>")
-    for layout, number in layouts.items():
-        mine, line = F.col("layout") == number, F.col("line")
-        places = {"service": layout.service, "project": layout.project, "cell": layout.cost}
-        for name, at in places.items():
-            if at is not None:
-                raw[name] = F.when(mine, csv_records.raw_cell(line, at)).otherwise(raw[name])
-        if layout.cost is None:
-            rest = F.when(mine, F.slice(csv_records.raw_cells(line), 2, F.length(line) + 1)).otherwise(rest)
-        raw["source_format"] = F.when(mine, F.lit(layout.format)).otherwise(raw["source_format"])
-    cells = rows.select(*[v.alias(k) for k, v in raw.items()], rest.alias("rest"), "source_path", "at")
-    said = {name: csv_records.unquoted(F.col(name)) for name in ("service", "project", "cell")}
-    cells = cells.select(*[v.alias(k) for k, v in said.items()], "rest", "source_format", "source_path", "at")
-    # mostly the last cell is a number, and the others need not be looked at
-    last = F.coalesce(parse_money(csv_records.unquoted(F.try_element_at("rest", F.lit(-1))), decimal_mark),
-                      _last_number(F.transform("rest", csv_records.unquoted), decimal_mark))
-    cell = F.when(F.col("cell") != "", parse_money(F.col("cell"), decimal_mark))
-    cost = F.when(F.col("rest").isNull(), cell).otherwise(last)
-    return _bound(cells, {"service": strip(F.col("service")),
-                          "project": F.coalesce(strip(F.col("project")), F.lit("")), "cost": cost,
-                          "cell": F.col("cell"), "source_format": F.col("source_format")}, "source_path", "at")
+
+    def of_layout(values: list, kind: str) -> Column:
+        return F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("layout"))
+
+    line, flat, cells = F.col("line"), F.col("flat"), F.col("cells")
+    places = {f"{name}_at": of_layout([getattr(layout, of) for layout in layouts], "int")
+              for name, of in (("service", "service"), ("project", "project"), ("cell", "cost"))}
+    # Few lines are not flat; only theirs are found by patterns, as far as they are needed.
+    by_place, needed = F.col("cell_at").isNotNull(), 1 + max([0, *(n for layout in layouts for n in layout[1:4] if n is not None)])
+    found = F.transform(csv_records.raw_cells(line, places["cell_at"].isNotNull(), needed), csv_records.unquoted)
+    rows = rows.select("source_path", "at", "line", csv_records.flat(line).alias("flat"),
+                       F.when(csv_records.flat(line).isNull(), found).alias("cells"),
+                       of_layout([layout.format for layout in layouts], "string").alias("source_format"),
+                       *[place.alias(name) for name, place in places.items()])
+
+    def said(at: Column) -> Column:
+        return (F.when(flat.isNotNull(), csv_records.flat_cell(flat, line, at))
+                .otherwise(F.coalesce(F.get(cells, at), F.lit(""))))
+
+    # Without a place, the cost is the last number. Mostly the last cell is one, and the others need not be looked at.
+    last = (F.when(flat.isNull(), F.when(F.size(cells) > 1, F.try_element_at(cells, F.lit(-1))))
+            .when(flat.contains(","), csv_records.last_flat_cell(flat, line)))
+    rows = rows.select("source_path", "at", "line", "flat", "cells", "source_format", by_place.alias("by_place"),
+                       said(F.col("service_at")).alias("service"), said(F.col("project_at")).alias("project"),
+                       F.when(by_place, said(F.col("cell_at"))).otherwise(last).alias("text"))
+    text, by_place = F.col("text"), F.col("by_place")
+    every = F.coalesce(cells, csv_records.flat_cells(flat, line))
+    others = _last_number(F.slice(every, 2, F.length(line) + 1), decimal_mark)
+    cost = F.coalesce(parse_money(text, decimal_mark), F.when(~by_place, others))
+    # Worked out before they are bound: a generator that holds a lambda is not compiled.
+    fields = {"service": quick_strip(F.col("service")), "project": F.coalesce(quick_strip(F.col("project")), F.lit("")),
+              "cost": cost, "cell": F.when(by_place, text), "source_format": F.col("source_format")}
+    rows = rows.select(*[value.alias(name) for name, value in fields.items()], "source_path", "at")
+    # Only what filters look at is bound; the others are left out where nobody wants them.
+    rest = [name for name in rows.columns if name not in ("service", "cost")]
+    return (_bound(rows, {name: F.col(name) for name in ("service", "cost")}, *rest)
+            .select(*fields, "source_path", "at"))
 
 
 def parse_lines(lines: DataFrame, decimal_mark: str = ".", observation: Observation | None = None) -> DataFrame:
@@ -274,7 +296,7 @@ def parse_lines(lines: DataFrame, decimal_mark: str = ".", observation: Observat
 
 
 def _is_rejected() -> Column:
-    return ~is_total_row(F.col("service")) & F.col("cost").isNull()
+    return F.col("cost").isNull() & ~is_total_label(F.col("service"))
 
 
 def rejected_lines(lines: DataFrame, decimal_mark: str = ".") -> DataFrame:

@@ -28,9 +28,49 @@ OPEN = f'"{INSIDE}\\z'
 CELL = f'(?:"{INSIDE}(?:"[^,]*+)?+|[^",][^,]*+)?+'
 
 
+def _between(line: Column) -> Column:
+    """What stands between the first two marks."""
+    return F.substring_index(F.substring_index(line, '"', 2), '"', -1)
+
+
+def flat(line: Column) -> Column:
+    """The line with one mark in place of its quoted cell, if that cell has the only two marks; a line without
+    marks as it is; NULL for all others. Commas of a flat line divide cells, so that no pattern is needed."""
+    before, after = F.substring_index(line, '"', 1), F.substring_index(line, '"', -1)
+    closed = (after == "") | after.startswith(",")
+    return F.when(~line.contains('"'), line).when(closed & _one_pair(line), F.concat(before, F.lit('"'), after))
+
+
+def _one_pair(line: Column) -> Column:
+    """Whether a line has just two marks, the first of which begins a cell."""
+    before, first = F.substring_index(line, '"', 1), F.substring_index(line, '"', 2)
+    size = F.octet_length(line)
+    two = (F.octet_length(first) < size) & (F.octet_length(F.substring_index(line, '"', 3)) == size)
+    return ((before == "") | before.endswith(",")) & two
+
+
+def _flat_said(cell: Column, line: Column) -> Column:
+    return F.when(cell == '"', _between(line)).otherwise(cell)
+
+
+def flat_cell(flat_line: Column, line: Column, n: Column) -> Column:
+    """What the n-th cell (from 0) of a flat line says; empty if there is none."""
+    to_comma = F.call_function("substring_index", flat_line, F.lit(","), n)
+    cell = F.substring_index(F.call_function("substring_index", flat_line, F.lit(","), n + 1), ",", -1)
+    return F.when(to_comma != flat_line, _flat_said(cell, line)).otherwise("")
+
+
+def last_flat_cell(flat_line: Column, line: Column) -> Column:
+    return _flat_said(F.substring_index(flat_line, ",", -1), line)
+
+
+def flat_cells(flat_line: Column, line: Column) -> Column:
+    return F.transform(F.split(flat_line, ","), lambda cell: _flat_said(cell, line))
+
+
 def ends_inside(line: Column) -> Column:
     """Whether a line that begins outside of quotes ends inside."""
-    return line.contains('"') & line.rlike(f"\\A(?:{CLOSED},)*+{OPEN}")
+    return line.contains('"') & ~_one_pair(line) & line.rlike(f"\\A(?:{CLOSED},)*+{OPEN}")
 
 
 def stays_inside(line: Column) -> Column:
@@ -43,9 +83,12 @@ def raw_cell(line: Column, n: int) -> Column:
     return F.regexp_extract(F.concat(F.lit(","), line), f"\\A(?:,{CELL}){{{n}}}+,({CELL})", 1)
 
 
-def raw_cells(line: Column) -> Column:
-    """All cells as they are written."""
-    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({CELL})"), 1)
+def raw_cells(line: Column, most: Column | None = None, n: int = 0) -> Column:
+    """All cells as they are written, or the first n where ``most`` is true."""
+    text = F.concat(F.lit(","), line)
+    if most is not None:
+        text = F.when(most, F.regexp_extract(text, f"\\A((?:,{CELL}){{0,{n}}}+)", 1)).otherwise(text)
+    return F.regexp_extract_all(text, F.lit(f",({CELL})"), 1)
 
 
 def unquoted(raw: Column) -> Column:

@@ -144,3 +144,44 @@ def test_a_mark_that_is_never_closed(spark, monkeypatch):
     long = spark.createDataFrame(split_up(text + "y,1\n" * 1000, "f", 400, r), schema)
     with pytest.raises(Exception, match="more than 1000 characters in f"):
         parse_lines(long).collect()
+
+
+def test_flat_lines_say_what_patterns_find(spark):
+    """Cells of lines with one quoted cell or none are taken without patterns, and no line that is not flat is."""
+    r = random.Random(6)
+    lines = [x for x in LINES if x] + ["".join(r.choices('",ab ', weights=[2, 3, 2, 2, 1], k=r.randrange(1, 14))) for _ in range(3000)]
+    line = F.col("line")
+    df = (spark.createDataFrame([(x,) for x in [*lines, 'é,"ü,é",ß', 'é', '"a,\nb",c']], "line string")
+          .withColumn("flat", c.flat(line)).filter("flat IS NOT NULL"))
+    flat = F.col("flat")
+    got = df.select("line", c.flat_cells(flat, line).alias("cells"), c.last_flat_cell(flat, line).alias("last"),
+                    *[c.flat_cell(flat, line, F.lit(n)).alias(f"c{n}") for n in range(4)]).collect()
+    assert {x.line for x in got} >= {"a,b", '"a,b"', 'é,"ü,é",ß', '"a,\nb",c'} and not {x.line for x in got} & {'"', '"a""b"', 'a"', '"a"x,"'}
+    for row in got:
+        expected = next(csv.reader(io.StringIO(row.line)))
+        assert (row.cells, row.last) == (expected, expected[-1]), row.line
+        assert [row[f"c{n}"] for n in range(4)] == (expected + [""] * 4)[:4], row.line
+        assert not ends(row.line, False)
+
+
+def test_files_are_looked_at_without_a_sort(spark):
+    """Neither a file's header nor its first place may need all lines sorted, and parsing stays compiled."""
+    lines = spark.createDataFrame(split_up("service,cost,project\n" + "A,1,p\n" * 50, "f", 7, random.Random(1)),
+                                  "source_path string, at struct<split:bigint,number:bigint>, line string")
+    assert "Sort" not in billing_csv._files(lines)._jdf.queryExecution().sparkPlan().toString()
+    for df in (billing_csv._firsts(lines), parse_lines(lines)):  # what is sorted has a row for each split
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert [x for x in plan.split("\n") if "Aggregate" in x][-1].strip(" +-:").startswith("HashAggregate")
+    ce = spark.createDataFrame(split_up("Service,2026-03-01\n" + "A,1\n" * 50, "f", 7, random.Random(1)), lines.schema)
+    plan = parse_lines(ce)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Generate inline" in x and "lambda" in x]
+
+
+def test_rows_without_a_place_for_the_cost(spark):
+    """The last number counts, whether lines are flat or not, and a line without a second cell has none."""
+    body = ['A,1,2', 'B,"1,000",', 'C,"a ""b""",7,x', '"D,d",5', 'E', 'F,x', '"G ""g""","3","4",""', '8', 'H,"9"', 'I,"a""",']
+    lines = spark.createDataFrame(split_up("\n".join(["Service,2026-03-01", *body]), "f", 3, random.Random(2)),
+                                  "source_path string, at struct<split:bigint,number:bigint>, line string")
+    got = {(x.service, x.cost if x.cost is None else float(x.cost), x.cell) for x in billing_csv.parse_cells(lines).collect()}
+    assert got == {("A", 2, None), ("B", 1000, None), ("C", 7, None), ("D,d", 5, None), ("E", None, None), ("F", None, None),
+                   ('G "g"', 4, None), ("8", None, None), ("H", 9, None), ("I", None, None)}
