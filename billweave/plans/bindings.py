@@ -138,8 +138,10 @@ def generic_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of four CSV files, one for each layout: quoted cells with commas, short rows and, in
     every fifth row of the third file, a cell beyond the header that holds the cost."""
-    # Dealt out as the splits of files are, and written once: the lines are read more than once, as files are.
-    items = stored(_line_items(spark, sf_dir).select("service", "cost", "project", "line_id").repartition("line_id"))
+    # Dealt out as the splits of files are, also where most rows are of one order or of none or are copies of one
+    # another, and written once: the lines are read more than once, as files are.
+    cells = ("service", "cost", "project", "line_id")
+    items = stored(_line_items(spark, sf_dir).select(*cells).hint("rebalance", *cells))
     quoted = F.concat(F.lit('"'), "cost", F.lit('"'))
     number = F.col("line_id").cast("bigint")
     short = number % 7 == 0

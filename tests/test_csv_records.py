@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from billweave.plans import bindings
 from billweave.sources import billing_csv
 from billweave.sources import csv_records as c
 from billweave.sources.billing_csv import parse_lines, read_billing
@@ -185,3 +186,24 @@ def test_rows_without_a_place_for_the_cost(spark):
     got = {(x.service, x.cost if x.cost is None else float(x.cost), x.cell) for x in billing_csv.parse_cells(lines).collect()}
     assert got == {("A", 2, None), ("B", 1000, None), ("C", 7, None), ("D,d", 5, None), ("E", None, None), ("F", None, None),
                    ('G "g"', 4, None), ("8", None, None), ("H", 9, None), ("I", None, None)}
+
+
+@pytest.mark.parametrize("order, alike", [(1, False), (None, False), (1, True)])
+def test_lines_of_one_order_are_dealt_out(spark, tmp_path, order, alike):
+    """Rows of a single order, of none or all alike do not end up with one task."""
+    spark.createDataFrame([(n, f"TYPE {n}") for n in range(20)], "p_partkey bigint, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(order, 3 if alike else n % 20, 1, 10.0, 5.0 if alike else n / 4, "A") for n in range(6000)]
+    (spark.createDataFrame(items, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+                                  "l_extendedprice double, l_returnflag string")
+     .repartition(12).write.parquet(f"{tmp_path}/lineitem.parquet"))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "8k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k" if alike else "64m"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        lines = bindings.csv_lines(spark, str(tmp_path)).filter("at = 1")
+        written = [r["count"] for r in lines.groupBy(F.input_file_name()).count().collect()]
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert sum(written) == 4 * 6000 and max(written) <= 8000
